@@ -11,6 +11,7 @@ doc_id are packed each by itself.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -86,11 +87,17 @@ class WordTokenizer:
         return b"".join(map(self.known.__getitem__, parts))
 
 
+@functools.cache
+def _tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker: its memory of words outlives a task."""
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece with its seat: the number of earlier pieces of its length in its task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part = WordTokenizer(tokenizer_path), TaskContext.get().partitionId()
+        tokenizer, part = _tokenizer(tokenizer_path), TaskContext.get().partitionId()
         seats = np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows = []
