@@ -9,6 +9,7 @@ Ids are the library's own. Null texts count as empty; repeated rows are encoded
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -167,6 +168,12 @@ class Codec:
         return np.column_stack([places[edge[:-1]], places[edge[1:]]])
 
 
+@functools.cache
+def _codec(path: str) -> Codec:
+    """One per Python worker."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, model_path: str, with_output: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, spans_cover) per document; ``with_output``
     adds ids, spans (begin and end in turn) and the decoded text. A narrow pass: no shuffle."""
@@ -174,7 +181,7 @@ def encode(docs: DataFrame, model_path: str, with_output: bool = False) -> DataF
     schema += ", ids array<int>, spans array<long>, decoded string" * with_output
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = _codec(model_path)
         for b in batches:
             all_ids, all_texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for k in range(0, len(all_texts), 256):
