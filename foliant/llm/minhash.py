@@ -133,7 +133,8 @@ def verified_edges(docs: DataFrame, clusters: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[b.column(k).slice(first, end - first) for k in range(4)], pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(h[new].view(np.int64)))], ["rep", "component", "n_blocks", "block", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    held = texts.join(placed, texts["doc_id"] == placed["rep"]).select("rep", "component", "n_blocks", "block", "text")
+    # texts go by doc_id at every size: a broadcast of the members would not last as they grow
+    held = texts.join(placed.hint("merge"), texts["doc_id"] == placed["rep"]).select("rep", "component", "n_blocks", "block", "text")
     held = held.mapInArrow(sets, "rep long, component long, n_blocks int, block int, shingles array<long>")
     other = F.explode(F.expr("sequence(0, n_blocks - 1)"))
     spread = held.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
@@ -163,4 +164,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, columns as they are; rows with a null doc_id stay."""
     lost = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti")
+    return docs.join(lost.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
