@@ -256,7 +256,7 @@ def rewrite(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """``docs`` with kept_text, n_lines, n_dropped and kept_sha256 instead of text; other columns stay."""
     names = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*names).alias("rest")) if names else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = packed.join(drops.withColumnRenamed("doc_id", "drop_id"), F.col("doc_id") == F.col("drop_id"), "left").drop("drop_id")
+    joined = packed.join(drops.withColumnRenamed("doc_id", "drop_id").hint("merge"), F.col("doc_id") == F.col("drop_id"), "left").drop("drop_id")
 
     @F.pandas_udf("text string, n_lines long, n_dropped long, sha string")
     def cut(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
