@@ -2,6 +2,499 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foliant.functions import text as T
+from foliant.operators import annotate, catalog, context, graph, logs, search
+from foliant.sources import library as L
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = None
+LIB, ASKED, LISTED, CALLS = L.LIBRARY_SQL, L.QUESTIONS_SQL, L.LISTING_SQL, L.CALLS_SQL
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return L.documents(spark, sf)
+
+
+def _given(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- listings -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {LIB} SELECT file_type, count(*) AS n FROM lib GROUP BY file_type")
+def file_types(spark, sf):
+    return _docs(spark, sf).groupBy("file_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LIB} SELECT id, regexp_extract(file_path, '([^/]+)\\.[^.]*$', 1) AS title, regexp_extract(file_path, '[^/]+$') AS name FROM lib")
+def titles(spark, sf):
+    return _docs(spark, sf).select("id", T.title_of(F.col("file_path")).alias("title"), T.display_name(F.col("file_path"), F.col("title")).alias("name"))
+
+
+@query(f"WITH {LIB} SELECT id, title FROM lib WHERE favorite = 1")
+def favorites(spark, sf):
+    return _docs(spark, sf).where("favorite = 1").orderBy(F.desc("updated_at"), "id").select("id", "title")
+
+
+@query(f"WITH {LIB} SELECT id, strftime(last_viewed, '%Y-%m-%d %H:%M') AS viewed FROM lib WHERE last_viewed IS NOT NULL")
+def recent(spark, sf):
+    return _docs(spark, sf).where("last_viewed is not null").orderBy(F.desc("last_viewed"), "id").select("id", F.date_format("last_viewed", "yyyy-MM-dd HH:mm").alias("viewed"))
+
+
+@query(f"WITH {LIB} SELECT id FROM lib WHERE trim(coalesce(content, ''), ' ' || chr(10) || chr(9)) <> '' AND (abstract IS NULL OR trim(abstract) = '')")
+def needs_summary(spark, sf):
+    return _docs(spark, sf).where(~T.is_blank(F.col("content")) & T.is_blank(F.col("abstract"))).select("id")
+
+
+@query(f"WITH {LIB} SELECT id FROM lib WHERE NOT starts_with(lower(file_path), '/lib/src1/')")
+def outside_path(spark, sf):
+    return catalog.outside_path(_docs(spark, sf), "/Lib/SRC1/").select("id")
+
+
+@query(f"WITH {LIB} SELECT id, title FROM lib ORDER BY updated_at DESC, id LIMIT 15 OFFSET 30")
+def page_all(spark, sf):
+    return catalog.page(_docs(spark, sf), 30, 15).select("id", "title")
+
+
+@query(f"WITH {LIB} SELECT count(*) AS total, count(*) FILTER (WHERE content <> '') AS with_content, count(*) FILTER (WHERE abstract <> '') AS with_abstract FROM lib")
+def library_health(spark, sf):
+    return catalog.health(_docs(spark, sf))
+
+
+# --- substring search ---------------------------------------------------------------------------
+
+
+def _like(words: list[str]) -> str:
+    any_of = " OR ".join(f"contains(lower(coalesce({f}, '')), '{w}')" for w in words for f in search.FIELDS)
+    first = words[0]
+    return f"""CASE WHEN title = '{first}' THEN 100 WHEN starts_with(lower(title), '{first}') THEN 80 WHEN contains(lower(title), '{first}') THEN 60 WHEN contains(lower(author), '{first}') THEN 40
+      WHEN contains(lower(coalesce(abstract, '')), '{first}') THEN 20 WHEN contains(lower(content), '{first}') THEN 10 ELSE 0 END AS search_score FROM lib WHERE {any_of}"""
+
+
+@query(f"WITH {LIB} SELECT id, {_like(['the', 'nicht'])}")
+def like_score_search(spark, sf):
+    return search.like_score(_docs(spark, sf), ["the", "nicht"]).select("id", "search_score")
+
+
+@query(f"WITH {LIB} SELECT id, search_score FROM (SELECT id, updated_at, {_like(['the'])}) ORDER BY search_score DESC, updated_at DESC, id LIMIT 15")
+def search_page(spark, sf):
+    return search.like_score(_docs(spark, sf), ["the"]).orderBy(F.desc("search_score"), F.desc("updated_at"), "id").limit(15).select("id", "search_score")
+
+
+@query(f"""WITH {LIB}, h AS (SELECT id, {' + '.join(f"CAST(contains(lower(title), '{w}') OR contains(lower(coalesce(abstract, '')), '{w}') OR contains(lower(content), '{w}') AS INTEGER)" for w in ('nicht', 'the', 'que'))} AS hit_count FROM lib)
+  SELECT * FROM h WHERE hit_count > 0""")
+def hit_count_search(spark, sf):
+    return search.hit_count(_docs(spark, sf), ["nicht", "the", "que", "x"]).select("id", "hit_count")
+
+
+# --- lexicon ------------------------------------------------------------------------------------
+
+LEX = """lw AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS keyword FROM documents),
+lexicon AS (SELECT * FROM (SELECT lang, keyword, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, keyword) AS kw_ord FROM lw GROUP BY lang, keyword) WHERE kw_ord <= 25),
+cats AS (SELECT lang, row_number() OVER (ORDER BY lang) AS ord FROM (SELECT DISTINCT lang FROM lexicon)),
+hits AS (SELECT d.doc_id AS id, c.ord, l.lang, l.kw_ord, l.keyword FROM documents d JOIN lexicon l ON contains(lower(d.text), l.keyword) JOIN cats c ON c.lang = l.lang),
+scores AS (SELECT id, lang, ord, count(*) AS score FROM hits GROUP BY id, lang, ord),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS r, sum(score) OVER (PARTITION BY id) AS total FROM scores)"""
+
+
+def _annotated(spark, sf):
+    docs = _given(spark, sf, "documents")
+    return annotate.annotate(docs.select(F.col("doc_id").alias("id"), "text"), *annotate.corpus_lexicon(docs))
+
+
+_FIRST15 = "SELECT id, keyword, row_number() OVER (PARTITION BY id ORDER BY o) AS r FROM (SELECT id, keyword, min(ord * 1000 + kw_ord) AS o FROM hits GROUP BY id, keyword)"
+
+
+@query(f"WITH {LEX}, k AS (SELECT id, string_agg(keyword, '|' ORDER BY r) AS keywords FROM ({_FIRST15}) WHERE r <= 15 GROUP BY id) SELECT doc_id AS id, coalesce(keywords, '') AS keywords FROM documents LEFT JOIN k ON id = doc_id")
+def lexicon_keywords(spark, sf):
+    return _annotated(spark, sf).select("id", F.array_join("lexicon_keywords", "|").alias("keywords"))
+
+
+@query(f"""WITH {LEX}, tags AS (SELECT lang, 0 AS t, lang AS tag FROM cats UNION ALL SELECT lang, kw_ord, keyword FROM lexicon WHERE kw_ord <= 3),
+  own AS (SELECT id, tag, min(r * 100 + t) AS o FROM ranked JOIN tags USING (lang) WHERE r <= 5 GROUP BY id, tag),
+  k AS (SELECT id, string_agg(tag, '|' ORDER BY o) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS n FROM own) WHERE n <= 8 GROUP BY id)
+  SELECT doc_id AS id, coalesce(tags, '') AS tags FROM documents LEFT JOIN k ON id = doc_id""")
+def lexicon_tags(spark, sf):
+    return _annotated(spark, sf).select("id", F.array_join("lexicon_tags", "|").alias("tags"))
+
+
+@query(f"""WITH {LEX}, k AS (SELECT id, max(lang) FILTER (WHERE r = 1) AS category, string_agg(lang, '|' ORDER BY r) FILTER (WHERE r IN (2, 3)) AS secondary,
+  CAST(floor(100.0 * max(score) / max(total) + 0.5) AS INTEGER) AS confidence FROM ranked GROUP BY id)
+  SELECT doc_id AS id, coalesce(category, '{annotate.OTHER}') AS category, coalesce(secondary, '') AS secondary, coalesce(confidence, 0) AS confidence FROM documents LEFT JOIN k ON id = doc_id""")
+def categorize(spark, sf):
+    return _annotated(spark, sf).select("id", "category", F.array_join("secondary", "|").alias("secondary"), "confidence")
+
+
+@query(f"WITH {LEX} SELECT lang AS category, CAST(sum(score) AS BIGINT) AS hits, count(*) AS n_docs FROM scores GROUP BY lang")
+def category_totals(spark, sf):
+    return annotate.category_totals(_annotated(spark, sf))
+
+
+# --- relations ----------------------------------------------------------------------------------
+
+BRIDGE = f"{LEX}, bridge AS (SELECT id AS document_id, keyword AS value FROM ({_FIRST15}) WHERE r <= 15)"
+
+
+def _bridge(spark, sf):
+    return _annotated(spark, sf).select(F.col("id").alias("document_id"), F.explode("lexicon_keywords").alias("value"))
+
+
+@query(f"WITH {BRIDGE}, {LIB} SELECT id, coalesce(ks, '') AS keywords FROM lib LEFT JOIN (SELECT document_id, string_agg(value, '|' ORDER BY value) AS ks FROM bridge GROUP BY document_id) ON document_id = id")
+def with_relations(spark, sf):
+    return catalog.with_relations(_docs(spark, sf), _bridge(spark, sf), "keywords").select("id", F.array_join("keywords", "|").alias("keywords"))
+
+
+_TAG = "(SELECT keyword FROM lexicon WHERE lang = 'en' AND kw_ord = 1)"
+
+
+def _lexicon_word(spark, sf, lang: str, place: int) -> str:
+    keywords, _ = annotate.corpus_lexicon(_given(spark, sf, "documents"))
+    found = keywords.where((F.col("cat_name") == lang) & (F.col("kw_ord") == place)).first()
+    return found["keyword"] if found else ""
+
+
+@query(f"WITH {BRIDGE}, {LIB} SELECT id, title FROM lib WHERE id IN (SELECT document_id FROM bridge WHERE value = {_TAG})")
+def by_tag(spark, sf):
+    return catalog.with_any(_docs(spark, sf), _bridge(spark, sf), _lexicon_word(spark, sf, "en", 1)).orderBy(F.desc("updated_at"), "id").select("id", "title")
+
+
+@query(f"""WITH {BRIDGE}, {LIB}, wanted AS (SELECT keyword FROM lexicon WHERE lang = 'en' AND kw_ord IN (1, 2))
+  SELECT id, title FROM lib WHERE id IN (SELECT document_id FROM bridge WHERE value IN (SELECT keyword FROM wanted) GROUP BY document_id HAVING count(DISTINCT value) = 2)""")
+def by_all_tags(spark, sf):
+    words = [_lexicon_word(spark, sf, "en", k) for k in (1, 2)]
+    return catalog.with_all(_docs(spark, sf), _bridge(spark, sf), words).select("id", "title")
+
+
+@query(f"WITH {BRIDGE} SELECT DISTINCT keyword AS value FROM lexicon WHERE keyword NOT IN (SELECT value FROM bridge WHERE document_id % 4 = 0)")
+def orphans(spark, sf):
+    keywords, _ = annotate.corpus_lexicon(_given(spark, sf, "documents"))
+    kept = catalog.cascade_delete(_docs(spark, sf), _bridge(spark, sf), _docs(spark, sf).where("id % 4 <> 0").select("id"))[1]
+    return catalog.orphans(keywords.select(F.col("keyword").alias("value")).distinct(), kept)
+
+
+@query(f"WITH {BRIDGE} SELECT document_id, value FROM bridge WHERE document_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src1')")
+def cascade_delete(spark, sf):
+    docs = _docs(spark, sf)
+    return catalog.cascade_delete(docs, _bridge(spark, sf), docs.where("author = 'src1'").select("id"))[1]
+
+
+@query(f"WITH {BRIDGE} SELECT a.value AS k1, b.value AS k2, count(*) AS weight FROM bridge a JOIN bridge b ON a.document_id = b.document_id AND a.value < b.value GROUP BY ALL")
+def corpus_keyword_graph(spark, sf):
+    return annotate.corpus_graph(_bridge(spark, sf))
+
+
+@query(f"WITH {BRIDGE} SELECT value, count(*) AS n_docs FROM bridge GROUP BY value")
+def keyword_list(spark, sf):
+    return _bridge(spark, sf).groupBy("value").agg(F.count("*").alias("n_docs")).orderBy("value")
+
+
+@query(f"WITH {BRIDGE} SELECT DISTINCT value FROM bridge")
+def dictionary_upsert(spark, sf):
+    bridge = _bridge(spark, sf)
+    known = bridge.where("document_id % 2 = 0").select(F.xxhash64("value").alias("id"), "value").distinct()
+    return catalog.add_to_dictionary(known, bridge.select("value")).select("value")
+
+
+# --- sync ---------------------------------------------------------------------------------------
+
+DIFF = f"""{LIB}, {LISTED}, diff AS (SELECT coalesce(l.file_path, d.file_path) AS file_path,
+  CASE WHEN d.file_path IS NULL THEN 'new' WHEN l.file_path IS NULL THEN 'deleted' WHEN d.file_mtime IS NOT NULL AND (l.file_mtime <> d.file_mtime OR l.file_size IS DISTINCT FROM d.file_size) THEN 'modified' ELSE 'existing' END AS status,
+  d.file_mtime IS NULL AS no_mtime FROM listing l FULL JOIN lib d ON l.file_path = d.file_path)"""
+
+
+@query(f"WITH {DIFF} SELECT file_path, status, status = 'existing' AND no_mtime AS back_fill FROM diff")
+def sync_diff(spark, sf):
+    return catalog.sync_diff(L.library_listing(spark, sf), _docs(spark, sf))
+
+
+@query(f"WITH {DIFF} SELECT status, count(*) AS n FROM diff GROUP BY status")
+def sync_summary(spark, sf):
+    return catalog.sync_diff(L.library_listing(spark, sf), _docs(spark, sf)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LIB} SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE abstract END AS abstract, CASE WHEN id % 3 = 0 THEN title || '!' ELSE title END AS title,
+  strftime(CASE WHEN id % 3 = 0 THEN TIMESTAMP '2030-01-01' ELSE updated_at END, '%Y-%m-%d %H:%M') AS updated FROM lib""")
+def partial_update(spark, sf):
+    docs = _docs(spark, sf)
+    some = docs.where("id % 2 = 0 or id % 3 = 0")
+    changes = some.select("id", F.when(F.col("id") % 3 == 0, F.array(F.lit("abstract"), F.lit("title"))).otherwise(F.array().cast("array<string>")).alias("set_fields"), F.lit("").alias("abstract"), F.concat("title", F.lit("!")).alias("title"))
+    out = catalog.partial_update(docs, changes, F.lit("2030-01-01").cast("timestamp"))
+    return out.select("id", "abstract", "title", F.date_format("updated_at", "yyyy-MM-dd HH:mm").alias("updated"))
+
+
+@query(f"""WITH {LIB}, t AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id)
+  SELECT id, CASE WHEN n % 2 = 1 THEN 1 - favorite ELSE favorite END AS favorite, n IS NOT NULL AS touched FROM lib LEFT JOIN t ON user_id = id""")
+def toggle_favorites(spark, sf):
+    toggles = _given(spark, sf, "events").where("event_type = 'click'").select(F.col("user_id").alias("id"))
+    out = catalog.toggle_favorites(_docs(spark, sf), toggles, F.lit("2030-01-01").cast("timestamp"))
+    return out.select("id", "favorite", (F.col("updated_at") == F.lit("2030-01-01").cast("timestamp")).alias("touched"))
+
+
+_PDF = "SELECT doc_id, left(text, CAST(doc_id % 200 AS INTEGER)) AS text, doc_id % 4 AS pages FROM documents"
+_GATE = "CASE WHEN length(trim(text, ' ' || chr(10))) = 0 THEN 'image' WHEN length(trim(text, ' ' || chr(10))) < 100 AND (coalesce(nullif(pages, 0), 1) > 1 OR length(trim(text, ' ' || chr(10))) < 20) THEN 'encrypted' ELSE 'ok' END"
+
+
+@query(f"WITH p AS ({_PDF}) SELECT doc_id, {_GATE} AS gate FROM p")
+def pdf_gate(spark, sf):
+    rows = _given(spark, sf, "documents").select("doc_id", F.expr("substring(text, 1, int(doc_id % 200))").alias("text"), (F.col("doc_id") % 4).alias("pages"))
+    return rows.select("doc_id", T.pdf_gate(F.col("text"), F.col("pages")).alias("gate"))
+
+
+@query(f"""WITH {LIB}, p AS (SELECT 'doc_' || doc_id || '.' || ['pdf', 'md', 'exe', 'htm', 'pdf'][doc_id % 5 + 1] AS file_name, text, pages FROM ({_PDF})),
+  held AS (SELECT regexp_extract(file_path, '[^/]+$') AS name FROM lib)
+  SELECT file_name, CASE WHEN file_name IN (SELECT name FROM held) THEN 'exists' WHEN file_name LIKE '%.exe' THEN 'type' WHEN file_name LIKE '%.pdf' AND {_GATE} <> 'ok' THEN {_GATE} ELSE 'accept' END AS reason FROM p""")
+def upload_admission(spark, sf):
+    kinds = F.array(*[F.lit(x) for x in ("pdf", "md", "exe", "htm", "pdf")])
+    rows = _given(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("."), F.get(kinds, (F.col("doc_id") % 5).cast("int"))).alias("file_name"), F.expr("substring(text, 1, int(doc_id % 200))").alias("text"), (F.col("doc_id") % 4).alias("pages"))
+    return catalog.upload_admission(rows, _docs(spark, sf)).select("file_name", "reason")
+
+
+# --- retrieval ----------------------------------------------------------------------------------
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+KW = f"""{ASKED}, qw AS (SELECT question_id, list_filter(list_concat(list_filter(regexp_extract_all(lower(question), '[a-z]+'), lambda w: length(w) >= 2),
+    list_transform(range(1, greatest(length(rest), 1)), lambda i: substring(rest, i, 2))), lambda w: NOT list_contains({_STOP}, w)) AS ws FROM (SELECT *, regexp_replace(question, '[a-zA-Z0-9\\s]', '', 'g') AS rest FROM questions)),
+  qk AS (SELECT question_id, kw, min(o) AS o FROM (SELECT question_id, unnest(ws) AS kw, unnest(range(len(ws))) AS o FROM qw) GROUP BY question_id, kw)"""
+
+
+@query(f"WITH {KW} SELECT question_id, coalesce(string_agg(kw, '|' ORDER BY o), '') AS keywords FROM questions LEFT JOIN qk USING (question_id) GROUP BY question_id")
+def question_keywords(spark, sf):
+    return L.questions(spark, sf).select("question_id", F.array_join(T.question_keywords(F.col("question")), "|").alias("keywords"))
+
+
+@query(f"""WITH {KW} SELECT question_id, CASE WHEN trim(any_value(question)) = '' THEN '' WHEN count(kw) > 0 THEN string_agg('"' || replace(kw, '"', '""') || '"', ' OR ' ORDER BY o) ELSE '"' || trim(any_value(question)) || '"' END AS fts
+  FROM questions LEFT JOIN qk USING (question_id) GROUP BY question_id""")
+def fts_query_text(spark, sf):
+    return L.questions(spark, sf).select("question_id", T.fts_query(F.col("question")).alias("fts"))
+
+
+_TOKENS = r"regexp_extract_all(translate(lower({}), '" + T.ACCENTED + "', '" + T.PLAIN + r"'), '[\p{{L}}\p{{N}}]+')"
+BM = f"""{LIB}, {KW}, asked AS (SELECT question_id, token, count(*) AS times FROM (SELECT question_id, {_TOKENS.format('kw')}[1] AS token FROM qk) WHERE token IS NOT NULL GROUP BY question_id, token),
+  tk AS (SELECT id, list_concat({_TOKENS.format('title')}, {_TOKENS.format('content')}) AS ts FROM lib),
+  st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM tk),
+  po AS (SELECT token, id, size, count(*) AS tf FROM (SELECT id, len(ts) AS size, unnest(ts) AS token FROM tk) GROUP BY token, id, size),
+  df AS (SELECT token, count(*) AS df FROM po GROUP BY token),
+  primary_hits AS (SELECT question_id, id, round(-sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS rank
+    FROM asked JOIN df USING (token) JOIN po USING (token), st GROUP BY question_id, id)"""
+_PLACE = "row_number() OVER (PARTITION BY question_id ORDER BY rank, id) AS place"
+
+
+@query(f"WITH {BM} SELECT * FROM (SELECT question_id, id, rank, {_PLACE} FROM primary_hits) WHERE place <= 5")
+def bm25_top5(spark, sf):
+    return search.top(search.bm25(_docs(spark, sf), L.questions(spark, sf))).select("question_id", "id", "rank", "place")
+
+
+@query(f"WITH {BM} SELECT question_id FROM questions WHERE trim(question) <> '' AND question_id NOT IN (SELECT question_id FROM primary_hits)")
+def fallback_questions(spark, sf):
+    asked = L.questions(spark, sf)
+    return asked.where(~T.is_blank(F.col("question"))).join(search.bm25(_docs(spark, sf), asked), "question_id", "left_anti").select("question_id")
+
+
+RETRIEVED = f"""{BM}, fallback AS (SELECT question_id, unnest(list_distinct(list_filter(string_split(trim(question), ' '), lambda p: p <> ''))) AS part FROM questions WHERE question_id NOT IN (SELECT question_id FROM primary_hits)),
+  every AS (SELECT question_id, id, rank, 'primary' AS strategy FROM primary_hits UNION ALL
+    SELECT question_id, id, CAST(-count(*) AS DOUBLE), 'fallback' FROM fallback JOIN lib ON contains(lower(concat_ws(chr(10), title, author, abstract, content)), lower(part)) GROUP BY question_id, id),
+  hits AS (SELECT * FROM (SELECT *, {_PLACE} FROM every) WHERE place <= 5)"""
+
+
+@query(f"WITH {RETRIEVED} SELECT question_id, id, rank, place, strategy FROM hits")
+def retrieve(spark, sf):
+    return search.retrieve(_docs(spark, sf), L.questions(spark, sf)).select("question_id", "id", "rank", "place", "strategy")
+
+
+@query(None)
+def snippets(spark, sf):
+    docs, asked = _docs(spark, sf), L.questions(spark, sf)
+    refs = context.references(search.retrieve(docs, asked), docs, asked)
+    return refs.select("question_id", "i", "id", context.snippet(F.col("text"), T.question_keywords(F.col("question"))).alias("snippet"))
+
+
+@query(f"WITH {LIB} SELECT id, CASE WHEN length(content) > 4000 THEN left(content, 4000) || chr(10) || chr(10) || '[注：已使用文档前 4000 字，共 ' || length(content) || ' 字]' ELSE content END AS prompt FROM lib")
+def summary_prompts(spark, sf):
+    return _docs(spark, sf).select("id", T.truncate_for_model(F.col("content")).alias("prompt"))
+
+
+@query(f"""WITH {RETRIEVED} SELECT question_id, '参考资料：' || chr(10) || string_agg('[文档' || place || ']' || chr(10) || '标题：' || title || chr(10) || '内容：' || CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END || chr(10), chr(10) ORDER BY place)
+    || chr(10) || chr(10) || '问题：' || any_value(question) AS prompt, string_agg('[' || place || '] ' || title, chr(10) ORDER BY place) AS doc_list FROM hits JOIN lib USING (id) JOIN questions USING (question_id) GROUP BY question_id""")
+def qa_prompts(spark, sf):
+    docs, asked = _docs(spark, sf), L.questions(spark, sf)
+    return context.prompts(context.references(search.retrieve(docs, asked), docs, asked))
+
+
+@query(f"WITH {RETRIEVED}, n AS (SELECT question_id, count(*) AS final_count, max(strategy) AS strategy FROM hits GROUP BY question_id) SELECT question_id, action, coalesce(strategy, 'none') AS strategy, coalesce(final_count, 0) AS final_count FROM questions LEFT JOIN n USING (question_id), (VALUES ('START'), ('STRATEGY'), ('FINAL')) a(action)")
+def search_audit(spark, sf):
+    docs, asked = _docs(spark, sf), L.questions(spark, sf)
+    return context.search_audit(asked, search.retrieve(docs, asked))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> ''), '|') AS items FROM documents")
+def parse_list_output(spark, sf):
+    return _given(spark, sf, "documents").select("doc_id", F.array_join(T.model_list(F.col("text")), "|").alias("items"))
+
+
+
+@query("SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 3 THEN NULL ELSE trim(text, ' ' || chr(10)) END AS answer FROM conversations WHERE role = 'assistant'")
+def parse_response(spark, sf):
+    rows = _given(spark, sf, "conversations").where("role = 'assistant'")
+    k, t = (F.col("conv_id") + F.col("turn")) % 4, F.col("text")
+    chat = F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("message"))).alias("choices")))
+    raw = F.when(k == 0, chat).when(k == 1, F.to_json(F.struct(F.struct(t.alias("text")).alias("output")))).when(k == 2, F.to_json(F.struct(t.alias("text")))).otherwise(F.to_json(F.struct(F.struct(t.alias("message")).alias("error"))))
+    return rows.select("conv_id", "turn", T.answer_text(raw).alias("answer"))
+
+
+_CITED = "chr(10) || '[1] ' || conv_id || '.md' || chr(10) || '[2] b.txt'"
+
+
+@query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN text || chr(10) || chr(10) || '## {T.CITATION_TITLE}' || {_CITED} ELSE text || chr(10) || '## {T.CITATION_TITLE}' || {_CITED} || chr(10) || chr(10) || '## end' END AS answer
+  FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN rtrim(text, ' ' || chr(10)) ELSE text END AS text FROM conversations WHERE role = 'assistant')""")
+def enforce_citations(spark, sf):
+    rows = _given(spark, sf, "conversations").where("role = 'assistant'")
+    answer = F.when(F.col("turn") % 4 == 1, F.col("text")).otherwise(F.concat("text", F.lit(f"\n## {T.CITATION_TITLE}：\nold\n## end")))
+    names = F.array(F.concat(F.col("conv_id").cast("string"), F.lit(".md")), F.lit("b.txt"))
+    return rows.select("conv_id", "turn", T.enforce_citations(answer, names).alias("answer"))
+
+
+# --- graph --------------------------------------------------------------------------------------
+
+
+def _graph_text(spark, sf):
+    docs = _docs(spark, sf)
+    return docs.select("id", "title", F.when(~T.is_blank(F.col("content")), F.col("content")).otherwise(F.col("abstract")).alias("text"))
+
+
+SENT = "s AS (SELECT doc_id AS id, list_filter(list_transform(regexp_split_to_array(text, '[。！？；\\n\\r.!?;]+'), lambda x: trim(x, ' ' || chr(9))), lambda x: length(x) >= 4) AS ss FROM documents)"
+
+
+@query(f"WITH {SENT} SELECT id, len(ss) AS n, array_to_string(ss, '|') AS sentences FROM s")
+def sentences(spark, sf):
+    s = T.sentences(F.col("text"))
+    return _graph_text(spark, sf).select("id", F.size(s).alias("n"), F.array_join(s, "|").alias("sentences"))
+
+
+CAND = "c AS (SELECT id, word, count(*) AS freq, min(o) AS first FROM (SELECT doc_id AS id, unnest(ws) AS word, unnest(range(len(ws))) AS o FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS ws FROM documents)) GROUP BY id, word)"
+
+
+@query(f"WITH {CAND} SELECT id, word, freq FROM c")
+def candidate_terms(spark, sf):
+    return graph.candidate_terms(_graph_text(spark, sf)).select("id", "word", "freq")
+
+
+_T = "CAST(ceil(0.6 * least(length(a.word), length(one[1].word))) AS INTEGER)"
+GK = f"""{CAND}, lists AS (SELECT id, list({{'word': word, 'freq': freq}} ORDER BY freq DESC, first) AS ks FROM c GROUP BY id),
+  chosen AS (SELECT id, list_reduce(list_transform(ks, lambda k: [k]), lambda acc, one: CASE WHEN len(acc) >= 12 OR len(list_filter(acc, lambda a: (length(a.word) > length(one[1].word) AND contains(a.word, one[1].word))
+      OR left(a.word, {_T}) = left(one[1].word, {_T}) OR right(a.word, {_T}) = right(one[1].word, {_T}))) > 0 THEN acc ELSE list_concat(acc, one) END) AS ks FROM lists),
+  gk AS (SELECT id, unnest(range(1, len(ks) + 1)) AS place, unnest(ks).word AS word, unnest(ks).freq AS freq FROM chosen)"""
+
+
+def _graph(spark, sf):
+    docs = _graph_text(spark, sf)
+    return docs, graph.graph_keywords(graph.candidate_terms(docs))
+
+
+@query(f"WITH {GK} SELECT id, place, word, freq FROM gk")
+def graph_keywords(spark, sf):
+    return _graph(spark, sf)[1]
+
+
+LINKS = f"{GK}, {SENT}, u AS (SELECT id, unnest(ss) AS x FROM s), links AS (SELECT a.id, a.word AS source, b.word AS target, count(*) AS weight FROM gk a JOIN gk b ON a.id = b.id AND a.word < b.word JOIN u ON u.id = a.id AND contains(x, a.word) AND contains(x, b.word) GROUP BY ALL)"
+
+
+@query(f"WITH {LINKS} SELECT * FROM links")
+def graph_links(spark, sf):
+    docs, words = _graph(spark, sf)
+    return graph.cooccurrence(docs, words)
+
+
+@query(f"""WITH {GK}, {LIB}, m AS (SELECT id, max(freq) AS most FROM gk GROUP BY id)
+  SELECT id, word AS node, word AS label, 'keyword' AS type, freq AS weight, 0.3::DOUBLE + 0.7::DOUBLE * freq / most AS normalized_weight FROM gk JOIN m USING (id)
+  UNION ALL SELECT id, '__doc_center__', CASE WHEN length(title) > 12 THEN left(title, 12) || '...' ELSE title END, 'document', most + 2, 1.0::DOUBLE FROM m JOIN lib USING (id) WHERE trim(title) <> ''""")
+def graph_nodes(spark, sf):
+    docs, words = _graph(spark, sf)
+    return graph.nodes(words, docs)
+
+
+@query(f"""WITH {LINKS}, {LIB}, k AS (SELECT id, count(*) AS n FROM gk GROUP BY id), e AS (SELECT id, count(*) AS m FROM links GROUP BY id)
+  SELECT id, coalesce(n, 0) AS keyword_count, coalesce(m, 0) AS cooccurrence_edges, coalesce(m, 0) + CASE WHEN trim(title) = '' THEN 0 ELSE coalesce(n, 0) END AS edge_count, CASE WHEN n > 0 THEN len(ss) ELSE 0 END AS sentence_count
+  FROM lib JOIN s USING (id) LEFT JOIN k USING (id) LEFT JOIN e USING (id)""")
+def graph_stats(spark, sf):
+    docs, words = _graph(spark, sf)
+    return graph.stats(docs, words, graph.cooccurrence(docs, words))
+
+
+# --- logs and texts -----------------------------------------------------------------------------
+
+
+@query(f"WITH {CALLS} SELECT request_id, request_ms, status FROM calls WHERE request_ms >= 1704067200000 AND status = 'success' ORDER BY request_ms DESC, request_id LIMIT 100 OFFSET 20")
+def log_query(spark, sf):
+    return logs.query(L.calls(spark, sf), start_ms=1704067200000, status="success", offset=20, limit=100).select("request_id", "request_ms", "status")
+
+
+@query(f"""WITH {CALLS} SELECT count(*) AS total_calls, count(*) FILTER (WHERE status = 'success') AS success_count, count(*) FILTER (WHERE status = 'error') AS error_count,
+  CAST(floor(100.0 * count(*) FILTER (WHERE status = 'success') / count(*) + 0.5) AS BIGINT) AS success_rate, CAST(floor(avg(duration) + 0.5) AS BIGINT) AS avg_duration, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+  CAST(floor(sum(total_tokens) / count(total_tokens) + 0.5) AS BIGINT) AS avg_tokens FROM calls""")
+def log_stats(spark, sf):
+    return logs.stats(L.calls(spark, sf))
+
+
+_ERRORS = [("ECONNRESET", None, None), (None, 401, None), (None, 429, None), (None, 404, None), (None, 503, None), (None, None, "SSL handshake"), (None, None, "Request timeout"), (None, None, "invalid key"), ("ODD", None, "getaddrinfo failed"), (None, None, "other")]
+_KINDS = ["network_reset", "authentication", "rate_limit", "http_status", "api_error", "ssl_tls", "timeout", "authentication", "dns_resolution", "unknown"]
+
+
+@query(f"SELECT [{', '.join(repr(k) for k in _KINDS)}][event_id % 10 + 1] AS type, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
+def error_types(spark, sf):
+    pick = lambda j, kind: F.get(F.array(*[F.lit(e[j]).cast(kind) for e in _ERRORS]), (F.col("event_id") % 10).cast("int"))
+    rows = _given(spark, sf, "events").where("event_type = 'error'")
+    return rows.select(T.error_type(pick(0, "string"), pick(1, "int"), pick(2, "string")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CALLS} SELECT CAST(strftime(make_timestamp(request_ms * 1000), '%Y%m%d') AS BIGINT) AS day, count(*) AS n FROM calls WHERE CAST(make_timestamp(request_ms * 1000) AS DATE) >= DATE '2024-01-31' - 10 GROUP BY 1")
+def log_retention(spark, sf):
+    kept = logs.retained(L.calls(spark, sf), "2024-01-31", 10)
+    return kept.groupBy(F.date_format(F.timestamp_millis("request_ms"), "yyyyMMdd").cast("long").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query(None)
+def clean_text(spark, sf):
+    return _given(spark, sf, "pages").select("page_id", T.clean_text(F.col("html")).alias("clean"))
+
+
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array({_ESCAPED}, '\\n\\s*\\n'), lambda p: trim(p, ' ' || chr(10))), lambda p: p <> ''),
+  lambda p: '<p>' || replace(p, chr(10), '<br/>') || '</p>'), '') AS html FROM documents""")
+def text_to_html(spark, sf):
+    return _given(spark, sf, "documents").select("doc_id", T.text_to_html(F.col("text")).alias("html"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '(The|the|THE|tHe|thE|THe|tHE|ThE)', '<span class=\"highlight-keyword\">\\1</span>', 'g') AS html FROM documents")
+def highlight(spark, sf):
+    return _given(spark, sf, "documents").select("doc_id", T.highlight(F.col("text"), F.lit("thE")).alias("html"))
+
+
+@query("""WITH h AS (SELECT conv_id % 10 AS user_id, text AS question, lead(text) OVER w AS answer, lead(role) OVER w AS next_role, role, conv_id * 100 + turn AS asked FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  p AS (SELECT user_id, question, answer, row_number() OVER (PARTITION BY user_id ORDER BY asked DESC, question) AS place FROM h WHERE role = 'user' AND next_role = 'assistant' AND question <> '' AND answer <> '')
+  SELECT user_id, place, question, CASE WHEN length(answer) > 100 THEN left(answer, 100) || '...' ELSE answer END AS preview FROM p WHERE place <= 50""")
+def qa_history(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _given(spark, sf, "conversations").withColumns({"answer": F.lead("text").over(w), "next_role": F.lead("role").over(w)}).where("role = 'user' and next_role = 'assistant'")
+    return logs.newest_answers(rows.select((F.col("conv_id") % 10).alias("user_id"), F.col("text").alias("question"), "answer", (F.col("conv_id") * 100 + F.col("turn")).alias("at")))
+
+
+FLAGSHIP = bm25_top5
