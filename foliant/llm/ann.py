@@ -4,7 +4,8 @@ The tree is fitted on at most ``SAMPLE`` distinct vectors; every vector is then
 are lifted by one coordinate so that largest inner product becomes least distance. A query takes leaves
 from a priority queue by distance to their centroid; how many is calibrated: the leaf visits are widened
 until they hold ``RECALL`` of the true neighbours of at most ``PROBES`` queries, found by brute force over
-all vectors. Visited leaves are searched exactly, in blocks of leaf and queries of bounded size.
+all vectors. Visited leaves are searched exactly, in blocks of bounded size of neighbouring leaves and of queries, each of
+which gives its k + 1 best per query.
 
 Equal vectors are one candidate with its ``k + 1`` smallest ids, and equal queries are searched
 once, so a vector that fills a third of the table costs one row. Vectors that are null, zero, hold null or
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from foliant.llm.io import settle
 
-SAMPLE, PROBES, RECALL = 20_000, 200, 0.97
+SAMPLE, PROBES, RECALL = 20_000, 200, 0.95
 BRANCH, LEAF_ROWS, MAX_LEAVES = 12, 400, 4096
-BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
+BLOCK_VECTORS, BLOCK_QUERIES = 8192, 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -170,6 +171,21 @@ def calibrate(tree: Tree, probes: list, truth: pd.DataFrame, sizes: np.ndarray)
     return int(np.ceil(np.quantile(ranks, RECALL))) if ranks else tree.leaves
 
 
+def leaf_groups(sizes: np.ndarray) -> dict[int, tuple[int, int]]:
+    """leaf -> (first group, number of groups): neighbouring leaves fill groups of ``BLOCK_VECTORS``, a
+    larger leaf is spread over groups of its own."""
+    out, group, held = {}, 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if held and held + n > BLOCK_VECTORS:
+            group, held = group + 1, 0
+        parts = max(1, -(-n // BLOCK_VECTORS))
+        out[leaf] = (group, parts)
+        held += n
+        if parts > 1:
+            group, held = group + parts, 0
+    return out
+
+
 def search(vectors: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest of every row that meets ``query_filter``."""
     spark = vectors.sparkSession
@@ -188,38 +204,50 @@ def search(vectors: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int = 2
     probes = queries.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(PROBES).collect()
     least = calibrate(made, probes, _true_neighbours(spark, placed, probes, k), sizes) if probes else 1
 
+    groups, nearest_k = leaf_groups(sizes), k
+    query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [tree.value.visits(q, sizes, least, 4 * (k + 1)) for q in (_matrix(b.column(1)) if b.num_rows else [])]
-            at = np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.int64)
-            leaves = np.array([y for x in lists for y in x], np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(leaves)], ["rep", "v", "leaf"])
-
-    wanted = queries.select("rep", "v").mapInArrow(visit, "rep long, v array<double>, leaf int")
-    vector_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_vectors") / BLOCK_VECTORS)).cast("int")
-    asked_sizes = {r["leaf"]: r["count"] for r in wanted.groupBy("leaf").count().collect()}
-    leaves = [(int(a), int(c), int(asked_sizes.get(a, 0))) for a, c in counts.items()]  # MAX_LEAVES and the sample bound it
-    query_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_queries") / BLOCK_QUERIES)).cast("int")
-    shape = spark.createDataFrame(leaves, "leaf int, n_vectors long, n_queries long").select("leaf", F.struct(vector_blocks.alias("v"), query_blocks.alias("q")).alias("blocks"))
-
-    def blocked(rows: DataFrame, own: str, other: str) -> DataFrame:
-        """Each row in its block of its leaf, once for every block of the other side."""
-        out = rows.select("rep", "v", "leaf").join(F.broadcast(shape), "leaf")
-        return out.select("rep", "v", "leaf", F.expr(f"cast(pmod(xxhash64(rep), blocks.{own}) as int)").alias(f"{own}b"), F.explode(F.expr(f"sequence(0, blocks.{other} - 1)")).alias(f"{other}b"))
-
-    left, right = blocked(placed, "v", "q"), blocked(wanted, "q", "v")
+            at, group, leaves = [], [], []
+            for row, q in enumerate(_matrix(b.column(1)) if b.num_rows else []):
+                own: dict[int, list[int]] = {}
+                for leaf in tree.value.visits(q, sizes, least, 4 * (nearest_k + 1)):
+                    first, parts = groups[leaf]
+                    for g in range(first, first + parts):
+                        own.setdefault(g, []).append(leaf)
+                at += [row] * len(own)
+                group += own
+                leaves += own.values()
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(group, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["rep", "v", "grp", "leaves"])
+
+    wanted = queries.select("rep", "v").mapInArrow(visit, "rep long, v array<double>, grp int, leaves array<int>")
+    right = wanted.withColumn("qb", F.pmod(F.xxhash64("rep"), F.lit(query_blocks)).cast("int"))
+    shape = F.broadcast(spark.createDataFrame([(leaf, first, parts) for leaf, (first, parts) in groups.items()], "leaf int, first int, parts int"))  # a row per leaf, bounded by the sample
+    left = placed.select("rep", "v", "leaf").join(shape, "leaf").select("rep", "v", "leaf", F.expr("cast(first + pmod(xxhash64(rep), parts) as int)").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
 
     def nearest(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(vs) or not len(qs):
             return pd.DataFrame({"q": pd.Series([], dtype="int64"), "rep": pd.Series([], dtype="int64"), "score": pd.Series([], dtype=float)})
+        vs = vs.sort_values(["leaf", "rep"])
         v, q = np.stack(vs["v"].to_numpy()).astype(float), np.stack(qs["v"].to_numpy()).astype(float)
-        rep = vs["rep"].to_numpy(np.int64)
-        s = q @ v.T
-        top = np.argsort(-s, 1, kind="stable")[:, : k + 1]
-        exact = (v[top] * q[:, None, :]).sum(2)
-        return pd.DataFrame({"q": np.repeat(qs["rep"].to_numpy(np.int64), top.shape[1]), "rep": rep[top.reshape(-1)], "score": exact.reshape(-1)})
-
-    keys = ("leaf", "vb", "qb")
+        rep, leaf = vs["rep"].to_numpy(np.int64), vs["leaf"].to_numpy()
+        asked = np.array([n for n in qs["leaves"]], object)
+        out = []
+        for lo in range(0, len(q), 256):
+            part = q[lo : lo + 256]
+            seen = np.zeros((len(part), len(v)), bool)
+            for i, leaves in enumerate(asked[lo : lo + 256]):
+                seen[i] = np.isin(leaf, leaves)
+            s = np.where(seen, part @ v.T, -np.inf)
+            top = np.argpartition(-s, k, 1)[:, : k + 1] if s.shape[1] > k + 1 else np.tile(np.arange(s.shape[1]), (len(s), 1))
+            ok = np.take_along_axis(seen, top, 1)
+            who, what = np.repeat(np.arange(len(part)), top.shape[1])[ok.reshape(-1)], top.reshape(-1)[ok.reshape(-1)]
+            out.append(pd.DataFrame({"q": qs["rep"].to_numpy(np.int64)[lo + who], "rep": rep[what], "score": (part[who] * v[what]).sum(1)}))
+        return pd.concat(out)
+
+    keys = ("grp", "qb")
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "q long, rep long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     hits = hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).drop("r")
