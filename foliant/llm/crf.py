@@ -126,9 +126,17 @@ def marginals(emit: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[n
     return p, (pair / pair.sum((1, 2), keepdims=True)).sum(0) if len(at) else np.zeros((2, 2))
 
 
-def raw_quality(model_weights: np.ndarray, moves: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    x, size, first = line_features(data, offsets)
-    p, _ = marginals(np.clip(x @ model_weights, -30, 30), moves, first)
+def features_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of many texts, block by block."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    parts = [line_features(data, at) for _, _, data, at in blocks(batch, "text")]
+    before = np.cumsum([0, *[p[2][-1] for p in parts]])
+    first = np.concatenate([p[2][:-1] + n for p, n in zip(parts, before[:-1], strict=True)] + [before[-1:]])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), first
+
+
+def raw_quality(weights: np.ndarray, moves: np.ndarray, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    p, _ = marginals(np.clip(x @ weights, -30, 30), moves, first)
     return np.add.reduceat(p * size, first[:-1]) / np.add.reduceat(size, first[:-1])
 
 
@@ -141,12 +149,7 @@ def train(data: pd.DataFrame, epochs: int = 80) -> Model:
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
 
-    def packed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = [t.encode("utf-8", "replace") for t in data["text"][rows]]
-        return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-
-    bytes_, offsets = packed(~held)
-    x, _, first = line_features(bytes_, offsets)
+    x, _, first = features_of(data["text"][~held].tolist())
     mark = np.repeat(y[~held], np.diff(first)).astype(float)
     # a chain weighs alike however many lines it has
     chain = np.repeat(1 / np.diff(first), np.diff(first))
@@ -164,7 +167,7 @@ def train(data: pd.DataFrame, epochs: int = 80) -> Model:
         flat += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, moves = flat[:-4].copy(), flat[-4:].reshape(2, 2).copy()
     check = held if held.any() else np.ones(len(y), bool)
-    scale, shift = platt(raw_quality(w, moves, *packed(check)), y[check])
+    scale, shift = platt(raw_quality(w, moves, *features_of(data["text"][check].tolist())), y[check])
     return Model(w, moves, float(scale), float(shift))
 
 
@@ -180,7 +183,7 @@ def score_column(spark, model: Model):
         m = held.value
         for texts in batches:
             batch = pa.RecordBatch.from_arrays([pa.array(texts.tolist(), pa.large_string())], ["text"])
-            raw = [raw_quality(m.weights, m.moves, data, at) for _, _, data, at in blocks(batch, "text")]
+            raw = [raw_quality(m.weights, m.moves, *line_features(data, at)) for _, _, data, at in blocks(batch, "text")]
             yield pd.Series(1 / (1 + np.exp(-np.clip(m.scale * np.concatenate(raw or [np.zeros(0)]) + m.shift, -40, 40))))
 
     return score
