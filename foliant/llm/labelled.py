@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of every training sample: documents of each label, and characters of their texts together.
-PER_LABEL = 1200
-MAX_CHARS = 8_000_000
+PER_LABEL = 1500
+MAX_CHARS = 12_000_000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> pd.DataFrame:
