@@ -2,8 +2,9 @@
 
 A document has ``COLLECTIONS`` small collections of ``ROWS`` minhashes; a table's key combines a pair
 of collections, so 190 tables cost 60 minhashes. Keys are formed only from collection values that some
-other document shares. Documents meeting in a table are joined to its least one; components of that
-graph bound the work of verification, which compares whole shingle sets inside them.
+other document shares, and once for documents whose shared values are all the same. Documents
+meeting in a table are joined to its least one; components of that graph bound the work of
+verification, which compares whole shingle sets inside them.
 
 At Jaccard 0.75 two documents share no table with probability 3e-4, and then still
 meet where a chain of other documents connects them. Equal sets are one class before
@@ -72,11 +73,15 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     values = reps.select("rep", F.explode("slots").alias("h"))
     shared = values.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h")
     held = values.join(shared, "h").groupBy("rep").agg(F.sort_array(F.collect_set("h")).alias("hs")).where(F.size("hs") > 1)  # COLLECTIONS at most
+    held = settle(held, "shared")
+    # documents with the same shared values meet in all their tables: one of them stands for the rest there
+    heads = settle(held.groupBy("hs").agg(F.min("rep").alias("head")), "heads")
+    alike = held.join(heads, "hs").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     # slot values hold their collection's number, so a pair of values names a pair of collections
     pairs = F.flatten(F.transform("hs", lambda x, i: F.transform(F.slice("hs", i + 2, COLLECTIONS), lambda y: F.xxhash64(x, y))))
-    keys = settle(held.select("rep", F.explode(pairs).alias("key")), "keys")
+    keys = settle(heads.select(F.col("head").alias("rep"), F.explode(pairs).alias("key")), "keys")
     tables = keys.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b < hi").select("key", "b")
-    return keys.join(tables, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    return keys.join(tables, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct().unionByName(alike)
 
 
 def _links(groups: pd.DataFrame) -> list[tuple[int, int]]:
