@@ -3,13 +3,17 @@
 A document has ``COLLECTIONS`` small collections of ``ROWS`` minhashes; a table's key combines a pair
 of collections, so 190 tables cost 60 minhashes. Keys are formed only from collection values that some
 other document shares, and once for documents whose shared values are all the same. Documents
-meeting in a table are joined to its least one; components of that graph bound the work of
-verification, which compares whole shingle sets inside them.
+meeting in a table are joined to its least one; components of that graph hold all links.
+
+Verification compares whole shingle sets in two passes. First every document is compared with the
+one that it meets in most tables, and with up to ``BLOCK`` others that chose the same one: work linear
+in the documents, after which nearly all of a group of near copies is linked. Then only documents of
+one component that are still apart are compared, in pairs of blocks: a linked part of over ``BLOCK``
+documents has blocks of its own, which are never compared with each other.
 
 At Jaccard 0.75 two documents share no table with probability 3e-4, and then still
 meet where a chain of other documents connects them. Equal sets are one class before
-all this, so a group of copies costs one row; a component is verified in pairs of blocks of at most
-``BLOCK`` documents, each pair of blocks giving a spanning forest and never its pairs.
+all this, so a group of copies costs one row. Comparing a block gives a spanning forest and never its pairs.
 
 Null and empty texts have an empty set and stay alone. Rows of one doc_id with
 different texts are judged each by its text, and its links are those of all its rows; rows with a null
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.components import components
@@ -69,19 +73,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def candidate_edges(reps: DataFrame) -> DataFrame:
-    """(a, b): class representatives and the least one of a table that they meet in."""
+    """(a, b, n): class representatives, the least one of a table that they meet in, and in how many."""
     values = reps.select("rep", F.explode("slots").alias("h"))
     shared = values.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h")
-    held = values.join(shared, "h").groupBy("rep").agg(F.sort_array(F.collect_set("h")).alias("hs")).where(F.size("hs") > 1)  # COLLECTIONS at most
+    held = values.join(shared, "h").groupBy("rep").agg(F.sort_array(F.collect_set("h")).alias("hs")).where(F.size("hs") > 1)  # COLLECTIONS a text at most
     held = settle(held, "shared")
     # documents with the same shared values meet in all their tables: one of them stands for the rest there
     heads = settle(held.groupBy("hs").agg(F.min("rep").alias("head")), "heads")
     alike = held.join(heads, "hs").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     # slot values hold their collection's number, so a pair of values names a pair of collections
-    pairs = F.flatten(F.transform("hs", lambda x, i: F.transform(F.slice("hs", i + 2, COLLECTIONS), lambda y: F.xxhash64(x, y))))
+    pairs = F.flatten(F.transform("hs", lambda x, i: F.transform(F.slice("hs", i + 2, F.size("hs")), lambda y: F.xxhash64(x, y))))
     keys = settle(heads.select(F.col("head").alias("rep"), F.explode(pairs).alias("key")), "keys")
     tables = keys.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b < hi").select("key", "b")
-    return keys.join(tables, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct().unionByName(alike)
+    met = keys.join(tables, "key").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("n"))
+    return met.unionByName(alike.withColumn("n", F.lit(COLLECTIONS**2).cast("long")))
 
 
 def _links(groups: pd.DataFrame) -> list[tuple[int, int]]:
@@ -123,11 +128,13 @@ def _links(groups: pd.DataFrame) -> list[tuple[int, int]]:
     return out
 
 
-def verified_edges(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Links of 0.75 or more between members of a cluster (node, component), on whole sets."""
-    size = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    placed = clusters.join(size, "component").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = placed.select(F.col("node").alias("rep"), "component", "n_blocks", F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("block"))
+def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame(_links(pdf), columns=["a", "b"], dtype="int64")
+
+
+def _with_sets(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``placed`` (rep, ...) with the shingle set of each rep's texts."""
+    names = placed.columns
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,19 +142,53 @@ def verified_edges(docs: DataFrame, clusters: DataFrame) -> DataFrame:
                 h, off = shingle_hashes(data, at)
                 h, new = distinct_sorted(h, off)
                 edge = np.concatenate([[0], np.cumsum(new)])[off]
-                yield pa.RecordBatch.from_arrays([*[b.column(k).slice(first, end - first) for k in range(4)], pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(h[new].view(np.int64)))], ["rep", "component", "n_blocks", "block", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[b.column(k).slice(first, end - first) for k in range(len(names))], pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(h[new].view(np.int64)))], [*names, "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     # texts go by doc_id at every size: a broadcast of the members would not last as they grow
-    held = texts.join(placed.hint("merge"), texts["doc_id"] == placed["rep"]).select("rep", "component", "n_blocks", "block", "text")
-    held = held.mapInArrow(sets, "rep long, component long, n_blocks int, block int, shingles array<long>")
-    other = F.explode(F.expr("sequence(0, n_blocks - 1)"))
-    spread = held.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_links(pdf), columns=["a", "b"], dtype="int64")
-
-    return spread.groupBy("component", "lo", "hi").applyInPandas(verify, "a long, b long")
+    held = texts.join(placed.hint("merge"), texts["doc_id"] == placed["rep"]).select(*names, "text")
+    return held.mapInArrow(sets, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema) + ", shingles array<long>")
+
+
+def nearest_links(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Links of 0.75 or more (a, b) among a document and those that meet it in most of their tables.
+
+    A document's followers are split into parts of about ``BLOCK``, and it goes to each of them."""
+    nearest = edges.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    nearest = settle(nearest, "nearest")
+    parts = nearest.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_parts"))
+    part = F.pmod(F.xxhash64("a"), "n_parts").cast("int")
+    followers = nearest.join(parts, "b").select(F.col("a").alias("rep"), F.col("b").alias("hub"), part.alias("first"), part.alias("last"))
+    hubs = parts.select(F.col("b").alias("rep"), F.col("b").alias("hub"), F.lit(0).alias("first"), (F.col("n_parts") - 1).alias("last"))
+    spread = _with_sets(docs, followers.unionByName(hubs)).select("rep", "hub", F.explode(F.sequence("first", "last")).alias("part"), F.lit(0).alias("block"), "shingles")
+    return spread.groupBy("hub", "part").applyInPandas(_verify, "a long, b long")
+
+
+def remaining_links(docs: DataFrame, edges: DataFrame, linked: DataFrame) -> DataFrame:
+    """Links of 0.75 or more (a, b) between parts of ``linked`` (node, component) that ``edges`` (a, b)
+    connect: only documents of such parts are read again."""
+    ends = edges.select("a", "b")
+    for end in ("a", "b"):
+        label = linked.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        ends = ends.join(label, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    apart = ends.where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    clusters = components(apart).select(F.col("node").alias("label"), "component")
+    members = linked.select(F.col("component").alias("label"), F.col("node").alias("rep"))
+    labelled = clusters.join(members, "label", "left").select(F.coalesce("rep", "label").alias("rep"), "component", "label")
+    labelled = settle(labelled, "labelled")
+    parts = labelled.groupBy("component", "label").agg(F.count("*").alias("n")).withColumn("big", F.col("n") > BLOCK)
+    parts = parts.withColumn("own", F.when(F.col("big"), F.col("label")).otherwise(F.lit(0)))
+    # a component has fewer rows here than one in BLOCK of its documents, and one for all its small parts
+    groups = parts.groupBy("component", "big", "own").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("n_blocks"))
+    whole, before = Window.partitionBy("component"), Window.partitionBy("component").orderBy("big", "own").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumns({"at": F.coalesce(F.sum("n_blocks").over(before), F.lit(0)).cast("int"), "total": F.sum("n_blocks").over(whole).cast("int")})
+    places = parts.join(groups, ["component", "big", "own"]).select("component", "label", "big", "at", "n_blocks", "total")
+    block = (F.col("at") + F.pmod(F.xxhash64("rep"), "n_blocks")).cast("int")
+    placed = labelled.join(places, ["component", "label"]).select("rep", "component", "big", "at", "n_blocks", "total", block.alias("block"))
+    others = F.expr("filter(sequence(0, total - 1), x -> not big or x < at or x >= at + n_blocks)")
+    spread = _with_sets(docs, placed).select("rep", "component", "block", F.explode(others).alias("other"), "shingles")
+    spread = spread.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    return spread.groupBy("component", "lo", "hi").applyInPandas(_verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -156,8 +197,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = signed.where("doc_id is not null")
     classes = own.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("slots", "doc_id").alias("slots"))
     classes = settle(classes, "classes")
-    clusters = settle(components(candidate_edges(classes)), "clusters")
-    links = components(verified_edges(docs, clusters))
+    edges = settle(candidate_edges(classes), "candidates")
+    linked = settle(components(nearest_links(docs, edges)), "linked")
+    stars = linked.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = components(stars.unionByName(remaining_links(docs, edges, linked)))
     found = classes.select("set_a", "set_b", F.col("n_shingles").alias("n"), "rep").join(links, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
     found = found.withColumnsRenamed({"set_a": "a", "set_b": "b"})
     s = signed.alias("s")

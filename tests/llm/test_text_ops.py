@@ -70,8 +70,9 @@ def near_group(n, seed=3):
     return out
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_near_duplicates_match_all_pairs(spark, corpus, seed):
+@pytest.mark.parametrize(("seed", "block"), [(3, minhash.BLOCK), (4, 16)])
+def test_near_duplicates_match_all_pairs(spark, corpus, seed, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = [(r["doc_id"], r["text"]) for r in corpus.limit(150).collect()] + near_group(320, seed)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
