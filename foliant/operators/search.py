@@ -40,20 +40,30 @@ def hit_count(docs: DataFrame, words: list[str]) -> DataFrame:
 def bm25(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, id, rank): BM25 over title and content, best (most negative) first.
 
-    Only postings of words that some question asks for are kept: the join with the questions' distinct
-    tokens comes before the count, and Spark sends the smaller side around as its size allows."""
+    A question asks for its keywords, one without keywords for its whole text as a phrase. Only postings of
+    words that some question asks for are kept: the join with the questions' distinct tokens comes before
+    the count, and Spark sends the smaller side around as its size allows."""
     token = lambda k: F.get(T.fold_tokens(k), F.lit(0))
     asked = questions.select("question_id", F.explode(T.question_keywords(F.col("question"))).alias("kw"))
     asked = asked.select("question_id", token(F.col("kw")).alias("token")).where("token is not null").groupBy("question_id", "token").agg(F.count("*").alias("times"))
-    tokens = F.concat(T.fold_tokens(F.coalesce("title", F.lit(""))), T.fold_tokens(F.coalesce("content", F.lit(""))))
-    held = docs.select("id", tokens.alias("tokens"))
+    title, content = (T.fold_tokens(F.coalesce(f, F.lit(""))) for f in ("title", "content"))
+    held = docs.select("id", F.concat(title, content).alias("tokens"))
     total = held.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("d")).first()
     n_docs, mean = total["n"], total["d"] or 1.0
     postings = held.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "id", "size").agg(F.count("*").alias("tf"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    hits = asked.join(df, "token").join(postings, "token").select("question_id", "id", "times", "df", "tf", "size")
+
+    phrases = questions.where(F.size(T.question_keywords(F.col("question"))) == 0).select("question_id", T.fold_tokens(F.coalesce("question", F.lit(""))).alias("phrase"))
+    wanted = phrases.select("question_id", F.size("phrase").alias("length"), F.posexplode("phrase").alias("offset", "token"))
+    parted = docs.select("id", F.concat(title, F.array(F.lit("")), content).alias("tokens"))  # no phrase spans the empty token
+    placed = parted.select("id", (F.size("tokens") - 1).alias("size"), F.posexplode("tokens").alias("pos", "token"))
+    runs = placed.join(wanted, "token").groupBy("question_id", "length", "id", "size", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("n")).where("n = length")
+    found = runs.groupBy("question_id", "id", "size").agg(F.count("*").alias("tf"))
+    hits = hits.unionByName(found.join(found.groupBy("question_id").agg(F.count("*").alias("df")), "question_id").withColumn("times", F.lit(1).cast("long")))
+
     idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
-    hits = asked.join(df, "token").join(postings, "token")
     return hits.groupBy("question_id", "id").agg(F.round(-F.sum(weight), 6).alias("rank"))
 
 
@@ -63,17 +73,23 @@ def top(hits: DataFrame, k: int = 5) -> DataFrame:
 
 
 def substring_hits(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question_id, id, rank): for questions without keywords, documents holding their white-space parts.
+    """(question_id, id, rank): documents holding a question's keywords in title, abstract or content; for
+    questions without keywords, documents holding their white-space parts in any field.
 
     Documents meet parts by the part's first two characters, an equality, before the containment test."""
-    parts = questions.select("question_id", F.explode(F.array_distinct(F.filter(F.split(T.js_trim(F.col("question")), r"\s+"), lambda p: p != ""))).alias("part"))
-    parts = parts.select("question_id", T.ascii_fold(F.col("part")).alias("part")).withColumn("head", F.substring("part", 1, 2))
-    text = T.ascii_fold(F.concat_ws("\n", *FIELDS))
+    words = T.question_keywords(F.col("question"))
+    pieces = F.filter(F.split(T.js_trim(F.col("question")), r"\s+"), lambda p: p != "")
+    parts = questions.select("question_id", (F.size(words) > 0).alias("worded"), F.explode(F.array_distinct(F.when(F.size(words) > 0, words).otherwise(pieces))).alias("part"))
+    parts = parts.select("question_id", "worded", T.ascii_fold(F.col("part")).alias("part")).withColumn("head", F.substring("part", 1, 2))
+    text = T.ascii_fold(F.concat_ws("\n", *[f for f in FIELDS if f != "author"]))
+    author = T.ascii_fold(F.coalesce("author", F.lit("")))
     chars = F.col("chars")
     grams = F.array_distinct(F.concat(chars, F.transform(chars, lambda c, i: F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit(""))))))
-    low = docs.select("id", F.explode(F.array(text)).alias("low")).select("id", "low", F.explode(F.array(F.regexp_extract_all("low", F.lit(r"(?s)."), 0))).alias("chars")).select("id", "low", F.explode(grams).alias("head"))
+    low = docs.select("id", author.alias("author"), F.explode(F.array(text)).alias("low"))
+    low = low.select("id", "author", "low", F.explode(F.array(F.regexp_extract_all(F.concat_ws("\n", "low", "author"), F.lit(r"(?s)."), 0))).alias("chars")).select("id", "author", "low", F.explode(grams).alias("head"))
     heads = parts.select("head").distinct()
-    hits = low.join(heads, "head", "left_semi").join(parts, "head").where(F.col("low").contains(F.col("part")))
+    holds = F.col("low").contains(F.col("part")) | (~F.col("worded") & F.col("author").contains(F.col("part")))
+    hits = low.join(heads, "head", "left_semi").join(parts, "head").where(holds)
     return hits.groupBy("question_id", "id").agg((-F.countDistinct("part")).cast("double").alias("rank"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import annotate, catalog, context, graph, logs
+from foliant.operators import annotate, catalog, context, graph, logs, search
 from foliant.plans import registry
 from foliant.sources import library
 from foliant.streaming import sync
@@ -83,6 +83,20 @@ def test_candidates_on_chinese(spark):
     assert words[0] == "智慧城市" and "智慧" not in words and "smart" in words
 
 
+def test_retrieval_cascade(spark):
+    docs = spark.createDataFrame(
+        [(1, "建设", "x", None, "我国的智慧城市建设"), (2, "b", "智慧", None, "关于城市"), (3, "c", "智慧", "", "无关"), (4, "d", "y", None, "in 2024 7 came"), (5, "2024", "y", None, "7 in 2024"), (6, "e", "是", None, "z")],
+        "id long, title string, author string, abstract string, content string",
+    )
+    asked = spark.createDataFrame([(1, "什么是智慧城市"), (2, "2024 7"), (3, "是")], "question_id long, question string")
+    got = {}
+    for r in search.retrieve(docs, asked).orderBy("question_id", "place").collect():
+        got.setdefault(r["question_id"], []).append((r["id"], r["strategy"]))
+    assert got[1] == [(1, "fallback"), (2, "fallback")]  # by three and one of its 2-grams; authors do not count
+    assert got[2] == [(4, "primary")]  # as a phrase, not across title and content
+    assert got[3] == [(6, "fallback")]
+
+
 def brute_snippet(content, words):
     best = []
     for pos in range(0, len(content), 5):
