@@ -1,7 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams (3 to 5 bytes with word ends) and of
-itself, hashed into ``BUCKETS``; a window of ``WINDOW`` words is the mean of its words; a linear
+itself, hashed into ``BUCKETS``; runs of over ``PIECE`` bytes, as in text without spaces, are read whole as overlapping
+pieces, each a word of its own; a window of ``WINDOW`` words is the mean of its words; a linear
 softmax on it tells toxic from clean. A document is judged by its worst windows (log-sum-exp pooling),
 so that a few words in a long text are not averaged away. Embeddings and softmax learn together by
 Adagrad on minibatches of a bounded sample of labelled documents (``labelled.sample``); the pooled logit is then
@@ -26,19 +27,24 @@ from foliant.llm.labelled import platt, sample
 
 BITS, DIM, WINDOW, LEAST = 17, 8, 2, 2
 BUCKETS = 1 << BITS
+PIECE, OVERLAP = 64, 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 THRESHOLD = 0.3
 _CLEAN = bytes(c + 32 if 65 <= c < 91 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Distinct words of a text, lower-cased, in order of first use."""
-    return list(dict.fromkeys((text or "").lower().encode("utf-8", "replace").translate(_CLEAN).split()))
+    """Distinct words of a text, lower-cased, in order of first use; long ones in overlapping pieces."""
+    found = (text or "").lower().encode("utf-8", "replace").translate(_CLEAN).split()
+    if any(len(w) > PIECE for w in found):
+        step = PIECE - OVERLAP
+        found = [w[k : k + PIECE] for w in found for k in range(0, max(len(w) - OVERLAP, 1), step)]
+    return list(dict.fromkeys(found))
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams, word by word, and their number for each word."""
-    marked = [b"<" + w[:64] + b">" for w in words]
+    marked = [b"<" + w + b">" for w in words]
     size = np.array([len(m) for m in marked], np.int64)
     chars = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64) + np.uint64(1)
     ends = np.repeat(np.cumsum(size), size)
@@ -52,7 +58,7 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             ok = np.arange(len(h)) + n <= ends[: len(h)]
             found.append(h[ok])
             whose.append(owner[: len(h)][ok])
-    powers = np.cumprod(np.full(67, _K, np.uint64), dtype=np.uint64)
+    powers = np.cumprod(np.full(size.max(), _K, np.uint64), dtype=np.uint64)
     found.append(np.add.reduceat(chars * powers[place], np.cumsum(size) - size))
     whose.append(np.arange(len(words)))
     whose_all = np.concatenate(whose)
@@ -75,10 +81,11 @@ class Model:
 
     def learn(self, words: list[bytes], known: dict[bytes, float]) -> None:
         """Put the logits of ``words`` into ``known``."""
-        if words:
-            flat, n = grams_of(words)
+        for k in range(0, len(words), 20_000):
+            some = words[k : k + 20_000]
+            flat, n = grams_of(some)
             total = np.add.reduceat(self.values[flat].astype(float), np.cumsum(n) - n)
-            known.update(zip(words, (total / n).tolist(), strict=True))
+            known.update(zip(some, (total / n).tolist(), strict=True))
 
 
 def _pool(logits: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from foliant.llm import crf, line_dedup, minhash, packing, quality_rules, queries, sp_codec, toxicity
@@ -245,6 +246,20 @@ def test_classifiers_edges(spark, edge):
     assert toxicity.drop_toxic(edge, labels).columns == edge.columns and crf.drop_poor(edge, labels).columns == edge.columns
 
 
+def test_toxicity_reads_unspaced_text_to_its_end():
+    rng = np.random.default_rng(3)
+    line = lambda: "".join(chr(0x4E00 + c) for c in rng.permutation(96))
+    toxic = "".join(chr(0x6000 + c) for c in range(12))
+    model = toxicity.train(pd.DataFrame([(line() + (toxic if k % 2 else "") + line(), k % 2) for k in range(200)], columns=["text", "y"]))
+    clean = [line() + line() for _ in range(5)]
+    assert max(toxicity.scores(model, clean, {})) < 0.3 < 0.7 < min(toxicity.scores(model, [t + toxic for t in clean], {}))
+    for n in (1, 63, 64, 65, 112, 113, 1000):
+        text = "".join(rng.choice(list("abcdefgh"), n))
+        pieces = toxicity.words_of(text)
+        assert max(map(len, pieces)) <= toxicity.PIECE and {text[k : k + 5].encode() for k in range(n - 4)} == {p[k : k + 5] for p in pieces for k in range(len(p) - 4)}
+    assert toxicity.words_of("x" * 64 + " y") == [b"x" * 64, b"y"]
+
+
 def test_crf_marginals_match_enumeration():
     rng = np.random.default_rng(4)
     emit, moves = rng.normal(0, 2, 6), rng.normal(0, 1, (2, 2))
