@@ -3,15 +3,16 @@
 A template is any function from turns to text. Prefixes of a conversation are rendered one turn
 longer each time; where the next output starts with the one before, the rest is the new turn's span,
 and a template that rewrites its history is found by the turn at which it does not. Rendering the
-same prefix with two probe texts in place of the last tells the span's frame from its content. Long conversations
-render against the last ``LOOK_BACK`` turns, so work is linear in turns.
+same prefix with two probe texts in place of the last tells the span's frame from its content. Whole prefixes are
+rendered, work that grows with the square of the turns. A template that is declared additive, one whose output is its
+turns' spans end to end, renders each turn alone instead, and every turn is checked to follow another one unchanged.
 
 Texts are escaped before rendering: every ``<`` followed by backslashes and ``|`` gets one backslash
 more, so no text can hold a control string, and taking one away restores it.
 
 Null texts and roles count as empty; turns that tie are ordered by role and text; a null conv_id is a
 conversation of its own. Conversations stream through sorted partitions: one turn is in memory besides
-the look-back.
+the one before it, or the whole conversation for a template that is not additive.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-LOOK_BACK = 8
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
@@ -61,29 +61,41 @@ def rewrites_at(template: Template, turns: list[Turn]) -> int | None:
 
 class Renderer:
     """Renders a conversation turn by turn: ``add`` gives the turn's span of the whole output, and
-    where in it the text lies."""
+    where in it the text lies. ``additive`` is the caller's word that a span depends on its own turn alone."""
 
-    def __init__(self, template: Template):
-        self.template, self.past, self.first = template, [], True
+    def __init__(self, template: Template, additive: bool = False):
+        self.template, self.additive, self.past, self.before = template, additive, [], template([])
+        self.first = True
+        if additive and self.before:
+            raise HistoryRewritten("an additive template has no output without turns")
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
         turn = (escape(role), escape(text))
-        before = self.template(self.past)
-        now, x, y = (self.template([*self.past, (turn[0], t)]) for t in (turn[1], "x", "y"))
+        past, before = ([], "") if self.additive else (self.past, self.before)
+        now, x, y = (self.template([*past, (turn[0], t)]) for t in (turn[1], "x", "y"))
         if not all(out.startswith(before) for out in (now, x, y)):
             raise HistoryRewritten(f"output of earlier turns changed at a turn of role {role!r}")
+        if self.additive and self.past and self.template([*self.past, turn]) != self.before + now:
+            raise HistoryRewritten(f"the template is not additive at a turn of role {role!r}")
         base = 0 if self.first else len(before)
         lead, n = len(os.path.commonprefix([x, y])) - base, len(turn[1])
         span = now[base:]
         if span != x[base : base + lead] + turn[1] + x[base + lead + 1 :]:
             raise ValueError(f"the template changes the text of a turn of role {role!r}")
-        self.first = False
-        self.past = [*self.past, turn][-LOOK_BACK:]
+        self.first, self.before = False, now
+        if self.additive:
+            self.past = [turn]
+        else:
+            self.past.append(turn)
         return span, lead, lead + n
 
 
+def is_additive(template: Template) -> bool:
+    return template is chat_markup
+
+
 def format_turns(turns: Iterator[Turn], template: Template = chat_markup) -> Iterator[tuple[str, int, int]]:
-    r = Renderer(template)
+    r = Renderer(template, is_additive(template))
     for role, text in turns:
         yield r.add(role, text)
 
@@ -94,27 +106,53 @@ def read_turn(span: str, begin: int, end: int) -> Turn:
     return unescape(head[head.rindex(START) + len(START) : -1]), unescape(span[begin:end])
 
 
+SPANS = "conv_id long, place long, span string, text_begin long, text_end long"
 SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    rows.clear()
+    return pa.RecordBatch.from_arrays([pa.array(c, {"long": pa.int64(), "string": pa.string()}[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+
+def render_conversations(conversations: DataFrame, template: Template = chat_markup, additive: bool | None = None) -> DataFrame:
+    """(conv_id, place, span, text_begin, text_end): each turn's span of its conversation's output, in order,
+    and where in the span the escaped text lies. ``additive``: known for ``chat_markup``, else False."""
+    additive = is_additive(template) if additive is None else additive
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        at, place, renderer = None, 0, None
+        for b in batches:
+            for conv, role, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if renderer is None or at != conv:
+                    at, place, renderer = conv, 0, Renderer(template, additive)
+                rows.append((conv, place, *renderer.add(role or "", text or "")))
+                place += 1
+            yield _record(rows, SPANS)
+
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(run, SPANS)
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """Digest of every formatted conversation, read back from the output."""
+    """Digest of every conversation in ``chat_markup``, read back from the output."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        now = renderer = None
+        now = None
 
         def close() -> None:
             if now is not None:
                 rows.append((now["id"], now["n"], now["turns"].hexdigest(), now["loss"], now["mask"].hexdigest(), now["chars"]))
 
         for b in batches:
-            for conv, role, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for conv, span, begin, end in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 if now is None or now["id"] != conv:
                     close()
                     now = {"id": conv, "n": 0, "turns": hashlib.sha256(), "loss": 0, "mask": hashlib.sha256(), "chars": 0}
-                    renderer = Renderer(chat_markup)
-                span, begin, end = renderer.add(role or "", text or "")
                 got_role, got_text = read_turn(span, begin, end)
                 now["n"] += 1
                 now["chars"] += len(span)
@@ -122,15 +160,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
                 if got_role == "assistant":
                     now["loss"] += len(got_text)
                     now["mask"].update(got_text.encode("utf-8", "replace"))
-            yield flush(rows)
+            yield _record(rows, SCHEMA)
         close()
-        yield flush(rows)
+        yield _record(rows, SCHEMA)
 
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        rows.clear()
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
-
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(run, SCHEMA)
+    return render_conversations(conversations).mapInArrow(run, SCHEMA)

@@ -93,3 +93,20 @@ def test_rewriting_templates_are_found():
     assert chat.rewrites_at(last_only, turns) == 1
     with pytest.raises(chat.HistoryRewritten):
         list(chat.format_turns(iter(turns), last_only))
+
+
+def test_long_conversations_render_whole_prefixes(spark):
+    turns = [("user" if k % 2 == 0 else "assistant", f"text {k}") for k in range(20)]
+    numbered = lambda ts: "<tools>" + "".join(f"[{k} {r}]{t}\n" for k, (r, t) in enumerate(ts))
+    spans = list(chat.format_turns(iter(turns), numbered))
+    assert "".join(s for s, _, _ in spans) == numbered(turns) and [s[a:b] for s, a, b in spans] == [t for _, t in turns]
+    late = lambda ts: "".join(f"[{r}]{t if k or len(ts) < 15 else '-'}" for k, (r, t) in enumerate(ts))
+    with pytest.raises(chat.HistoryRewritten):
+        list(chat.format_turns(iter(turns), late))
+    with pytest.raises(chat.HistoryRewritten):
+        r = chat.Renderer(lambda ts: "".join(f"[{k} {r}]{t}" for k, (r, t) in enumerate(ts)), additive=True)
+        [r.add(*t) for t in turns]
+    rows = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for template in (numbered, chat.chat_markup):
+        got = chat.render_conversations(rows, template).orderBy("place").collect()
+        assert "".join(r["span"] for r in got) == template(turns) and [r["span"][r["text_begin"] : r["text_end"]] for r in got] == [t for _, t in turns]
