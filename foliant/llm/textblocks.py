@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 19
 SHINGLE = 5
@@ -24,6 +25,16 @@ _Q = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A
 _powers: dict[int, np.ndarray] = {}
 
 
+def byte_runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of runs of rows of about ``most`` bytes, one row at least."""
+    size = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)).cumsum()
+    first = 0
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(size, most + (size[first - 1] if first else 0), "right")))
+        yield first, end
+        first = end
+
+
 def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``BLOCK_BYTES``; null texts count as empty."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())

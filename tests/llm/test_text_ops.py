@@ -167,7 +167,7 @@ def test_packing_is_a_partition_into_sequences(spark, corpus):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_file("word_bpe_49k.json")
-    extra = [(9001, None), (9002, ""), (9003, "It's 3 DÉJÀ-vu... <|endoftext|> ǅ ẞ fi\u0301n a\u00a0b"), (9004, "x y " * 3000), (9004, "z"), (9005, "Tail, more. end.,. ...")]
+    extra = [(9001, None), (9002, ""), (9003, "It's 3 DÉJÀ-vu... <|endoftext|> ǅ ẞ fi\u0301n a\u00a0b"), (9004, "x y " * 3000), (9004, "z"), (9005, "Tail, more. end.,. ...!! a*b*** #$%&x ?!"), (9006, "\u0130stanbul \u0149a \u017ft \u01c5.,"), (9007, "a\tb\r\nc  "), (9008, "don't we'll, you're. 'tis x's,"), (9009, "<|x <|startoftext|> a"), (9010, "A\u030a \u212b x\u0301. <|"), (9011, "<|endoftext|>"), (9012, "q " * 60_000)]
     rows = [(r["doc_id"], r["text"]) for r in corpus.collect()] + extra
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
     library = Tokenizer.from_file(path)
