@@ -1,8 +1,10 @@
 """Quality classifier: a linear-chain conditional random field over the lines of a document.
 
 Every line is good or bad. Its features are its own shares of symbols, capitals, repeated words and
-so on, and the same of the lines before and after it. Training lines take their document's label;
-weights and transitions are fitted by gradient ascent on the chains' likelihood, with expectations
+so on, and the same of the lines before and after it. Training lines first take their document's label;
+from then on, the lines of bad documents are told apart: at every step of ``RELABEL`` those that the model so far
+finds good become good, but for the document's worst line, so that transitions between good and bad are learnt too.
+Weights and transitions are fitted by gradient ascent on the chains' likelihood, with expectations
 from forward-backward. A document's raw quality is the mean of its lines' marginals of good, weighted
 by their length, then calibrated on a fifth of the sample that did not train.
 
@@ -25,6 +27,7 @@ from foliant.llm.labelled import platt, sample
 from foliant.llm.textblocks import blocks, word_hashes
 
 THRESHOLD = 0.3
+RELABEL = (40, 55, 70)
 _SYMBOL, _UPPER, _DIGIT, _LETTER, _BANG = 1, 2, 3, 4, 5
 _KIND = np.zeros(256, np.int64)
 _KIND[list(b"#*$%&|<>{}[]\\^~=_@")] = _SYMBOL
@@ -140,6 +143,25 @@ def raw_quality(weights: np.ndarray, moves: np.ndarray, x: np.ndarray, size: np.
     return np.add.reduceat(p * size, first[:-1]) / np.add.reduceat(size, first[:-1])
 
 
+def line_marks(y: np.ndarray, p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Label of every line from its document's label and its own P(good): lines of good documents are good,
+    those of bad documents are as the model finds them, and the worst of each is bad."""
+    n = np.diff(first)
+    of = np.repeat(np.arange(len(y)), n)
+    worst = np.lexsort((p, of))[first[:-1]]
+    mark = np.where(y[of] == 1, 1.0, (p > 0.5).astype(float))
+    mark[worst[y == 0]] = 0
+    return mark
+
+
+def moves_of(mark: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often each label follows each, within documents."""
+    at = np.ones(len(mark), bool)
+    at[first[:-1]] = False
+    to = np.flatnonzero(at)
+    return np.bincount((2 * mark[to - 1] + mark[to]).astype(np.int64), minlength=4).reshape(2, 2).astype(float)
+
+
 def train(data: pd.DataFrame, epochs: int = 80) -> Model:
     y = data["y"].to_numpy(int)
     if len(set(y.tolist())) < 2:
@@ -154,13 +176,15 @@ def train(data: pd.DataFrame, epochs: int = 80) -> Model:
     # a chain weighs alike however many lines it has
     chain = np.repeat(1 / np.diff(first), np.diff(first))
     chain *= len(chain) / chain.sum()
-    same = np.flatnonzero(~np.isin(np.arange(len(mark)), first[:-1]))
-    seen = np.array([[(mark[same] == 0).sum(), 0], [0, (mark[same] == 1).sum()]], float)
+    seen = moves_of(mark, first)
     w, moves = np.zeros(x.shape[1]), np.zeros((2, 2))
     flat = np.zeros(len(w) + 4)
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     for step in range(1, epochs + 1):
         p, expected = marginals(np.clip(x @ w, -30, 30), moves, first)
+        if step in RELABEL:
+            mark = line_marks(y[~held], p, first)
+            seen = moves_of(mark, first)
         g = np.concatenate([(x * (chain * (mark - p))[:, None]).sum(0) / len(mark) - 1e-4 * w, (seen - expected).reshape(-1) / len(mark) - 1e-2 * moves.reshape(-1)])
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
