@@ -2,15 +2,19 @@
 
 A word is the mean of the vectors of its character n-grams (3 to 5 bytes with word ends) and of
 itself, hashed into ``BUCKETS``; runs of over ``PIECE`` bytes, as in text without spaces, are read whole as overlapping
-pieces, each a word of its own; a window of ``WINDOW`` words is the mean of its words; a linear
-softmax on it tells toxic from clean. A document is judged by its worst windows (log-sum-exp pooling),
-so that a few words in a long text are not averaged away. Embeddings and softmax learn together by
-Adagrad on minibatches of a bounded sample of labelled documents (``labelled.sample``); the pooled logit is then
-calibrated on a fifth of that sample that did not train.
+pieces, each a word of its own. Every word of a text counts, repeats too, in windows of ``WINDOW`` words; a window is
+the mean of its words, and a linear softmax on it tells toxic from clean. A document is judged by its worst windows
+(log-sum-exp pooling), so that a few words in a long text are not averaged away.
+
+Embeddings and softmax learn together by Adagrad on minibatches of a bounded sample of labelled documents
+(``labelled.sample``). N-grams of fewer than ``SEEN_IN`` training documents keep a zero vector, so words never met add
+nothing but the n-grams that they share with known ones. The pooled logit is calibrated on scores that every sampled
+document gets from a model trained without it (``FOLDS`` folds by class), under the constraints that more toxic windows
+never lower a score and more windows never raise it; where these leave nothing, as with labels of one class or too few to
+tell, every score is the share of toxic documents among the labels.
 
 After training a word's logit is one number, so scoring is a dictionary lookup per word.
-Null and empty texts have no words and get the calibrated score of a clean empty window. With labels
-of one class only, every score is that class's share. Repeated rows score alike.
+Null and empty texts have no words and get the score of a neutral window. Repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from foliant.llm.labelled import platt, sample
 
 BITS, DIM, WINDOW, LEAST = 17, 8, 2, 2
+SEEN_IN, FOLDS, EPOCHS = 2, 3, 10
 BUCKETS = 1 << BITS
 PIECE, OVERLAP = 64, 16
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -34,12 +39,12 @@ _CLEAN = bytes(c + 32 if 65 <= c < 91 else 32 if c < 48 or 57 < c < 65 or 90 < c
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Distinct words of a text, lower-cased, in order of first use; long ones in overlapping pieces."""
+    """All words of a text in order, lower-cased; long ones in overlapping pieces."""
     found = (text or "").lower().encode("utf-8", "replace").translate(_CLEAN).split()
     if any(len(w) > PIECE for w in found):
         step = PIECE - OVERLAP
         found = [w[k : k + PIECE] for w in found for k in range(0, max(len(w) - OVERLAP, 1), step)]
-    return list(dict.fromkeys(found))
+    return found
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,61 +102,102 @@ def _pool(logits: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return top + np.log(total), e / total[own]
 
 
-def train(data: pd.DataFrame, prior: float | None = None, epochs: int = 14, batch: int = 30, seed: int = 7) -> Model:
-    """``prior``: share of toxic documents among all labelled ones, to which the calibration is moved."""
-    y = data["y"].to_numpy(float)
-    if len(set(y.tolist())) < 2:
-        share = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0, _odds(share))
-    known: dict[bytes, int] = {}
-    texts = [np.array([known.setdefault(w, len(known)) for w in words_of(t)], np.int32) for t in data["text"]]
-    words = list(known) or [b""]
-    parts = [grams_of(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
-    flat, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    del parts, words, known
-    at = np.concatenate([[0], np.cumsum(size)])
-    rng = np.random.default_rng(seed)
-    held = rng.random(len(y)) < 0.2
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held[:] = False
-    table = rng.normal(0, 0.2, (BUCKETS, DIM)).astype(np.float32)
-    soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-    seen_table, seen_soft, seen_bias = np.full((BUCKETS, 1), 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    rows = np.flatnonzero(~held)
-    rows = rows[[len(texts[r]) > 0 for r in rows]]
-    for epoch in range(epochs):
-        rate = 0.25 * (1 - epoch / epochs) + 0.01
+@dataclass
+class Bags:
+    """Texts as word numbers, and the n-gram buckets of those words end to end."""
+
+    texts: list[np.ndarray]
+    flat: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list) -> Bags:
+        known: dict[bytes, int] = {}
+        numbered = [np.array([known.setdefault(w, len(known)) for w in words_of(t)], np.int32) for t in texts]
+        words = list(known) or [b""]
+        parts = [grams_of(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+        return cls(numbered, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+    def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets of ``words`` end to end, number of each)."""
+        n = self.size[words]
+        ends, first = np.cumsum(n), (np.cumsum(self.size) - self.size)[words]
+        return self.flat[np.arange(n.sum()) + np.repeat(first - ends + n, n)], n
+
+    def seen_in(self, rows: np.ndarray) -> np.ndarray:
+        """Number of texts among ``rows`` that hold each bucket."""
+        out = np.zeros(BUCKETS, np.int32)
+        for r in rows:
+            out[np.unique(self.grams(np.unique(self.texts[r]))[0])] += 1
+        return out
+
+
+def learn(bags: Bags, y: np.ndarray, rows: np.ndarray, batch: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(logit contribution of each bucket, bias) after joint training on ``rows``."""
+    rng, ok = np.random.default_rng(seed), bags.seen_in(rows) >= SEEN_IN
+    # gradients of all vectors point along the difference of the softmax's two columns, so one number a bucket carries them
+    half = rng.normal(0, 0.5, DIM).astype(np.float32)
+    table, soft, bias = np.zeros((BUCKETS, DIM), np.float32), np.column_stack([-half, half]), np.zeros(2, np.float32)
+    seen_table, seen_soft, seen_bias = np.full(BUCKETS, 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+    rows = np.array([r for r in rows if len(bags.texts[r])], np.int64)
+    for epoch in range(EPOCHS):
+        rate = np.float32(0.25 * (1 - epoch / EPOCHS) + 0.01)
         rng.shuffle(rows)
         for k in range(0, len(rows), batch):
             some = rows[k : k + batch]
-            count = np.array([len(texts[r]) for r in some])
-            words, which = np.unique(np.concatenate([texts[r] for r in some]), return_inverse=True)
-            n = size[words]
-            own = np.repeat(np.arange(len(words)), n)
-            grams, gram = np.unique(flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[words], n)], return_inverse=True)
-            rows_of = table[grams]
-            vectors = np.column_stack([np.bincount(own, rows_of[gram, d], len(words)) for d in range(DIM)]) / n[:, None]
+            count = np.array([len(bags.texts[r]) for r in some])
+            words, which = np.unique(np.concatenate([bags.texts[r] for r in some]), return_inverse=True)
+            grams, n = bags.grams(words)
+            apart = soft[:, 1] - soft[:, 0]
+            word_logit = np.add.reduceat((table @ apart)[grams].astype(float), np.cumsum(n) - n) / n
             window, first = _window_of(count)
             weight = 1 / np.maximum(np.bincount(window), LEAST)
-            means = np.column_stack([np.bincount(window, vectors[which, d]) for d in range(DIM)]) * weight[:, None]
-            logit = means @ (soft[:, 1] - soft[:, 0]) + bias[1] - bias[0]
+            logit = np.bincount(window, word_logit[which]) * weight + bias[1] - bias[0]
             pooled, share = _pool(logit, first)
             g = (1 / (1 + np.exp(-np.clip(pooled, -30, 30))) - y[some]) / len(some)
             gl = np.repeat(g, np.diff(np.append(first, len(logit)))) * share
-            gd, gb = means.T @ gl, gl.sum()
             gw = np.bincount(which, (gl * weight)[window], len(words)) / n
-            gt = np.bincount(gram, gw[own], len(grams))[:, None] * (soft[:, 1] - soft[:, 0])[None, :]
-            seen_table[grams] += (gt * gt).mean(1, keepdims=True)
-            table[grams] -= rate * gt / np.sqrt(seen_table[grams])
+            gt = np.where(ok, np.bincount(grams, np.repeat(gw, n), BUCKETS), 0).astype(np.float32)
+            gd, gb = table.T @ gt, gl.sum()
+            seen_table += gt * gt * (apart * apart).mean()
+            table -= np.outer(rate * gt / np.sqrt(seen_table), apart)
             for p, grad, seen in ((soft, np.column_stack([-gd, gd]), seen_soft), (bias, np.array([-gb, gb]), seen_bias)):
                 seen += grad * grad
                 p -= rate * grad / np.sqrt(seen)
-    model = Model(table @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]), 1.0, 0.0, 0.0)
-    check = held if held.any() else np.ones(len(y), bool)
-    x = worst(model, data["text"][check].tolist(), {})
-    scale, spread, shift = platt(x, y[check])
-    moved = 0.0 if prior is None else _odds(prior) - _odds(float(y[check].mean()))
-    return Model(model.values, model.bias, max(float(scale), 0.0), min(float(spread), 0.0), float(shift) + moved)
+    return table @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
+
+
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """(scale, spread, shift) of a logistic fit on (pooled logit, log of windows), scale >= 0 and spread <= 0:
+    a weight that would break its bound is left out and the rest fitted again."""
+    for columns in ((0, 1), (0,)):
+        weights = platt(x[:, columns], y)
+        fitted = dict(zip(columns, weights[:-1].tolist(), strict=True))
+        if fitted[0] >= 0 and fitted.get(1, 0.0) <= 0:
+            return fitted[0], fitted.get(1, 0.0), float(weights[-1])
+    return 0.0, 0.0, _odds(float(y.mean()))
+
+
+def train(data: pd.DataFrame, prior: float | None = None) -> Model:
+    """``prior``: share of toxic documents among all labelled ones, to which the calibration is moved."""
+    y = data["y"].to_numpy(float)
+    share = float(y.mean()) if len(y) else 0.0
+    moved = 0.0 if prior is None else _odds(prior) - _odds(share)
+    constant = Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0, _odds(share) + moved)
+    if min(y.sum(), len(y) - y.sum()) < 2:
+        return constant
+    bags = Bags.of(data["text"].tolist())
+    fold = np.empty(len(y), np.int64)
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        fold[own] = np.arange(len(own)) % FOLDS
+    x = np.empty((len(y), 2))
+    for k in np.unique(fold):
+        values, bias = learn(bags, y, np.flatnonzero(fold != k))
+        checked = np.flatnonzero(fold == k)
+        x[checked] = worst(Model(values, bias, 1.0, 0.0, 0.0), data["text"].iloc[checked].tolist(), {})
+    scale, spread, shift = calibrate(x, y)
+    return Model(*learn(bags, y, np.arange(len(y))), scale, spread, shift + moved)
 
 
 def _odds(share: float) -> float:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from foliant.llm import crf, line_dedup, minhash, packing, quality_rules, queries, sp_codec, toxicity
+from foliant.llm import crf, labelled, line_dedup, minhash, packing, quality_rules, queries, sp_codec, toxicity
 
 SF = "/root/testdata/sf0.001"
 WHITE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -236,6 +236,68 @@ def test_classifiers_hold_out_accuracy(spark):
         assert sum(r["predicted"] == r[label] for r in rows) / len(rows) > least
 
 
+@pytest.mark.parametrize(("sf", "caught", "false_alarms"), [("sf0.001", 0.5, 0.15), ("sf0.01", 0.6, 0.05), ("sf0.1", 0.9, 0.03)])
+def test_toxicity_separates_at_every_size(spark, sf, caught, false_alarms):
+    sf = f"/root/testdata/{sf}"
+    rows = queries.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    by = {y: [r for r in rows if r["toxic"] == y] for y in (0, 1)}
+    assert len({r["score"] for r in rows}) > len(rows) / 2
+    assert np.mean([r["predicted"] for r in by[1]]) >= caught and np.mean([r["predicted"] for r in by[0]]) <= false_alarms
+    assert np.median([r["score"] for r in by[1]]) > np.quantile([r["score"] for r in by[0]], 0.8)
+
+
+def test_toxicity_scores_match_brute_force(spark, corpus):
+    """Scores of the stored model, n-gram by n-gram in plain Python."""
+    rows = [(r["doc_id"], r["text"]) for r in corpus.limit(60).collect()] + [(9001, None), (9002, ""), (9003, "a a a " * 50 + "x" * 200), (9004, "Ünïcode IDIOT idiot!")]
+    model = toxicity.fit(corpus, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", toxicity.score_column(spark, model)("text")).collect()}
+    mask, k = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def bucket(h):
+        return ((h ^ (h >> 29)) * k & mask) >> (64 - toxicity.BITS)
+
+    def logit(word):
+        w, found = b"<" + word + b">", []
+        for n in (3, 4, 5):
+            for a in range(len(w) - n + 1):
+                h = n
+                for c in w[a : a + n]:
+                    h = (h * k + c + 1) & mask
+                found.append(bucket(h))
+        found.append(bucket(sum((c + 1) * pow(k, a + 1, 1 << 64) for a, c in enumerate(w)) & mask))
+        return float(np.mean([model.values[b] for b in found]))
+
+    for i, text in rows:
+        words = toxicity.words_of(text)
+        means = [sum(map(logit, words[a : a + 2])) / 2 + model.bias for a in range(0, len(words), 2)] or [model.bias]
+        z = model.scale * np.log(np.sum(np.exp(means))) + model.spread * np.log(len(means)) + model.shift
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_calibration_keeps_its_bounds():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        x, y = rng.normal(0, 2, (25, 2)), (rng.random(25) < 0.3).astype(float)
+        scale, spread, shift = toxicity.calibrate(x, y)
+        p = 1 / (1 + np.exp(-(x @ [scale, spread] + shift)))
+        assert scale >= 0 >= spread and abs(p.mean() - y.mean()) < 0.02 + 1e-3 / max(y.mean(), 1e-3)
+
+
+def test_sample_passes_over_documents_beyond_the_budget(spark):
+    rows = [(k, "long " * 400 if k % 10 == 0 else "short text") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    got = labelled.sample(docs, labels, "toxic", 4, 2, max_chars=8000)
+    assert got["text"].str.len().sum() <= 8000 and got["y"].value_counts().min() > 40
+
+
+def test_crf_tells_lines_of_bad_documents_apart():
+    p = np.array([0.9, 0.8, 0.2, 0.9, 0.7, 0.1])
+    assert crf.line_marks(np.array([1, 0, 0]), p, np.array([0, 1, 4, 6])).tolist() == [1, 1, 0, 1, 1, 0]
+    assert crf.line_marks(np.array([0]), p[:2], np.array([0, 2])).tolist() == [1, 0]
+    assert crf.moves_of(np.array([1.0, 1, 0, 1, 1, 0]), np.array([0, 1, 4, 6])).tolist() == [[0, 1], [2, 0]]
+
+
 def test_classifiers_edges(spark, edge):
     labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 11)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     for module in (toxicity, crf):
