@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+BLANKS, ENDS = _BLANK + "+", rf"^{_BLANK}+|{_BLANK}+\z"
 #: Letters folded to their base for search tokens, after lower().
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -22,7 +23,7 @@ STOP_WORDS = (
 
 def js_trim(c: Column) -> Column:
     """Strip Unicode white space and the byte-order mark on both ends."""
-    return F.regexp_replace(c, rf"^{_BLANK}+|{_BLANK}+$", "")
+    return F.regexp_replace(c, ENDS, "")
 
 
 def is_blank(c: Column) -> Column:
@@ -66,7 +67,7 @@ def question_keywords(q: Column) -> Column:
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     q = F.coalesce(q, F.lit(""))
     words = F.filter(F.regexp_extract_all(F.lower(q), F.lit("[a-z]+"), 0), lambda w: F.length(w) >= 2)
-    rest = F.regexp_replace(q, r"[a-zA-Z0-9\s]", "")
+    rest = F.regexp_replace(q, rf"[a-zA-Z0-9]|{_BLANK}", "")
     grams = F.when(F.length(rest) >= 2, F.transform(F.sequence(F.lit(1), F.length(rest) - 1), lambda i: F.substring(rest, i, 2))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.filter(F.concat(words, grams), lambda w: ~F.array_contains(stop, w)))
 
@@ -99,7 +100,7 @@ def model_list(c: Column) -> Column:
 #: The order and patterns of markup removal are part of the result.
 CLEANING = [
     ("\r\n", "\n"), ("\r", "\n"),
-    (r"(?m)^\s*#+\s*", ""), (r"(?m)^\s*[-*+]\s*", ""), (r"(?m)^\s*\d+[.)]\s*", ""), (r"(?m)^\s*>\s*", ""),
+    (rf"(?m)^{_BLANK}*#+{_BLANK}*", ""), (rf"(?m)^{_BLANK}*[-*+]{_BLANK}*", ""), (rf"(?m)^{_BLANK}*\d+[.)]{_BLANK}*", ""), (rf"(?m)^{_BLANK}*>{_BLANK}*", ""),
     (r"\*\*(.+?)\*\*", "$1"), (r"\*(.+?)\*", "$1"), (r"_{2}(.+?)_{2}", "$1"), (r"_(.+?)_", "$1"),
     (r"`{3}[^`]*`{3}", ""), (r"`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]", "$1"), (r"<[^>]+>", ""),
     (r"[^\u0020-\u007E\u00A0-\u00FF\u2000-\u206F\u3000-\u303F\u3040-\u309F\u30A0-\u30FF\u4e00-\u9fff\uff00-\uffef\n\r]", ""),
@@ -124,7 +125,7 @@ def text_to_html(c: Column) -> Column:
 
 def highlight(text: Column, query: Column) -> Column:
     """Mark case-insensitive literal matches; an empty query changes nothing."""
-    quoted = F.concat(F.lit(r"(?i)\Q"), F.replace(query, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(query, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     return F.when(F.coalesce(query, F.lit("")) == "", text).otherwise(F.regexp_replace(text, quoted, F.lit('<span class="highlight-keyword">$0</span>')))
 
 
@@ -145,6 +146,7 @@ ERROR_PHRASES = [
     ("network_connection", ["econnrefused", "connection refused", "连接被拒绝"]), ("network_reset", ["econnreset", "connection reset", "连接重置"]),
     ("authentication", ["unauthorized", "invalid key", "api key", "认证", "授权"]), ("rate_limit", ["rate limit", "too many requests", "频率", "配额"]),
 ]
+NETWORK = ["network_connection", "network_reset", "dns_resolution", "timeout", "ssl_tls"]
 RETRYABLE = ["network_connection", "network_reset", "timeout", "rate_limit"]
 
 
@@ -160,10 +162,29 @@ def error_type(code: Column, status: Column, message: Column) -> Column:
     return F.coalesce(by_code, by_status, by_message, F.lit("unknown"))
 
 
+def is_network_error(kind: Column) -> Column:
+    return kind.isin(NETWORK)
+
+
+def is_retryable(kind: Column) -> Column:
+    return kind.isin(RETRYABLE)
+
+
+def answer(raw: Column, output_only: bool = False) -> Column:
+    """struct(text, error) of a model's JSON response: the trimmed text of the first accepted shape, or why there
+    is none: 'api: ' and the service's message, 'format' for an unknown shape, 'json' for broken JSON.
+    ``output_only`` accepts nothing but ``output.text``."""
+    get = lambda p: F.get_json_object(raw, p)
+    broken = F.try_parse_json(raw).isNull()
+    chat, output, bare = get("$.choices[0].message.content"), F.nullif(get("$.output.text"), F.lit("")), F.nullif(get("$.text"), F.lit(""))
+    found = output if output_only else F.when(get("$.choices[0].message").isNotNull(), chat).otherwise(F.coalesce(output, bare))
+    error = F.when(broken, "json").when(get("$.error").isNotNull(), F.concat(F.lit("api: "), F.coalesce(get("$.error.message"), F.lit("")))).when(found.isNull(), "format")
+    return F.struct(F.when(error.isNull(), js_trim(found)).alias("text"), error.alias("error"))
+
+
 def answer_text(raw: Column) -> Column:
     """Text of a model's JSON response in any of its accepted shapes, trimmed; null if it has none."""
-    found = F.coalesce(*[F.get_json_object(raw, p) for p in ("$.choices[0].message.content", "$.output.text", "$.text")])
-    return F.when(F.get_json_object(raw, "$.error.message").isNull(), js_trim(found))
+    return answer(raw)["text"]
 
 
 CITATION_TITLE = "引用来源"

@@ -9,29 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.sources.scratch import settle
+
 MAX_ENTRIES = 5000
 OTHER = "其他"
 
 
 def corpus_lexicon(docs: DataFrame, per_category: int = 25) -> tuple[DataFrame, DataFrame]:
     """A lexicon of a corpus: languages are categories, their most used words of five letters and more
-    are keywords, and the first three of these are tags."""
+    are keywords, and the first three of these are tags. The corpus is read once; every task cuts its counts
+    to the ``per_category`` best before they meet."""
     words = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)).alias("keyword"))
     counts = words.groupBy("lang", "keyword").agg(F.count("*").alias("n"))
     top = counts.withColumn("kw_ord", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "keyword"))).where(F.col("kw_ord") <= per_category)
-    keywords = top.select(F.col("lang").alias("cat_name"), "kw_ord", "keyword")
+    keywords = settle(top.select(F.col("lang").alias("cat_name"), "kw_ord", "keyword"), "lexicon")
     return keywords, keywords.where("kw_ord <= 3").select("cat_name", F.col("kw_ord").alias("tag_ord"), F.col("keyword").alias("tag"))
 
 
 def annotate(docs: DataFrame, keywords: DataFrame, tags: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with lexicon_keywords (first 15 distinct), scores per category, lexicon_tags (first 8),
     category, secondary and confidence. No shuffle: one scan with the lexicon as literals."""
-    if keywords.count() > MAX_ENTRIES:
+    rows = sorted((r["cat_name"], r["kw_ord"], r["keyword"]) for r in keywords.limit(MAX_ENTRIES + 1).collect())
+    if len(rows) > MAX_ENTRIES:
         raise ValueError(f"the lexicon has more than {MAX_ENTRIES} entries")
-    rows = sorted((r["cat_name"], r["kw_ord"], r["keyword"]) for r in keywords.collect())
     cats = list(dict.fromkeys(r[0] for r in rows))
     own_tags = {c: [c] for c in cats}
-    for r in sorted(tags.collect(), key=lambda r: (r["cat_name"], r["tag_ord"])):
+    for r in sorted(tags.limit(MAX_ENTRIES).collect(), key=lambda r: (r["cat_name"], r["tag_ord"])):
         own_tags.setdefault(r["cat_name"], []).append(r["tag"])
     q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     array = lambda xs: "array(" + ", ".join(map(q, xs)) + ")" if xs else "cast(array() as array<string>)"
@@ -65,3 +68,11 @@ def corpus_graph(bridge: DataFrame) -> DataFrame:
     lists = bridge.groupBy("document_id").agg(F.array_sort(F.collect_set("value")).alias("ks"))
     pairs = F.flatten(F.transform("ks", lambda a, i: F.transform(F.slice("ks", i + 2, 1000), lambda b: F.struct(a.alias("k1"), b.alias("k2")))))
     return lists.select(F.explode(pairs).alias("p")).groupBy("p.k1", "p.k2").agg(F.count("*").alias("weight"))
+
+
+def corpus_graph_nodes(bridge: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(node, category, n_docs): the keywords of a corpus graph, each with its discipline, the first lexicon
+    category that lists it (``OTHER`` for none), and the number of its documents."""
+    counts = bridge.groupBy(F.col("value").alias("node")).agg(F.countDistinct("document_id").alias("n_docs"))
+    first = keywords.groupBy(F.lower("keyword").alias("k")).agg(F.min_by("cat_name", F.struct("cat_name", "kw_ord")).alias("category"))
+    return counts.join(first, F.lower("node") == F.col("k"), "left").select("node", F.coalesce("category", F.lit(OTHER)).alias("category"), "n_docs")

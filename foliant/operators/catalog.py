@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 
 NULL_WHEN_EMPTY = ["author", "abstract", "content", "file_path", "file_type"]
+NULL_WHEN_FALSY = ["year", "last_viewed"]
 
 
 def page(docs: DataFrame, offset: int, limit: int, where: Column | None = None) -> DataFrame:
@@ -17,16 +18,33 @@ def page(docs: DataFrame, offset: int, limit: int, where: Column | None = None)
 
 
 def outside_path(docs: DataFrame, base: str) -> DataFrame:
-    """Documents with a path not below ``base``; an empty base selects none."""
+    """Documents with a path not below ``base``, whose own separator counts; an empty base selects none."""
+    separator = "\\" if "\\" in base and "/" not in base else "/"
     base = base.rstrip("/\\")
     if not base:
         return docs.limit(0)
-    return docs.where(F.col("file_path").isNotNull() & ~F.lower("file_path").startswith(base.lower() + "/"))
+    return docs.where(F.col("file_path").isNotNull() & ~F.lower("file_path").startswith(base.lower() + separator))
 
 
-def health(docs: DataFrame) -> DataFrame:
-    filled = lambda c: F.count_if(F.col(c).isNotNull() & (F.col(c) != ""))
-    return docs.agg(F.count("*").alias("total"), filled("content").alias("with_content"), filled("abstract").alias("with_abstract"))
+def by_ids(docs: DataFrame, ids: list[int]) -> DataFrame:
+    """Documents with one of ``ids``; the filter reaches the scan."""
+    return docs.where(F.col("id").isin(ids))
+
+
+def loaded_pages(*pages: DataFrame) -> DataFrame:
+    """Pages read one after another, each document once though pages may overlap."""
+    out = pages[0]
+    for p in pages[1:]:
+        out = out.unionByName(p)
+    return out.dropDuplicates(["id"])
+
+
+def health(docs: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """One row: documents, those with content, abstract and anything to index; with a (value) dictionary, its size."""
+    filled = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    indexed = F.size(T.fold_tokens(F.concat_ws(" ", "title", "content"))) > 0
+    out = docs.agg(F.count("*").alias("total"), F.count_if(filled("content")).alias("with_content"), F.count_if(filled("abstract")).alias("with_abstract"), F.count_if(indexed).alias("indexed"))
+    return out if tags is None else out.join(F.broadcast(tags.agg(F.countDistinct("value").alias("n_tags"))), F.lit(True))  # one row
 
 
 def with_relations(docs: DataFrame, bridge: DataFrame, name: str) -> DataFrame:
@@ -51,6 +69,17 @@ def add_to_dictionary(known: DataFrame, values: DataFrame) -> DataFrame:
     return known.unionByName(new.select(F.xxhash64("value").alias("id"), "value"))
 
 
+def add_to_bridge(bridge: DataFrame, new: DataFrame) -> DataFrame:
+    """``bridge`` (document_id, value) with the new pairs that it does not hold, as a model's analysis adds them."""
+    return bridge.unionByName(new).distinct()
+
+
+def replace_in_bridge(bridge: DataFrame, new: DataFrame, ids: DataFrame) -> DataFrame:
+    """``bridge`` with the pairs of the documents ``ids`` (id) replaced by ``new``, as after a changed file."""
+    gone = ids.select(F.col("id").alias("gone")).distinct()
+    return bridge.join(gone, bridge["document_id"] == gone["gone"], "left_anti").unionByName(new).distinct()
+
+
 def orphans(values: DataFrame, bridge: DataFrame) -> DataFrame:
     return values.join(bridge, "value", "left_anti")
 
@@ -60,14 +89,18 @@ def cascade_delete(docs: DataFrame, bridge: DataFrame, ids: DataFrame) -> tuple[
     return docs.join(gone, docs["id"] == gone["gone"], "left_anti"), bridge.join(gone, bridge["document_id"] == gone["gone"], "left_anti")
 
 
-def partial_update(docs: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
-    """Apply ``changes`` (id, set_fields, new values): only named fields change, '' becomes null where
-    the library stores no empty text, and updated_at moves only when something was supplied."""
-    fields = [c for c in changes.columns if c not in ("id", "set_fields")]
+def partial_update(docs: DataFrame, changes: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    """Apply ``changes`` (id, set_fields, new values): only named fields change, '' (for the year: 0) becomes null
+    where the library stores no empty value, and updated_at moves only when something was supplied.
+    Of several changes for one id the one with the greatest ``order`` counts, by default the greatest row."""
+    fields = [c for c in changes.columns if c not in ("id", "set_fields", order)]
+    row = F.struct("set_fields", *fields)
+    changes = changes.groupBy("id").agg(F.max_by(row, F.struct(order, row) if order else row).alias("row")).select("id", "row.*")
     new = changes.select(F.col("id").alias("n_id"), "set_fields", *[F.col(f).alias(f"n_{f}") for f in fields])
     out = docs.join(new, docs["id"] == F.col("n_id"), "left")
     for f in fields:
-        value = F.nullif(F.col(f"n_{f}"), F.lit("")) if f in NULL_WHEN_EMPTY else F.coalesce(F.col(f"n_{f}"), F.lit(0)) if f == "favorite" else F.col(f"n_{f}")
+        falsy = F.col(f"n_{f}").cast("string").isin("", "0")
+        value = F.nullif(F.col(f"n_{f}"), F.lit("")) if f in NULL_WHEN_EMPTY else F.when(~falsy, F.col(f"n_{f}")) if f in NULL_WHEN_FALSY else F.coalesce(F.col(f"n_{f}"), F.lit(0)) if f == "favorite" else F.col(f"n_{f}")
         out = out.withColumn(f, F.when(F.array_contains("set_fields", f), value).otherwise(F.col(f)))
     return out.withColumn("updated_at", F.when(F.size("set_fields") > 0, now).otherwise(F.col("updated_at"))).select(*docs.columns)
 
@@ -97,3 +130,36 @@ def sync_diff(listing: DataFrame, docs: DataFrame, check_modified: bool = True)
     status = F.when(F.col("d_path").isNull(), "new").when(F.col("l_path").isNull(), "deleted").when(changed, "modified").otherwise("existing")
     out = a.join(b, F.col("l_path") == F.col("d_path"), "full").select(F.coalesce("l_path", "d_path").alias("file_path"), status.alias("status"), F.col("d_mtime").isNull().alias("no_mtime"))
     return out.select("file_path", "status", ((F.col("status") == "existing") & F.col("no_mtime")).alias("back_fill"))
+
+
+def apply_sync(docs: DataFrame, diff: DataFrame, read: DataFrame, now: Column) -> DataFrame:
+    """The library after a sync: rows of deleted files go, those of modified ones take what was ``read``
+    (file_path, title, content, file_type, file_mtime, file_size) and keep the rest, existing ones without sync
+    metadata take mtime and size alone, new files become rows. Ids of new rows are hashes of their path.
+    A file that could not be read has no row in ``read``: a modified one stays as it was, a new one is left out."""
+    taken = ["title", "content", "file_type", "file_mtime", "file_size"]
+    got = read.select(F.col("file_path").alias("r_path"), *[F.col(c).alias(f"r_{c}") for c in taken])
+    kept = docs.join(diff.where("status <> 'new'").select("file_path", "status", "back_fill"), "file_path").where("status <> 'deleted'")
+    kept = kept.join(got, F.col("file_path") == F.col("r_path"), "left")
+    whole = (F.col("status") == "modified") & F.col("r_path").isNotNull()
+    meta = whole | (F.col("back_fill") & F.col("r_path").isNotNull())
+    for c in taken:
+        value = F.nullif(F.col(f"r_{c}"), F.lit("")) if c in NULL_WHEN_EMPTY else F.col(f"r_{c}")
+        kept = kept.withColumn(c, F.when(meta if c.startswith("file_m") or c == "file_size" else whole, value).otherwise(F.col(c)))
+    kept = kept.withColumn("updated_at", F.when(meta, now).otherwise(F.col("updated_at"))).select(*docs.columns)
+    new = diff.where("status = 'new'").select("file_path").join(read, "file_path")
+    fresh = {"id": F.xxhash64("file_path"), "updated_at": now, "favorite": F.lit(0), **{c: F.nullif(F.col(c), F.lit("")) if c in NULL_WHEN_EMPTY else F.col(c) for c in ("file_path", *taken)}}
+    return kept.unionByName(new.select(*[fresh.get(c, F.lit(None)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]))
+
+
+def scan_report(diff: DataFrame, failures: DataFrame, cleaned_tags: DataFrame, cleaned_keywords: DataFrame) -> DataFrame:
+    """One row about a sync: counts by outcome, and what was cleaned up. ``failures`` (file_path, error) are
+    files that could not be read; they count as errors alone, and as PDF failures where the error says so."""
+    of = lambda s: F.count_if((F.col("status") == s) & F.col("error").isNull())
+    seen = diff.join(failures, "file_path", "left").agg(
+        F.count_if(F.col("status") != "deleted").alias("total_scanned"), of("new").alias("new_files"), of("existing").alias("existing_files"), of("modified").alias("modified_files"),
+        F.count_if(F.col("status") == "deleted").alias("deleted_files"), F.count("error").alias("n_errors"), F.count_if(F.col("error").isin("image", "encrypted")).alias("pdf_failures"),
+    )
+    for name, values in (("cleaned_tags", cleaned_tags), ("cleaned_keywords", cleaned_keywords)):
+        seen = seen.join(F.broadcast(values.agg(F.count("*").alias(name))), F.lit(True))  # one row
+    return seen

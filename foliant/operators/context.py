@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 
+#: Fixed value of the search log.
+FALLBACK_REASON = "FTS5返回空结果"
 HALF, STEP, MOST = 400, 5, 1600
 BEFORE, AFTER, BETWEEN = "...前文省略...\n", "\n...后文省略...", "\n\n---\n\n"
 
@@ -87,8 +89,75 @@ def map_prompts(df: DataFrame, fn: Callable[[list[str]], list[str]], prompt: str
     return df.mapInPandas(run, f"{df._jdf.schema().toDDL()}, {answer} string")
 
 
-def search_audit(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """One START and FINAL event per question, and the strategy that served it."""
-    n = hits.groupBy("question_id").agg(F.count("*").alias("final_count"), F.max("strategy").alias("strategy"))
-    base = questions.select("question_id").join(n, "question_id", "left").select("question_id", F.coalesce("final_count", F.lit(0)).alias("final_count"), F.coalesce("strategy", F.lit("none")).alias("strategy"))
-    return base.select("question_id", F.explode(F.array(F.lit("START"), F.lit("STRATEGY"), F.lit("FINAL"))).alias("action"), "strategy", "final_count")
+#: What is asked of a model about one document.
+TASKS = {
+    "summarize": "请为以下文档内容生成一个简短的摘要（100-200字）\n{content}",
+    "keywords": "请从以下文档内容中提取5-10个关键词，用逗号分隔\n{content}",
+    "tags": "请为以下文档内容生成3-5个主题标签，用逗号分隔，标签应简洁且具有代表性：\n{content}",
+}
+#: Words in a question that ask for a summary, and for a detail.
+SUMMARY_WORDS = ["全文", "总结", "概述", "大意", "主旨", "核心", "主要观点", "主要讲了什么", "整体"]
+DETAIL_WORDS = ["哪里", "哪个章节", "第几章", "具体", "详细说明", "具体是", "具体讲", "怎么实现"]
+NO_DOCUMENTS = "（无可用文档）"
+#: A template for small local models; any text with these places in it can take its stead.
+LOCAL_TEMPLATE = "# 参考文档清单\n{docsList}\n\n# 参考文档正文\n{referenceDocs}\n\n# 用户问题\n{question}\n\n## 总结\n\n## 详细解释\n\n## 意义补充\n{extra}\n"
+SUMMARY_NOTE, DETAIL_NOTE = "\n# 特殊指令\n重点关注整体结构、核心主题和主要观点。", "\n# 特殊指令\n重点关注精确内容、章节定位和具体论述。"
+
+
+def fill(template: str, **values: Column) -> Column:
+    """``template`` with the first ``{name}`` of each value replaced by it, literally; values are not searched for places."""
+    parts, rest = [], template
+    for name in sorted((n for n in values if f"{{{n}}}" in template), key=lambda n: template.index(f"{{{n}}}")):
+        before, _, rest = rest.partition(f"{{{name}}}")
+        parts += [F.lit(before), values[name]]
+    return F.concat(*parts, F.lit(rest))
+
+
+def task_prompt(task: str, content: Column) -> Column:
+    return fill(TASKS[task], content=T.truncate_for_model(content))
+
+
+def local_prompt(question: Column, references: Column, doc_list: Column, template: str = LOCAL_TEMPLATE, summary_note: str = SUMMARY_NOTE, detail_note: str = DETAIL_NOTE) -> Column:
+    """Prompt for a local model: with the list of documents, and a note where the question asks for a summary or,
+    failing that, for a detail."""
+    asks = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: question.contains(w))
+    note = F.when(asks(SUMMARY_WORDS), summary_note).when(asks(DETAIL_WORDS), detail_note).otherwise("")
+    return fill(template, docsList=F.coalesce(F.nullif(doc_list, F.lit("")), F.lit(NO_DOCUMENTS)), referenceDocs=references, question=question, extra=note)
+
+
+def local_prompts(refs: DataFrame, **options: str) -> DataFrame:
+    """(question_id, prompt) from ``references``, with the best snippets of each document as its text."""
+    words = T.question_keywords(F.col("question"))
+    block = F.concat(F.lit("[文档"), F.col("i").cast("string"), F.lit("]\n标题："), "title", F.lit("\n内容："), snippet(F.col("text"), words), F.lit("\n"))
+    own = refs.select("question_id", "question", F.struct("i", block.alias("block"), F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] "), "title").alias("line")).alias("r"))
+    lists = own.groupBy("question_id", "question").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    joined = lambda f: F.array_join(F.transform("rs", lambda r: r[f]), "\n")
+    return lists.select("question_id", local_prompt(F.col("question"), joined("block"), joined("line"), **options).alias("prompt"))
+
+
+def search_audit(questions: DataFrame, hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Events of every question that is not blank: START and COMPLETE of each algorithm tried, STRATEGY where one found
+    something, FINAL with the documents that have content. Columns (question_id, step, action, algorithm, strategy,
+    fallback_reason, result_count, result_ids); results are those kept, at most the k of the retrieval."""
+    n = hits.groupBy("question_id").agg(F.max("strategy").alias("found"), F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
+    held = docs.where(~T.is_blank(F.coalesce(F.nullif(F.col("content"), F.lit("")), F.col("abstract")))).select("id")
+    whole = hits.join(held, "id", "left_semi").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("final"))
+    none = F.array().cast("array<bigint>")
+    base = questions.where(~T.is_blank(F.col("question"))).select("question_id").join(n, "question_id", "left").join(whole, "question_id", "left")
+    base = base.select("question_id", "found", F.coalesce("ids", none).alias("ids"), F.coalesce("final", none).alias("final"))
+    text = lambda v: v.cast("string") if isinstance(v, Column) else F.lit(v).cast("string")
+    missed, null = F.coalesce(F.col("found") != "primary", F.lit(True)), F.lit(None)
+
+    def event(step: int, action: str, algorithm, ids=None, strategy=None, reason=None, when=None) -> Column:
+        e = F.struct(F.lit(step).alias("step"), F.lit(action).alias("action"), text(algorithm).alias("algorithm"), text(strategy).alias("strategy"), text(reason).alias("fallback_reason"), (F.lit(None).cast("array<bigint>") if ids is None else ids).alias("result_ids"))
+        return e if when is None else F.when(when, e)
+
+    used = F.when(F.col("found") == "primary", "FTS5").when(F.col("found") == "fallback", "LIKE").otherwise("NONE")
+    events = F.array(
+        event(1, "START", "FTS5"), event(2, "COMPLETE", "FTS5", F.when(missed, none).otherwise(F.col("ids"))),
+        event(3, "START", "LIKE", when=missed), event(4, "COMPLETE", "LIKE", F.col("ids"), when=missed),
+        event(5, "STRATEGY", used, strategy=F.when(missed, "FALLBACK").otherwise("PRIMARY"), reason=F.when(missed, FALLBACK_REASON).otherwise(null), when=F.col("found").isNotNull()),
+        event(6, "FINAL", used, F.col("final")),
+    )
+    out = base.select("question_id", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("question_id", "e.*")
+    return out.select("question_id", "step", "action", "algorithm", "strategy", "fallback_reason", F.size("result_ids").alias("n"), "result_ids").withColumn("result_count", F.when(F.col("result_ids").isNotNull(), F.col("n"))).drop("n")

@@ -16,17 +16,19 @@ def candidate_terms(docs: DataFrame, stop_words: list[str] | None = None) -> Dat
     and more, counted per document; ``first`` orders them by first use, Han before English.
 
     ``docs`` is (id, text). A Han word below four characters counts if its first occurrence in the text
-    has a boundary before or after it; that is tested once per distinct word."""
+    has a boundary before or after it. Only a run's neighbours can be one, so runs of Han characters travel with
+    the characters beside them and the text itself does not."""
     stop = F.array(*[F.lit(w) for w in stop_words or []]).cast("array<string>")
     text = F.coalesce(F.col("text"), F.lit(""))
-    seg = docs.select("id", text.alias("text"), F.posexplode(F.regexp_extract_all(text, F.lit(HAN + "{2,}"), 0)).alias("s", "segment"))
-    sized = seg.select("id", "text", "s", "segment", F.explode(F.sequence(F.lit(2), F.least(F.lit(4), F.length("segment")))).alias("n"))
-    grams = sized.select("id", "text", "s", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("segment") - F.col("n") + 1), lambda i: F.substring(F.col("segment"), i, F.col("n")))).alias("p", "word"))
-    han = grams.groupBy("id", "word").agg(F.count("*").alias("freq"), F.min(F.struct(F.lit(0).alias("kind"), "s", "n", "p")).alias("first"), F.first("text").alias("text"))
-    at = F.expr("locate(word, text)")
-    before, after = F.expr("substring(text, locate(word, text) - 1, 1)"), F.expr("substring(text, locate(word, text) + length(word), 1)")
-    edge = (at == 1) | before.rlike(BOUNDARY) | (after == "") | after.rlike(BOUNDARY)
-    han = han.where((F.length("word") == 4) | edge).drop("text")
+    run = F.lit(rf"(?s)(?:(?<=(.))|(?<!.))({HAN}{{2,}})(?=(.)|$)")
+    runs = F.arrays_zip(*[F.regexp_extract_all(text, run, k).alias(n) for k, n in ((1, "before"), (2, "segment"), (3, "after"))])
+    seg = docs.select("id", F.posexplode(runs).alias("s", "r")).select("id", "s", "r.before", "r.segment", "r.after")
+    sized = seg.select("*", F.explode(F.sequence(F.lit(2), F.least(F.lit(4), F.length("segment")))).alias("n"))
+    grams = sized.select("id", "s", "n", "before", "after", F.length("segment").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length("segment") - F.col("n") + 1), lambda i: F.substring(F.col("segment"), i, F.col("n")))).alias("p", "word"))
+    edge = lambda c: (F.col(c) == "") | F.col(c).rlike(BOUNDARY)
+    bounded = ((F.col("p") == 0) & edge("before")) | ((F.col("p") + F.col("n") == F.col("size")) & edge("after"))
+    han = grams.groupBy("id", "word").agg(F.count("*").alias("freq"), F.min(F.struct(F.lit(0).alias("kind"), "s", "n", "p", bounded.alias("edge"))).alias("f"))
+    han = han.where((F.length("word") == 4) | F.col("f.edge")).select("id", "word", "freq", F.struct("f.kind", "f.s", "f.n", "f.p").alias("first"))
     en = docs.select("id", F.posexplode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), 0)).alias("p", "word"))
     en = en.groupBy("id", "word").agg(F.count("*").alias("freq"), F.min(F.struct(F.lit(1).alias("kind"), F.lit(0).alias("s"), F.lit(0).alias("n"), "p")).alias("first"))
     return han.unionByName(en).where(~F.array_contains(stop, F.col("word")))
@@ -67,6 +69,14 @@ def nodes(keywords: DataFrame, docs: DataFrame) -> DataFrame:
     return words.unionByName(centre)
 
 
+def links(keywords: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, source, target, weight, type): the centre of a document with a title to each of its keywords, and
+    the co-occurring ``pairs``."""
+    titled = docs.where(~T.is_blank(F.col("title"))).select("id")
+    centre = keywords.join(titled, "id", "left_semi").select("id", F.lit("__doc_center__").alias("source"), F.col("word").alias("target"), F.col("freq").alias("weight"), F.lit("keyword-link").alias("type"))
+    return centre.unionByName(pairs.select("id", "source", "target", "weight", F.lit("cooccurrence").alias("type")))
+
+
 def stats(docs: DataFrame, keywords: DataFrame, links: DataFrame) -> DataFrame:
     k = keywords.groupBy("id").agg(F.count("*").alias("keywords"))
     e = links.groupBy("id").agg(F.count("*").alias("edges"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
+
 
 def _round_half_up(c):
     return F.floor(c + 0.5)
@@ -21,8 +23,29 @@ def query(calls: DataFrame, start_ms: int | None = None, end_ms: int | None = No
     return rows.orderBy(F.desc("request_ms"), "request_id").offset(offset).limit(limit)
 
 
-def stats(calls: DataFrame) -> DataFrame:
-    """One row; without calls all zeros and no success rate."""
+def records(params: DataFrame) -> DataFrame:
+    """Nested call-log records of flat parameters (request_id, request_ms, response_ms, duration, model, max_tokens,
+    prompt_length, status, status_code, content, prompt_tokens, completion_tokens, total_tokens, error_message, error_code,
+    retry_count): a missing or zero duration is the time between request and response, content becomes its length,
+    counts default to 0, and usage and error are null where nothing of them was given."""
+    c = F.col
+    zero = lambda n: F.coalesce(c(n), F.lit(0))
+    used = F.coalesce(*[c(n).cast("long") for n in ("prompt_tokens", "completion_tokens", "total_tokens")]).isNotNull()
+    return params.select(
+        F.coalesce("request_id", F.uuid()).alias("requestId"),
+        F.struct(c("request_ms").alias("request"), c("response_ms").alias("response"), F.coalesce(F.nullif(c("duration"), F.lit(0)), F.nullif(c("response_ms"), F.lit(0)) - F.nullif(c("request_ms"), F.lit(0))).alias("duration")).alias("timestamp"),
+        F.struct(c("model").alias("model"), c("max_tokens").alias("maxTokens"), c("prompt_length").alias("promptLength")).alias("request"),
+        F.struct(c("status").alias("status"), c("status_code").alias("statusCode"), F.coalesce(F.length("content"), F.lit(0)).alias("contentLength")).alias("response"),
+        F.when(used, F.struct(zero("prompt_tokens").alias("promptTokens"), zero("completion_tokens").alias("completionTokens"), zero("total_tokens").alias("totalTokens"))).alias("tokenUsage"),
+        F.when(c("error_message").isNotNull() | c("error_code").isNotNull(), F.struct(c("error_message").alias("message"), c("error_code").alias("code"))).alias("error"),
+        zero("retry_count").alias("retryCount"),
+    )
+
+
+def stats(calls: DataFrame, newest: int | None = None) -> DataFrame:
+    """One row; without calls all zeros and no success rate. ``newest``: of the newest so many calls only."""
+    if newest is not None:
+        calls = calls.orderBy(F.desc("request_ms"), "request_id").limit(newest)
     n, good = F.count("*"), F.count_if(F.col("status") == "success")
     return calls.agg(
         n.alias("total_calls"), good.alias("success_count"), F.count_if(F.col("status") == "error").alias("error_count"),
@@ -36,6 +59,20 @@ def retained(calls: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return calls.where(F.to_date(F.timestamp_millis("request_ms")) >= F.date_sub(F.lit(as_of).cast("date"), days))
 
 
+def rewrite_retained(log: DataFrame, path: str, as_of: str, days: int = 30) -> None:
+    """Write the rows of a call log (with ``date``) whose day is kept to ``path``, a folder a day. Another folder than the
+    log's own, so that a run that fails half-way loses nothing."""
+    log.where(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days)).write.mode("overwrite").partitionBy("date").json(path)
+
+
+def batch_outcome(outcomes: DataFrame) -> DataFrame:
+    """One row over (content, answer, error): total, processed, success and failed; documents without
+    content fail without being processed."""
+    blank = T.is_blank(F.col("content"))
+    good = ~blank & F.col("error").isNull() & F.col("answer").isNotNull()
+    return outcomes.agg(F.count("*").alias("total"), F.count_if(~blank).alias("processed"), F.count_if(good).alias("success"), F.count_if(~good).alias("failed"))
+
+
 def newest_answers(history: DataFrame, most: int = 50) -> DataFrame:
     """(user_id, place, question, preview): the newest entries per user, incomplete ones ignored."""
     whole = history.where("question is not null and question <> '' and answer is not null and answer <> ''")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import annotate, catalog, context, graph, logs, search
 from foliant.sources import library as L
+from foliant.sources.scratch import settle, shared_dir
+from foliant.streaming import sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,9 +77,20 @@ def page_all(spark, sf):
     return catalog.page(_docs(spark, sf), 30, 15).select("id", "title")
 
 
-@query(f"WITH {LIB} SELECT count(*) AS total, count(*) FILTER (WHERE content <> '') AS with_content, count(*) FILTER (WHERE abstract <> '') AS with_abstract FROM lib")
+@query(f"WITH {LIB} SELECT count(*) AS total, count(*) FILTER (WHERE content <> '') AS with_content, count(*) FILTER (WHERE abstract <> '') AS with_abstract, count(*) FILTER (WHERE regexp_matches(lower(concat_ws(' ', title, content)), '[\\p{{L}}\\p{{N}}]')) AS indexed, (SELECT count(DISTINCT source) FROM documents) AS n_tags FROM lib")
 def library_health(spark, sf):
-    return catalog.health(_docs(spark, sf))
+    return catalog.health(_docs(spark, sf), _docs(spark, sf).select(F.col("author").alias("value")))
+
+
+@query(f"WITH {LIB} SELECT id, title, favorite FROM lib WHERE id IN (7, 42, 100)")
+def point_lookup(spark, sf):
+    return catalog.by_ids(_docs(spark, sf), [42, 7, 100]).select("id", "title", "favorite")
+
+
+@query(f"WITH {LIB} SELECT id, title FROM lib ORDER BY updated_at DESC, id LIMIT 25")
+def loaded_pages(spark, sf):
+    docs = _docs(spark, sf)
+    return catalog.loaded_pages(catalog.page(docs, 0, 15), catalog.page(docs, 10, 15)).select("id", "title")
 
 
 # --- substring search ---------------------------------------------------------------------------
@@ -161,6 +176,12 @@ def with_relations(spark, sf):
     return catalog.with_relations(_docs(spark, sf), _bridge(spark, sf), "keywords").select("id", F.array_join("keywords", "|").alias("keywords"))
 
 
+@query(f"WITH {BRIDGE}, {LIB} SELECT id, title, coalesce(ks, '') AS keywords FROM lib LEFT JOIN (SELECT document_id, string_agg(value, '|' ORDER BY value) AS ks FROM bridge GROUP BY document_id) ON document_id = id")
+def all_newest_first(spark, sf):
+    rows = catalog.with_relations(_docs(spark, sf), _bridge(spark, sf), "keywords").orderBy(F.desc("updated_at"), "id")
+    return rows.select("id", "title", F.array_join("keywords", "|").alias("keywords"))
+
+
 _TAG = "(SELECT keyword FROM lexicon WHERE lang = 'en' AND kw_ord = 1)"
 
 
@@ -212,6 +233,32 @@ def dictionary_upsert(spark, sf):
     return catalog.add_to_dictionary(known, bridge.select("value")).select("value")
 
 
+_NEW = "SELECT document_id, upper(value) AS value FROM bridge WHERE document_id % 5 = 0"
+
+
+def _new_pairs(bridge):
+    return bridge.where("document_id % 5 = 0").select("document_id", F.upper("value").alias("value"))
+
+
+@query(f"WITH {BRIDGE} SELECT document_id, value FROM bridge UNION {_NEW}")
+def bridge_add(spark, sf):
+    bridge = _bridge(spark, sf)
+    return catalog.add_to_bridge(bridge, _new_pairs(bridge))
+
+
+@query(f"WITH {BRIDGE} SELECT document_id, value FROM bridge WHERE document_id % 5 <> 0 UNION {_NEW}")
+def bridge_replace(spark, sf):
+    bridge, changed = _bridge(spark, sf), _docs(spark, sf).where("id % 5 = 0").select("id")
+    return catalog.replace_in_bridge(bridge, _new_pairs(bridge), changed)
+
+
+@query(f"""WITH {BRIDGE} SELECT value AS node, coalesce(min_lang, '{annotate.OTHER}') AS category, count(DISTINCT document_id) AS n_docs FROM bridge
+  LEFT JOIN (SELECT keyword, min(lang) AS min_lang FROM lexicon GROUP BY keyword) ON keyword = value GROUP BY ALL""")
+def corpus_graph_nodes(spark, sf):
+    keywords, _ = annotate.corpus_lexicon(_given(spark, sf, "documents"))
+    return annotate.corpus_graph_nodes(_bridge(spark, sf), keywords)
+
+
 # --- sync ---------------------------------------------------------------------------------------
 
 DIFF = f"""{LIB}, {LISTED}, diff AS (SELECT coalesce(l.file_path, d.file_path) AS file_path,
@@ -229,6 +276,73 @@ def sync_summary(spark, sf):
     return catalog.sync_diff(L.library_listing(spark, sf), _docs(spark, sf)).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _read_files(spark, sf):
+    """What a parse of the listed files gave: the given texts, but for PDFs whose text layer the gate refuses."""
+    docs = _docs(spark, sf)
+    listing = L.library_listing(spark, sf)
+    texts = docs.select("file_path", F.concat("content", F.lit("!")).alias("content"), (F.col("id") % 4).alias("pages"))
+    pages = _given(spark, sf, "pages").select(F.concat(F.lit("/lib/new/page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.col("html").alias("content"), F.lit(1).alias("pages"))
+    rows = listing.join(texts.unionByName(pages), "file_path")
+    refused = (T.extension(F.col("file_path")) == "pdf") & (T.pdf_gate(F.substring_index("content", " ", 12), F.col("pages")) != "ok")
+    gate = F.when(refused, T.pdf_gate(F.substring_index("content", " ", 12), F.col("pages")))
+    return rows.select("file_path", T.title_of(F.col("file_path")).alias("title"), "content", T.file_type(F.col("file_path")).alias("file_type"), "file_mtime", "file_size", gate.alias("error"))
+
+
+_HEAD = "trim(array_to_string(list_slice(string_split(content, ' '), 1, 12), ' '), ' ' || chr(10))"
+READ = f"""texts AS (SELECT file_path, content || '!' AS content, id % 4 AS pages FROM lib UNION ALL SELECT '/lib/new/page_' || page_id || '.html', html, 1 FROM pages),
+  readable AS (SELECT file_path, regexp_extract(file_path, '([^/]+)\\.[^.]*$', 1) AS title, content, file_mtime, file_size,
+    CASE WHEN file_path LIKE '%.pdf' THEN CASE WHEN length({_HEAD}) = 0 THEN 'image' WHEN length({_HEAD}) < 100 AND (coalesce(nullif(pages, 0), 1) > 1 OR length({_HEAD}) < 20) THEN 'encrypted' END END AS error
+    FROM listing JOIN texts USING (file_path))"""
+
+
+@query(f"""WITH {DIFF}, {READ}, d AS (SELECT * FROM diff LEFT JOIN readable USING (file_path))
+  SELECT id, coalesce(CASE WHEN status = 'modified' AND error IS NULL THEN d.title END, lib.title) AS title, md5(coalesce(CASE WHEN status = 'modified' AND error IS NULL THEN d.content END, lib.content)) AS content,
+    CASE WHEN error IS NULL AND (status = 'modified' OR no_mtime) THEN d.file_mtime ELSE lib.file_mtime END AS file_mtime, favorite, error IS NULL AND (status = 'modified' OR no_mtime) AS touched
+  FROM lib JOIN d USING (file_path) WHERE status <> 'deleted'
+  UNION ALL SELECT NULL, title, md5(content), file_mtime, 0, true FROM d WHERE status = 'new' AND error IS NULL""")
+def sync_apply(spark, sf):
+    docs, read, now = _docs(spark, sf), _read_files(spark, sf), F.lit("2030-01-01").cast("timestamp")
+    diff = catalog.sync_diff(L.library_listing(spark, sf), docs)
+    out = catalog.apply_sync(docs, diff, read.where("error is null").drop("error"), now)
+    path = f"{shared_dir(spark)}/library-{uuid.uuid4().hex}"
+    L.write_snapshot({"documents": out}, path)
+    kept = spark.read.parquet(f"{path}/documents")
+    new = F.col("file_path").startswith("/lib/new/")
+    return kept.select(F.when(~new, F.col("id")).alias("id"), "title", F.md5("content").alias("content"), "file_mtime", "favorite", (F.col("updated_at") == now).alias("touched"))
+
+
+@query(f"""WITH {DIFF}, {BRIDGE}, {READ}, d AS (SELECT * FROM diff LEFT JOIN readable USING (file_path)),
+  gone AS (SELECT id FROM lib JOIN diff USING (file_path) WHERE status = 'deleted'), left_over AS (SELECT DISTINCT value FROM bridge WHERE document_id NOT IN (SELECT id FROM gone)),
+  sources AS (SELECT DISTINCT author FROM lib WHERE id NOT IN (SELECT id FROM gone))
+  SELECT count(*) FILTER (WHERE status <> 'deleted') AS total_scanned, count(*) FILTER (WHERE status = 'new' AND error IS NULL) AS new_files, count(*) FILTER (WHERE status = 'existing' AND error IS NULL) AS existing_files,
+    count(*) FILTER (WHERE status = 'modified' AND error IS NULL) AS modified_files, count(*) FILTER (WHERE status = 'deleted') AS deleted_files, count(error) AS n_errors, count(error) AS pdf_failures,
+    (SELECT count(DISTINCT author) FROM lib WHERE author NOT IN (FROM sources)) AS cleaned_tags, (SELECT count(DISTINCT value) FROM bridge WHERE value NOT IN (FROM left_over)) AS cleaned_keywords
+  FROM (SELECT status, CASE WHEN status IN ('new', 'modified') THEN error END AS error FROM d)""")
+def scan_report(spark, sf):
+    docs, bridge = _docs(spark, sf), _bridge(spark, sf)
+    diff = catalog.sync_diff(L.library_listing(spark, sf), docs)
+    parsed = diff.where("status in ('new', 'modified')").select("file_path")
+    failures = _read_files(spark, sf).where("error is not null").join(parsed, "file_path", "left_semi").select("file_path", "error")
+    gone = docs.join(diff.where("status = 'deleted'"), "file_path", "left_semi").select("id")
+    authors = docs.select(F.col("id").alias("document_id"), F.col("author").alias("value"))
+    cleaned = []
+    for pairs in (authors, bridge):
+        kept = catalog.cascade_delete(docs, pairs, gone)[1]
+        cleaned.append(catalog.orphans(pairs.select("value").distinct(), kept))
+    return catalog.scan_report(diff, failures, *cleaned)
+
+
+@query(f"WITH {LIB}, {LISTED} SELECT file_path, max(file_mtime) AS file_mtime FROM (SELECT file_path, file_mtime FROM listing UNION ALL SELECT file_path, file_mtime FROM lib WHERE file_mtime IS NOT NULL) GROUP BY file_path")
+def listing_stream(spark, sf):
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    known = _docs(spark, sf).where("file_mtime is not null").select("file_path", "file_mtime", "file_size")
+    for name, rows in (("a", known), ("b", L.library_listing(spark, sf))):
+        rows.write.parquet(f"{where}/in/part={name}")
+    stream = spark.readStream.schema(sync.SCHEMA + ", part string").option("maxFilesPerTrigger", 4).parquet(f"{where}/in")
+    sync.start(stream.drop("part"), f"{where}/table", f"{where}/checkpoint").awaitTermination()
+    return sync.current(spark, f"{where}/table").select("file_path", "file_mtime")
+
+
 @query(f"""WITH {LIB} SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE abstract END AS abstract, CASE WHEN id % 3 = 0 THEN title || '!' ELSE title END AS title,
   strftime(CASE WHEN id % 3 = 0 THEN TIMESTAMP '2030-01-01' ELSE updated_at END, '%Y-%m-%d %H:%M') AS updated FROM lib""")
 def partial_update(spark, sf):
@@ -247,13 +361,13 @@ def toggle_favorites(spark, sf):
     return out.select("id", "favorite", (F.col("updated_at") == F.lit("2030-01-01").cast("timestamp")).alias("touched"))
 
 
-_PDF = "SELECT doc_id, left(text, CAST(doc_id % 200 AS INTEGER)) AS text, doc_id % 4 AS pages FROM documents"
+_PDF = "SELECT doc_id, text, doc_id % 4 AS pages FROM documents"
 _GATE = "CASE WHEN length(trim(text, ' ' || chr(10))) = 0 THEN 'image' WHEN length(trim(text, ' ' || chr(10))) < 100 AND (coalesce(nullif(pages, 0), 1) > 1 OR length(trim(text, ' ' || chr(10))) < 20) THEN 'encrypted' ELSE 'ok' END"
 
 
 @query(f"WITH p AS ({_PDF}) SELECT doc_id, {_GATE} AS gate FROM p")
 def pdf_gate(spark, sf):
-    rows = _given(spark, sf, "documents").select("doc_id", F.expr("substring(text, 1, int(doc_id % 200))").alias("text"), (F.col("doc_id") % 4).alias("pages"))
+    rows = _given(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 4).alias("pages"))
     return rows.select("doc_id", T.pdf_gate(F.col("text"), F.col("pages")).alias("gate"))
 
 
@@ -262,7 +376,7 @@ def pdf_gate(spark, sf):
   SELECT file_name, CASE WHEN file_name IN (SELECT name FROM held) THEN 'exists' WHEN file_name LIKE '%.exe' THEN 'type' WHEN file_name LIKE '%.pdf' AND {_GATE} <> 'ok' THEN {_GATE} ELSE 'accept' END AS reason FROM p""")
 def upload_admission(spark, sf):
     kinds = F.array(*[F.lit(x) for x in ("pdf", "md", "exe", "htm", "pdf")])
-    rows = _given(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("."), F.get(kinds, (F.col("doc_id") % 5).cast("int"))).alias("file_name"), F.expr("substring(text, 1, int(doc_id % 200))").alias("text"), (F.col("doc_id") % 4).alias("pages"))
+    rows = _given(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("."), F.get(kinds, (F.col("doc_id") % 5).cast("int"))).alias("file_name"), "text", (F.col("doc_id") % 4).alias("pages"))
     return catalog.upload_admission(rows, _docs(spark, sf)).select("file_name", "reason")
 
 
@@ -287,12 +401,17 @@ def fts_query_text(spark, sf):
 
 _TOKENS = r"regexp_extract_all(translate(lower({}), '" + T.ACCENTED + "', '" + T.PLAIN + r"'), '[\p{{L}}\p{{N}}]+')"
 BM = f"""{LIB}, {KW}, asked AS (SELECT question_id, token, count(*) AS times FROM (SELECT question_id, {_TOKENS.format('kw')}[1] AS token FROM qk) WHERE token IS NOT NULL GROUP BY question_id, token),
-  tk AS (SELECT id, list_concat({_TOKENS.format('title')}, {_TOKENS.format('content')}) AS ts FROM lib),
-  st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM tk),
-  po AS (SELECT token, id, size, count(*) AS tf FROM (SELECT id, len(ts) AS size, unnest(ts) AS token FROM tk) GROUP BY token, id, size),
+  tk AS (SELECT id, {_TOKENS.format('title')} AS tt, {_TOKENS.format('content')} AS tc FROM lib),
+  st AS (SELECT count(*) AS n, avg(len(tt) + len(tc)) AS mean FROM tk),
+  po AS (SELECT token, id, size, count(*) AS tf FROM (SELECT id, len(tt) + len(tc) AS size, unnest(list_concat(tt, tc)) AS token FROM tk) GROUP BY token, id, size),
   df AS (SELECT token, count(*) AS df FROM po GROUP BY token),
+  ph AS (SELECT question_id, {_TOKENS.format('question')} AS ps FROM questions WHERE question_id NOT IN (SELECT question_id FROM qk)),
+  pf AS (SELECT question_id, id, len(tt) + len(tc) AS size, len(list_filter(range(1, len(tt) + 1), lambda i: tt[i:i + len(ps) - 1] = ps)) + len(list_filter(range(1, len(tc) + 1), lambda i: tc[i:i + len(ps) - 1] = ps)) AS tf
+    FROM ph JOIN tk ON len(ps) > 0 AND list_has_any(list_concat(tt, tc), ps)),
+  found AS (SELECT question_id, id, times, df, tf, size FROM asked JOIN df USING (token) JOIN po USING (token)
+    UNION ALL SELECT question_id, id, 1, count(*) OVER (PARTITION BY question_id), tf, size FROM pf WHERE tf > 0),
   primary_hits AS (SELECT question_id, id, round(-sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS rank
-    FROM asked JOIN df USING (token) JOIN po USING (token), st GROUP BY question_id, id)"""
+    FROM found, st GROUP BY question_id, id)"""
 _PLACE = "row_number() OVER (PARTITION BY question_id ORDER BY rank, id) AS place"
 
 
@@ -304,13 +423,18 @@ def bm25_top5(spark, sf):
 @query(f"WITH {BM} SELECT question_id FROM questions WHERE trim(question) <> '' AND question_id NOT IN (SELECT question_id FROM primary_hits)")
 def fallback_questions(spark, sf):
     asked = L.questions(spark, sf)
-    return asked.where(~T.is_blank(F.col("question"))).join(search.bm25(_docs(spark, sf), asked), "question_id", "left_anti").select("question_id")
+    return search.without_hits(asked, search.bm25(_docs(spark, sf), asked, 1)).select("question_id")
 
 
-RETRIEVED = f"""{BM}, fallback AS (SELECT question_id, unnest(list_distinct(list_filter(string_split(trim(question), ' '), lambda p: p <> ''))) AS part FROM questions WHERE question_id NOT IN (SELECT question_id FROM primary_hits)),
-  every AS (SELECT question_id, id, rank, 'primary' AS strategy FROM primary_hits UNION ALL
-    SELECT question_id, id, CAST(-count(*) AS DOUBLE), 'fallback' FROM fallback JOIN lib ON contains(lower(concat_ws(chr(10), title, author, abstract, content)), lower(part)) GROUP BY question_id, id),
-  hits AS (SELECT * FROM (SELECT *, {_PLACE} FROM every) WHERE place <= 5)"""
+_FIRST = "lower(parts[1])"
+RETRIEVED = f"""{BM}, missed AS (SELECT question_id, list_filter(regexp_split_to_array(trim(question), '\\s+'), lambda p: p <> '') AS parts FROM questions WHERE trim(question) <> '' AND question_id NOT IN (SELECT question_id FROM primary_hits)),
+  low AS (SELECT id, updated_at, title AS exact, lower(coalesce(title, '')) AS title, lower(coalesce(author, '')) AS author, lower(coalesce(abstract, '')) AS abstract, lower(coalesce(content, '')) AS content FROM lib),
+  worded AS (SELECT question_id, id, updated_at, CAST(-count(DISTINCT kw) AS DOUBLE) AS rank FROM missed JOIN qk USING (question_id) JOIN low ON contains(concat_ws(chr(10), title, abstract, content), lower(kw)) GROUP BY question_id, id, updated_at),
+  plain AS (SELECT question_id, id, updated_at, CAST(-CASE WHEN exact = parts[1] THEN 100 WHEN starts_with(title, {_FIRST}) THEN 80 WHEN contains(title, {_FIRST}) THEN 60 WHEN contains(author, {_FIRST}) THEN 40 WHEN contains(abstract, {_FIRST}) THEN 20 WHEN contains(content, {_FIRST}) THEN 10 ELSE 0 END AS DOUBLE) AS rank
+    FROM missed JOIN low ON len(list_filter(parts, lambda p: contains(concat_ws(chr(10), title, author, abstract, content), lower(p)))) > 0 WHERE question_id NOT IN (SELECT question_id FROM qk)),
+  every AS (SELECT question_id, id, rank, 0 AS late, 'primary' AS strategy FROM primary_hits UNION ALL
+    SELECT question_id, id, rank, -epoch_us(updated_at), 'fallback' FROM (SELECT * FROM worded UNION ALL SELECT * FROM plain)),
+  hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, late, id) AS place FROM every) WHERE place <= 5)"""
 
 
 @query(f"WITH {RETRIEVED} SELECT question_id, id, rank, place, strategy FROM hits")
@@ -330,6 +454,24 @@ def summary_prompts(spark, sf):
     return _docs(spark, sf).select("id", T.truncate_for_model(F.col("content")).alias("prompt"))
 
 
+_SHORT = "CASE WHEN length(content) > 4000 THEN left(content, 4000) || chr(10) || chr(10) || '[注：已使用文档前 4000 字，共 ' || length(content) || ' 字]' ELSE content END"
+
+
+@query(f"WITH {LIB}, t(task, head) AS (VALUES {', '.join(f"('{k}', '{v.removesuffix(chr(10) + '{content}')}')" for k, v in context.TASKS.items())}) SELECT id, task, md5(head || chr(10) || {_SHORT}) AS prompt FROM lib, t WHERE trim(content) <> ''")
+def task_prompts(spark, sf):
+    docs = _docs(spark, sf).where(~T.is_blank(F.col("content")))
+    prompts = F.array(*[F.struct(F.lit(t).alias("task"), F.md5(context.task_prompt(t, F.col("content"))).alias("prompt")) for t in context.TASKS])
+    return docs.select("id", F.explode(prompts).alias("p")).select("id", "p.task", "p.prompt")
+
+
+@query(f"WITH {LIB} SELECT count(*) AS total, count(*) FILTER (WHERE trim(c) <> '') AS processed, count(*) FILTER (WHERE trim(c) <> '' AND id % 9 <> 0) AS success, count(*) FILTER (WHERE trim(c) = '' OR id % 9 = 0) AS failed FROM (SELECT id, CASE WHEN id % 10 = 3 THEN '' ELSE content END AS c FROM lib)")
+def batch_outcome(spark, sf):
+    docs = _docs(spark, sf).select("id", F.when(F.col("id") % 10 != 3, F.col("content")).otherwise("").alias("content"))
+    asked = docs.select("id", "content", F.concat(F.col("id").cast("string"), F.lit(" "), F.substring("content", 1, 20)).alias("prompt"))
+    answered = context.map_prompts(asked, lambda ps: [None if int(p.split(" ", 1)[0]) % 9 == 0 else p[::-1] for p in ps])
+    return logs.batch_outcome(answered.withColumn("error", F.when(F.col("answer").isNull(), "refused")))
+
+
 @query(f"""WITH {RETRIEVED} SELECT question_id, '参考资料：' || chr(10) || string_agg('[文档' || place || ']' || chr(10) || '标题：' || title || chr(10) || '内容：' || CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END || chr(10), chr(10) ORDER BY place)
     || chr(10) || chr(10) || '问题：' || any_value(question) AS prompt, string_agg('[' || place || '] ' || title, chr(10) ORDER BY place) AS doc_list FROM hits JOIN lib USING (id) JOIN questions USING (question_id) GROUP BY question_id""")
 def qa_prompts(spark, sf):
@@ -337,10 +479,39 @@ def qa_prompts(spark, sf):
     return context.prompts(context.references(search.retrieve(docs, asked), docs, asked))
 
 
-@query(f"WITH {RETRIEVED}, n AS (SELECT question_id, count(*) AS final_count, max(strategy) AS strategy FROM hits GROUP BY question_id) SELECT question_id, action, coalesce(strategy, 'none') AS strategy, coalesce(final_count, 0) AS final_count FROM questions LEFT JOIN n USING (question_id), (VALUES ('START'), ('STRATEGY'), ('FINAL')) a(action)")
+@query(None)
+def local_prompts(spark, sf):
+    docs, asked = _docs(spark, sf), L.questions(spark, sf)
+    return context.local_prompts(context.references(search.retrieve(docs, asked), docs, asked))
+
+
+AUDIT = f"""{RETRIEVED}, n AS (SELECT question_id, max(strategy) AS found, string_agg(id, '|' ORDER BY place) AS ids, count(*) AS n FROM hits GROUP BY question_id),
+  b AS (SELECT question_id, found, coalesce(ids, '') AS ids, coalesce(n, 0) AS n, coalesce(found <> 'primary', true) AS missed, CASE found WHEN 'primary' THEN 'FTS5' WHEN 'fallback' THEN 'LIKE' ELSE 'NONE' END AS used FROM questions LEFT JOIN n USING (question_id) WHERE trim(question) <> ''),
+  events AS (SELECT question_id, 1 AS step, 'START' AS action, 'FTS5' AS algorithm, NULL AS strategy, NULL AS fallback_reason, NULL AS result_count, NULL AS ids FROM b
+    UNION ALL SELECT question_id, 2, 'COMPLETE', 'FTS5', NULL, NULL, CASE WHEN missed THEN 0 ELSE n END, CASE WHEN missed THEN '' ELSE ids END FROM b
+    UNION ALL SELECT question_id, 3, 'START', 'LIKE', NULL, NULL, NULL, NULL FROM b WHERE missed UNION ALL SELECT question_id, 4, 'COMPLETE', 'LIKE', NULL, NULL, n, ids FROM b WHERE missed
+    UNION ALL SELECT question_id, 5, 'STRATEGY', used, CASE WHEN missed THEN 'FALLBACK' ELSE 'PRIMARY' END, CASE WHEN missed THEN '{context.FALLBACK_REASON}' END, NULL, NULL FROM b WHERE found IS NOT NULL
+    UNION ALL SELECT question_id, 6, 'FINAL', used, NULL, NULL, n, ids FROM b)"""
+
+
+@query(f"WITH {AUDIT} SELECT question_id, step, action, algorithm, strategy, fallback_reason, CAST(result_count AS BIGINT) AS result_count, ids FROM events")
 def search_audit(spark, sf):
     docs, asked = _docs(spark, sf), L.questions(spark, sf)
-    return context.search_audit(asked, search.retrieve(docs, asked))
+    events = context.search_audit(asked, search.retrieve(docs, asked), docs)
+    return events.select("question_id", "step", "action", "algorithm", "strategy", "fallback_reason", F.col("result_count").cast("long").alias("result_count"), F.array_join("result_ids", "|").alias("ids"))
+
+
+@query(f"WITH {AUDIT} SELECT CAST(question_id AS VARCHAR) AS search_id, action, algorithm, CAST(CASE WHEN action = 'COMPLETE' THEN result_count END AS BIGINT) AS result_count FROM events")
+def search_log(spark, sf):
+    """The audit written as log lines and read back."""
+    docs, asked = _docs(spark, sf), L.questions(spark, sf)
+    events = context.search_audit(asked, search.retrieve(docs, asked), docs)
+    complete = F.when(F.col("action") == "COMPLETE", F.col("result_count"))
+    rows = events.select(F.lit("2024-05-01").cast("timestamp").alias("ts"), F.col("question_id").cast("string").alias("searchId"), "action", "algorithm", "strategy", F.col("fallback_reason").alias("fallbackReason"), complete.alias("resultCount"), F.col("result_ids").alias("resultIds"))
+    path = f"{shared_dir(spark)}/search-log-{uuid.uuid4().hex}"
+    L.search_log_lines(rows).write.text(path)
+    back = L.search_log(spark, path).where("ts = timestamp '2024-05-01'")
+    return back.select(F.col("event.searchId").alias("search_id"), "event.action", "event.algorithm", F.col("event.resultCount").cast("long").alias("result_count"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> ''), '|') AS items FROM documents")
@@ -358,6 +529,16 @@ def parse_response(spark, sf):
     return rows.select("conv_id", "turn", T.answer_text(raw).alias("answer"))
 
 
+@query("SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'format' WHEN 1 THEN 'json' WHEN 2 THEN 'api: ' || text WHEN 3 THEN 'format' END AS error, CASE (conv_id + turn) % 5 WHEN 4 THEN trim(text, ' ' || chr(10)) END AS answer FROM conversations WHERE role = 'assistant'")
+def response_errors(spark, sf):
+    rows = _given(spark, sf, "conversations").where("role = 'assistant'")
+    k, t = (F.col("conv_id") + F.col("turn")) % 5, F.col("text")
+    output = F.to_json(F.struct(F.struct(t.alias("text")).alias("output")))
+    raw = F.when(k == 0, F.to_json(F.struct(t.alias("result")))).when(k == 1, F.concat(F.lit("<html>"), t)).when(k == 2, F.to_json(F.struct(F.struct(t.alias("message")).alias("error")))).when(k == 3, F.to_json(F.struct(t.alias("text")))).otherwise(output)
+    got = T.answer(raw, output_only=True)
+    return rows.select("conv_id", "turn", got["error"].alias("error"), got["text"].alias("answer"))
+
+
 _CITED = "chr(10) || '[1] ' || conv_id || '.md' || chr(10) || '[2] b.txt'"
 
 
@@ -404,7 +585,7 @@ GK = f"""{CAND}, lists AS (SELECT id, list({{'word': word, 'freq': freq}} ORDER
 
 def _graph(spark, sf):
     docs = _graph_text(spark, sf)
-    return docs, graph.graph_keywords(graph.candidate_terms(docs))
+    return docs, settle(graph.graph_keywords(graph.candidate_terms(docs)), "graph-keywords")
 
 
 @query(f"WITH {GK} SELECT id, place, word, freq FROM gk")
@@ -421,6 +602,13 @@ def graph_links(spark, sf):
     return graph.cooccurrence(docs, words)
 
 
+@query(f"""WITH {LINKS}, {LIB} SELECT id, source, target, weight, 'cooccurrence' AS type FROM links
+  UNION ALL SELECT id, '__doc_center__', word, freq, 'keyword-link' FROM gk JOIN lib USING (id) WHERE trim(title) <> ''""")
+def graph_all_links(spark, sf):
+    docs, words = _graph(spark, sf)
+    return graph.links(words, docs, graph.cooccurrence(docs, words))
+
+
 @query(f"""WITH {GK}, {LIB}, m AS (SELECT id, max(freq) AS most FROM gk GROUP BY id)
   SELECT id, word AS node, word AS label, 'keyword' AS type, freq AS weight, 0.3::DOUBLE + 0.7::DOUBLE * freq / most AS normalized_weight FROM gk JOIN m USING (id)
   UNION ALL SELECT id, '__doc_center__', CASE WHEN length(title) > 12 THEN left(title, 12) || '...' ELSE title END, 'document', most + 2, 1.0::DOUBLE FROM m JOIN lib USING (id) WHERE trim(title) <> ''""")
@@ -452,15 +640,55 @@ def log_stats(spark, sf):
     return logs.stats(L.calls(spark, sf))
 
 
+@query(f"""WITH {CALLS}, c AS (SELECT * FROM calls ORDER BY request_ms DESC, request_id LIMIT 10000) SELECT count(*) AS total_calls, count(*) FILTER (WHERE status = 'success') AS success_count, count(*) FILTER (WHERE status = 'error') AS error_count,
+  CAST(floor(100.0 * count(*) FILTER (WHERE status = 'success') / count(*) + 0.5) AS BIGINT) AS success_rate, CAST(floor(avg(duration) + 0.5) AS BIGINT) AS avg_duration, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+  CAST(floor(sum(total_tokens) / count(total_tokens) + 0.5) AS BIGINT) AS avg_tokens FROM c""")
+def log_stats_newest(spark, sf):
+    return logs.stats(L.calls(spark, sf), newest=10_000)
+
+
+def _params(spark, sf):
+    """The given events as flat parameters of call-log records."""
+    calls, null = L.calls(spark, sf), F.lit(None)
+    i = F.col("request_id")
+    failed = F.col("status") == "error"
+    return calls.select(
+        i.cast("string").alias("request_id"), "request_ms", F.when(i % 5 != 0, F.col("request_ms") + i % 1000).alias("response_ms"), F.when(i % 3 == 0, i % 100).cast("long").alias("duration"), F.lit("m").alias("model"), (i % 7 * 100).cast("int").alias("max_tokens"), (i % 50).cast("int").alias("prompt_length"),
+        "status", F.when(failed, 500).otherwise(200).alias("status_code"), F.when(~failed, F.repeat(F.lit("x"), (i % 9).cast("int"))).alias("content"), null.cast("long").alias("prompt_tokens"), F.when(i % 4 == 1, i % 11).cast("long").alias("completion_tokens"), F.col("total_tokens"),
+        F.when(failed, F.lit("bad")).alias("error_message"), F.when(failed & (i % 2 == 0), "E").alias("error_code"), F.when(i % 6 == 0, 2).alias("retry_count"),
+    )
+
+
+@query(f"""WITH {CALLS} SELECT CAST(request_id AS VARCHAR) AS request_id, coalesce(nullif(CASE WHEN request_id % 3 = 0 THEN request_id % 100 END, 0), CASE WHEN request_id % 5 <> 0 THEN request_id % 1000 END) AS duration,
+  CASE WHEN status = 'error' THEN 0 ELSE request_id % 9 END AS content_length, CASE WHEN total_tokens IS NOT NULL OR request_id % 4 = 1 THEN coalesce(total_tokens, 0) END AS total_tokens, CASE WHEN total_tokens IS NOT NULL OR request_id % 4 = 1 THEN CASE WHEN request_id % 4 = 1 THEN request_id % 11 ELSE 0 END END AS completion_tokens,
+  CASE WHEN status = 'error' THEN 'bad' END AS error_message, CASE WHEN status = 'error' AND request_id % 2 = 0 THEN 'E' END AS error_code, CASE WHEN request_id % 6 = 0 THEN 2 ELSE 0 END AS retry_count FROM calls""")
+def call_log(spark, sf):
+    """Records built from flat parameters, appended to a log of day folders, cut to the kept days and read back."""
+    path = f"{shared_dir(spark)}/call-log-{uuid.uuid4().hex}"
+    L.append_call_log(logs.records(_params(spark, sf)), f"{path}/all")
+    logs.rewrite_retained(L.call_log(spark, f"{path}/all"), f"{path}/kept", "2024-01-31", 36500)
+    back = L.call_log(spark, f"{path}/kept")
+    return back.select(F.col("requestId").alias("request_id"), "timestamp.duration", F.col("response.contentLength").cast("long").alias("content_length"), F.col("tokenUsage.totalTokens").alias("total_tokens"), F.col("tokenUsage.completionTokens").alias("completion_tokens"), F.col("error.message").alias("error_message"), F.col("error.code").alias("error_code"), F.col("retryCount").alias("retry_count"))
+
+
 _ERRORS = [("ECONNRESET", None, None), (None, 401, None), (None, 429, None), (None, 404, None), (None, 503, None), (None, None, "SSL handshake"), (None, None, "Request timeout"), (None, None, "invalid key"), ("ODD", None, "getaddrinfo failed"), (None, None, "other")]
-_KINDS = ["network_reset", "authentication", "rate_limit", "http_status", "api_error", "ssl_tls", "timeout", "authentication", "dns_resolution", "unknown"]
 
 
-@query(f"SELECT [{', '.join(repr(k) for k in _KINDS)}][event_id % 10 + 1] AS type, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
+def _sql_value(v) -> str:
+    return "NULL" if v is None else repr(v)
+
+
+_BY_MESSAGE = " ".join(f"WHEN {' OR '.join(f"contains(lower(coalesce(message, '')), '{p}')" for p in ps)} THEN '{k}'" for k, ps in T.ERROR_PHRASES)
+_CLASSIFIED = f"""errors AS (SELECT e.* FROM events JOIN (VALUES {', '.join(f"({k}, {', '.join(map(_sql_value, e))})" for k, e in enumerate(_ERRORS))}) e(k, code, status, message) ON event_id % 10 = k WHERE event_type = 'error'),
+  classified AS (SELECT CASE {' '.join(f"WHEN code = '{c}' THEN '{k}'" for c, k in T.ERROR_CODES.items())} WHEN status IN (401, 403) THEN 'authentication' WHEN status = 429 THEN 'rate_limit' WHEN status BETWEEN 400 AND 499 THEN 'http_status' WHEN status >= 500 THEN 'api_error' {_BY_MESSAGE} ELSE 'unknown' END AS type FROM errors)"""
+
+
+@query(f"""WITH {_CLASSIFIED} SELECT type, type IN ({', '.join(map(repr, T.NETWORK))}) AS network, type IN ({', '.join(map(repr, T.RETRYABLE))}) AS retryable, count(*) AS n FROM classified GROUP BY 1""")
 def error_types(spark, sf):
     pick = lambda j, kind: F.get(F.array(*[F.lit(e[j]).cast(kind) for e in _ERRORS]), (F.col("event_id") % 10).cast("int"))
     rows = _given(spark, sf, "events").where("event_type = 'error'")
-    return rows.select(T.error_type(pick(0, "string"), pick(1, "int"), pick(2, "string")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    counts = rows.select(T.error_type(pick(0, "string"), pick(1, "int"), pick(2, "string")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return counts.select("type", T.is_network_error(F.col("type")).alias("network"), T.is_retryable(F.col("type")).alias("retryable"), "n")
 
 
 @query(f"WITH {CALLS} SELECT CAST(strftime(make_timestamp(request_ms * 1000), '%Y%m%d') AS BIGINT) AS day, count(*) AS n FROM calls WHERE CAST(make_timestamp(request_ms * 1000) AS DATE) >= DATE '2024-01-31' - 10 GROUP BY 1")
@@ -469,7 +697,19 @@ def log_retention(spark, sf):
     return kept.groupBy(F.date_format(F.timestamp_millis("request_ms"), "yyyyMMdd").cast("long").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query(None)
+def _re2(pattern: str) -> str:
+    return re.sub(r"\\u([0-9a-fA-F]{4})", r"\\x{\1}", pattern).replace("'", "''")
+
+
+def _cleaned(column: str) -> str:
+    out = f"coalesce({column}, '')"
+    for pattern, to in T.CLEANING:
+        to = "chr(10) || chr(10)" if to == "\n\n" else "chr(10)" if to == "\n" else "'" + to.replace("$1", "\\1") + "'"
+        out = f"regexp_replace({out}, '{_re2(pattern)}', {to}, 'g')"
+    return f"regexp_replace({out}, '{_re2(T.ENDS)}', '', 'g')"
+
+
+@query(f"SELECT page_id, {_cleaned('html')} AS clean FROM pages")
 def clean_text(spark, sf):
     return _given(spark, sf, "pages").select("page_id", T.clean_text(F.col("html")).alias("clean"))
 

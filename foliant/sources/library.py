@@ -41,11 +41,25 @@ def append_call_log(entries: DataFrame, path: str) -> None:
 
 def search_log(spark: SparkSession, path: str) -> DataFrame:
     """(ts, event) of lines ``[time] {json}``."""
-    event = "searchId string, action string, algorithm string, query string, resultCount int, durationMs long, error string, resultIds array<long>, strategy string, usedAlgorithm string, fallbackReason string, finalCount int"
+    event = "searchId string, action string, algorithm string, query string, resultCount int, durationMs long, error string, resultIds array<long>, strategy string, usedAlgorithm string, fallbackReason string, finalCount int, sourceAlgorithm string"
     line = spark.read.text(path).select(F.regexp_extract("value", r"^\[([^\]]+)\]", 1).alias("at"), F.regexp_extract("value", r"^\[[^\]]+\] (\{.*)$", 1).alias("json"))
     return line.where("json <> ''").select(F.try_to_timestamp("at").alias("ts"), F.from_json("json", event).alias("event"))
 
 
+def write_snapshot(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write the library's tables (documents, dictionaries, bridges) as one snapshot, a subfolder each. A
+    snapshot that is read while the next one is made needs another folder."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def search_log_lines(events: DataFrame) -> DataFrame:
+    """(value): lines ``[time] {json}`` of events (ts and any other columns), to be written as text."""
+    names = [c for c in events.columns if c != "ts"]
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return events.select(F.concat(F.lit("["), at, F.lit("] "), F.to_json(F.struct(*names))).alias("value"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given documents in the library's shape; same expressions as ``LIBRARY_SQL``."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -84,12 +98,12 @@ LISTING_SQL = """listing AS (SELECT file_path, CASE WHEN id % 4 = 0 THEN coalesc
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
-    fixed = spark.createDataFrame([(-1, "2024 7"), (-2, "what is the"), (-3, "  ")], asked.schema)
+    fixed = spark.createDataFrame([(-1, "2024 7"), (-2, "what is the"), (-3, "  "), (-4, "hanedb lyabl ousandt"), (-5, "什么是智慧城市？")], asked.schema)
     return asked.unionByName(fixed)
 
 
 QUESTIONS_SQL = """questions AS (SELECT conv_id * 1000 + turn AS question_id, text AS question FROM conversations WHERE role = 'user'
-  UNION ALL VALUES (-1, '2024 7'), (-2, 'what is the'), (-3, '  '))"""
+  UNION ALL VALUES (-1, '2024 7'), (-2, 'what is the'), (-3, '  '), (-4, 'hanedb lyabl ousandt'), (-5, '什么是智慧城市？'))"""
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:

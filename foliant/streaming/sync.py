@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SCHEMA = "file_path string, file_mtime long, file_size long"
+
 
 def latest(rows: DataFrame) -> DataFrame:
     """The newest row of each path."""
     return rows.groupBy("file_path").agg(F.max_by(F.struct("file_mtime", "file_size"), F.struct("file_mtime", "file_size")).alias("r")).select("file_path", "r.file_mtime", "r.file_size")
 
 
-def start(stream: DataFrame, table: str, checkpoint: str):
-    """Upsert each micro-batch into the Parquet folder ``table``, one version folder a batch, so that a
-    batch that runs again writes the same version. Returns the query."""
-    spark = stream.sparkSession
+def start(stream: DataFrame, table: str, checkpoint: str, epoch: int = 0):
+    """Append each micro-batch's latest rows to the Parquet folder ``table``, a folder a batch: work per batch grows with the
+    batch and not with the table, and a batch that runs again replaces its own folder only. A stream whose checkpoint was
+    lost counts its batches from 0 again, so it must be started with the next ``epoch``. Returns the query."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest(batch.select("file_path", "file_mtime", "file_size")).write.mode("overwrite").parquet(f"{table}/epoch={epoch}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """The listing that the batches so far add up to."""
+    return latest(spark.read.schema(SCHEMA + ", epoch int, batch int").parquet(table).drop("epoch", "batch"))
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        fresh = latest(batch.select("file_path", "file_mtime", "file_size"))
-        if number:
-            old = spark.read.parquet(f"{table}/version={number - 1}")
-            fresh = latest(old.unionByName(fresh))
-        fresh.write.mode("overwrite").parquet(f"{table}/version={number}")
 
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def compact(spark: SparkSession, table: str, to: str) -> None:
+    """Write the current listing as the first batch of a new table, for a stream that goes on with a new checkpoint."""
+    current(spark, table).write.parquet(f"{to}/epoch=0/batch=0")

@@ -85,16 +85,35 @@ def test_candidates_on_chinese(spark):
 
 def test_retrieval_cascade(spark):
     docs = spark.createDataFrame(
-        [(1, "建设", "x", None, "我国的智慧城市建设"), (2, "b", "智慧", None, "关于城市"), (3, "c", "智慧", "", "无关"), (4, "d", "y", None, "in 2024 7 came"), (5, "2024", "y", None, "7 in 2024"), (6, "e", "是", None, "z")],
+        [(1, "建设", "x", None, "我国的智慧城市建设"), (2, "b", "智慧", None, "关于城市"), (3, "c", "智慧", "", "无关"), (4, "d", "y", None, "in 2024 7 came"), (5, "2024", "y", None, "7 in 2024"), (6, "e", "是", None, "z"), (7, "g", "y", None, "论城市"), (8, "Is", "是", None, "X"), (9, "智慧城市建设", None, None, None)],
         "id long, title string, author string, abstract string, content string",
-    )
-    asked = spark.createDataFrame([(1, "什么是智慧城市"), (2, "2024 7"), (3, "是")], "question_id long, question string")
+    ).withColumn("updated_at", F.timestamp_seconds("id"))
+    asked = spark.createDataFrame([(1, "什么是智慧城市"), (2, "2024 7"), (3, "是"), (4, None), (5, "是　is"), (6, "什么是智慧城市？")], "question_id long, question string")
     got = {}
     for r in search.retrieve(docs, asked).orderBy("question_id", "place").collect():
-        got.setdefault(r["question_id"], []).append((r["id"], r["strategy"]))
-    assert got[1] == [(1, "fallback"), (2, "fallback")]  # by three and one of its 2-grams; authors do not count
-    assert got[2] == [(4, "primary")]  # as a phrase, not across title and content
-    assert got[3] == [(6, "fallback")]
+        got.setdefault(r["question_id"], []).append((r["id"], r["strategy"], r["rank"]))
+    assert got[1] == [(9, "fallback", -3), (1, "fallback", -3), (7, "fallback", -1), (2, "fallback", -1)]  # by the number of 2-grams, then newest first; authors do not count
+    assert [r[:2] for r in got[2]] == [(4, "primary")]  # as a phrase, not across title and content
+    assert got[3] == [(8, "fallback", -40), (6, "fallback", -40)]  # by the place of the text itself, newest first
+    assert {r[0] for r in got[5]} == {8, 6} and 4 not in got
+    assert [r[0] for r in got[6]] == [9, 1, 7, 2]
+
+
+def test_search_in_blocks_and_batches(spark, monkeypatch):
+    docs, asked = library.documents(spark, SF), library.questions(spark, SF)
+    rows = lambda: sorted(map(tuple, search.retrieve(docs, asked).select("question_id", "id", "rank", "place", "strategy").collect()))
+    whole = rows()
+    monkeypatch.setattr(search, "ASKED_PER_BLOCK", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        assert rows() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_search_without_documents_or_questions(spark):
+    docs, asked = library.documents(spark, SF), library.questions(spark, SF)
+    assert search.retrieve(docs.limit(0), asked).count() == 0 and search.retrieve(docs, asked.limit(0)).count() == 0
 
 
 def brute_snippet(content, words):
@@ -153,8 +172,71 @@ def test_model_calls(spark):
 def test_streaming_sync(spark, tmp_path):
     schema = "file_path string, file_mtime long, file_size long"
     source, table = str(tmp_path / "in"), str(tmp_path / "table")
-    for k, rows in enumerate([[("a", 1, 1), ("b", 1, 1), ("a", 3, 2)], [("a", 2, 9), ("c", 1, 1)]]):
+    for rows in [[("a", 1, 1), ("b", 1, 1), ("a", 3, 2)], [("a", 2, 9), ("c", 1, 1)]]:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         sync.start(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "check")).awaitTermination()
-        got = sorted(map(tuple, spark.read.parquet(f"{table}/version={k}").collect()))
-    assert got == [("a", 3, 2), ("b", 1, 1), ("c", 1, 1)]
+    want = [("a", 3, 2), ("b", 1, 1), ("c", 1, 1)]
+    assert sorted(map(tuple, sync.current(spark, table).collect())) == want
+    # a stream that lost its checkpoint goes on in an epoch of its own
+    late = str(tmp_path / "late")
+    spark.createDataFrame([("d", 5, 5)], schema).write.parquet(late)
+    sync.start(spark.readStream.schema(schema).parquet(late), table, str(tmp_path / "check2"), epoch=1).awaitTermination()
+    sync.compact(spark, table, str(tmp_path / "small"))
+    assert sorted(map(tuple, sync.current(spark, str(tmp_path / "small")).collect())) == [*want, ("d", 5, 5)]
+
+
+def test_paths_outside_a_base(spark):
+    docs = spark.createDataFrame([(1, r"C:\Users\a.md"), (2, r"C:\Users_other\b.md"), (3, "/lib/a"), (4, "/lib_other/b"), (5, None), (6, r"c:\USERS\x\y.md")], "id long, file_path string")
+    ids = lambda base: sorted(r["id"] for r in catalog.outside_path(docs, base).collect())
+    assert ids(r"C:\Users") == ids("C:\\Users\\") == [2, 3, 4] and ids("/LIB/") == [1, 2, 4, 6]
+
+
+def test_updates_take_one_change_and_drop_falsy_values(spark):
+    docs = library.documents(spark, SF).where("id in (5, 10)")
+    changes = spark.createDataFrame([(5, ["year", "title"], 0, "first", 1), (5, ["year", "title"], 0, "second", 2), (5, ["year"], 1999, "third", 0)], "id long, set_fields array<string>, year int, title string, at long")
+    got = {r["id"]: r for r in catalog.partial_update(docs, changes, F.current_timestamp(), "at").collect()}
+    assert len(got) == 2 and got[5]["year"] is None and got[5]["title"] == "second" and got[10]["year"] == 2010
+    viewed = spark.createDataFrame([(10, ["last_viewed"])], "id long, set_fields array<string>").withColumn("last_viewed", F.lit(None).cast("timestamp"))
+    assert catalog.partial_update(docs, viewed, F.current_timestamp()).where("id = 10 and last_viewed is null").count() == 1
+
+
+def test_white_space_and_case_beyond_ascii(spark):
+    assert value(spark, T.question_keywords(F.lit("智慧\u3000城市"))) == ["智慧", "慧城", "城市"]
+    assert value(spark, T.highlight(F.lit("École école"), F.lit("ÉCOLE"))).count("highlight-keyword") == 2
+
+
+def test_sync_is_applied(spark):
+    now = F.lit("2030-01-01").cast("timestamp")
+    docs = library.documents(spark, SF).where("id in (4, 11, 13, 20, 21)")
+    listing = docs.where("id <> 13").select("file_path", F.when(F.col("id").isin(4, 20), F.col("file_mtime") + 1).otherwise(F.coalesce("file_mtime", F.lit(77))).alias("file_mtime"), "file_size")
+    listing = listing.unionByName(spark.createDataFrame([("/new/a.md", 1, 1), ("/new/bad.pdf", 1, 1)], listing.schema))
+    broken = docs.where("id = 20").first()["file_path"]
+    read = listing.where(~F.col("file_path").isin(broken, "/new/bad.pdf")).select("file_path", F.lit("T").alias("title"), F.lit("").alias("content"), F.lit("text").alias("file_type"), "file_mtime", "file_size")
+    old = {r["id"]: r for r in docs.collect()}
+    got = {r["id"] if not r["file_path"].startswith("/new") else r["file_path"]: r for r in catalog.apply_sync(docs, catalog.sync_diff(listing, docs), read, now).collect()}
+    assert set(got) == {4, 11, 20, 21, "/new/a.md"}
+    assert got[4]["title"] == "T" and got[4]["content"] is None and got[4]["file_mtime"] == 4001 and got[4]["favorite"] == old[4]["favorite"]
+    assert got[11]["file_mtime"] == 77 and got[11]["title"] == old[11]["title"] and got[20] == old[20] and got[21] == old[21]
+    assert got["/new/a.md"]["favorite"] == 0 and got["/new/a.md"]["author"] is None
+
+
+def test_local_prompts(spark):
+    ask = lambda q, docs="[1] a": value(spark, context.local_prompt(F.lit(q), F.lit("$& {question} body"), F.lit(docs)))
+    plain = ask("哪里不好 {docsList}")
+    assert "$& {question} body" in plain and "哪里不好 {docsList}" in plain and "[1] a" in plain and context.DETAIL_NOTE in plain
+    assert context.SUMMARY_NOTE in ask("具体总结") and context.DETAIL_NOTE not in ask("具体总结") and "特殊指令" not in ask("hi")
+    assert context.NO_DOCUMENTS in ask("hi", "")
+    assert value(spark, context.task_prompt("tags", F.lit("{content}"))).endswith("\n{content}")
+
+
+def test_responses(spark):
+    got = lambda raw, **o: tuple(value(spark, T.answer(F.lit(raw), **o)))
+    assert got('{"choices": [{"message": {"content": " a "}}]}') == ("a", None) and got('{"text": "b"}') == ("b", None)
+    assert got('{"text": "b"}', output_only=True) == (None, "format") and got('{"output": {"text": "c"}}', output_only=True) == ("c", None)
+    assert got('{"error": {"message": "no"}}') == (None, "api: no") and got("<html>") == (None, "json") and got("{}") == (None, "format")
+
+
+def test_han_words_at_the_ends_of_runs(spark):
+    docs = spark.createDataFrame([(1, "中国"), (2, "é中国人é中国"), (3, "中国人民，民主"), (4, "a中国")], "id long, text string")
+    got = {(r["id"], r["word"]): r["freq"] for r in graph.candidate_terms(docs).collect()}
+    assert got[(1, "中国")] == 1 and (2, "中国") not in got and got[(3, "中国")] == 1 and (3, "国人") not in got and got[(3, "人民")] == 1 and got[(3, "民主")] == 1 and got[(4, "中国")] == 1
