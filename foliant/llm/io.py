@@ -1,31 +1,26 @@
-"""Reading tables, and writing intermediate results where every executor sees them."""
+"""Reading tables, writing intermediate results where every executor sees them, and column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.sources.scratch import settle, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["rename_clashing", "settle", "shared_dir", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master that has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", made := tempfile.mkdtemp(prefix="foliant-"))
-    return made
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, so that a
-    lost executor costs a file read and not a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def rename_clashing(df: DataFrame, added: list[str]) -> DataFrame:
+    """``df`` with ``_input`` behind the names of columns that ``added`` ones would clash with, in any case of letters."""
+    taken = {c.lower() for c in (*df.columns, *added)}
+    for c in df.columns:
+        if c.lower() in {a.lower() for a in added}:
+            new = c + "_input"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            df = df.withColumnRenamed(c, new)
+    return df

@@ -1,13 +1,18 @@
 """URL filters: host and path rules, and for other URLs a character language-model ratio.
 
-Two smoothed variable-order Markov models (orders 0 to 3) are trained, one on accepted and one on
-rejected URLs. Characters fold to 32 symbols, so each model is at most 2**20 four-gram counts however
-many URLs there are; Spark counts them over all labelled URLs, and only that fixed-size table reaches
-the driver. A URL's score is the mean over its characters of log p(rejected) - log p(accepted).
-The threshold is a quantile of held-out accepted URLs' scores.
-
-Null and malformed URLs have an empty host and path, match no rule and are allowed: without text the
-score is 0, which counts as not above the threshold. Repeated rows are judged alike, extra columns stay.
+Two smoothed variable-order Markov models over bytes, one of accepted and one of rejected URLs, back off from contexts of
+four bytes down to none (Witten-Bell). Their counts are a Spark table of all the five-byte grams of all URLs, which grows with
+them; shorter grams are its sums, and every order is joined with the one below it. A URL's score is the mean over its
+bytes after ``://`` (all bytes of one without it) of log p(rejected) - log p(accepted). The threshold is a quantile of
+held-out accepted URLs' scores.
+
+URLs are scored once however often they are repeated, in blocks of about ``BLOCK_URLS``: a block sends each of its distinct
+grams once and gets their log-ratios back, so a gram that all URLs hold costs a row a block.
+
+Null URLs have an empty host and path, match no rule and are allowed; URLs without ``://`` have an empty host and path
+too and are judged by the method. A URL without text scores 0, which counts as not above the threshold, and so does
+every URL where one class has none to learn from. Repeated rows are judged alike. Extra columns stay; an input column
+that is named like an added one gets ``_input`` behind its name.
 """
 
 from __future__ import annotations
@@ -17,30 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SYMBOLS, ORDER = 32, 4
-CELLS = SYMBOLS**ORDER
+from foliant.llm.io import rename_clashing, settle
+
+ORDER = 5
+BLOCK_URLS = 5000
+ADDED = ["url_host", "url_path", "url_rule", "url_score", "url_verdict"]
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values of the query's contract: (rule, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
-def _symbol_table() -> np.ndarray:
-    """Byte to symbol: letters 0-25, then digit, dot, slash, dash or underscore, query mark, other."""
-    out = np.full(256, 31, np.int64)
-    for first in (65, 97):
-        out[first : first + 26] = np.arange(26)
-    out[48:58] = 26
-    for k, chars in enumerate((b".", b"/", b"-_", b"?&=#%+~"), start=27):
-        out[list(chars)] = k
-    return out
-
-
-_TABLE = _symbol_table()
-
-
 def host_of(url: Column) -> Column:
     found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
     return F.coalesce(F.translate(found, _AZ, _az), F.lit(""))
@@ -60,75 +55,99 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
     return rule, verdict
 
 
-def _codes(values: list) -> tuple[np.ndarray, np.ndarray]:
-    """Four-gram codes of all URLs end to end (three boundary symbols before each), and their lengths."""
-    raw = [b"" if v is None else v.partition("://")[2].encode("utf-8", "replace") for v in values]
+def grams(urls: list) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the ``ORDER``-byte grams that end at each byte of the URLs, end to end, and the URLs' lengths. Before a
+    URL stand zero bytes. A code is a 1 and then the gram's bytes, so grams of every length have codes of their own."""
+    raw = []
+    for u in urls:
+        head, mark, tail = (u or "").partition("://")
+        raw.append((tail if mark else head).encode("utf-8", "replace"))
     size = np.array([len(x) for x in raw], np.int64)
-    held = _TABLE[np.frombuffer(b"".join(b"\x00\x00\x00" + x for x in raw), np.uint8)]
-    code = held.copy()
-    for k in range(1, ORDER):
-        code[k:] += held[:-k] * SYMBOLS**k
-    first = np.concatenate([[0], np.cumsum(size + 3)[:-1]])
+    held = np.frombuffer(b"".join(bytes(ORDER - 1) + x for x in raw), np.uint8).astype(np.int64)
+    code = np.full(len(held), 1 << (8 * ORDER), np.int64)
+    for k in range(min(ORDER, len(held))):
+        code[k:] += held[: len(held) - k] << (8 * k)
     keep = np.ones(len(held), bool)
-    for k in range(3):
+    first = np.cumsum(size + ORDER - 1) - size - (ORDER - 1)
+    for k in range(ORDER - 1):
         keep[first + k] = False
     return code[keep], size
 
 
-def count_codes(labelled: DataFrame) -> DataFrame:
-    """(rejected boolean, code, n) over all rows of (url, rejected)."""
+def in_blocks(urls: DataFrame) -> DataFrame:
+    """``urls`` (url, rejected, n) with a ``block`` number for every ``BLOCK_URLS`` rows of a task."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CELLS), np.int64)
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for b in batches:
-            marks = np.asarray(b.column(1).to_pylist(), bool)
-            code, size = _codes(b.column(0).to_pylist())
-            owner = np.repeat(marks, size)
-            for k in (0, 1):
-                total[k] += np.bincount(code[owner == k], minlength=CELLS)
-        for k in (0, 1):
-            at = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_pydict({"rejected": pa.array(np.full(len(at), bool(k))), "code": pa.array(at.astype(np.int64)), "n": pa.array(total[k][at])})
-
-    parts = labelled.select("url", "rejected").mapInArrow(count, "rejected boolean, code long, n long")
-    return parts.groupBy("rejected", "code").agg(F.sum("n").alias("n"))
+            block = (TaskContext.get().partitionId() << 32) + (seen + np.arange(b.num_rows)) // BLOCK_URLS
+            seen += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block)], [*b.schema.names, "block"])
 
+    return settle(urls.select("url", "rejected", "n").mapInArrow(number, "url string, rejected boolean, n long, block long"), "urls")
 
-def _log_probabilities(counts: np.ndarray) -> np.ndarray:
-    """Witten-Bell interpolation from order 0 up: each context backs off to the shorter one in
-    proportion to its number of distinct continuations."""
-    lower = np.full(SYMBOLS, 1 / SYMBOLS)
-    for order in range(1, ORDER + 1):
-        n = counts.reshape(-1, SYMBOLS**order).sum(0).astype(float).reshape(-1, SYMBOLS)
-        total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-        back = np.tile(lower.reshape(-1, SYMBOLS), (n.shape[0] * SYMBOLS // lower.size, 1))
-        lower = np.where(total > 0, (n + kinds * back) / np.maximum(total + kinds, 1), back)
-    return np.log(lower.reshape(-1))
 
+def block_grams(blocks: DataFrame) -> DataFrame:
+    """(block, code, accepted, rejected): the distinct grams of each block, with their counts in accepted and in rejected
+    URLs; grams of other URLs alone have zeros."""
 
-def train(labelled: DataFrame) -> np.ndarray:
-    """log-ratio of each four-gram (float32, 4 MB at any input); zeros when a class has no URL.
-
-    At most 2 * 2**20 counts come to the driver."""
-    rows = count_codes(labelled).toPandas()
-    counts = np.zeros((2, CELLS), np.int64)
-    counts[rows["rejected"].to_numpy(int), rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    if not counts[0].any() or not counts[1].any():
-        return np.zeros(CELLS, np.float32)
-    return (_log_probabilities(counts[1]) - _log_probabilities(counts[0])).astype(np.float32)
-
-
-def score_column(spark, ratio: np.ndarray):
-    """Column function: mean log-ratio per character; empty and null URLs score 0."""
-    held = spark.sparkContext.broadcast(ratio)
-
-    @F.pandas_udf("double")
-    def score(urls: pd.Series) -> pd.Series:
-        code, size = _codes(urls.tolist())
-        sums = np.bincount(np.repeat(np.arange(len(size)), size), weights=held.value[code], minlength=len(size))
-        return pd.Series(sums / np.maximum(size, 1))
-
-    return score
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, size = grams(b.column("url").to_pylist())
+            n, block = b.column("n").to_numpy(zero_copy_only=False), b.column("block").to_numpy(zero_copy_only=False)
+            mark = np.array([-1 if m is None else int(m) for m in b.column("rejected").to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((code, block[row]))
+            code, row = code[order], row[order]
+            new = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(block[row], prepend=-1) != 0))
+            sums = [np.add.reduceat(np.where(mark[row] == k, n[row], 0), new) if len(new) else np.zeros(0, np.int64) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[row][new]), pa.array(code[new]), *map(pa.array, sums)], ["block", "code", "accepted", "rejected"])
+
+    return settle(blocks.mapInArrow(count, "block long, code long, accepted long, rejected long"), "grams")
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(code, ratio): log p(rejected) - log p(accepted) of the last byte of each gram after the bytes before it.
+
+    Witten-Bell from order 0 up: a context that a class has seen gives way to the shorter one in proportion to its number
+    of distinct continuations; one that it has not seen gives way altogether. A context has at most 256 continuations and
+    a gram at most 256 longer ones, so neither the windows nor the joins have hot keys."""
+    levels = [counts.groupBy("code").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r"))]
+    for n in range(ORDER - 1, 0, -1):
+        shorter = F.col("code").bitwiseAND((1 << (8 * n)) - 1) + F.lit(1 << (8 * n))
+        levels.append(levels[-1].groupBy(shorter.alias("code")).agg(F.sum("a").alias("a"), F.sum("r").alias("r")))
+    known = None
+    for n, level in enumerate(reversed(levels), 1):
+        w = Window.partitionBy(F.shiftright("code", 8))
+        rows = level.select("code", *[e for c in ("a", "r") for e in (F.col(c), F.sum(c).over(w).alias(f"t{c}"), F.count_if(F.col(c) > 0).over(w).alias(f"k{c}"))])
+        if known is None:
+            rows = rows.withColumns({"pa": F.lit(1 / 256), "pr": F.lit(1 / 256)})
+        else:
+            shorter = F.col("code").bitwiseAND((1 << (8 * (n - 1))) - 1) + F.lit(1 << (8 * (n - 1)))
+            rows = rows.withColumn("shorter", shorter).join(known.withColumnRenamed("code", "shorter"), "shorter")
+        p = {f"p{c}": F.when(F.col(f"t{c}") > 0, (F.col(c) + F.col(f"k{c}") * F.col(f"p{c}")) / (F.col(f"t{c}") + F.col(f"k{c}"))).otherwise(F.col(f"p{c}")) for c in ("a", "r")}
+        known = rows.withColumns(p).select("code", "pa", "pr")
+    return known.select("code", (F.log("pr") - F.log("pa")).alias("ratio"))
+
+
+def score(urls: DataFrame) -> DataFrame:
+    """(url, score) of every distinct URL of ``urls`` (url, rejected boolean), learnt from those with a label."""
+    blocks = in_blocks(urls.where("url is not null").groupBy("url", "rejected").agg(F.count("*").alias("n")))
+    held = block_grams(blocks)
+    seen = held.agg(F.sum("accepted"), F.sum("rejected")).first()
+    if not seen[0] or not seen[1]:
+        return blocks.select("url").distinct().withColumn("score", F.lit(0.0))
+    ratios = held.select("block", "code").join(log_ratios(held), "code")
+
+    def add_up(rows: pd.DataFrame, ratios: pd.DataFrame) -> pd.DataFrame:
+        code, size = grams(rows["url"].tolist())
+        ratios = ratios.sort_values("code")
+        value = ratios["ratio"].to_numpy()[np.searchsorted(ratios["code"].to_numpy(), code)] if len(code) else np.zeros(0)
+        sums = np.bincount(np.repeat(np.arange(len(size)), size), value, len(size))
+        return pd.DataFrame({"url": rows["url"], "score": sums / np.maximum(size, 1)})
+
+    scored = blocks.select("url", "block").groupBy("block").cogroup(ratios.groupBy("block")).applyInPandas(add_up, "url string, score double")
+    return settle(scored.distinct(), "scores")
 
 
 def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] | None = None, accepted_loss: float = 0.02) -> DataFrame:
@@ -136,14 +155,15 @@ def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] | Non
 
     URLs that a rule decides train the models, but for a fifth (by crc32 of the URL), whose accepted
     ones set the threshold: the score that a share ``accepted_loss`` of them exceeds, 0 at least."""
-    spark = pages.sparkSession
     rules = RULES if rules is None else rules
+    pages = rename_clashing(pages, ADDED)
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rule, verdict = matching_rule(host, path, rules)
-    ruled = pages.select(F.col(url).alias("url"), verdict.alias("verdict")).where("verdict is not null")
-    ruled = ruled.select("url", (F.col("verdict") == "block").alias("rejected"), (F.crc32("url") % 5 == 0).alias("held"))
-    ratio = train(ruled.where("not held"))
-    score = score_column(spark, ratio)
-    level = ruled.where("held and not rejected").select(score("url").alias("s")).agg(F.expr(f"percentile_approx(s, {1 - accepted_loss}, 10000)")).first()[0]
+    held = F.crc32(url) % 5 == 0
+    scores = score(pages.select(F.col(url).alias("url"), F.when(~held, verdict == "block").alias("rejected")))
+    checked = pages.where(verdict == "allow").where(held).select(F.col(url).alias("url")).join(scores, "url")
+    level = checked.agg(F.expr(f"percentile_approx(score, {1 - accepted_loss}, 10000)")).first()[0]
     by_method = F.when(F.col("url_score") > max(0.0, level or 0.0), "block").otherwise("allow")
-    return pages.withColumns({"url_host": host, "url_path": path, "url_rule": rule, "url_score": score(F.col(url))}).withColumn("url_verdict", F.coalesce(verdict, by_method))
+    joined = pages.join(scores.select(F.col("url").alias("_scored"), F.col("score").alias("url_score")), F.col(url) == F.col("_scored"), "left").drop("_scored")
+    judged = joined.withColumns({"url_score": F.coalesce("url_score", F.lit(0.0)), "url_host": host, "url_path": path, "url_rule": rule})
+    return judged.withColumn("url_verdict", F.coalesce(verdict, by_method)).select(*pages.columns, *ADDED)
