@@ -4,12 +4,15 @@ The tree is fitted on at most ``SAMPLE`` distinct vectors; every vector is then
 are lifted by one coordinate so that largest inner product becomes least distance. A query takes leaves
 from a priority queue by distance to their centroid; how many is calibrated: the leaf visits are widened
 until they hold ``RECALL`` of the true neighbours of at most ``PROBES`` queries, found by brute force over
-all vectors. Visited leaves are searched exactly, in blocks of bounded size of neighbouring leaves and of queries, each of
-which gives its k + 1 best per query.
+all vectors. Visited leaves are searched exactly: neighbouring leaves share groups of bounded size, a query goes to the
+groups of its leaves, and a group's vectors go to as many blocks of queries as asked for it. Inside a block every leaf is
+multiplied with its own queries alone. Scores from the product choose candidates with a margin for rounding; their exact
+double-precision scores, summed in the order of the components, then decide, ties by id.
 
 Equal vectors are one candidate with its ``k + 1`` smallest ids, and equal queries are searched
 once, so a vector that fills a third of the table costs one row. Vectors that are null, zero, hold null or
-non-finite components, or are not of the most common length take no part. Rows of one vec_id count once.
+non-finite components take no part. Vectors of different lengths have no inner product, so each length is searched by itself,
+one after the other; of several rows of one vec_id the least vector counts.
 """
 
 from __future__ import annotations
@@ -37,9 +40,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     rows = rows.where(F.forall("v", finite) & F.exists("v", lambda x: x != 0))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("v") == (common["n"] if common else 0))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
@@ -186,10 +187,43 @@ def leaf_groups(sizes: np.ndarray) -> dict[int, tuple[int, int]]:
     return out
 
 
-def search(vectors: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest of every row that meets ``query_filter``."""
-    spark = vectors.sparkSession
-    rows = usable(vectors)
+HITS = "query_id long, rank int, vec_id long, score double"
+
+
+def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up from the first component to the last, whatever the number of rows."""
+    out = np.zeros(len(q))
+    for d in range(q.shape[1]):
+        out += q[:, d] * v[:, d]
+    return out
+
+
+def best_of(q: np.ndarray, v: np.ndarray, rep: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, score) of the k best vectors of every query, by exact score, then the smaller ``rep``."""
+    s = q @ v.T
+    k = min(k, len(v))
+    # a product may differ from the exact sum by about its length in units of the last place of the summands' size
+    slack = 1e-15 * (v.shape[1] + 8) * np.sqrt((q * q).sum(1) * (v * v).sum(1).max())
+    who, what = np.nonzero(s >= (np.partition(s, len(v) - k, 1)[:, len(v) - k] - 2 * slack)[:, None])
+    score = exact_scores(q[who], v[what])
+    order = np.lexsort((rep[what], -score, who))
+    first = np.searchsorted(who[order], np.arange(len(q)))
+    keep = order[np.arange(len(order)) - first[who[order]] < k]
+    return who[keep], what[keep], score[keep]
+
+
+def search(vectors: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int = 20, least_visits: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k nearest of every row that meets ``query_filter``. ``least_visits``
+    sets the number of leaves to visit in the place of the calibrated one."""
+    rows = settle(usable(vectors), "usable")
+    out = vectors.sparkSession.createDataFrame([], HITS)
+    for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").collect():  # one row per length of vectors
+        out = out.unionByName(_search(rows.where(F.size("v") == r["n"]), query_filter, k, least_visits))
+    return out
+
+
+def _search(rows: DataFrame, query_filter: str, k: int, least_visits: int | None) -> DataFrame:
+    spark = rows.sparkSession
     distinct = settle(distinct_vectors(rows, k), "vectors")
     total = distinct.agg(F.count("*"), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))"))).first()
     n, norm = total[0], total[1] or 1.0
@@ -201,18 +235,16 @@ def search(vectors: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int = 2
     sizes = np.array([counts.get(i, 0) for i in range(max(made.leaves, 1))])
     asked = rows.where(query_filter)
     queries = settle(distinct.join(asked.select("v").distinct(), "v").select("rep", "v"), "queries")
-    probes = queries.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(PROBES).collect()
-    least = calibrate(made, probes, _true_neighbours(spark, placed, probes, k), sizes) if probes else 1
-
-    groups, nearest_k = leaf_groups(sizes), k
-    query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    probes = queries.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(PROBES).collect() if least_visits is None else []
+    least = least_visits or (calibrate(made, probes, _true_neighbours(spark, placed, probes, k), sizes) if probes else 1)
+    groups = leaf_groups(sizes)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, group, leaves = [], [], []
             for row, q in enumerate(_matrix(b.column(1)) if b.num_rows else []):
                 own: dict[int, list[int]] = {}
-                for leaf in tree.value.visits(q, sizes, least, 4 * (nearest_k + 1)):
+                for leaf in tree.value.visits(q, sizes, least, 4 * (k + 1)):
                     first, parts = groups[leaf]
                     for g in range(first, first + parts):
                         own.setdefault(g, []).append(leaf)
@@ -222,30 +254,31 @@ def search(vectors: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int = 2
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(group, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["rep", "v", "grp", "leaves"])
 
-    wanted = queries.select("rep", "v").mapInArrow(visit, "rep long, v array<double>, grp int, leaves array<int>")
-    right = wanted.withColumn("qb", F.pmod(F.xxhash64("rep"), F.lit(query_blocks)).cast("int"))
+    wanted = settle(queries.select("rep", "v").mapInArrow(visit, "rep long, v array<double>, grp int, leaves array<int>"), "wanted")
+    # one row per group that is asked for, and the groups are bounded by the sample
+    blocks = F.broadcast(wanted.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks")))
+    right = wanted.join(blocks, "grp").withColumn("qb", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).drop("blocks")
     shape = F.broadcast(spark.createDataFrame([(leaf, first, parts) for leaf, (first, parts) in groups.items()], "leaf int, first int, parts int"))  # a row per leaf, bounded by the sample
-    left = placed.select("rep", "v", "leaf").join(shape, "leaf").select("rep", "v", "leaf", F.expr("cast(first + pmod(xxhash64(rep), parts) as int)").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+    left = placed.select("rep", "v", "leaf").join(shape, "leaf").select("rep", "v", "leaf", F.expr("cast(first + pmod(xxhash64(rep), parts) as int)").alias("grp"))
+    left = left.join(blocks, "grp").select("rep", "v", "leaf", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qb"))
 
     def nearest(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if not len(vs) or not len(qs):
-            return pd.DataFrame({"q": pd.Series([], dtype="int64"), "rep": pd.Series([], dtype="int64"), "score": pd.Series([], dtype=float)})
-        vs = vs.sort_values(["leaf", "rep"])
-        v, q = np.stack(vs["v"].to_numpy()).astype(float), np.stack(qs["v"].to_numpy()).astype(float)
-        rep, leaf = vs["rep"].to_numpy(np.int64), vs["leaf"].to_numpy()
-        asked = np.array([n for n in qs["leaves"]], object)
-        out = []
-        for lo in range(0, len(q), 256):
-            part = q[lo : lo + 256]
-            seen = np.zeros((len(part), len(v)), bool)
-            for i, leaves in enumerate(asked[lo : lo + 256]):
-                seen[i] = np.isin(leaf, leaves)
-            s = np.where(seen, part @ v.T, -np.inf)
-            top = np.argpartition(-s, k, 1)[:, : k + 1] if s.shape[1] > k + 1 else np.tile(np.arange(s.shape[1]), (len(s), 1))
-            ok = np.take_along_axis(seen, top, 1)
-            who, what = np.repeat(np.arange(len(part)), top.shape[1])[ok.reshape(-1)], top.reshape(-1)[ok.reshape(-1)]
-            out.append(pd.DataFrame({"q": qs["rep"].to_numpy(np.int64)[lo + who], "rep": rep[what], "score": (part[who] * v[what]).sum(1)}))
-        return pd.concat(out)
+        out = [pd.DataFrame({"q": pd.Series([], dtype="int64"), "rep": pd.Series([], dtype="int64"), "score": pd.Series([], dtype=float)})]
+        if len(vs) and len(qs):
+            v, q = np.stack(vs["v"].to_numpy()).astype(float), np.stack(qs["v"].to_numpy()).astype(float)
+            rep, asker = vs["rep"].to_numpy(np.int64), qs["rep"].to_numpy(np.int64)
+            leaf_of = vs["leaf"].to_numpy()
+            times = qs["leaves"].map(len).to_numpy()
+            leaf_asked, by = np.concatenate(qs["leaves"].to_numpy()), np.repeat(np.arange(len(qs)), times)
+            for leaf in np.unique(leaf_of).tolist():
+                own, askers = np.flatnonzero(leaf_of == leaf), by[leaf_asked == leaf]
+                for lo in range(0, len(askers), 512):
+                    some = askers[lo : lo + 512]
+                    who, what, score = best_of(q[some], v[own], rep[own], k + 1)
+                    out.append(pd.DataFrame({"q": asker[some[who]], "rep": rep[own[what]], "score": score}))
+            hits = pd.concat(out).sort_values(["q", "score", "rep"], ascending=[True, False, True])
+            out = [hits.groupby("q", sort=False).head(k + 1)]
+        return out[0]
 
     keys = ("grp", "qb")
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "q long, rep long, score double")

@@ -1,6 +1,7 @@
 """URL filters, nearest neighbours and chat formatting."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ def test_url_hosts_paths_and_rules(spark):
     assert got[0] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert got[1][:3] == ("foo.net", "", None) and got[2] == ("foo.net", "/", "net/", "block")
     assert got[3][2:] == ("example.com/de/", "block") and got[4][2] is None and got[5][2:] == ("org/fr/", "allow")
-    assert got[6] == ("", "", None, "allow") and got[7] == ("", "", None, "allow") and got[9][:2] == ("h", "") and got[10][:2] == ("b:", "//c/d")
+    assert got[6][:3] == ("", "", None) and got[7] == ("", "", None, "allow") and got[9][:2] == ("h", "") and got[10][:2] == ("b:", "//c/d")
     assert url_lm.judge(rows.limit(0)).count() == 0
 
 
@@ -25,10 +26,72 @@ def test_url_model_tells_classes_apart(spark):
     rng = np.random.default_rng(1)
     good = [f"http://{'lane'[rng.integers(4) :]}garden{rng.integers(99)}.example/news/{rng.integers(999)}" for _ in range(300)]
     bad = [f"http://xxx{rng.integers(99)}casino-win.example/zzq/{rng.integers(999)}" for _ in range(300)]
-    rows = spark.createDataFrame([(u, False) for u in good[:200]] + [(u, True) for u in bad[:200]], "url string, rejected boolean")
-    score = url_lm.score_column(spark, url_lm.train(rows))
-    held = spark.createDataFrame([(u, 0) for u in good[200:]] + [(u, 1) for u in bad[200:]], "url string, y int").select("y", score("url").alias("s")).collect()
-    assert max(r["s"] for r in held if not r["y"]) < min(r["s"] for r in held if r["y"])
+    rows = [(u, False if k < 200 else None, 0) for k, u in enumerate(good)] + [(u, True if k < 200 else None, 1) for k, u in enumerate(bad)]
+    y = {u: k for u, mark, k in rows if mark is None}
+    got = [(y[r["url"]], r["score"]) for r in url_lm.score(spark.createDataFrame([r[:2] for r in rows], "url string, rejected boolean")).collect() if r["url"] in y]
+    assert max(s for k, s in got if not k) < min(s for k, s in got if k)
+
+
+def brute_url_scores(rows):
+    """Witten-Bell in plain Python: {url: score}."""
+    text = lambda u: bytes(4) + (u.partition("://")[2] if "://" in u else u).encode()
+    counts = [{}, {}]
+    for u, rejected in rows:
+        if u is not None and rejected is not None:
+            t = text(u)
+            for at in range(4, len(t)):
+                for n in range(5):
+                    follow = counts[rejected].setdefault(t[at - n : at], {})
+                    follow[t[at]] = follow.get(t[at], 0) + 1
+
+    def p(k, t, at):
+        back = 1 / 256
+        for n in range(5):
+            if follow := counts[k].get(t[at - n : at]):
+                back = (follow.get(t[at], 0) + len(follow) * back) / (sum(follow.values()) + len(follow))
+        return back
+
+    return {u: float(np.mean([np.log(p(1, t, at) / p(0, t, at)) for at in range(4, len(t))] or [0.0])) for u, _ in rows if u is not None for t in [text(u)]}
+
+
+def test_url_scores_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(url_lm, "BLOCK_URLS", 7)
+    rng = np.random.default_rng(3)
+    words = ["shop", "news", "12", "97", "привет", "мир", "é", "a", "", "x" * 3000]
+    rows = [(f"http://{'.'.join(rng.choice(words, 2))}/{rng.choice(words)}?{rng.integers(50)}", [False, True, None][rng.integers(3)]) for _ in range(120)]
+    rows += [("http://", None), ("", None), (None, True), ("no scheme here", None), ("http://shop.12/", True)] + [("http://hot.example/", False)] * 40
+    rows = [(u, dict(rows)[u]) for u, _ in rows]
+    want = brute_url_scores(rows)
+    got = {r["url"]: r["score"] for r in url_lm.score(spark.createDataFrame(rows, "url string, rejected boolean")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-9 for u in want)
+
+
+def test_urls_of_other_scripts_and_digits_are_told_apart(spark):
+    rows = [(f"http://site.example/{w}/{k}", r) for k in range(30) for w, r in (("кот", False), ("пёс", True), ("17", False), ("84", True))]
+    asked = [("http://site.example/кот/x", None), ("http://site.example/пёс/x", None), ("http://site.example/17/x", None), ("http://site.example/84/x", None)]
+    got = {r["url"]: r["score"] for r in url_lm.score(spark.createDataFrame(rows + asked, "url string, rejected boolean")).collect()}
+    low, high, few, many = (got[u] for u, _ in asked)
+    assert low < 0 < high and few < 0 < many
+
+
+def test_url_filter_keeps_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "http://a.org/fr/", "mine", 2.0)] * 3 + [(2, None, None, None)], "page_id long, url string, URL_Host string, url_score double")
+    got = url_lm.judge(rows)
+    assert got.columns == ["page_id", "url", "URL_Host_input", "url_score_input", *url_lm.ADDED]
+    assert sorted((r["page_id"], r["url_host"], r["URL_Host_input"], r["url_verdict"]) for r in got.collect() if r["page_id"] == 1) == [(1, "a.org", "mine", "allow")] * 3
+
+
+def test_url_query_against_brute_force(spark):
+    rows = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()]
+    got = {r["page_id"]: r for r in queries.op1_url_filter(spark, SF).collect()}
+    assert len(got) == len(rows)
+    verdict = {u: got[i]["verdict"] for i, u in rows if got[i]["rule"]}
+    held = {u for u in verdict if zlib.crc32(u.encode()) % 5 == 0}
+    want = brute_url_scores([(u, None if u in held or u not in verdict else verdict[u] == "block") for _, u in rows])
+    assert all(abs(got[i]["score"] - want[u]) < 1e-9 for i, u in rows)
+    accepted = sorted(want[u] for _, u in rows if u in held and verdict[u] == "allow")
+    level = max(0.0, accepted[int(np.ceil(0.98 * len(accepted))) - 1])
+    assert all(got[i]["verdict"] == ("block" if want[u] > level else "allow") for i, u in rows if not got[i]["rule"])
 
 
 def brute(rows, k=20):
@@ -52,6 +115,44 @@ def test_recall_against_brute_force(spark):
     assert found >= 0.9
 
 
+def test_ties_between_different_vectors_go_by_id(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), rng.integers(-2, 3, 6).astype(float).tolist()) for k in rng.permutation(900)]
+    rows = [r for r in rows if any(r[1])]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least_visits=10**6).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert {q: [(v, s) for _, v, s in sorted(own)] for q, own in got.items()} == {q: [(v, float(s)) for v, s in own] for q, own in brute(rows).items()}
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(0, 1, 3 if k % 3 else 5).tolist()) for k in range(200)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    want = {q: v for n in (3, 5) for q, v in brute([r for r in rows if len(r[1]) == n]).items()}
+    assert {q: [own[k] for k in sorted(own)] for q, own in got.items()} == {q: [v for v, _ in own] for q, own in want.items()}
+
+
+def test_recall_on_queries_that_did_not_calibrate(spark, monkeypatch):
+    """Many leaves on clustered vectors: visits prune, and recall holds on the other queries."""
+    monkeypatch.setattr(ann, "PROBES", 40)
+    monkeypatch.setattr(ann, "LEAF_ROWS", 60)
+    rng = np.random.default_rng(10)
+    centres = rng.normal(0, 1, (60, 16))
+    m = centres[rng.integers(0, 60, 6000)] + rng.normal(0, 0.15, (6000, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(m)]
+    got, visited = {}, []
+    calibrate = ann.calibrate
+    monkeypatch.setattr(ann, "calibrate", lambda tree, *rest: visited.append((tree.leaves, calibrate(tree, *rest))) or visited[-1][1])
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: {v for v, _ in own} for q, own in brute(rows).items()}
+    assert sum(len(got[q] & want[q]) for q in want) / sum(map(len, want.values())) >= 0.93
+    assert visited[0][0] > 50 and visited[0][1] < visited[0][0] / 3
+
+
 def test_neighbours_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(k, [1.0, 2.0, 0.5]) for k in range(60)] + [(k, rng.normal(0, 1, 3).tolist()) for k in range(60, 90)]
