@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding with source offsets.
 
-Normalisation goes by the model's compiled character map: at each place the longest prefix that the
-map holds is replaced, and every byte of the result keeps the range of source bytes it came from;
-then comes the dummy prefix and the escape of spaces. Pieces lie end to end on the normalised bytes,
-so their byte lengths project each piece to the range of original bytes behind it.
-Ids are the library's own. Null texts count as empty; repeated rows are encoded alike.
+Normalisation goes by the model's compiled character map: at each place a user-defined symbol stays as it is, else the
+longest prefix that the map holds is replaced, and every byte of the result keeps the place of the source bytes it came
+from; then come the dummy prefix and the escape of spaces. The library segments this normalised text into pieces by a copy of the
+model whose own normalisation is switched off, so ids and spans come from the same bytes. Pieces lie end to end on
+them, so their byte lengths project each piece, unknown ones too, to the range of original bytes behind it.
+Null texts count as empty; repeated rows are encoded alike.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +33,11 @@ class Spec:
     dummy_prefix: bool
     squeeze: bool
     escape: bool
+    kept: frozenset[bytes] = frozenset()  # user-defined symbols
 
 
-def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
-    """Fields of a protocol-buffer message: (number, int or bytes)."""
+def _fields(raw: bytes) -> Iterator[tuple[int, object, bytes]]:
+    """Fields of a protocol-buffer message: (number, int or bytes, the field as it stands)."""
     at = 0
 
     def varint() -> int:
@@ -49,18 +52,22 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
             shift += 7
 
     while at < len(raw):
+        begin = at
         tag = varint()
         kind = tag & 7
         if kind == 0:
-            yield tag >> 3, varint()
-        elif kind == 2:
-            n = varint()
-            at += n
-            yield tag >> 3, raw[at - n : at]
+            value: object = varint()
         else:
-            n = 8 if kind == 1 else 4
+            n = varint() if kind == 2 else 8 if kind == 1 else 4
             at += n
-            yield tag >> 3, raw[at - n : at]
+            value = raw[at - n : at]
+        yield tag >> 3, value, raw[begin:at]
+
+
+def without_normaliser(model: bytes) -> bytes:
+    """The model with an identity in place of its normaliser: no map, dummy prefix, squeezing or escaping."""
+    spec = b"\x0a\x08identity\x18\x00\x20\x00\x28\x00"
+    return b"".join(field for number, _, field in _fields(model) if number != 3) + b"\x1a" + bytes([len(spec)]) + spec
 
 
 def expand_char_map(blob: bytes) -> dict[bytes, bytes]:
@@ -91,16 +98,25 @@ def expand_char_map(blob: bytes) -> dict[bytes, bytes]:
 
 
 def read_spec(model: bytes) -> Spec:
-    normaliser = next((v for n, v in _fields(model) if n == 3), b"")
-    got = dict(_fields(normaliser))
-    return Spec(expand_char_map(got.get(2, b"")), bool(got.get(3, 1)), bool(got.get(4, 1)), bool(got.get(5, 1)))
+    normaliser, kept = b"", set()
+    for number, value, _ in _fields(model):
+        if number == 3:
+            normaliser = value
+        elif number == 1:
+            piece = {n: v for n, v, _ in _fields(value)}
+            if piece.get(3) == 4:
+                kept.add(piece[1])
+        elif number == 2 and {n: v for n, v, _ in _fields(value)}.get(24):
+            raise ValueError("models that put the mark of a space behind words are not supported")
+    got = {n: v for n, v, _ in _fields(normaliser)}
+    return Spec(expand_char_map(got.get(2, b"")), bool(got.get(3, 1)), bool(got.get(4, 1)), bool(got.get(5, 1)), frozenset(kept))
 
 
 def normalise(raw: bytes, spec: Spec) -> tuple[bytes, np.ndarray]:
     """(normalised bytes, source place of each of them and of the end)."""
     if not raw:
         return b"", np.zeros(1, np.int64)
-    if not spec.char_map and not spec.squeeze:
+    if not spec.char_map and not spec.squeeze and not spec.kept:
         chars = np.frombuffer(raw, np.uint8)
         mark = MARK if spec.escape else b" "
         grown = np.where(chars == 32, len(mark), 1)
@@ -108,9 +124,15 @@ def normalise(raw: bytes, spec: Spec) -> tuple[bytes, np.ndarray]:
         body = raw.replace(b" ", mark)
         places = np.concatenate([np.zeros(lead, np.int64), np.repeat(np.arange(len(raw)), grown), [len(raw)]])
         return (mark if lead else b"") + body, places
-    longest = max(map(len, spec.char_map), default=1)
+    longest, longest_kept = max(map(len, spec.char_map), default=1), max(map(len, spec.kept), default=0)
     out, places, at = [], [], 0
     while at < len(raw):
+        n = next((n for n in range(min(longest_kept, len(raw) - at), 0, -1) if raw[at : at + n] in spec.kept), 0)
+        if n:
+            out.append(raw[at : at + n])
+            places.extend(range(at, at + n))
+            at += n
+            continue
         for n in range(min(longest, len(raw) - at), 0, -1):
             if (got := spec.char_map.get(raw[at : at + n])) is not None:
                 break
@@ -139,32 +161,44 @@ def normalise(raw: bytes, spec: Spec) -> tuple[bytes, np.ndarray]:
 
 class Codec:
     def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self._load(f.read())
+
+    @classmethod
+    def of(cls, model: bytes) -> Codec:
+        made = cls.__new__(cls)
+        made._load(model)
+        return made
+
+    def _load(self, model: bytes) -> None:
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        with open(path, "rb") as f:
-            self.spec = read_spec(f.read())
+        self.spec = read_spec(model)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=without_normaliser(model))
         n = self.library.get_piece_size()
         self.length = np.array([1 if self.library.is_byte(i) else len(self.library.id_to_piece(i).encode()) for i in range(n)], np.int64)
         self.length[[i for i in range(n) if self.library.is_control(i)]] = 0
         self.unknown = self.library.unk_id()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+    def encode(self, raws: list[bytes]) -> tuple[list[list[int]], list[np.ndarray]]:
+        """(ids of every text with begin and end, (begin, end) of every id in the text's bytes; begin and end ids are empty)."""
+        normal = [normalise(r, self.spec) for r in raws]
+        texts = [t.decode("utf-8", "replace") for t, _ in normal]
+        ids = self.pieces.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+        return ids, [self._spans(t, i, places) for t, i, (_, places) in zip(texts, ids, normal, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
 
-    def spans(self, text: str, ids: list[int]) -> np.ndarray | None:
-        """(begin, end) of every id in the text's UTF-8 bytes, begin and end ids empty; None for a
-        text with an unknown piece, whose length the vocabulary does not tell."""
-        _, places = normalise(text.encode("utf-8", "replace"), self.spec)
-        ids_ = np.asarray(ids)
-        if (ids_ == self.unknown).any():
-            return None
-        edge = np.concatenate([[0], np.cumsum(self.length[ids_])])
-        if edge[-1] != len(places) - 1:
-            return None
+    def _spans(self, text: str, ids: list[int], places: np.ndarray) -> np.ndarray:
+        flat = np.asarray(ids)
+        sizes = self.length[flat]
+        if (flat == self.unknown).any():
+            # the vocabulary does not tell an unknown piece's length, the pieces themselves do
+            pieces = self.pieces.encode(text, out_type=str, add_bos=True, add_eos=True)
+            sizes = np.where(flat == self.unknown, [len(p.encode()) for p in pieces], sizes)
+        edge = np.minimum(np.concatenate([[0], np.cumsum(sizes)]), len(places) - 1)
         return np.column_stack([places[edge[:-1]], places[edge[1:]]])
 
 
@@ -175,25 +209,25 @@ def _codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, model_path: str, with_output: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, spans_cover) per document; ``with_output``
-    adds ids, spans (begin and end in turn) and the decoded text. A narrow pass: no shuffle."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_cover boolean"
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, spans_crc32, spans_cover) per document; ``with_output``
+    adds ids, spans (begin and end in turn) and the decoded text. ``spans_cover``: spans follow each other from the text's
+    first byte to its last. A narrow pass: no shuffle."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_crc32 long, spans_cover boolean"
     schema += ", ids array<int>, spans array<long>, decoded string" * with_output
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path)
         for b in batches:
-            all_ids, all_texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            all_ids, all_texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for k in range(0, len(all_texts), 256):
-                docs_, texts = all_ids[k : k + 256], all_texts[k : k + 256]
-                ids = codec.encode(texts)
+                docs_, raw = all_ids[k : k + 256], [(t or "").encode("utf-8", "replace") for t in all_texts[k : k + 256]]
+                ids, spans = codec.encode(raw)
                 back = codec.decode(ids)
-                spans = [codec.spans(t, i) for t, i in zip(texts, ids, strict=True)]
-                raw = [t.encode("utf-8", "replace") for t in texts]
-                cover = [s is not None and bool((s[1:, 0] == s[:-1, 1]).all()) and s[-1, 1] == len(r) for s, r in zip(spans, raw, strict=True)]
-                columns = [pa.array(docs_, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest() for i in ids]), pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in back]), pa.array([len(r) for r in raw], pa.int64()), pa.array(cover, pa.bool_())]
+                cover = [bool((s[1:, 0] == s[:-1, 1]).all()) and s[-1, 1] == len(r) for s, r in zip(spans, raw, strict=True)]
+                columns = [pa.array(docs_, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in back], pa.string())]
+                columns += [pa.array([len(r) for r in raw], pa.int64()), pa.array([zlib.crc32(np.ascontiguousarray(s, "<i8").tobytes()) for s in spans], pa.int64()), pa.array(cover, pa.bool_())]
                 if with_output:
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([None if s is None else s.reshape(-1).tolist() for s in spans], pa.list_(pa.int64())), pa.array(back)]
+                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([s.reshape(-1).tolist() for s in spans], pa.list_(pa.int64())), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
