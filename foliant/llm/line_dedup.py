@@ -4,19 +4,23 @@ A line's key is a 128-bit hash of the line stripped of ``[\\x20\\x09-\\x0D]`` an
 State, all as tables in the shared folder:
 
 * ``references`` (key, doc_id): which document holds which key, once each;
-* ``counts`` (key, n_docs, first_doc): the exact reference counts derived from it;
+* ``counts`` (key, n_docs, first_doc, last_doc): the exact reference counts derived from it;
 * ``filters`` (shard, table): a cuckoo filter per shard of the keys held by two or more documents.
 
-``insert`` adds documents, ``delete`` takes them away again: references go, counts fall, and
-fingerprints of keys no longer shared leave their filters, so a deleted document's line is kept in the
-next holder again. ``resolve`` gives the lines to drop: references that a filter lets through are
-joined with the exact counts, so a filter's false positives cost a row and never a result. Filters go
-to all tasks only while together they take under ``MAX_FILTER_BYTES``; beyond that all references
-are joined directly.
+``insert`` adds documents and ``delete`` takes them away again. Both recount the keys of these documents alone and change the
+filters in place: fingerprints of keys newly shared enter their shard's filter, those of keys no longer shared leave it,
+so a deleted document's line is kept in the next holder again. A filter that is full is refilled larger from the exact counts, and shards are
+dealt anew once they hold twice ``KEYS_PER_SHARD`` on average. References of new documents are added beside the old
+ones; counts are written again without a shuffle where the batch's keys are few enough for Spark to send around.
+
+``resolve`` gives the lines to drop: references meet their shard's filter, at every size in the same way: both are dealt by shard,
+a shard with many references in parts of about ``REFERENCES_PER_PART``, each with its own copy of the filter. What
+passes is joined with the exact counts, so a filter's false positives cost a row and never a result.
 
 Null and empty texts are one empty line. Rows of one doc_id count as one document; rows with a null
-doc_id take no part and keep all lines. Hot lines: counts are summed before the shuffle and the
-join on keys is left to adaptive skew splitting.
+doc_id take no part and keep all lines. Hot lines: counts are summed before the shuffle, parts split them at the filters, and the
+join on keys is left to adaptive skew splitting. An input column that is named like an added one gets ``_input``
+behind its name.
 """
 
 from __future__ import annotations
@@ -32,12 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.io import settle
+from foliant.llm.io import rename_clashing, settle
 
 MIN_POINTS = 10
 SLOTS = 4
 KEYS_PER_SHARD = 1 << 16
-MAX_FILTER_BYTES = 64 << 20
+REFERENCES_PER_PART = 1 << 20
+ADDED = ["kept_text", "n_lines", "n_dropped", "kept_sha256"]
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -75,40 +80,45 @@ class CuckooFilter:
         two = self._other(one, p)
         return (self.table[one] == p[:, None]).any(1) | (self.table[two] == p[:, None]).any(1)
 
+    def _in_rounds(self, buckets: tuple[np.ndarray, ...], slot_of, value: np.ndarray) -> np.ndarray:
+        """Set a slot for each key, one key a bucket and round; returns the keys that found none. ``slot_of`` marks
+        the slots that would do, for keys and their buckets."""
+        todo = np.arange(len(value))
+        for bucket in buckets:
+            while len(todo):
+                can = slot_of(todo, bucket[todo])
+                able = np.flatnonzero(can.any(1))
+                at, first = np.unique(bucket[todo[able]], return_index=True)
+                if not len(at):
+                    break
+                chosen = able[first]
+                self.table[at, can[chosen].argmax(1)] = value[todo[chosen]]
+                todo = np.delete(todo, chosen)
+        return todo
+
     def insert(self, keys: np.ndarray) -> bool:
         """False when a key finds no place within 500 moves."""
         p, h = self._prints(keys)
         one = h & np.uint64(len(self.table) - 1)
-        for b, f in zip(one.tolist(), p.tolist(), strict=True):
-            other = int(self._other(np.array([b], np.uint64), np.array([f], np.uint16))[0])
-            for at in (b, other):
+        left = self._in_rounds((one, self._other(one, p)), lambda todo, bucket: self.table[bucket] == 0, p)
+        mask = len(self.table) - 1
+        for at, f in zip(one[left].tolist(), p[left].tolist(), strict=True):
+            for move in range(500):
+                slot = move % SLOTS
+                f, self.table[at, slot] = int(self.table[at, slot]), f
+                at = (at ^ (f * 0x5BD1E995)) & mask
                 free = np.flatnonzero(self.table[at] == 0)
                 if len(free):
                     self.table[at, free[0]] = f
                     break
             else:
-                at = other
-                for move in range(500):
-                    slot = move % SLOTS
-                    f, self.table[at, slot] = int(self.table[at, slot]), f
-                    at = int(self._other(np.array([at], np.uint64), np.array([f], np.uint16))[0])
-                    free = np.flatnonzero(self.table[at] == 0)
-                    if len(free):
-                        self.table[at, free[0]] = f
-                        break
-                else:
-                    return False
+                return False
         return True
 
     def delete(self, keys: np.ndarray) -> None:
         p, h = self._prints(keys)
         one = h & np.uint64(len(self.table) - 1)
-        for b, o, f in zip(one.tolist(), self._other(one, p).tolist(), p.tolist(), strict=True):
-            for at in (b, o):
-                slot = np.flatnonzero(self.table[at] == f)
-                if len(slot):
-                    self.table[at, slot[0]] = 0
-                    break
+        self._in_rounds((one, self._other(one, p)), lambda todo, bucket: self.table[bucket] == p[todo][:, None], np.zeros(len(p), np.uint16))
 
 
 def _as_words(keys: list[bytes]) -> np.ndarray:
@@ -123,10 +133,6 @@ class State:
     shards: int
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys[:, 0] & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
-
-
 def references(docs: DataFrame) -> DataFrame:
     """(key, doc_id) once for each document and key."""
 
@@ -159,7 +165,7 @@ def _shared(counts: DataFrame) -> DataFrame:
 
 
 def build_filters(counts: DataFrame, shards: int) -> DataFrame:
-    """(shard, table): a filter of each shard's shared keys, about ``KEYS_PER_SHARD`` at most."""
+    """(shard, table): a filter of each shard's shared keys, about ``KEYS_PER_SHARD`` of them."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = _as_words(sorted(pdf["key"]))
@@ -174,21 +180,60 @@ def build_filters(counts: DataFrame, shards: int) -> DataFrame:
     return keyed.groupBy("shard").applyInPandas(build, "shard int, table binary")
 
 
-def _state(refs: DataFrame, counts: DataFrame) -> State:
+def _change_filters(state: State, counts: DataFrame, joined: DataFrame, left: DataFrame) -> DataFrame:
+    """The state's filters with the keys ``joined`` put in and the keys ``left`` taken out. A filter without room is built
+    anew from ``counts``."""
+    changes = joined.select("key", F.lit(True).alias("put")).unionByName(left.select("key", F.lit(False).alias("put"))).withColumn("shard", _shard_column(state.shards))
+
+    def change(held: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        table = held["table"].iloc[0] if len(held) else None
+        if len(keys):
+            out, put = keys.loc[~keys["put"], "key"], sorted(keys.loc[keys["put"], "key"])
+            made = CuckooFilter(np.frombuffer(table, np.uint16).reshape(-1, SLOTS).copy()) if table is not None else CuckooFilter.sized(len(put))
+            made.delete(_as_words(list(out)))
+            table = made.table.tobytes() if made.insert(_as_words(put)) else None
+        shard = held["shard"].iloc[:1] if len(held) else keys["shard"].iloc[:1]
+        return pd.DataFrame({"shard": shard.to_numpy(), "table": [table]})
+
+    changed = settle(state.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(change, "shard int, table binary"), "filters")
+    full = changed.where("table is null").select("shard")
+    if not full.limit(1).count():
+        return changed
+    keyed = counts.withColumn("shard", _shard_column(state.shards)).join(full, "shard", "left_semi").drop("shard")
+    return settle(changed.where("table is not null").unionByName(build_filters(keyed, state.shards)), "filters")
+
+
+def _new_state(refs: DataFrame, counts: DataFrame) -> State:
     shards = max(1, -(-_shared(counts).count() // KEYS_PER_SHARD))
     return State(refs, counts, settle(build_filters(counts, shards), "filters"), shards)
 
 
+def _recount(state: State, refs: DataFrame, keys: DataFrame, around: DataFrame) -> State:
+    """The state with ``refs`` in place of its references, of which only those of ``keys`` (key) have changed; ``around`` holds
+    the references of these keys now."""
+    again = settle(count_references(around), "recounted")
+    counts = settle(state.counts.join(keys, "key", "left_anti").unionByName(again), "counts")
+    if _shared(counts).count() > 2 * KEYS_PER_SHARD * state.shards:
+        return _new_state(refs, counts)
+    before = _shared(state.counts).join(keys, "key", "left_semi").select("key")
+    now = _shared(again).select("key")
+    filters = _change_filters(state, counts, now.join(before, "key", "left_anti"), before.join(now, "key", "left_anti"))
+    return State(refs, counts, filters, state.shards)
+
+
 def insert(state: State | None, docs: DataFrame) -> State:
     """``state`` with the documents added; from None, a new state. Known (key, doc_id) pairs stay single."""
     refs = references(docs)
-    if state is not None:
-        refs = refs.unionByName(state.references)
-        refs = refs.distinct()
-    elif docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        refs = refs.distinct()
-    refs = settle(refs, "references")
-    return _state(refs, settle(count_references(refs), "counts"))
+    if state is None:
+        if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+            refs = refs.distinct()
+        refs = settle(refs, "references")
+        return _new_state(refs, settle(count_references(refs), "counts"))
+    new = settle(refs.distinct(), "references")
+    keys = settle(new.select("key").distinct(), "touched")
+    held = settle(state.references.join(keys, "key", "left_semi").select("key", "doc_id"), "held")
+    new = settle(new.join(held, ["key", "doc_id"], "left_anti"), "references")
+    return _recount(state, state.references.unionByName(new), keys, held.unionByName(new))
 
 
 def delete(state: State, doc_ids: DataFrame) -> State:
@@ -196,44 +241,36 @@ def delete(state: State, doc_ids: DataFrame) -> State:
     that are no longer shared leave their shard's filter."""
     gone = doc_ids.select("doc_id").distinct()
     refs = settle(state.references.join(gone, "doc_id", "left_anti").select("key", "doc_id"), "references")
-    touched = state.references.join(gone, "doc_id", "left_semi").select("key").distinct()
-    again = count_references(refs.join(touched, "key", "left_semi"))
-    counts = settle(state.counts.join(touched, "key", "left_anti").unionByName(again), "counts")
-    out = _shared(state.counts).join(touched, "key", "left_semi").join(_shared(again), "key", "left_anti").select("key", _shard_column(state.shards).alias("shard"))
-
-    def take(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"shard": pd.Series([], dtype="int32"), "table": []})
-        held = CuckooFilter(np.frombuffer(left["table"].iloc[0], np.uint16).reshape(-1, SLOTS).copy())
-        if len(right):
-            held.delete(_as_words(list(right["key"])))
-        return pd.DataFrame({"shard": left["shard"], "table": [held.table.tobytes()]})
-
-    filters = state.filters.groupBy("shard").cogroup(out.groupBy("shard")).applyInPandas(take, "shard int, table binary")
-    return State(refs, counts, settle(filters, "filters"), state.shards)
+    keys = settle(state.references.join(gone, "doc_id", "left_semi").select("key").distinct(), "touched")
+    return _recount(state, refs, keys, refs.join(keys, "key", "left_semi").select("key", "doc_id"))
 
 
 def _probe(state: State) -> DataFrame:
-    """References that the filters let through; all of them where the filters are too large to send."""
-    refs = state.references
-    if (state.filters.agg(F.sum(F.length("table"))).first()[0] or 0) > MAX_FILTER_BYTES:
-        return refs
-    spark = refs.sparkSession
-    held = spark.sparkContext.broadcast({r["shard"]: bytes(r["table"]) for r in state.filters.collect()})  # under MAX_FILTER_BYTES
-    shards = state.shards
+    """References that their shard's filter lets through."""
+    shard = _shard_column(state.shards)
+    # a row for about KEYS_PER_SHARD shared keys
+    parts = state.counts.groupBy(shard.alias("shard")).agg(F.ceil(F.sum("n_docs") / REFERENCES_PER_PART).cast("int").alias("parts"))
+    refs = state.references.withColumn("shard", shard).join(parts, "shard")
+    refs = refs.select("shard", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "key", "doc_id", F.lit(None).cast("binary").alias("table"))
+    held = state.filters.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"), "table")
+    dealt = held.unionByName(refs).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("table").isNull())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {s: CuckooFilter(np.frombuffer(t, np.uint16).reshape(-1, SLOTS)) for s, t in held.value.items()}
+        at, held = None, None
         for b in batches:
-            keys = _as_words(b.column(0).to_pylist())
-            shard, ok = shard_of(keys, shards), np.zeros(len(keys), bool)
-            for s in np.unique(shard).tolist():
-                at = shard == s
-                if s in tables:
-                    ok[at] = tables[s].contains(keys[at])
-            yield b.filter(pa.array(ok))
+            place = np.column_stack([b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)])
+            is_filter = b.column(4).is_valid().to_numpy(zero_copy_only=False)
+            ok = np.zeros(b.num_rows, bool)
+            starts = np.flatnonzero(np.concatenate([[True], is_filter[1:] | (place[1:] != place[:-1]).any(1)])) if b.num_rows else []
+            for x, y in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                if is_filter[x]:
+                    at, held = tuple(place[x]), CuckooFilter(np.frombuffer(b.column(4)[int(x)].as_py(), np.uint16).reshape(-1, SLOTS))
+                    x += 1
+                if x < y and at == tuple(place[x]):
+                    ok[x:y] = held.contains(_as_words(b.column(2).slice(x, y - x).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3)], ["key", "doc_id"]).filter(pa.array(ok))
 
-    return refs.mapInArrow(probe, "key binary, doc_id long")
+    return dealt.mapInArrow(probe, "key binary, doc_id long")
 
 
 def resolve(state: State) -> DataFrame:
@@ -252,11 +289,11 @@ def _apply(text: bytes | None, drops: list[bytes] | None) -> tuple[bytes, int, i
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def rewrite(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """``docs`` with kept_text, n_lines, n_dropped and kept_sha256 instead of text; other columns stay."""
-    names = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*names).alias("rest")) if names else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = packed.join(drops.withColumnRenamed("doc_id", "drop_id").hint("merge"), F.col("doc_id") == F.col("drop_id"), "left").drop("drop_id")
+def _cut(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """(row: a struct of the input's columns but text, cut: a struct of what is left) of every row."""
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), rest.alias("row"))
+    joined = packed.join(drops.withColumnRenamed("doc_id", "_drop_id").hint("merge"), F.col("_id") == F.col("_drop_id"), "left")
 
     @F.pandas_udf("text string, n_lines long, n_dropped long, sha string")
     def cut(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
@@ -266,10 +303,23 @@ def rewrite(docs: DataFrame, drops: DataFrame) -> DataFrame:
             rows.append((kept.decode("utf-8", "replace"), n, lost, hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped", "sha"])
 
-    out = joined.withColumn("cut", cut("text", "drops"))
-    rest = [F.col(f"rest.{c}").alias(c) for c in names]
-    return out.select("doc_id", F.col("cut.text").alias("kept_text"), F.col("cut.n_lines").alias("n_lines"), F.col("cut.n_dropped").alias("n_dropped"), F.col("cut.sha").alias("kept_sha256"), *rest)
+    return joined.select("row", cut("_text", "drops").alias("cut"))
+
+
+def rewrite(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """``docs`` with kept_text, n_lines, n_dropped and kept_sha256 instead of text; other columns stay."""
+    docs = rename_clashing(docs, ADDED)
+    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    values = [F.col(f"cut.{c}").alias(a) for c, a in zip(("text", "n_lines", "n_dropped", "sha"), ADDED, strict=True)]
+    return _cut(docs, drops).select(F.col("row.doc_id").cast("long").alias("doc_id"), *values, *[F.col("row").getField(c).alias(c) for c in names])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     return rewrite(docs, resolve(insert(None, docs.select("doc_id", "text"))))
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with the same columns, without the lines that an earlier document holds; n_chars follows the text."""
+    out = _cut(docs, resolve(insert(None, docs.select("doc_id", "text"))))
+    made = {"text": F.col("cut.text"), "n_chars": F.length("cut.text")}
+    return out.select(*[made.get(c, F.col("row").getField(c) if c != "text" else None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

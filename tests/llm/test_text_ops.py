@@ -124,6 +124,45 @@ def test_line_dedup_is_reversible(spark, corpus):
     assert digest(line_dedup.rewrite(as_df(one), line_dedup.resolve(state))) == brute_lines(one)
 
 
+def filter_keys(state):
+    """Shared keys by the exact counts, and whether their shard's filter holds each."""
+    tables = {r["shard"]: line_dedup.CuckooFilter(np.frombuffer(r["table"], np.uint16).reshape(-1, line_dedup.SLOTS)) for r in state.filters.collect()}
+    keyed = line_dedup._shared(state.counts).select("key", line_dedup._shard_column(state.shards).alias("shard")).collect()
+    return [bool(tables[r["shard"]].contains(line_dedup._as_words([bytes(r["key"])]))[0]) for r in keyed], sum(int((t.table > 0).sum()) for t in tables.values())
+
+
+@pytest.mark.parametrize(("keys", "references"), [(16, 50), (1 << 16, 1 << 20)])
+def test_line_dedup_changes_filters_in_place(spark, corpus, keys, references, monkeypatch):
+    """Small shards that fill up and are dealt anew, and one large shard: same lines, and filters hold the shared keys alone."""
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", keys)
+    monkeypatch.setattr(line_dedup, "REFERENCES_PER_PART", references)
+    rows = [(r["doc_id"], r["text"]) for r in corpus.select("doc_id", "text").collect()]
+    as_df = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    state, held = None, []
+    for k in range(4):
+        part = [r for r in rows if r[0] % 4 == k] + held[:3]  # a few rows come twice
+        state, held = line_dedup.insert(state, as_df(part)), held + [r for r in rows if r[0] % 4 == k]
+        inside, prints = filter_keys(state)
+        assert all(inside) and prints == len(inside)
+    assert digest(line_dedup.rewrite(as_df(rows), line_dedup.resolve(state))) == brute_lines(rows)
+    state = line_dedup.delete(state, as_df([r for r in rows if r[0] % 4 == 1]))
+    inside, prints = filter_keys(state)
+    left = [r for r in rows if r[0] % 4 != 1]
+    assert all(inside) and prints == len(inside)
+    assert digest(line_dedup.rewrite(as_df(left), line_dedup.resolve(state))) == brute_lines(left)
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    rows = [(1, "a line that repeats", 7, "x"), (2, "a line that repeats\nmine", 8, "y"), (None, None, 9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_lines int, Kept_Text string")
+    got = line_dedup.dedup(docs)
+    assert got.columns == ["doc_id", *line_dedup.ADDED, "n_lines_input", "Kept_Text_input"]
+    assert sorted((r["n_lines_input"], r["kept_text"], r["Kept_Text_input"], r["n_dropped"]) for r in got.collect()) == [(7, "a line that repeats", "x", 0), (8, "mine", "y", 1), (9, "", "z", 0)]
+    same = line_dedup.drop_repeated_lines(docs)
+    assert same.columns == docs.columns and same.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted(map(tuple, same.where("doc_id is not null").collect())) == [(1, "a line that repeats", 7, "x"), (2, "mine", 8, "y")]
+
+
 def test_cuckoo_filter_has_no_false_negatives():
     keys = np.random.default_rng(1).integers(0, 2**63, (3000, 2)).astype(np.uint64)
     held = line_dedup.CuckooFilter.sized(2000)
@@ -220,6 +259,46 @@ def test_sentencepiece_matches_library(spark, corpus):
             assert p.startswith("<0x") or raw[a:b].decode() == p.replace("\u2581", " ") or "\u2581" in text
 
 
+def _piece(text, kind):
+    body = b"\x0a" + bytes([len(text.encode())]) + text.encode() + b"\x15\x00\x00\x00\x00\x18" + bytes([kind])
+    return b"\x0a" + bytes([len(body)]) + body
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_models_with_a_character_map_match_the_library(squeeze):
+    """The library's own compiled map and user-defined symbols, on the given pieces."""
+    import sentencepiece
+
+    made = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=squeeze)
+    with open(queries.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        given = f.read()
+    own = b"".join(field for number, _, field in sp_codec._fields(given) if number != 3)
+    model = own + _piece("\ufb01\u2460", 4) + _piece("<keep>", 4) + made.serialized_model_proto()
+    codec, library = sp_codec.Codec.of(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert len(codec.spec.char_map) > 100_000 and len(codec.spec.kept) == 2
+    rng = np.random.default_rng(5)
+    parts = ["\uff76\uff9e", "\u2460", " ", "  ", "x", "\ufb01", "e\u0301", "\ufb01\u2460", "<keep>", "\u3000", "\t", "\n", "\U0001f600", "\u4e2d", "Abc", "\u00ad", "\u2581", ".", "\u1e9b\u0323"]
+    texts = ["", " ", "a", "  \uff76\uff9e\u2460  x \ufb01 e\u0301 "] + ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(300)]
+    ids, spans = codec.encode([t.encode() for t in texts])
+    for t, i, s in zip(texts, ids, spans, strict=True):
+        assert i == library.encode(t, add_bos=True, add_eos=True), repr(t)
+        assert len(s) == len(i) and (s[:, 0] <= s[:, 1]).all() and (s[1:, 0] == s[:-1, 1]).all() and (not len(t) or s[-1, 1] == len(t.encode()))
+    _, spans = codec.encode(["q <keep>\uff76\uff9ez".encode()])
+    cut = ["q <keep>\uff76\uff9ez".encode()[a:b] for a, b in spans[0]]
+    assert b"<keep>" in cut
+
+
+def test_spans_of_unknown_pieces():
+    """A model without bytes to fall back on: unknown characters have spans too."""
+    pieces = _piece("<unk>", 2) + _piece("<s>", 3) + _piece("</s>", 3) + b"".join(_piece(p, 1) for p in ("\u2581", "a", "b", "ab"))
+    trainer = b"\x12\x02\x18\x02"  # byte pairs
+    codec = sp_codec.Codec.of(pieces + trainer + b"\x1a\x0c\x0a\x08identity\x20\x00")
+    raw = "ab\u4e2d\u6587 b\u00e9".encode()
+    ids, spans = codec.encode([raw])
+    assert 0 in ids[0] and b"".join(raw[a:b] for a, b in spans[0]) == raw
+    assert raw[slice(*spans[0][ids[0].index(0)])].decode() in ("\u4e2d", "\u4e2d\u6587")
+
+
 def test_longest_prefix_normalisation_keeps_sources():
     spec = sp_codec.Spec({b"a": b"A", b"ab": b"xyz", "é".encode(): b"e"}, True, True, True)
     text, places = sp_codec.normalise("ab  é a".encode(), spec)
