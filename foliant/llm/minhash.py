@@ -8,8 +8,10 @@ meeting in a table are joined to its least one; components of that graph hold al
 Verification compares whole shingle sets in two passes. First every document is compared with the
 one that it meets in most tables, and with up to ``BLOCK`` others that chose the same one: work linear
 in the documents, after which nearly all of a group of near copies is linked. Then only documents of
-one component that are still apart are compared, in pairs of blocks: a linked part of over ``BLOCK``
-documents has blocks of its own, which are never compared with each other.
+one component that are still apart are compared, in pairs of blocks, and only of blocks that hold two documents of one
+table: work follows the tables that unlinked documents share and not the square of a component. A linked part of over
+``BLOCK`` documents has blocks of its own, which are never compared with each other. Blocks hold about ``BLOCK`` documents
+and ``BLOCK_SHINGLES`` shingles, whichever is less, so groups of long texts are cut finer.
 
 At Jaccard 0.75 two documents share no table with probability 3e-4, and then still
 meet where a chain of other documents connects them. Equal sets are one class before
@@ -35,7 +37,7 @@ from foliant.llm.io import settle
 from foliant.llm.textblocks import blocks, distinct_sorted, mix, shingle_hashes
 
 COLLECTIONS, ROWS = 20, 3
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, slots array<long>"
 
 
@@ -72,8 +74,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNATURE)
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """(a, b, n): class representatives, the least one of a table that they meet in, and in how many."""
+def candidate_edges(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b, n): class representatives, the least one of a table that they meet in, and in how many;
+    (rep, head, key): the tables of every representative that may meet another, under its stand-in's name)."""
     values = reps.select("rep", F.explode("slots").alias("h"))
     shared = values.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h")
     held = values.join(shared, "h").groupBy("rep").agg(F.sort_array(F.collect_set("h")).alias("hs")).where(F.size("hs") > 1)  # COLLECTIONS a text at most
@@ -86,7 +89,13 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     keys = settle(heads.select(F.col("head").alias("rep"), F.explode(pairs).alias("key")), "keys")
     tables = keys.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b < hi").select("key", "b")
     met = keys.join(tables, "key").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("n"))
-    return met.unionByName(alike.withColumn("n", F.lit(COLLECTIONS**2).cast("long")))
+    own = held.join(heads, "hs").select("rep", "head")
+    return met.unionByName(alike.withColumn("n", F.lit(COLLECTIONS**2).cast("long"))), own.join(keys.withColumnRenamed("rep", "head"), "head")
+
+
+def _blocks(n, shingles):
+    """Number of blocks for so many documents with so many shingles together."""
+    return F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
 
 
 def _links(groups: pd.DataFrame) -> list[tuple[int, int]]:
@@ -150,13 +159,13 @@ def _with_sets(docs: DataFrame, placed: DataFrame) -> DataFrame:
     return held.mapInArrow(sets, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema) + ", shingles array<long>")
 
 
-def nearest_links(docs: DataFrame, edges: DataFrame) -> DataFrame:
+def nearest_links(docs: DataFrame, edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links of 0.75 or more (a, b) among a document and those that meet it in most of their tables.
 
-    A document's followers are split into parts of about ``BLOCK``, and it goes to each of them."""
+    A document's followers are split into parts of about a block, and it goes to each of them. ``sizes`` (rep, n_shingles)."""
     nearest = edges.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    nearest = settle(nearest, "nearest")
-    parts = nearest.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_parts"))
+    nearest = settle(nearest.join(sizes.withColumnRenamed("rep", "a"), "a"), "nearest")
+    parts = nearest.groupBy("b").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("n_parts"))
     part = F.pmod(F.xxhash64("a"), "n_parts").cast("int")
     followers = nearest.join(parts, "b").select(F.col("a").alias("rep"), F.col("b").alias("hub"), part.alias("first"), part.alias("last"))
     hubs = parts.select(F.col("b").alias("rep"), F.col("b").alias("hub"), F.lit(0).alias("first"), (F.col("n_parts") - 1).alias("last"))
@@ -164,9 +173,9 @@ def nearest_links(docs: DataFrame, edges: DataFrame) -> DataFrame:
     return spread.groupBy("hub", "part").applyInPandas(_verify, "a long, b long")
 
 
-def remaining_links(docs: DataFrame, edges: DataFrame, linked: DataFrame) -> DataFrame:
+def remaining_links(docs: DataFrame, edges: DataFrame, tables: DataFrame, sizes: DataFrame, linked: DataFrame) -> DataFrame:
     """Links of 0.75 or more (a, b) between parts of ``linked`` (node, component) that ``edges`` (a, b)
-    connect: only documents of such parts are read again."""
+    connect: only documents of such parts that share a table with another part's are read again."""
     ends = edges.select("a", "b")
     for end in ("a", "b"):
         label = linked.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
@@ -175,19 +184,26 @@ def remaining_links(docs: DataFrame, edges: DataFrame, linked: DataFrame) -> Dat
     clusters = components(apart).select(F.col("node").alias("label"), "component")
     members = linked.select(F.col("component").alias("label"), F.col("node").alias("rep"))
     labelled = clusters.join(members, "label", "left").select(F.coalesce("rep", "label").alias("rep"), "component", "label")
-    labelled = settle(labelled, "labelled")
-    parts = labelled.groupBy("component", "label").agg(F.count("*").alias("n")).withColumn("big", F.col("n") > BLOCK)
+    labelled = settle(labelled.join(sizes, "rep"), "labelled")
+    parts = labelled.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    parts = parts.withColumn("big", (F.col("n") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES))
     parts = parts.withColumn("own", F.when(F.col("big"), F.col("label")).otherwise(F.lit(0)))
-    # a component has fewer rows here than one in BLOCK of its documents, and one for all its small parts
-    groups = parts.groupBy("component", "big", "own").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("n_blocks"))
-    whole, before = Window.partitionBy("component"), Window.partitionBy("component").orderBy("big", "own").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumns({"at": F.coalesce(F.sum("n_blocks").over(before), F.lit(0)).cast("int"), "total": F.sum("n_blocks").over(whole).cast("int")})
-    places = parts.join(groups, ["component", "big", "own"]).select("component", "label", "big", "at", "n_blocks", "total")
+    # a component has fewer rows here than one in a block of its documents, and one for all its small parts
+    groups = parts.groupBy("component", "big", "own").agg(_blocks(F.sum("n"), F.sum("shingles")).alias("n_blocks"))
+    before = Window.partitionBy("component").orderBy("big", "own").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("at", F.coalesce(F.sum("n_blocks").over(before), F.lit(0)).cast("int"))
+    places = parts.join(groups, ["component", "big", "own"]).select("component", "label", "big", "own", "at", "n_blocks")
     block = (F.col("at") + F.pmod(F.xxhash64("rep"), "n_blocks")).cast("int")
-    placed = labelled.join(places, ["component", "label"]).select("rep", "component", "big", "at", "n_blocks", "total", block.alias("block"))
-    others = F.expr("filter(sequence(0, total - 1), x -> not big or x < at or x >= at + n_blocks)")
-    spread = _with_sets(docs, placed).select("rep", "component", "block", F.explode(others).alias("other"), "shingles")
-    spread = spread.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    placed = settle(labelled.join(places, ["component", "label"]).select("rep", "component", "label", F.when(F.col("big"), F.col("own")).alias("own"), block.alias("block")), "placed")
+    # blocks of each table that parts share, and the pairs of blocks that some table asks for
+    met = tables.join(placed, "rep").groupBy("component", "key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.array_sort(F.collect_set(F.struct("block", "own"))).alias("bs"))
+    pairs = F.flatten(F.transform("bs", lambda x, i: F.transform(F.slice("bs", i + 1, F.size("bs")), lambda y: F.struct(x["block"].alias("lo"), y["block"].alias("hi"), F.coalesce(x["own"] == y["own"], F.lit(False)).alias("same")))))
+    asked = met.where("least < most").select("component", F.explode(pairs).alias("p")).where("not p.same").select("component", "p.lo", "p.hi").distinct()
+    asked = settle(asked, "block-pairs")
+    both = asked.select("component", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"), "lo", "hi")
+    wanted = both.groupBy("component", "block").agg(F.collect_list(F.struct("lo", "hi")).alias("pairs"))
+    spread = _with_sets(docs, placed.join(wanted, ["component", "block"]).select("rep", "component", "block", "pairs"))
+    spread = spread.select("rep", "component", "block", F.explode("pairs").alias("p"), "shingles").select("rep", "component", "block", "p.lo", "p.hi", "shingles")
     return spread.groupBy("component", "lo", "hi").applyInPandas(_verify, "a long, b long")
 
 
@@ -197,10 +213,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = signed.where("doc_id is not null")
     classes = own.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("slots", "doc_id").alias("slots"))
     classes = settle(classes, "classes")
-    edges = settle(candidate_edges(classes), "candidates")
-    linked = settle(components(nearest_links(docs, edges)), "linked")
+    edges, tables = candidate_edges(classes)
+    edges, sizes = settle(edges, "candidates"), classes.select("rep", "n_shingles")
+    linked = settle(components(nearest_links(docs, edges, sizes)), "linked")
     stars = linked.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    links = components(stars.unionByName(remaining_links(docs, edges, linked)))
+    links = components(stars.unionByName(remaining_links(docs, edges, tables, sizes, linked)))
     found = classes.select("set_a", "set_b", F.col("n_shingles").alias("n"), "rep").join(links, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
     found = found.withColumnsRenamed({"set_a": "a", "set_b": "b"})
     s = signed.alias("s")

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import crf, labelled, line_dedup, minhash, packing, quality_rules, queries, sp_codec, toxicity
 
@@ -71,6 +72,35 @@ def near_group(n, seed=3):
     return out
 
 
+def boilerplate(n, seed=11):
+    """Texts that share about two thirds of a common passage: far from links, but many meet in tables."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{k}" for k in range(100)]
+    return [(5000 + k, " ".join(w for a in range(0, 100, 20) for w in (base[a : a + 20] if rng.random() < 0.75 else [f"u{k}x{a + j}" for j in range(20)]))) for k in range(n)]
+
+
+def test_candidates_hold_pairs_near_the_threshold(spark):
+    """Pairs at Jaccard 0.75 to 0.8 share a table, each pair by itself."""
+    rows, pairs = [], 600
+    for k in range(pairs):
+        words = [f"p{k}w{j}" for j in range(104)]
+        other = [*words[:90], *[f"q{k}w{j}" for j in range(14)]]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = minhash.signatures(docs).select(F.col("doc_id").alias("rep"), "slots")
+    edges, _ = minhash.candidate_edges(signed)
+    assert edges.where("b = a - 1 and a % 2 = 1").select("a").distinct().count() >= pairs - 3
+
+
+@pytest.mark.parametrize(("block", "shingles"), [(256, 1_000_000), (16, 1_000_000), (256, 2000)])
+def test_boilerplate_links_match_all_pairs(spark, block, shingles, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+    rows = boilerplate(150) + near_group(60, 5)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
 @pytest.mark.parametrize(("seed", "block"), [(3, minhash.BLOCK), (4, 16)])
 def test_near_duplicates_match_all_pairs(spark, corpus, seed, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", block)
