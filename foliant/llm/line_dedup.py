@@ -41,7 +41,7 @@ from foliant.llm.io import rename_clashing, settle
 MIN_POINTS = 10
 SLOTS = 4
 KEYS_PER_SHARD = 1 << 16
-REFERENCES_PER_PART = 1 << 20
+REFERENCES_PER_PART = 1 << 18
 ADDED = ["kept_text", "n_lines", "n_dropped", "kept_sha256"]
 _STRIP = b" \t\n\x0b\x0c\r"
 
