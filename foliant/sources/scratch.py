@@ -24,4 +24,13 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     lost executor costs a file read and not a recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.settled_at = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what ``settle`` wrote for ``df``, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
