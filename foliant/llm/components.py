@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.io import settle
+from foliant.llm.io import discard, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,6 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        e = settle(_star(_star(e, True), False), "edges")
+        last, e = e, settle(_star(_star(e, True), False), "edges")
+        discard(last)
     least = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return least.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

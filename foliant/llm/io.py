@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.sources.scratch import settle, shared_dir
+from foliant.sources.scratch import discard, settle, shared_dir
 
-__all__ = ["rename_clashing", "settle", "shared_dir", "table"]
+__all__ = ["discard", "rename_clashing", "settle", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
