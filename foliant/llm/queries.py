@@ -52,7 +52,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality_rules.with_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
     return ledger.select("doc_id", *[F.col(f"q_{n}").alias(n) for n in names], (~quality_rules.keeps("base")).alias("base_failed"), quality_rules.keeps("v2").alias("kept"), F.col("q_failed_bits").alias("failed_bits"))
 
 
@@ -100,6 +100,6 @@ m AS (SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_re
 b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
              + (CASE WHEN 10 * n_symbols > word_chars THEN 4 ELSE 0 END) + (CASE WHEN n_dup_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
              + (CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 2 * n_capitals > word_chars THEN 32 ELSE 0 END) AS bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS failed_bits FROM b"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, CAST(n_capitals AS BIGINT) AS n_capitals, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS failed_bits FROM b"""
 
 ORACLE = {"op2_line_dedup": _OP2, "op7_quality_rules": _OP7}

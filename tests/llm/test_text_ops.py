@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import crf, labelled, line_dedup, minhash, packing, quality_rules, queries, sp_codec, toxicity
+from foliant.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 WHITE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -220,6 +221,7 @@ def test_ablations_match_counts(spark, corpus):
     mask = quality_rules.mask_of(quality_rules.POLICIES["v2"])
     for r in quality_rules.ablations(ledger, "v2").collect():
         bit = quality_rules.mask_of([r["rule"]])
+        assert r["only_this"] == sum(1 for b in rows if b & mask == bit)
         assert r["failed"] == sum(1 for b in rows if b & bit) and r["kept_without"] == sum(1 for b in rows if not b & mask & ~bit)
 
 
@@ -449,6 +451,14 @@ def test_crf_marginals_match_enumeration():
     assert np.allclose(got, want) and np.allclose(expected, pairs)
 
 
+def test_components_of_chains_and_stars(spark):
+    """Long chains, stars, loose pairs and loops; edges of earlier rounds are removed from the shared folder."""
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(200, 201), (201, 200), (300, 300)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(61)}, **{100 + k: 100 for k in range(40)}, 200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_empty_tables(spark, edge):
     none = edge.limit(0)
     assert minhash.near_duplicates(none).count() == 0 and line_dedup.dedup(none).count() == 0
