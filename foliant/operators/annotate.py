@@ -30,11 +30,12 @@ def annotate(docs: DataFrame, keywords: DataFrame, tags: DataFrame, text: str =
     """``docs`` with lexicon_keywords (first 15 distinct), scores per category, lexicon_tags (first 8),
     category, secondary and confidence. No shuffle: one scan with the lexicon as literals."""
     rows = sorted((r["cat_name"], r["kw_ord"], r["keyword"]) for r in keywords.limit(MAX_ENTRIES + 1).collect())
-    if len(rows) > MAX_ENTRIES:
+    tag_rows = tags.limit(MAX_ENTRIES + 1).collect()
+    if max(len(rows), len(tag_rows)) > MAX_ENTRIES:
         raise ValueError(f"the lexicon has more than {MAX_ENTRIES} entries")
     cats = list(dict.fromkeys(r[0] for r in rows))
     own_tags = {c: [c] for c in cats}
-    for r in sorted(tags.limit(MAX_ENTRIES).collect(), key=lambda r: (r["cat_name"], r["tag_ord"])):
+    for r in sorted(tag_rows, key=lambda r: (r["cat_name"], r["tag_ord"])):
         own_tags.setdefault(r["cat_name"], []).append(r["tag"])
     q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     array = lambda xs: "array(" + ", ".join(map(q, xs)) + ")" if xs else "cast(array() as array<string>)"

@@ -17,7 +17,11 @@ def candidate_terms(docs: DataFrame, stop_words: list[str] | None = None) -> Dat
 
     ``docs`` is (id, text). A Han word below four characters counts if its first occurrence in the text
     has a boundary before or after it. Only a run's neighbours can be one, so runs of Han characters travel with
-    the characters beside them and the text itself does not."""
+    the characters beside them and the text itself does not.
+
+    Texts, which are smaller than the rows of their terms, are dealt by id; counting, and whatever groups or joins by id
+    after it, needs no other shuffle."""
+    docs = docs.select("id", "text").repartition("id")
     stop = F.array(*[F.lit(w) for w in stop_words or []]).cast("array<string>")
     text = F.coalesce(F.col("text"), F.lit(""))
     run = F.lit(rf"(?s)(?:(?<=(.))|(?<!.))({HAN}{{2,}})(?=(.)|$)")

@@ -93,6 +93,16 @@ def loaded_pages(spark, sf):
     return catalog.loaded_pages(catalog.page(docs, 0, 15), catalog.page(docs, 10, 15)).select("id", "title")
 
 
+@query("SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY source")
+def stored_files(spark, sf):
+    """The given texts written as text files, a folder a source, then listed and read as files."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    _given(spark, sf, "documents").select("text", "source").write.option("maxRecordsPerFile", 500).partitionBy("source").text(path)
+    held = L.listing(spark, path).join(L.contents(spark, path), "file_path")
+    source = F.regexp_extract("file_path", "/source=([^/]+)/", 1)
+    return held.groupBy(source.alias("source")).agg(F.sum("file_size").alias("bytes"), F.sum(F.length("content")).cast("long").alias("chars"))
+
+
 # --- substring search ---------------------------------------------------------------------------
 
 
@@ -129,9 +139,14 @@ scores AS (SELECT id, lang, ord, count(*) AS score FROM hits GROUP BY id, lang,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS r, sum(score) OVER (PARTITION BY id) AS total FROM scores)"""
 
 
-def _annotated(spark, sf):
-    docs = _given(spark, sf, "documents")
-    return annotate.annotate(docs.select(F.col("doc_id").alias("id"), "text"), *annotate.corpus_lexicon(docs))
+def _lexicon(spark, sf):
+    """(keywords, tags) of the given documents; reads the corpus once."""
+    return annotate.corpus_lexicon(_given(spark, sf, "documents"))
+
+
+def _annotated(spark, sf, lexicon=None):
+    docs = _given(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return annotate.annotate(docs, *(lexicon or _lexicon(spark, sf)))
 
 
 _FIRST15 = "SELECT id, keyword, row_number() OVER (PARTITION BY id ORDER BY o) AS r FROM (SELECT id, keyword, min(ord * 1000 + kw_ord) AS o FROM hits GROUP BY id, keyword)"
@@ -167,8 +182,8 @@ def category_totals(spark, sf):
 BRIDGE = f"{LEX}, bridge AS (SELECT id AS document_id, keyword AS value FROM ({_FIRST15}) WHERE r <= 15)"
 
 
-def _bridge(spark, sf):
-    return _annotated(spark, sf).select(F.col("id").alias("document_id"), F.explode("lexicon_keywords").alias("value"))
+def _bridge(spark, sf, lexicon=None):
+    return _annotated(spark, sf, lexicon).select(F.col("id").alias("document_id"), F.explode("lexicon_keywords").alias("value"))
 
 
 @query(f"WITH {BRIDGE}, {LIB} SELECT id, coalesce(ks, '') AS keywords FROM lib LEFT JOIN (SELECT document_id, string_agg(value, '|' ORDER BY value) AS ks FROM bridge GROUP BY document_id) ON document_id = id")
@@ -185,28 +200,30 @@ def all_newest_first(spark, sf):
 _TAG = "(SELECT keyword FROM lexicon WHERE lang = 'en' AND kw_ord = 1)"
 
 
-def _lexicon_word(spark, sf, lang: str, place: int) -> str:
-    keywords, _ = annotate.corpus_lexicon(_given(spark, sf, "documents"))
+def _lexicon_word(keywords, lang: str, place: int) -> str:
     found = keywords.where((F.col("cat_name") == lang) & (F.col("kw_ord") == place)).first()
     return found["keyword"] if found else ""
 
 
 @query(f"WITH {BRIDGE}, {LIB} SELECT id, title FROM lib WHERE id IN (SELECT document_id FROM bridge WHERE value = {_TAG})")
 def by_tag(spark, sf):
-    return catalog.with_any(_docs(spark, sf), _bridge(spark, sf), _lexicon_word(spark, sf, "en", 1)).orderBy(F.desc("updated_at"), "id").select("id", "title")
+    lexicon = _lexicon(spark, sf)
+    return catalog.with_any(_docs(spark, sf), _bridge(spark, sf, lexicon), _lexicon_word(lexicon[0], "en", 1)).orderBy(F.desc("updated_at"), "id").select("id", "title")
 
 
 @query(f"""WITH {BRIDGE}, {LIB}, wanted AS (SELECT keyword FROM lexicon WHERE lang = 'en' AND kw_ord IN (1, 2))
   SELECT id, title FROM lib WHERE id IN (SELECT document_id FROM bridge WHERE value IN (SELECT keyword FROM wanted) GROUP BY document_id HAVING count(DISTINCT value) = 2)""")
 def by_all_tags(spark, sf):
-    words = [_lexicon_word(spark, sf, "en", k) for k in (1, 2)]
-    return catalog.with_all(_docs(spark, sf), _bridge(spark, sf), words).select("id", "title")
+    lexicon = _lexicon(spark, sf)
+    words = [_lexicon_word(lexicon[0], "en", k) for k in (1, 2)]
+    return catalog.with_all(_docs(spark, sf), _bridge(spark, sf, lexicon), words).select("id", "title")
 
 
 @query(f"WITH {BRIDGE} SELECT DISTINCT keyword AS value FROM lexicon WHERE keyword NOT IN (SELECT value FROM bridge WHERE document_id % 4 = 0)")
 def orphans(spark, sf):
-    keywords, _ = annotate.corpus_lexicon(_given(spark, sf, "documents"))
-    kept = catalog.cascade_delete(_docs(spark, sf), _bridge(spark, sf), _docs(spark, sf).where("id % 4 <> 0").select("id"))[1]
+    lexicon = _lexicon(spark, sf)
+    keywords = lexicon[0]
+    kept = catalog.cascade_delete(_docs(spark, sf), _bridge(spark, sf, lexicon), _docs(spark, sf).where("id % 4 <> 0").select("id"))[1]
     return catalog.orphans(keywords.select(F.col("keyword").alias("value")).distinct(), kept)
 
 
@@ -255,8 +272,8 @@ def bridge_replace(spark, sf):
 @query(f"""WITH {BRIDGE} SELECT value AS node, coalesce(min_lang, '{annotate.OTHER}') AS category, count(DISTINCT document_id) AS n_docs FROM bridge
   LEFT JOIN (SELECT keyword, min(lang) AS min_lang FROM lexicon GROUP BY keyword) ON keyword = value GROUP BY ALL""")
 def corpus_graph_nodes(spark, sf):
-    keywords, _ = annotate.corpus_lexicon(_given(spark, sf, "documents"))
-    return annotate.corpus_graph_nodes(_bridge(spark, sf), keywords)
+    lexicon = _lexicon(spark, sf)
+    return annotate.corpus_graph_nodes(_bridge(spark, sf, lexicon), lexicon[0])
 
 
 # --- sync ---------------------------------------------------------------------------------------
