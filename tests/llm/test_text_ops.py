@@ -228,7 +228,8 @@ def test_ablations_match_counts(spark, corpus):
 @pytest.mark.parametrize("name", list(queries.ORACLE))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.sql(queries.ORACLE[name])
     got = queries.QUERIES[name](spark, SF)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
@@ -451,6 +452,25 @@ def test_crf_marginals_match_enumeration():
     assert np.allclose(got, want) and np.allclose(expected, pairs)
 
 
+def test_crf_document_scores_match_enumeration(spark, corpus):
+    """Every labelling of the lines of short documents, by the fitted weights: marginals weighted by line length."""
+    model = crf.fit(corpus, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [(r["doc_id"], r["text"]) for r in corpus.collect() if r["text"].count("\n") < 9][:40] + [(9001, None), (9002, ""), (9003, "A!!\n\nB %%%\nplain words here")]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", crf.score_column(spark, model)("text")).collect()}
+    assert abs(model.moves[0, 1]) > 1e-3 and len({round(v, 6) for v in got.values()}) > 10
+    for i, text in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        x, size, _ = crf.line_features(raw, np.array([0, len(raw)]))
+        emit, n = np.clip(x @ model.weights, -30, 30), len(size)
+        total, good = 0.0, np.zeros(n)
+        for code in range(2**n):
+            y = [code >> k & 1 for k in range(n)]
+            p = np.exp(sum(e for e, k in zip(emit, y, strict=True) if k) + sum(model.moves[a, b] for a, b in zip(y, y[1:], strict=False)) - np.maximum(emit, 0).sum())
+            total, good = total + p, good + p * np.array(y)
+        quality = (good / total * size).sum() / size.sum()
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.scale * quality + model.shift)))) < 1e-6
+
+
 def test_components_of_chains_and_stars(spark):
     """Long chains, stars, loose pairs and loops; edges of earlier rounds are removed from the shared folder."""
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(200, 201), (201, 200), (300, 300)]
