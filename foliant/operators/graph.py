@@ -20,8 +20,8 @@ def candidate_terms(docs: DataFrame, stop_words: list[str] | None = None) -> Dat
     the characters beside them and the text itself does not.
 
     Texts, which are smaller than the rows of their terms, are dealt by id; counting, and whatever groups or joins by id
-    after it, needs no other shuffle."""
-    docs = docs.select("id", "text").repartition("id")
+    after it, needs no other shuffle. The number of partitions is the session's, as texts are small beside what is made of them."""
+    docs = docs.select("id", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     stop = F.array(*[F.lit(w) for w in stop_words or []]).cast("array<string>")
     text = F.coalesce(F.col("text"), F.lit(""))
     run = F.lit(rf"(?s)(?:(?<=(.))|(?<!.))({HAN}{{2,}})(?=(.)|$)")
