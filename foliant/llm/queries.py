@@ -1,11 +1,11 @@
-"""The ten registered queries: digest columns derived from the operators' own outputs."""
+"""The registered queries: digest columns derived from the operators' own outputs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import ann, chat, crf, line_dedup, minhash, packing, quality_rules, sp_codec, toxicity, url_lm
+from foliant.llm import ann, chat, crf, line_dedup, minhash, packing, quality_rules, sp_codec, topk, toxicity, url_lm
 from foliant.llm.io import table
 
 
@@ -70,7 +70,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
 
 
-_ALL = [op1_url_filter, op2_line_dedup, op3_toxicity, op4_nearest_neighbours, op5_chat_format, op6_near_duplicates, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_sentencepiece]
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = [op1_url_filter, op2_line_dedup, op3_toxicity, op4_nearest_neighbours, op5_chat_format, op6_near_duplicates, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_sentencepiece, op13_exact_top_k]
 QUERIES = {f.__name__: f for f in _ALL}
 
 _OP2 = r"""
@@ -122,4 +126,10 @@ both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS id, doc_id AS low FROM documents UNION SELECT y, low FROM reach JOIN both_ways ON x = id)
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(low) AS component_id, doc_id = min(low) AS kept FROM documents JOIN reach ON id = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
 
-ORACLE = {"op2_line_dedup": _OP2, "op5_chat_format": _OP5, "op6_near_duplicates": _OP6, "op7_quality_rules": _OP7}
+_OP13 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5"""
+
+ORACLE = {"op2_line_dedup": _OP2, "op5_chat_format": _OP5, "op6_near_duplicates": _OP6, "op7_quality_rules": _OP7, "op13_exact_top_k": _OP13}
