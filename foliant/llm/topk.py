@@ -155,7 +155,7 @@ def top_k(vectors: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int = 5,
     size = F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + cast(x as double) * x))")
     longest = distinct.groupBy("n").agg(F.max(size).alias("longest"))
     # all scores lie within the product of the lengths, with a margin for rounding
-    reach = F.least(F.ceil(size * F.col("longest") * 1.000001) + 1, F.lit(LIMIT)).cast("long")
+    reach = F.least(size * F.col("longest") * 1.000001 + 2, F.lit(float(LIMIT))).cast("long")
     state = queries.join(longest, "n").select("rep", (-reach).alias("low"), (2 * reach + 1).alias("span"), F.lit(k + 1).cast("long").alias("need"), F.lit(True).alias("open"))
     state = settle(state, "ranges")
     while not state.where("open").isEmpty():
