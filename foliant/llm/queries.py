@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import ann, chat, crf, line_dedup, minhash, packing, quality_rules, sp_codec, topk, toxicity, url_lm
+from foliant.llm import ann, chat, crf, line_dedup, minhash, packing, quality_rules, sp_codec, topk, toxicity, trie, url_lm
 from foliant.llm.io import table
 
 
@@ -70,11 +70,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    return trie.prefix_trie(*trie.share_heads(turns, c - c % 20, F.crc32(c.cast("string")) % 4))
+
+
 def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-_ALL = [op1_url_filter, op2_line_dedup, op3_toxicity, op4_nearest_neighbours, op5_chat_format, op6_near_duplicates, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_sentencepiece, op13_exact_top_k]
+_ALL = [op1_url_filter, op2_line_dedup, op3_toxicity, op4_nearest_neighbours, op5_chat_format, op6_near_duplicates, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_sentencepiece, op11_prefix_trie, op13_exact_top_k]
 QUERIES = {f.__name__: f for f in _ALL}
 
 _OP2 = r"""
@@ -126,10 +132,29 @@ both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS id, doc_id AS low FROM documents UNION SELECT y, low FROM reach JOIN both_ways ON x = id)
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(low) AS component_id, doc_id = min(low) AS kept FROM documents JOIN reach ON id = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
 
+_CRC = "xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: ascii(ch)::UBIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda k: 0::UBIGINT)), lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))))"
+_OP11 = rf"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, CAST({_CRC} % 4 AS BIGINT) AS h FROM (SELECT DISTINCT c FROM t)),
+joined AS (SELECT convs.c, 0 AS part, t.pos, r, x FROM convs JOIN t ON t.c = convs.c - convs.c % 20 AND t.pos <= h UNION ALL SELECT t.c, 1, t.pos, r, x FROM t JOIN convs USING (c) WHERE t.pos > h),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, r, x FROM joined),
+named AS (SELECT c, d, x, list(sha256(length(r) || ':' || r || x)) OVER (PARTITION BY c ORDER BY d) AS p FROM turns),
+path AS (SELECT c, d, min(c) OVER (PARTITION BY p) AS m, CAST(len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS words FROM named
+  UNION ALL SELECT c, 0, min(c) OVER (), 0 FROM convs),
+node AS (SELECT m, d, count(*) AS n, max(words) AS words FROM path GROUP BY m, d),
+up AS (SELECT node.*, path.m AS parent FROM node LEFT JOIN path ON path.c = node.m AND path.d = node.d - 1),
+kids AS (SELECT parent AS m, d - 1 AS d, count(*) AS k FROM up WHERE parent IS NOT NULL GROUP BY ALL),
+own AS (SELECT node.*, coalesce(k, 0) AS k, (n - 1) * words AS saved FROM node LEFT JOIN kids USING (m, d)),
+sums AS (SELECT path.m, path.d, count(*) FILTER (WHERE k = 0) AS leaves, sum(saved) AS saved FROM own JOIN path ON path.c = own.m AND path.d <= own.d GROUP BY path.m, path.d),
+last AS (SELECT c, max(d) AS d FROM path GROUP BY c),
+ends AS (SELECT m, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM path JOIN last USING (c, d) GROUP BY m, d)
+SELECT up.m AS conv_id, up.d AS depth, parent AS parent_conv_id, up.n AS n_convs, own.k AS n_children, leaves AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM up JOIN own USING (m, d) JOIN sums USING (m, d) LEFT JOIN ends USING (m, d)"""
+
 _OP13 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5"""
 
-ORACLE = {"op2_line_dedup": _OP2, "op5_chat_format": _OP5, "op6_near_duplicates": _OP6, "op7_quality_rules": _OP7, "op13_exact_top_k": _OP13}
+ORACLE = {"op2_line_dedup": _OP2, "op5_chat_format": _OP5, "op6_near_duplicates": _OP6, "op7_quality_rules": _OP7, "op11_prefix_trie": _OP11, "op13_exact_top_k": _OP13}

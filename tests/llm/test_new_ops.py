@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from foliant.llm import queries, topk
+from foliant.llm import queries, topk, trie
 
 SF = "/root/testdata/sf0.01"
 VECTORS = "vec_id long, embedding array<double>"
@@ -17,7 +17,7 @@ def plain(rows):
     return sorted(tuple(str(x) for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op13_exact_top_k"])
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op13_exact_top_k"])
 def test_new_query_matches_sql(spark, name):
     c = duckdb.connect()
     for t in ("embeddings", "conversations"):
@@ -59,3 +59,64 @@ def test_top_k_of_odd_rows(spark):
     kept = dict((i, v) for i, v in rows if i in (0, 1, 50, 51, -50, 7))
     assert top_lists(topk.top_k(df)) == brute_top(kept.items(), 5, 50)
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.where("vec_id = 50")).count() == 0
+
+
+def brute_trie(rows):
+    """Nodes of the rebuilt conversations in plain Python, as sorted tuples."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(ts)] for c, ts in own.items()}
+    built = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - int(np.fmod(c, 20))
+        built[c] = own.get(base, [])[:h] + ts[h:]
+    members = {}
+    for c, ts in built.items():
+        for d in range(len(ts) + 1):
+            members.setdefault(tuple(ts[:d]), []).append(c)
+    out = []
+    for p, cs in members.items():
+        below = [q for q in members if q[: len(p)] == p]
+        children = sum(len(q) == len(p) + 1 for q in below)
+        leaves = sum(not any(len(r) == len(q) + 1 and r[: len(q)] == q for r in below) for q in below)
+        saved = sum((len(members[q]) - 1) * len(q[-1][1].split()) for q in below if q)
+        ends = ",".join(map(str, sorted(c for c in cs if len(built[c]) == len(p))))
+        out.append((min(cs), len(p), min(members[p[:-1]]) if p else None, len(cs), children, leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def random_conversations(rng, n):
+    texts = ["a b", "c", "", "d e f", None, "<|x|>  y"]
+    rows = []
+    for c in rng.permutation(n).tolist():
+        for turn in range(rng.integers(0, 6)):
+            rows.append((c, turn if rng.random() < 0.9 else None, ["user", "assistant", None][rng.integers(3) if rng.random() < 0.2 else turn % 2], texts[min(rng.geometric(0.6) - 1, 5)]))
+    long = [(k % 2, f"turn {k}") for k in range(40)]
+    rows += [(c, k, "user" if r else "assistant", t) for c in (1001, 1003, 1007) for k, (r, t) in enumerate(long)] + [(1003, 40, "user", "more")]
+    return rows + [(None, 0, "user", "lost"), (-7, 1, "user", "a b"), (-7, 1, "user", "a b"), (-20, 0, "user", "a b"), (-20, 1, "user", "z")]
+
+
+@pytest.mark.parametrize("seed, most, block", [(1, 5, 4), (2, 40, 7), (3, 10_000, 1024)])
+def test_trie_against_brute_force(spark, monkeypatch, seed, most, block):
+    monkeypatch.setattr(trie, "BLOCK", block)
+    rows = random_conversations(np.random.default_rng(seed), 120)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, place string")
+    c = trie.F.col("conv_id")
+    got = trie.prefix_trie(*trie.share_heads(trie.ordered_turns(df), c - c % 20, trie.F.crc32(c.cast("string")) % 4), most)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_trie(rows)
+
+
+def test_trie_without_conversations(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    c = trie.F.col("conv_id")
+    assert trie.prefix_trie(*trie.share_heads(trie.ordered_turns(df), c, trie.F.lit(0))).count() == 0
+
+
+def test_digests_of_many_ids_go_piece_by_piece(spark):
+    ids = np.random.default_rng(5).permutation(2000).tolist()
+    df = spark.createDataFrame([(1, 2, c) for c in ids] + [(1, 3, 7)], "key_a long, key_b long, conv_id long")
+    got = {r["key_b"]: r["ends_sha256"] for r in trie.digests(df, 37).collect()}
+    assert got == {2: hashlib.sha256(",".join(map(str, range(2000))).encode()).hexdigest(), 3: hashlib.sha256(b"7").hexdigest()}
