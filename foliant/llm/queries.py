@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import ann, chat, crf, line_dedup, minhash, packing, quality_rules, sp_codec, topk, toxicity, trie, url_lm
+from foliant.llm import ann, chat, crf, line_dedup, minhash, packing, quality_rules, sp_codec, topk, toxicity, trie, url_lm, whiten
 from foliant.llm.io import table
 
 
@@ -76,11 +76,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(*trie.share_heads(turns, c - c % 20, F.crc32(c.cast("string")) % 4))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-_ALL = [op1_url_filter, op2_line_dedup, op3_toxicity, op4_nearest_neighbours, op5_chat_format, op6_near_duplicates, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_sentencepiece, op11_prefix_trie, op13_exact_top_k]
+_ALL = [op1_url_filter, op2_line_dedup, op3_toxicity, op4_nearest_neighbours, op5_chat_format, op6_near_duplicates, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_sentencepiece, op11_prefix_trie, op12_embedding_whitening, op13_exact_top_k]
 QUERIES = {f.__name__: f for f in _ALL}
 
 _OP2 = r"""

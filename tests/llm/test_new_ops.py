@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from foliant.llm import queries, topk, trie
+from foliant.llm import queries, topk, trie, whiten
 
 SF = "/root/testdata/sf0.01"
 VECTORS = "vec_id long, embedding array<double>"
@@ -120,3 +120,76 @@ def test_digests_of_many_ids_go_piece_by_piece(spark):
     df = spark.createDataFrame([(1, 2, c) for c in ids] + [(1, 3, 7)], "key_a long, key_b long, conv_id long")
     got = {r["key_b"]: r["ends_sha256"] for r in trie.digests(df, 37).collect()}
     assert got == {2: hashlib.sha256(",".join(map(str, range(2000))).encode()).hexdigest(), 3: hashlib.sha256(b"7").hexdigest()}
+
+
+def brute_whitening(rows, k=4, scale=256):
+    """{length: (n, deviations by x, eigenvalues, eigenvectors, trace, means)} by exact sums and a library's eigenvectors."""
+    by = {}
+    for _, v in rows:
+        x = tuple(int(np.floor(scale * float(c))) for c in v)
+        by.setdefault(len(x), set()).add(x)
+    out = {}
+    for d, xs in by.items():
+        n, sums = len(xs), [sum(c) for c in zip(*xs, strict=True)]
+        exact = {x: sum((n * c - s) ** 2 for c, s in zip(x, sums, strict=True)) for x in xs}
+        mean = np.array([s / n for s in sums])
+        y = np.array(sorted(xs), float) - mean
+        v = y.T @ y / n
+        values, axes = np.linalg.eigh(v)
+        keep = [j for j in np.argsort(-values)[:k] if values[j] > 1e-12 * max(values.max(), 1e-300)]
+        out[d] = (n, exact, values[keep], axes[:, keep].T, np.trace(v), mean)
+    return out
+
+
+def check_whitening(rows, got, tolerance=1e-9):
+    want, seen = brute_whitening(rows), {}
+    vector = {}
+    for i, v in rows:
+        vector.setdefault(i, []).append(tuple(int(np.floor(256 * float(c))) for c in v))
+    for r in got:
+        xs = vector[r["vec_id"]]
+        n, exact, values, axes, trace, mean = want[len(xs[0])]
+        assert r["n"] == n and r["deviation"] in [exact[x] if exact[x] < 1 << 63 else None for x in xs] and 0 <= r["identity_error"] <= 1e-4
+        j = r["component"] - 1
+        assert abs(r["explained"] / (values[j] / trace) - 1) < 1e-9
+        seen.setdefault((len(xs[0]), j), []).append((r["whitened"], [float((np.array(x) - mean) @ axes[j] / np.sqrt(values[j])) for x in xs]))
+    for pairs in seen.values():
+        assert any(all(min(abs(a - sign * b) for b in bs) < tolerance * max(1.0, abs(a)) for a, bs in pairs) for sign in (1, -1))
+    assert len(got) == sum(len(want[len(v)][2]) for _, v in rows)
+
+
+def test_whitening_query(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    got = queries.op12_embedding_whitening(spark, SF).collect()
+    assert len(got) == 4 * len(rows)
+    check_whitening(rows, got, 1e-6)
+
+
+def test_whitening_of_copies_lengths_and_low_rank(spark, monkeypatch):
+    monkeypatch.setattr(whiten, "SCATTER_CELLS", 30)
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(0, [3, 1, 0.5, 0.2, 0.1]).tolist()) for k in range(200)] + [(k, [1.0, 2.0, 3.0, 4.0, 5.0]) for k in range(200, 320)]
+    rows += [(400 + k, [float(k), 2.0 * k, 0.0]) for k in range(20)] + [(500, [1.0, 2.0]), (500, [1.0, 2.0])] + [(600 + k, [float(k % 7)]) for k in range(30)] + [(7, rows[7][1])]
+    rows += [(700 + k, [1e15 * k, 3e14 * (k % 3), 1.0, 0.0]) for k in range(9)]
+    got = whiten.whiten(spark.createDataFrame([(*r, 1) for r in rows], VECTORS + ", n int")).collect()
+    check_whitening(rows, got)
+    assert {r["component"] for r in got if 400 <= r["vec_id"] < 420} == {1} and not [r for r in got if r["vec_id"] == 500]
+
+
+def test_whitening_of_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(k, [0.1 * k, (k * k % 11) / 3, -0.001]) for k in range(12)] + [(None, [0.5, 0.5, -0.0])]
+    bad = [(20, None), (21, [None, 1.0, 1.0]), (22, [nan, 1.0, 1.0]), (23, [inf, 1.0, 1.0]), (24, []), (25, [1e300, 0.0, 0.0])]
+    check_whitening(rows, whiten.whiten(spark.createDataFrame(rows + bad, VECTORS)).collect())
+    assert whiten.whiten(spark.createDataFrame(bad, VECTORS)).count() == 0 and whiten.whiten(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_factorization_against_a_library():
+    rng = np.random.default_rng(7)
+    for n, rank in ((1, 1), (2, 2), (7, 3), (64, 64), (33, 20)):
+        b = rng.normal(0, 1, (n, rank)) * 10.0 ** rng.uniform(-2, 2, rank)
+        v = b @ b.T
+        values, axes = whiten.factorize(v, n)
+        want = np.sort(np.linalg.eigvalsh(v))[::-1][: len(values)]
+        assert len(values) <= n and np.allclose(values[: min(rank, 4)], want[: min(rank, 4)], rtol=1e-12)
+        assert np.allclose(axes @ axes.T, np.eye(len(axes)), atol=1e-7) and np.allclose(v @ axes[0], values[0] * axes[0], atol=1e-10 * values[0])
