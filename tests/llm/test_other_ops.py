@@ -211,3 +211,24 @@ def test_long_conversations_render_whole_prefixes(spark):
     for template in (numbered, chat.chat_markup):
         got = chat.render_conversations(rows, template).orderBy("place").collect()
         assert "".join(r["span"] for r in got) == template(turns) and [r["span"][r["text_begin"] : r["text_end"]] for r in got] == [t for _, t in turns]
+
+
+def test_templates_wrongly_declared_additive_are_found(monkeypatch):
+    turns = [("user" if k % 2 == 0 else "assistant", f"text {k}") for k in range(60)]
+    odd = lambda ts: "".join(f"{'=' if k and k % 2 == 0 else ''}[{r}]{t}" for k, (r, t) in enumerate(ts))
+    late = lambda ts: "".join(f"{'=' if k == 50 else ''}[{r}]{t}" for k, (r, t) in enumerate(ts))
+    for template in (odd, late):
+        assert "=" in "".join(s for s, _, _ in chat.format_turns(iter(turns), template))
+        r = chat.Renderer(template, additive=True)
+        with pytest.raises(chat.HistoryRewritten):
+            [r.add(*t) for t in turns]
+            r.close()
+    monkeypatch.setattr(chat, "WHOLE_CHARS", 200)
+    spans = list(chat.format_turns(iter(turns)))
+    assert "".join(s for s, _, _ in spans) == chat.chat_markup(turns)
+
+
+def test_empty_tables(spark):
+    rows = lambda schema: spark.createDataFrame([], schema)
+    assert url_lm.judge(rows("page_id long, url string")).count() == 0 and chat.format_conversations(rows("conv_id long, turn long, role string, text string")).count() == 0
+    assert ann.search(rows("vec_id long, embedding array<float>")).count() == 0
