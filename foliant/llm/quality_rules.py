@@ -5,8 +5,8 @@ A policy version is a mask of bits: a document is kept when ``failed_bits & mask
 policy, or asking what each rule costs, reads the ledger and never the text again.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have no words and fail ``few_words``.
-Repeated rows each get their row; extra columns stay with ``with_ledger`` and clash with none of its
-names as long as they do not start with ``q_``.
+Repeated rows each get their row; extra columns stay with ``with_ledger``, and those whose names its
+own columns take are renamed with ``_input`` behind them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.io import rename_clashing
+
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -79,17 +81,26 @@ def _line_counts(text: Column) -> Column:
     return _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
 
 
-def measurements(text: Column) -> dict[str, Column]:
+ADDED = ["q_n_words", "q_n_repeat_words", "q_n_lines", "q_n_dup_lines", "q_word_chars", "q_n_symbols", "q_n_capitals", "q_failed_bits"]
+
+
+def measurements(text: Column, words_name: str = "q_words", lines_name: str = "q_lines") -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     packed = F.translate(text, SPACE, "")
     words = _let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("rep")))
-    return {"q_words": words, "q_lines": _line_counts(text), "q_word_chars": F.length(packed).cast("long"), "q_n_symbols": F.length(text).cast("long") - F.length(F.translate(text, SYMBOLS, "")), "q_n_capitals": F.length(text).cast("long") - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))}
+    return {words_name: words, lines_name: _line_counts(text), "q_word_chars": F.length(packed).cast("long"), "q_n_symbols": F.length(text).cast("long") - F.length(F.translate(text, SYMBOLS, "")), "q_n_capitals": F.length(text).cast("long") - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))}
 
 
 def with_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with its measurements (q_*) and ``q_failed_bits``. A narrow projection: no shuffle."""
-    out = docs.withColumns(measurements(F.col(text)))
-    out = out.withColumns({"q_n_words": F.col("q_words.n").cast("long"), "q_n_repeat_words": F.col("q_words.rep").cast("long"), "q_n_lines": F.col("q_lines.n").cast("long"), "q_n_dup_lines": F.col("q_lines.dup").cast("long")}).drop("q_words", "q_lines")
+    docs = rename_clashing(docs, ADDED)
+    behind = "_"
+    while any(c.lower() in (f"q_words{behind}", f"q_lines{behind}") for c in docs.columns):
+        behind += "_"
+    words, lines = f"q_words{behind}", f"q_lines{behind}"
+    out = docs.withColumns(measurements(F.col(text), words, lines))
+    counts = {"q_n_words": (words, "n"), "q_n_repeat_words": (words, "rep"), "q_n_lines": (lines, "n"), "q_n_dup_lines": (lines, "dup")}
+    out = out.withColumns({n: F.col(c)[f].cast("long") for n, (c, f) in counts.items()}).drop(words, lines)
     bits = [F.when(F.expr(rule), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, rule in enumerate(RULES.values())]
     total = bits[0]
     for b in bits[1:]:

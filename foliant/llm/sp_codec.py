@@ -22,6 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.textblocks import byte_runs
+
+#: Bytes of text encoded together, one text at least; ids, spans and places take about 40 times as much.
+BLOCK_BYTES = 1 << 20
 MARK = "▁".encode()
 
 
@@ -218,9 +222,9 @@ def encode(docs: DataFrame, model_path: str, with_output: bool = False) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path)
         for b in batches:
-            all_ids, all_texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k in range(0, len(all_texts), 256):
-                docs_, raw = all_ids[k : k + 256], [(t or "").encode("utf-8", "replace") for t in all_texts[k : k + 256]]
+            all_ids = b.column(0).to_pylist()
+            for first, end in byte_runs(b.column(1), BLOCK_BYTES):
+                docs_, raw = all_ids[first:end], [(t.as_py() or "").encode("utf-8", "replace") for t in b.column(1)[first:end]]
                 ids, spans = codec.encode(raw)
                 back = codec.decode(ids)
                 cover = [bool((s[1:, 0] == s[:-1, 1]).all()) and s[-1, 1] == len(r) for s, r in zip(spans, raw, strict=True)]

@@ -485,3 +485,18 @@ def test_empty_tables(spark, edge):
     assert packing.pack(none, queries.tokenizer_file("word_bpe_49k.json")).count() == 0
     assert sp_codec.encode(none, queries.tokenizer_file("piece_bpe_32k.model")).count() == 0
     assert quality_rules.with_ledger(none).count() == 0
+
+
+def test_ledger_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 999, "mine", "x", "y")], "doc_id long, text string, Q_n_words long, q_words string, q_words_ string, q_lines string")
+    got = quality_rules.with_ledger(df)
+    row = got.first()
+    assert row["q_n_words"] == 3 and row["Q_n_words_input"] == 999 and (row["q_words"], row["q_words_"], row["q_lines"]) == ("mine", "x", "y")
+    assert got.columns == ["doc_id", "text", "Q_n_words_input", "q_words", "q_words_", "q_lines", *[c for c in got.columns if c in quality_rules.ADDED]]
+
+
+def test_sentencepiece_of_a_very_long_text(spark):
+    long = "word é 漢字  \n" * 4_000_000  # over 50 MB
+    rows = spark.createDataFrame([(1, long), (2, "a"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sp_codec.encode(rows, queries.tokenizer_file("piece_bpe_32k.model")).collect()}
+    assert got[1]["n_bytes"] == len(long.encode()) and got[1]["spans_cover"] and got[1]["n_tokens"] > 10_000_000 and got[3]["n_tokens"] == 2
