@@ -61,6 +61,11 @@ def fold_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(c), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}\p{Co}]+"), 0)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def question_keywords(q: Column) -> Column:
     """English words of two letters and more, then 2-grams of what is neither Latin letter, digit nor
     space; without stop words, distinct, in order of first use."""
@@ -68,7 +73,7 @@ def question_keywords(q: Column) -> Column:
     q = F.coalesce(q, F.lit(""))
     words = F.filter(F.regexp_extract_all(F.lower(q), F.lit("[a-z]+"), 0), lambda w: F.length(w) >= 2)
     rest = F.regexp_replace(q, rf"[a-zA-Z0-9]|{_BLANK}", "")
-    grams = F.when(F.length(rest) >= 2, F.transform(F.sequence(F.lit(1), F.length(rest) - 1), lambda i: F.substring(rest, i, 2))).otherwise(F.array().cast("array<string>"))
+    grams = let(rest, lambda r: F.when(F.length(r) >= 2, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2))).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.filter(F.concat(words, grams), lambda w: ~F.array_contains(stop, w)))
 
 

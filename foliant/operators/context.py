@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 
-#: Fixed value of the search log.
-FALLBACK_REASON = "FTS5返回空结果"
+#: Fixed values of the search log: why the fallback was taken, and why it was not.
+FALLBACK_REASON, PRIMARY_REASON = "FTS5返回空结果", "FTS5返回有效结果"
 HALF, STEP, MOST = 400, 5, 1600
 BEFORE, AFTER, BETWEEN = "...前文省略...\n", "\n...后文省略...", "\n\n---\n\n"
 
@@ -135,29 +135,46 @@ def local_prompts(refs: DataFrame, **options: str) -> DataFrame:
     return lists.select("question_id", local_prompt(F.col("question"), joined("block"), joined("line"), **options).alias("prompt"))
 
 
+DOCUMENT_INFO = "array<struct<index: int, id: bigint, title: string, contentLength: int, filePath: string>>"
+#: Fields of an audit event, after question_id and step.
+EVENT = (
+    "action string, query string, algorithm string, startTime bigint, durationMs bigint, error string, resultCount int, resultIds array<bigint>, "
+    f"strategy string, usedAlgorithm string, fallbackReason string, sourceAlgorithm string, finalCount int, documentInfo {DOCUMENT_INFO}"
+)
+
+
 def search_audit(questions: DataFrame, hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Events of every question that is not blank: START and COMPLETE of each algorithm tried, STRATEGY where one found
-    something, FINAL with the documents that have content. Columns (question_id, step, action, algorithm, strategy,
-    fallback_reason, result_count, result_ids); results are those kept, at most the k of the retrieval."""
-    n = hits.groupBy("question_id").agg(F.max("strategy").alias("found"), F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
-    held = docs.where(~T.is_blank(F.coalesce(F.nullif(F.col("content"), F.lit("")), F.col("abstract")))).select("id")
-    whole = hits.join(held, "id", "left_semi").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("final"))
+    """(question_id, step and the fields of ``EVENT``) of every question that is not blank: START and COMPLETE of each algorithm
+    tried, STRATEGY where one found something, FINAL with the documents that have content. Fields that an action does not have
+    are null. ``hits`` as of ``retrieve``; results are those it kept, at most its k.
+
+    ``questions`` may bring when a search began (start_fts, start_like, epoch ms), how long it took (ms_fts, ms_like) and how it
+    failed (error_fts, error_like); what is not given is null, and a search that failed has no results."""
+    given = [F.col(n) if n in questions.columns else F.lit(None).cast("string" if n.startswith("error") else "bigint").alias(n) for n in ("start_fts", "start_like", "ms_fts", "ms_like", "error_fts", "error_like")]
+    asked = questions.where(~T.is_blank(F.col("question"))).select("question_id", F.col("question").alias("query"), *given)
+    kept = hits.groupBy("question_id").agg(F.max("strategy").alias("found"), F.max("algorithm").alias("used"), F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
+    body = F.coalesce(F.nullif(F.col("content"), F.lit("")), F.nullif(F.col("abstract"), F.lit("")), F.lit(""))
+    held = docs.select("id", "title", "file_path", body.alias("text")).where(~T.is_blank(F.col("text"))).select("id", "title", "file_path", F.length("text").alias("chars"))
+    whole = hits.join(held, "id").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "title", "chars", "file_path"))).alias("whole"))
+    info = F.transform("whole", lambda x, i: F.struct((i + 1).alias("index"), x["id"].alias("id"), x["title"].alias("title"), x["chars"].alias("contentLength"), x["file_path"].alias("filePath")))
     none = F.array().cast("array<bigint>")
-    base = questions.where(~T.is_blank(F.col("question"))).select("question_id").join(n, "question_id", "left").join(whole, "question_id", "left")
-    base = base.select("question_id", "found", F.coalesce("ids", none).alias("ids"), F.coalesce("final", none).alias("final"))
-    text = lambda v: v.cast("string") if isinstance(v, Column) else F.lit(v).cast("string")
-    missed, null = F.coalesce(F.col("found") != "primary", F.lit(True)), F.lit(None)
+    base = asked.join(kept, "question_id", "left").join(whole, "question_id", "left").select("*", F.coalesce(info.cast(DOCUMENT_INFO), F.array().cast(DOCUMENT_INFO)).alias("info"), (F.col("found") == "primary").alias("_first")).drop("whole")
+    base = base.withColumns({"ids": F.coalesce("ids", none), "missed": ~F.coalesce("_first", F.lit(False)), "used": F.coalesce("used", F.lit("NONE"))}).drop("_first")
+    kinds = dict(x.split(" ", 1) for x in EVENT.replace(DOCUMENT_INFO, "@").split(", "))
 
-    def event(step: int, action: str, algorithm, ids=None, strategy=None, reason=None, when=None) -> Column:
-        e = F.struct(F.lit(step).alias("step"), F.lit(action).alias("action"), text(algorithm).alias("algorithm"), text(strategy).alias("strategy"), text(reason).alias("fallback_reason"), (F.lit(None).cast("array<bigint>") if ids is None else ids).alias("result_ids"))
+    def event(step: int, action: str, when: Column | None = None, **fields) -> Column:
+        values = {"action": F.lit(action)} | fields
+        e = F.struct(F.lit(step).alias("step"), *[values.get(n, F.lit(None)).cast(DOCUMENT_INFO if kind == "@" else kind).alias(n) for n, kind in kinds.items()])
         return e if when is None else F.when(when, e)
 
-    used = F.when(F.col("found") == "primary", "FTS5").when(F.col("found") == "fallback", "LIKE").otherwise("NONE")
+    c = F.col
+    done = lambda ids, family: {"query": c("query"), "durationMs": c(f"ms_{family}"), "error": c(f"error_{family}"), "resultCount": F.size(ids), "resultIds": ids}
     events = F.array(
-        event(1, "START", "FTS5"), event(2, "COMPLETE", "FTS5", F.when(missed, none).otherwise(F.col("ids"))),
-        event(3, "START", "LIKE", when=missed), event(4, "COMPLETE", "LIKE", F.col("ids"), when=missed),
-        event(5, "STRATEGY", used, strategy=F.when(missed, "FALLBACK").otherwise("PRIMARY"), reason=F.when(missed, FALLBACK_REASON).otherwise(null), when=F.col("found").isNotNull()),
-        event(6, "FINAL", used, F.col("final")),
+        event(1, "START", algorithm=F.lit("FTS5"), query=c("query"), startTime=c("start_fts")),
+        event(2, "COMPLETE", algorithm=F.lit("FTS5"), **done(F.when(c("missed"), none).otherwise(c("ids")), "fts")),
+        event(3, "START", c("missed"), algorithm=F.lit("LIKE"), query=c("query"), startTime=c("start_like")),
+        event(4, "COMPLETE", c("missed"), algorithm=F.lit("LIKE"), **done(c("ids"), "like")),
+        event(5, "STRATEGY", c("found").isNotNull(), strategy=F.when(c("missed"), "FALLBACK").otherwise("PRIMARY"), usedAlgorithm=c("used"), fallbackReason=F.when(c("missed"), FALLBACK_REASON).otherwise(PRIMARY_REASON)),
+        event(6, "FINAL", sourceAlgorithm=c("used"), finalCount=F.size("info"), documentInfo=c("info")),
     )
-    out = base.select("question_id", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("question_id", "e.*")
-    return out.select("question_id", "step", "action", "algorithm", "strategy", "fallback_reason", F.size("result_ids").alias("n"), "result_ids").withColumn("result_count", F.when(F.col("result_ids").isNotNull(), F.col("n"))).drop("n")
+    return base.select("question_id", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("question_id", "e.*")

@@ -1,29 +1,23 @@
 """Search: weighted substring search, hit counts, and batch retrieval by BM25 with a substring fallback.
 
-Retrieval takes many questions at once. What they ask for is sent to all tasks in blocks of at most ``ASKED_PER_BLOCK``
-rows, documents are read once a block, and every task keeps the ``k`` best documents of each question that it
-has met, so that only these are shuffled and never one row per question, word and document.
+Retrieval takes many questions at once: full-text hits come from an inverted index (``fulltext``), and questions without any are
+matched by the 2-grams of what they ask for. Neither questions nor documents are collected or broadcast.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.sources.scratch import settle
+from foliant.operators import fulltext
+from foliant.sources.scratch import discard, settle
 
 FIELDS = ["title", "author", "abstract", "content"]
-K1, B = 1.2, 0.75
-ASKED_PER_BLOCK = 1_000_000
-BEST = "question_id long, id long, score double, late long"
+#: Questions that ask for one part, in a row of candidates.
+ASKERS = 1000
+#: Fixed values of the search log: what a fallback is called when it counts hits, and when it scores places.
+COUNTED, SCORED = "CHINESE_LIKE", "LIKE"
 
 
 def _holds(field: str, word) -> F.Column:
@@ -52,150 +46,13 @@ def hit_count(docs: DataFrame, words: list[str]) -> DataFrame:
     return docs.withColumn("hit_count", n).where("hit_count > 0")
 
 
-def asked_terms(questions: DataFrame) -> DataFrame:
-    """(question_id, term, times): the search tokens of a question's keywords; a question without keywords
-    asks for its whole text as one phrase of tokens with spaces between them."""
-    words = T.question_keywords(F.col("question"))
-    single = questions.select("question_id", F.explode(words).alias("word")).select("question_id", F.get(T.fold_tokens(F.col("word")), F.lit(0)).alias("term")).where("term is not null")
-    phrase = questions.where(F.size(words) == 0).select("question_id", F.array_join(T.fold_tokens(F.coalesce("question", F.lit(""))), " ").alias("term")).where("term <> ''")
-    return single.unionByName(phrase).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-
-
-def _in_blocks(asked: DataFrame) -> list[pd.DataFrame]:
-    """``asked`` as frames of about ``ASKED_PER_BLOCK`` rows, whole questions in each."""
-    asked = settle(asked, "asked")
-    n = -(-asked.count() // ASKED_PER_BLOCK)
-    for k in range(n):
-        yield asked.where(F.pmod(F.xxhash64("question_id"), F.lit(n)) == k).toPandas()
-
-
-class _Best:
-    """The ``k`` best (question, document) rows of each question: score, then late, then id, smallest first."""
-
-    def __init__(self, k: int):
-        self.k, self.rows, self.held = k, [], 0
-
-    def add(self, question: np.ndarray, ids: np.ndarray, score: np.ndarray, late: np.ndarray) -> None:
-        self.rows.append((question, ids, score, late))
-        self.held += len(ids)
-        if self.held > 2_000_000:
-            self.rows, self.held = [self._cut()], 0
-
-    def _cut(self) -> tuple[np.ndarray, ...]:
-        question, ids, score, late = (np.concatenate([r[j] for r in self.rows]) for j in range(4))
-        order = np.lexsort((ids, late, np.round(score, 6), question))
-        first = np.flatnonzero(np.diff(question[order], prepend=question[order[:1]] - 1))
-        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-        keep = order[place < self.k]
-        return question[keep], ids[keep], score[keep], late[keep]
-
-    def batch(self) -> pa.RecordBatch:
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (self._cut() if self.rows else empty)], ["question_id", "id", "score", "late"])
-
-
-def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, size, terms, tfs): every document's number of tokens, and which of ``terms`` it holds how often.
-
-    A phrase counts where its tokens follow each other inside the title or inside the content."""
-    words = sorted({w for t in terms for w in t.split(" ")})
-    number = {w: k for k, w in enumerate(words)}
-    single = np.full(len(words) + 1, -1, np.int64)
-    phrases = []
-    for k, t in enumerate(terms):
-        own = [number[w] for w in t.split(" ")]
-        if len(own) == 1:
-            single[own[0]] = k
-        else:
-            phrases.append((k, own))
-    held = docs.sparkSession.sparkContext.broadcast((words, single, phrases))  # one block's terms
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, single, phrases = held.value
-        known = pa.array(words, pa.string())
-        for b in batches:
-            keys, size = [], np.zeros(b.num_rows, np.int64)
-            for tokens in (b.column(1), b.column(2)):
-                n = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-                size += n
-                code = pc.fill_null(pc.index_in(tokens.flatten(), known), len(words)).to_numpy(zero_copy_only=False).astype(np.int64)
-                doc = np.repeat(np.arange(b.num_rows), n)
-                keys.append((doc * len(terms) + single[code])[single[code] >= 0])
-                if phrases:
-                    order = np.argsort(code, kind="stable")
-                    at = np.searchsorted(code[order], np.arange(len(words) + 1))
-                for k, own in phrases:
-                    start = order[at[own[0]] : at[own[0] + 1]]
-                    for j, w in enumerate(own[1:], 1):
-                        start = start[start + j < len(code)]
-                        start = start[(code[start + j] == w) & (doc[start + j] == doc[start])]
-                    keys.append(doc[start] * len(terms) + k)
-            key, tf = np.unique(np.concatenate(keys), return_counts=True)
-            edge = pa.array(np.searchsorted(key, np.arange(b.num_rows + 1) * len(terms)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(edge, pa.array(v.astype(np.int32))) for v in (key % max(len(terms), 1), tf)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), *lists], ["id", "size", "terms", "tfs"])
-
-    title, content = (T.fold_tokens(F.coalesce(f, F.lit(""))).alias(f) for f in ("title", "content"))
-    return docs.select(F.col("id").cast("long").alias("id"), title, content).mapInArrow(count, "id long, size long, terms array<int>, tfs array<int>")
-
-
-def _score_block(docs: DataFrame, asked: pd.DataFrame, k: int) -> DataFrame:
-    spark = docs.sparkSession
-    terms = sorted(asked["term"].unique())
-    counted = settle(_term_counts(docs, terms), "counted")
-    total = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    n_docs, mean = total["n"], total["mean"] or 1.0
-    found = counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).toPandas()  # one block's terms at most
-    df = np.zeros(len(terms), np.int64)
-    df[found["t"].to_numpy(np.int64)] = found["df"].to_numpy(np.int64)
-    idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), 1e-6)
-    asked = asked.assign(t=np.searchsorted(np.array(terms, object), asked["term"].to_numpy(object))).sort_values(["question_id", "t"])
-    asked = asked[df[asked["t"].to_numpy()] > 0]
-    ids, first = np.unique(asked["question_id"].to_numpy(np.int64), return_index=True)
-    t = asked["t"].to_numpy()
-    held = spark.sparkContext.broadcast((ids, np.append(first, len(asked)), t, asked["times"].to_numpy() * idf[t]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        questions, edge, term, weight = held.value
-        best = _Best(k)
-        for b in batches:
-            flat, tf = b.column(2).flatten().to_numpy(zero_copy_only=False), b.column(3).flatten().to_numpy(zero_copy_only=False).astype(float)
-            per = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
-            doc, own = np.repeat(np.arange(b.num_rows), per), b.column(0).to_numpy(zero_copy_only=False)
-            gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * b.column(1).to_numpy(zero_copy_only=False)[doc] / mean))
-            order = np.argsort(flat, kind="stable")
-            flat, doc, gain = flat[order], doc[order], gain[order]
-            lo, hi = np.searchsorted(flat, term), np.searchsorted(flat, term, "right")
-            for q in range(len(questions)):
-                runs = [(lo[j], hi[j], weight[j]) for j in range(edge[q], edge[q + 1]) if hi[j] > lo[j]]
-                if not runs:
-                    continue
-                sums = np.bincount(np.concatenate([doc[x:y] for x, y, _ in runs]), np.concatenate([gain[x:y] * w for x, y, w in runs]), b.num_rows)
-                at = np.flatnonzero(sums)
-                value = np.round(sums[at], 6)
-                if len(at) > k:
-                    at = at[value >= np.partition(value, -k)[-k]]
-                    at = at[np.lexsort((own[at], -np.round(sums[at], 6)))[:k]]
-                best.add(np.full(len(at), questions[q]), own[at], -sums[at], np.zeros(len(at), np.int64))
-        yield best.batch()
-
-    return counted.mapInArrow(score, BEST)
-
-
-def _best(parts: list[DataFrame], spark, k: int) -> DataFrame:
-    """(question_id, id, rank, late): the k best of each question from the tasks' own best."""
-    rows = spark.createDataFrame([], BEST)
-    for p in parts:
-        rows = rows.unionByName(p)
-    ranked = rows.select("question_id", "id", F.round("score", 6).alias("rank"), "late")
-    w = Window.partitionBy("question_id").orderBy("rank", "late", "id")
-    return ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
-
-
 def bm25(docs: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """(question_id, id, rank, late): each question's k best documents by BM25 over title and content, best
     (most negative) rank first, ties by id. Rows of one id count as documents of their own."""
-    return _best([_score_block(docs, asked, k) for asked in _in_blocks(asked_terms(questions))], docs.sparkSession, k)
+    index = fulltext.build(docs)
+    hits = fulltext.search(index, questions, k)
+    discard(index)
+    return hits.withColumn("late", F.lit(0).cast("long"))
 
 
 def top(hits: DataFrame, k: int = 5) -> DataFrame:
@@ -203,70 +60,61 @@ def top(hits: DataFrame, k: int = 5) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def asked_parts(questions: DataFrame) -> DataFrame:
-    """(question_id, worded, place, part): a question's keywords, or the white-space parts of one without any."""
+def asked_parts(questions: DataFrame, mode: str = "hits") -> DataFrame:
+    """(question_id, counted, place, raw, part): what a question is matched by: its keywords, or the white-space parts of one
+    without any; ``part`` is folded. ``counted``: documents rank by the number of parts they hold, else by where the first part stands."""
     words = T.question_keywords(F.col("question"))
-    pieces = F.filter(F.split(T.js_trim(F.col("question")), T.BLANKS), lambda p: p != "")
-    own = F.when(F.size(words) > 0, words).otherwise(F.array_distinct(pieces))
-    return questions.select("question_id", (F.size(words) > 0).alias("worded"), F.posexplode(own).alias("place", "part"))
-
-
-def _find_block(docs: DataFrame, asked: pd.DataFrame, k: int) -> DataFrame:
-    low = asked["part"].str.translate({65 + j: 97 + j for j in range(26)})
-    parts = sorted(set(low))
-    number = {p: j for j, p in enumerate(parts)}
-    asked = asked.assign(low=low.map(number)).sort_values(["question_id", "place"])
-    askers: list[list[tuple[int, bool]]] = [[] for _ in parts]
-    for j, q, worded in zip(asked["low"], asked["question_id"], asked["worded"], strict=True):
-        askers[j].append((int(q), bool(worded)))
-    firsts = {int(q): (part, parts[j]) for q, part, j in asked.drop_duplicates("question_id")[["question_id", "part", "low"]].itertuples(index=False)}
-    held = docs.sparkSession.sparkContext.broadcast((parts, askers, firsts))  # one block's parts
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        parts, askers, firsts = held.value
-        machine = ahocorasick.Automaton()
-        for j, p in enumerate(parts):
-            machine.add_word(p, j)
-        machine.make_automaton()
-        best = _Best(k)
-        for b in batches:
-            rows = []
-            for own, late, exact, *fields in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                title, author, abstract, content = fields
-                body = {j for _, j in machine.iter("\n".join((title, abstract, content)))}
-                hits: Counter[int] = Counter()
-                plain = set()
-                for j in body:
-                    for q, worded in askers[j]:
-                        if worded:
-                            hits[q] += 1
-                        else:
-                            plain.add(q)
-                plain.update(q for _, j in machine.iter(author) for q, worded in askers[j] if not worded)
-                rows += [(q, own, -float(n), late) for q, n in hits.items()]
-                for q in plain:
-                    raw, low = firsts[q]
-                    places = (exact == raw, title.startswith(low), low in title, low in author, low in abstract, low in content)
-                    rows.append((q, own, -float(next((s for s, hit in zip((100, 80, 60, 40, 20, 10), places, strict=True) if hit), 0)), late))
-            if rows:
-                question, ids, score, late = zip(*rows, strict=True)
-                best.add(np.array(question, np.int64), np.array(ids, np.int64), np.array(score), np.array(late, np.int64))
-        yield best.batch()
-
+    pieces = F.array_distinct(F.filter(F.split(T.js_trim(F.col("question")), T.BLANKS), lambda p: p != ""))
+    own = T.let(words, lambda ws: F.struct((F.size(ws) > 0).alias("worded"), F.when(F.size(ws) > 0, ws).otherwise(pieces).alias("parts")))
+    counted = F.col("o.worded") & F.lit(mode == "hits")
+    rows = questions.select("question_id", own.alias("o")).select("question_id", counted.alias("counted"), F.posexplode("o.parts").alias("place", "raw"))
+    return rows.withColumn("part", T.ascii_fold(F.col("raw")))
+
+
+def _grams(text: F.Column) -> F.Column:
+    """Distinct pairs of neighbouring characters and single characters of a text; what is left of characters beyond the
+    basic plane may add some that the text does not hold."""
+    pairs = F.array_distinct(F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit("(?s)(?=(..))"), 1))
+    return T.let(pairs, lambda gs: F.array_distinct(F.concat(gs, F.transform(gs, lambda g: F.substring(g, 1, 1)))))
+
+
+def _own_grams(part: F.Column) -> F.Column:
+    return F.when(F.length(part) == 1, F.array(part)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(part) - 1), lambda i: F.substring(part, i, 2))))
+
+
+def candidates(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, part): documents that hold a part's rarest 2-gram in any field; parts with a gram that no document holds have none."""
+    grams = settle(parts.select("part").distinct().select("part", F.explode(_own_grams(F.col("part"))).alias("gram")), "asked-grams")
+    whole = F.concat_ws("\n", *[T.ascii_fold(F.coalesce(f, F.lit(""))) for f in FIELDS])
+    held = docs.select(F.col("id").cast("long").alias("id"), F.explode(_grams(whole)).alias("gram")).join(grams.select("gram").distinct(), "gram")
+    held = settle(held, "held-grams")
+    df = held.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = grams.join(df, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count_if(F.col("df").isNull()).alias("unheld")).where("unheld = 0")
+    return held.join(rarest.select("gram", "part"), "gram").select("id", "part")
+
+
+def substring_hits(docs: DataFrame, questions: DataFrame, k: int = 5, mode: str = "hits") -> DataFrame:
+    """(question_id, id, rank, late, algorithm): each question's k best documents by substring, newest first among equals.
+
+    A question with keywords ranks documents by how many of them title, abstract or content hold (``mode`` "hits"), or like one
+    without keywords (``mode`` "score"): documents that hold any part in any field, ranked by where the first part stands.
+    Documents are found by an equi-join on 2-grams and looked at once per part and ``ASKERS`` questions; tasks cut to the k
+    best of a question before rows of hits are shuffled. Rows of one id are one document."""
+    asked = settle(asked_parts(questions, mode), "asked-parts")
+    sizes = asked.groupBy("part").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("chunks"))
+    askers = asked.join(sizes, "part").groupBy("part", F.pmod(F.xxhash64("question_id"), "chunks").alias("chunk"))
+    askers = askers.agg(F.collect_list(F.struct("question_id", "counted", "place", "raw")).alias("askers"))  # about ASKERS
+    found = candidates(docs, asked).join(askers, "part").select("id", "part", "askers")
     folded = [T.ascii_fold(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS]
-    read = docs.select(F.col("id").cast("long").alias("id"), (-F.unix_micros("updated_at")).alias("late"), F.coalesce("title", F.lit("")).alias("exact"), *folded)
-    return read.mapInArrow(find, BEST)
-
-
-def substring_hits(docs: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """(question_id, id, rank, late): each question's k best documents by substring, newest first among equals.
-
-    A question with keywords ranks documents by how many of them title, abstract or content hold; one without
-    finds documents that hold any of its white-space parts in any field, ranked by where the first part stands.
-    All parts of a block are looked for in one pass over a text."""
-    return _best([_find_block(docs, asked, k) for asked in _in_blocks(asked_parts(questions))], docs.sparkSession, k)
+    texts = docs.select(F.col("id").cast("long").alias("id"), (-F.unix_micros("updated_at")).alias("late"), F.coalesce("title", F.lit("")).alias("exact"), *folded)
+    inside = lambda f: F.col(f).contains(F.col("part"))
+    met = found.join(texts, "id").select("id", "late", "part", "askers", "exact", (inside("title") | inside("abstract") | inside("content")).alias("body"), inside("author").alias("author"), F.when(F.col("title").startswith(F.col("part")), 80).when(inside("title"), 60).when(inside("author"), 40).when(inside("abstract"), 20).when(inside("content"), 10).otherwise(0).alias("points"))
+    each = met.where("body or author").select("id", "late", "part", "body", "exact", "points", F.explode("askers").alias("a")).where("body or not a.counted")
+    points = F.when(F.col("a.place") > 0, 0).when(F.col("exact") == F.col("a.raw"), 100).otherwise(F.col("points"))
+    sums = each.groupBy(F.col("a.question_id").alias("question_id"), "id").agg(F.first("a.counted").alias("counted"), F.size(F.collect_set("part")).alias("n"), F.max(points).alias("points"), F.min("late").alias("late"))
+    rank = F.when(F.col("counted"), -F.col("n")).otherwise(-F.col("points")).cast("double")
+    ranked = sums.select("question_id", "id", rank.alias("rank"), "late", F.when(F.col("counted"), COUNTED).otherwise(SCORED).alias("algorithm"))
+    return top(ranked, k).drop("place")
 
 
 def without_hits(questions: DataFrame, hits: DataFrame) -> DataFrame:
@@ -274,8 +122,9 @@ def without_hits(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.where(~T.is_blank(F.col("question"))).join(hits.select("question_id").distinct(), "question_id", "left_anti")
 
 
-def retrieve(docs: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """(question_id, id, rank, late, place, strategy): full-text hits, and for questions without any the fallback."""
-    primary = settle(bm25(docs, questions, k), "primary")
-    fallback = substring_hits(docs, without_hits(questions, primary), k).withColumn("strategy", F.lit("fallback"))
+def retrieve(docs: DataFrame, questions: DataFrame, k: int = 5, mode: str = "hits") -> DataFrame:
+    """(question_id, id, rank, late, place, strategy, algorithm): full-text hits, and for questions without any the fallback
+    in its ``mode``: "hits" as for a local model, "score" as for a remote one."""
+    primary = settle(bm25(docs, questions, k).withColumn("algorithm", F.lit("FTS5")), "primary")
+    fallback = substring_hits(docs, without_hits(questions, primary), k, mode).withColumn("strategy", F.lit("fallback"))
     return top(primary.withColumn("strategy", F.lit("primary")).unionByName(fallback), k)

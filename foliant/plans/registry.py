@@ -443,20 +443,35 @@ def fallback_questions(spark, sf):
     return search.without_hits(asked, search.bm25(_docs(spark, sf), asked, 1)).select("question_id")
 
 
-_FIRST = "lower(parts[1])"
-RETRIEVED = f"""{BM}, missed AS (SELECT question_id, list_filter(regexp_split_to_array(trim(question), '\\s+'), lambda p: p <> '') AS parts FROM questions WHERE trim(question) <> '' AND question_id NOT IN (SELECT question_id FROM primary_hits)),
-  low AS (SELECT id, updated_at, title AS exact, lower(coalesce(title, '')) AS title, lower(coalesce(author, '')) AS author, lower(coalesce(abstract, '')) AS abstract, lower(coalesce(content, '')) AS content FROM lib),
-  worded AS (SELECT question_id, id, updated_at, CAST(-count(DISTINCT kw) AS DOUBLE) AS rank FROM missed JOIN qk USING (question_id) JOIN low ON contains(concat_ws(chr(10), title, abstract, content), lower(kw)) GROUP BY question_id, id, updated_at),
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIRST = _FOLD.format("parts[1]")
+
+
+def _retrieved(mode: str) -> str:
+    """The cascade: full text, then hit counts for questions with keywords (``hits``) or places of the first word (``score``)."""
+    counted = mode == "hits"
+    own = "(SELECT list(kw ORDER BY o) FROM qk WHERE qk.question_id = questions.question_id)"
+    return f"""{BM}, missed AS (SELECT question_id, coalesce({own}, list_filter(regexp_split_to_array(trim(question), '\\s+'), lambda p: p <> '')) AS parts, {own} IS NOT NULL AND {counted} AS counted FROM questions WHERE trim(question) <> '' AND question_id NOT IN (SELECT question_id FROM primary_hits)),
+  low AS (SELECT id, updated_at, title AS exact, {', '.join(_FOLD.format(f"coalesce({f}, '')") + ' AS ' + f for f in search.FIELDS)} FROM lib),
+  worded AS (SELECT question_id, id, updated_at, CAST(-len(list_filter(parts, lambda p: contains(concat_ws(chr(10), title, abstract, content), {_FOLD.format('p')}))) AS DOUBLE) AS rank FROM missed, low WHERE counted),
   plain AS (SELECT question_id, id, updated_at, CAST(-CASE WHEN exact = parts[1] THEN 100 WHEN starts_with(title, {_FIRST}) THEN 80 WHEN contains(title, {_FIRST}) THEN 60 WHEN contains(author, {_FIRST}) THEN 40 WHEN contains(abstract, {_FIRST}) THEN 20 WHEN contains(content, {_FIRST}) THEN 10 ELSE 0 END AS DOUBLE) AS rank
-    FROM missed JOIN low ON len(list_filter(parts, lambda p: contains(concat_ws(chr(10), title, author, abstract, content), lower(p)))) > 0 WHERE question_id NOT IN (SELECT question_id FROM qk)),
-  every AS (SELECT question_id, id, rank, 0 AS late, 'primary' AS strategy FROM primary_hits UNION ALL
-    SELECT question_id, id, rank, -epoch_us(updated_at), 'fallback' FROM (SELECT * FROM worded UNION ALL SELECT * FROM plain)),
+    FROM missed JOIN low ON NOT counted AND len(list_filter(parts, lambda p: contains(concat_ws(chr(10), title, author, abstract, content), {_FOLD.format('p')}))) > 0),
+  every AS (SELECT question_id, id, rank, 0 AS late, 'primary' AS strategy, 'FTS5' AS algorithm FROM primary_hits UNION ALL SELECT question_id, id, rank, -epoch_us(updated_at), 'fallback', 'CHINESE_LIKE' FROM worded WHERE rank < 0
+    UNION ALL SELECT question_id, id, rank, -epoch_us(updated_at), 'fallback', 'LIKE' FROM plain),
   hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, late, id) AS place FROM every) WHERE place <= 5)"""
 
 
-@query(f"WITH {RETRIEVED} SELECT question_id, id, rank, place, strategy FROM hits")
+RETRIEVED = _retrieved("hits")
+
+
+@query(f"WITH {RETRIEVED} SELECT question_id, id, rank, place, strategy, algorithm FROM hits")
 def retrieve(spark, sf):
-    return search.retrieve(_docs(spark, sf), L.questions(spark, sf)).select("question_id", "id", "rank", "place", "strategy")
+    return search.retrieve(_docs(spark, sf), L.questions(spark, sf)).select("question_id", "id", "rank", "place", "strategy", "algorithm")
+
+
+@query(f"WITH {_retrieved('score')} SELECT question_id, id, rank, place, strategy, algorithm FROM hits")
+def retrieve_scored(spark, sf):
+    return search.retrieve(_docs(spark, sf), L.questions(spark, sf), mode="score").select("question_id", "id", "rank", "place", "strategy", "algorithm")
 
 
 @query(None)
@@ -502,33 +517,36 @@ def local_prompts(spark, sf):
     return context.local_prompts(context.references(search.retrieve(docs, asked), docs, asked))
 
 
-AUDIT = f"""{RETRIEVED}, n AS (SELECT question_id, max(strategy) AS found, string_agg(id, '|' ORDER BY place) AS ids, count(*) AS n FROM hits GROUP BY question_id),
-  b AS (SELECT question_id, found, coalesce(ids, '') AS ids, coalesce(n, 0) AS n, coalesce(found <> 'primary', true) AS missed, CASE found WHEN 'primary' THEN 'FTS5' WHEN 'fallback' THEN 'LIKE' ELSE 'NONE' END AS used FROM questions LEFT JOIN n USING (question_id) WHERE trim(question) <> ''),
-  events AS (SELECT question_id, 1 AS step, 'START' AS action, 'FTS5' AS algorithm, NULL AS strategy, NULL AS fallback_reason, NULL AS result_count, NULL AS ids FROM b
-    UNION ALL SELECT question_id, 2, 'COMPLETE', 'FTS5', NULL, NULL, CASE WHEN missed THEN 0 ELSE n END, CASE WHEN missed THEN '' ELSE ids END FROM b
-    UNION ALL SELECT question_id, 3, 'START', 'LIKE', NULL, NULL, NULL, NULL FROM b WHERE missed UNION ALL SELECT question_id, 4, 'COMPLETE', 'LIKE', NULL, NULL, n, ids FROM b WHERE missed
-    UNION ALL SELECT question_id, 5, 'STRATEGY', used, CASE WHEN missed THEN 'FALLBACK' ELSE 'PRIMARY' END, CASE WHEN missed THEN '{context.FALLBACK_REASON}' END, NULL, NULL FROM b WHERE found IS NOT NULL
-    UNION ALL SELECT question_id, 6, 'FINAL', used, NULL, NULL, n, ids FROM b)"""
+AUDIT = f"""{RETRIEVED}, n AS (SELECT question_id, max(strategy) AS found, max(algorithm) AS algorithm, string_agg(hits.id, '|' ORDER BY place) AS ids, count(*) AS n,
+    string_agg(place || ' ' || hits.id || ' ' || title || ' ' || length(content) || ' ' || file_path, chr(10) ORDER BY place) AS info FROM hits JOIN lib ON lib.id = hits.id GROUP BY question_id),
+  b AS (SELECT question_id, question AS query, found, coalesce(ids, '') AS ids, coalesce(n, 0) AS n, coalesce(info, '') AS info, coalesce(found <> 'primary', true) AS missed, coalesce(algorithm, 'NONE') AS used FROM questions LEFT JOIN n USING (question_id) WHERE trim(question) <> ''),
+  events AS (SELECT question_id, 1 AS step, 'START' AS action, query, 'FTS5' AS algorithm, question_id + 5 AS start_time, NULL AS duration_ms, NULL AS n, NULL AS ids, NULL AS strategy, NULL AS used, NULL AS reason, NULL AS info FROM b
+    UNION ALL SELECT question_id, 2, 'COMPLETE', query, 'FTS5', NULL, 7, CASE WHEN missed THEN 0 ELSE n END, CASE WHEN missed THEN '' ELSE ids END, NULL, NULL, NULL, NULL FROM b
+    UNION ALL SELECT question_id, 3, 'START', query, 'LIKE', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM b WHERE missed UNION ALL SELECT question_id, 4, 'COMPLETE', query, 'LIKE', NULL, NULL, n, ids, NULL, NULL, NULL, NULL FROM b WHERE missed
+    UNION ALL SELECT question_id, 5, 'STRATEGY', NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN missed THEN 'FALLBACK' ELSE 'PRIMARY' END, used, CASE WHEN missed THEN 'FTS5返回空结果' ELSE 'FTS5返回有效结果' END, NULL FROM b WHERE found IS NOT NULL
+    UNION ALL SELECT question_id, 6, 'FINAL', NULL, NULL, NULL, NULL, n, NULL, NULL, used, NULL, info FROM b)"""
 
 
-@query(f"WITH {AUDIT} SELECT question_id, step, action, algorithm, strategy, fallback_reason, CAST(result_count AS BIGINT) AS result_count, ids FROM events")
-def search_audit(spark, sf):
+def _audited(spark, sf):
     docs, asked = _docs(spark, sf), L.questions(spark, sf)
-    events = context.search_audit(asked, search.retrieve(docs, asked), docs)
-    return events.select("question_id", "step", "action", "algorithm", "strategy", "fallback_reason", F.col("result_count").cast("long").alias("result_count"), F.array_join("result_ids", "|").alias("ids"))
+    timed = asked.withColumns({"start_fts": F.col("question_id") + 5, "ms_fts": F.lit(7).cast("long")})
+    return context.search_audit(timed, search.retrieve(docs, asked), docs)
+
 
+@query(f"WITH {AUDIT} SELECT question_id, step, action, query, algorithm, CAST(start_time AS BIGINT) AS start_time, CAST(duration_ms AS BIGINT) AS duration_ms, CAST(n AS BIGINT) AS n, ids, strategy, used, reason, info FROM events")
+def search_audit(spark, sf):
+    info = F.array_join(F.transform("documentInfo", lambda d: F.concat_ws(" ", d["index"], d["id"], d["title"], d["contentLength"], d["filePath"])), "\n")
+    return _audited(spark, sf).select("question_id", "step", "action", "query", "algorithm", F.col("startTime").alias("start_time"), F.col("durationMs").alias("duration_ms"), F.coalesce("resultCount", "finalCount").cast("long").alias("n"), F.array_join("resultIds", "|").alias("ids"), "strategy", F.coalesce("usedAlgorithm", "sourceAlgorithm").alias("used"), F.col("fallbackReason").alias("reason"), info.alias("info"))
 
-@query(f"WITH {AUDIT} SELECT CAST(question_id AS VARCHAR) AS search_id, action, algorithm, CAST(CASE WHEN action = 'COMPLETE' THEN result_count END AS BIGINT) AS result_count FROM events")
+
+@query(f"WITH {AUDIT} SELECT CAST(question_id AS VARCHAR) AS search_id, action, query, algorithm, CAST(CASE WHEN action = 'COMPLETE' THEN n END AS BIGINT) AS result_count, CAST(CASE WHEN action = 'FINAL' THEN n END AS BIGINT) AS n_documents FROM events")
 def search_log(spark, sf):
     """The audit written as log lines and read back."""
-    docs, asked = _docs(spark, sf), L.questions(spark, sf)
-    events = context.search_audit(asked, search.retrieve(docs, asked), docs)
-    complete = F.when(F.col("action") == "COMPLETE", F.col("result_count"))
-    rows = events.select(F.lit("2024-05-01").cast("timestamp").alias("ts"), F.col("question_id").cast("string").alias("searchId"), "action", "algorithm", "strategy", F.col("fallback_reason").alias("fallbackReason"), complete.alias("resultCount"), F.col("result_ids").alias("resultIds"))
+    rows = _audited(spark, sf).withColumns({"ts": F.lit("2024-05-01").cast("timestamp"), "searchId": F.col("question_id").cast("string")}).drop("question_id", "step")
     path = f"{shared_dir(spark)}/search-log-{uuid.uuid4().hex}"
     L.search_log_lines(rows).write.text(path)
     back = L.search_log(spark, path).where("ts = timestamp '2024-05-01'")
-    return back.select(F.col("event.searchId").alias("search_id"), "event.action", "event.algorithm", F.col("event.resultCount").cast("long").alias("result_count"))
+    return back.select(F.col("event.searchId").alias("search_id"), "event.action", "event.query", "event.algorithm", F.col("event.resultCount").cast("long").alias("result_count"), F.size("event.documentInfo").cast("long").alias("n_documents"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> ''), '|') AS items FROM documents")

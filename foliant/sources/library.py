@@ -41,7 +41,10 @@ def append_call_log(entries: DataFrame, path: str) -> None:
 
 def search_log(spark: SparkSession, path: str) -> DataFrame:
     """(ts, event) of lines ``[time] {json}``."""
-    event = "searchId string, action string, algorithm string, query string, resultCount int, durationMs long, error string, resultIds array<long>, strategy string, usedAlgorithm string, fallbackReason string, finalCount int, sourceAlgorithm string"
+    event = (
+        "searchId string, action string, algorithm string, query string, startTime long, resultCount int, durationMs long, error string, resultIds array<long>, strategy string, usedAlgorithm string, "
+        "fallbackReason string, finalCount int, sourceAlgorithm string, documentInfo array<struct<index: int, id: long, title: string, contentLength: int, filePath: string>>"
+    )
     line = spark.read.text(path).select(F.regexp_extract("value", r"^\[([^\]]+)\]", 1).alias("at"), F.regexp_extract("value", r"^\[[^\]]+\] (\{.*)$", 1).alias("json"))
     return line.where("json <> ''").select(F.try_to_timestamp("at").alias("ts"), F.from_json("json", event).alias("event"))
 

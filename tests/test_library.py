@@ -1,11 +1,14 @@
 """Registered queries against their SQL, and literal cases for text the given tables do not hold."""
 
+import math
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import annotate, catalog, context, graph, logs, search
+from foliant.operators import annotate, catalog, context, fulltext, graph, logs, search
 from foliant.plans import registry
 from foliant.sources import library
 from foliant.streaming import sync
@@ -91,6 +94,7 @@ def test_retrieval_cascade(spark):
     asked = spark.createDataFrame([(1, "什么是智慧城市"), (2, "2024 7"), (3, "是"), (4, None), (5, "是　is"), (6, "什么是智慧城市？")], "question_id long, question string")
     got = {}
     for r in search.retrieve(docs, asked).orderBy("question_id", "place").collect():
+        assert r["algorithm"] == {"primary": "FTS5"}.get(r["strategy"], "LIKE" if r["question_id"] in (2, 3, 5) else "CHINESE_LIKE")
         got.setdefault(r["question_id"], []).append((r["id"], r["strategy"], r["rank"]))
     assert got[1] == [(9, "fallback", -3), (1, "fallback", -3), (7, "fallback", -1), (2, "fallback", -1)]  # by the number of 2-grams, then newest first; authors do not count
     assert [r[:2] for r in got[2]] == [(4, "primary")]  # as a phrase, not across title and content
@@ -101,14 +105,90 @@ def test_retrieval_cascade(spark):
 
 def test_search_in_blocks_and_batches(spark, monkeypatch):
     docs, asked = library.documents(spark, SF), library.questions(spark, SF)
-    rows = lambda: sorted(map(tuple, search.retrieve(docs, asked).select("question_id", "id", "rank", "place", "strategy").collect()))
-    whole = rows()
-    monkeypatch.setattr(search, "ASKED_PER_BLOCK", 100)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
-    try:
-        assert rows() == whole
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    columns = ("question_id", "id", "rank", "place", "strategy", "algorithm")
+    whole = sorted(map(tuple, search.retrieve(docs, asked).select(*columns).collect()))
+    index = fulltext.build(docs.unionByName(docs.limit(0)), 7)
+    hits = sorted((r["question_id"], r["id"], r["rank"]) for r in fulltext.search(index, asked).collect())
+    assert hits == [r[:3] for r in whole if r[4] == "primary"]
+    monkeypatch.setattr(search, "ASKERS", 2)
+    few = asked.limit(20)
+    rows = lambda: sorted(map(tuple, search.substring_hits(docs, few).collect()))
+    split = rows()
+    monkeypatch.undo()
+    assert split == rows()
+
+
+def brute_bm25(docs, terms, k):
+    sizes = [len(d) for d in docs]
+    mean, out = sum(sizes) / len(docs), []
+    idf = {t: max(math.log((len(docs) - df + 0.5) / (df + 0.5)), 1e-6) for t in terms for df in [sum(t in x for x in docs)]}
+    for i, d in enumerate(docs):
+        s = 0.0
+        for t in terms:
+            tf = d.count(t)
+            s += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sizes[i] / mean))
+        if any(t in d for t in terms):
+            out.append((-round(s, 6), i))
+    return sorted(out)[:k]
+
+
+def test_bounds_spare_most_documents_a_score(spark):
+    rng = np.random.default_rng(3)
+    words = [["the", "of", "in"][rng.integers(3)] if rng.random() < 0.5 else f"w{letters(rng.zipf(1.3) % 4000)}" for _ in range(40 * 3000)]
+    docs = [words[40 * k : 40 * k + 40] for k in range(3000)]
+    asked = [[f"w{letters(j)}" for j in rng.integers(20, 1500, 3)] for _ in range(40)]
+    rows = spark.createDataFrame([(i, "", " ".join(d)) for i, d in enumerate(docs)], "id long, title string, content string").repartition(3, "id")
+    questions = spark.createDataFrame([(q, " ".join(t)) for q, t in enumerate(asked)], "question_id long, question string")
+    index = fulltext.build(rows, 20)
+    got = {}
+    for r in fulltext.search(index, questions).orderBy("question_id", "rank", "id").collect():
+        got.setdefault(r["question_id"], []).append((r["rank"], r["id"]))
+    want = {q: brute_bm25(docs, list(dict.fromkeys(t)), 5) for q, t in enumerate(asked)}
+    assert got == {q: own for q, own in want.items() if own}
+    found = fulltext.weigh(index, fulltext.asked_terms(questions))
+    seen = fulltext.seeds(found)
+    least = spark.createDataFrame([(q, -own[-1][0]) for q, own in want.items() if len(own) == 5], "question_id long, least double")
+    assert (fulltext.surviving(found, least, seen).count() + seen.count()) * 20 < 0.1 * len(docs) * len(asked)
+
+
+def letters(n):
+    return "".join(chr(97 + int(d)) for d in str(n))
+
+
+def brute_fallback(docs, question, mode, k=5):
+    fold = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
+    words = question["words"]
+    parts = words or question["text"].split()
+    out = []
+    for d in docs:
+        title, author, abstract, content = (fold(d[f]) for f in ("title", "author", "abstract", "content"))
+        if words and mode == "hits":
+            rank = -sum(any(fold(w) in x for x in (title, abstract, content)) for w in words)
+            hit = rank < 0
+        else:
+            hit = any(fold(p) in x for p in parts for x in (title, author, abstract, content))
+            first = fold(parts[0])
+            rank = -next((s for s, yes in zip((100, 80, 60, 40, 20, 10), ((d["title"] or "") == parts[0], title.startswith(first), first in title, first in author, first in abstract, first in content), strict=True) if yes), 0)
+        if hit:
+            out.append((rank, -d["at"], d["id"]))
+    return [(r, i) for r, _, i in sorted(out)[:k]]
+
+
+@pytest.mark.parametrize("mode", ["hits", "score"])
+def test_fallback_against_brute_force(spark, mode):
+    rng = np.random.default_rng(11)
+    text = lambda n: "".join(rng.choice(list("智慧城市建设 aAbBéÉ\U0001f600"), n))
+    docs = [{"id": k, "title": text(6), "author": text(3), "abstract": text(8) if k % 3 else None, "content": text(30), "at": int(rng.integers(9))} for k in range(150)]
+    docs += [{"id": 150, "title": "建设", "author": "", "abstract": "", "content": "", "at": 3}, {"id": 151, "title": None, "author": None, "abstract": None, "content": None, "at": 3}]
+    asked = [text(int(rng.integers(1, 9))) for _ in range(25)] + ["7", "2024 7", "建设", "是 A", "智"]
+    rows = spark.createDataFrame([tuple(d.values()) for d in docs], "id long, title string, author string, abstract string, content string, at long").withColumn("updated_at", F.timestamp_seconds("at"))
+    questions = spark.createDataFrame(list(enumerate(asked)), "question_id long, question string")
+    words = {r["question_id"]: r["w"] for r in questions.select("question_id", T.question_keywords(F.col("question")).alias("w")).collect()}
+    got = {}
+    for r in search.substring_hits(rows, questions, mode=mode).orderBy("question_id", "rank", "late", "id").collect():
+        got.setdefault(r["question_id"], []).append((r["rank"], r["id"]))
+    want = {q: brute_fallback(docs, {"words": words[q], "text": t}, mode) for q, t in enumerate(asked) if words[q] or t.split()}
+    assert got == {q: own for q, own in want.items() if own}
 
 
 def test_search_without_documents_or_questions(spark):
