@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-BLANKS, ENDS = _BLANK + "+", rf"^{_BLANK}+|{_BLANK}+\z"
-#: Letters folded to their base for search tokens, after lower().
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+BLANK, BLANKS, ENDS = _BLANK, _BLANK + "+", rf"^{_BLANK}+|{_BLANK}+\z"
+
+
+def _fold_table() -> tuple[str, str]:
+    """Letters and their bases, from the Unicode decompositions: a Latin letter with one mark folds to its letter of a to z; those
+    with several marks or without a decomposition stay, as in a full-text index that folds by single marks."""
+    pairs = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        c = chr(code)
+        whole = unicodedata.normalize("NFD", c)
+        if len(whole) == 2 and unicodedata.combining(whole[1]) and whole[0].lower() in az:
+            pairs[c] = whole[0].lower()
+    return "".join(pairs), "".join(pairs.values())
+
+
+#: Letters folded to their base for search tokens, after lower(); marks that combine with the letter before them are dropped.
+ACCENTED, PLAIN = _fold_table()
+MARKS = r"[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]"
 #: File types by extension.
 FILE_TYPES = {"pdf": "pdf", "md": "markdown", "doc": "doc", "docx": "docx", "txt": "text", "html": "html"}
 #: Words that never become search keywords.
@@ -57,8 +73,11 @@ def display_name(path: Column, title: Column) -> Column:
 
 
 def fold_tokens(c: Column) -> Column:
-    """Search tokens: runs of letters and digits, lower-cased, accents removed."""
-    return F.regexp_extract_all(F.translate(F.lower(c), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}\p{Co}]+"), 0)
+    """Search tokens: runs of letters and digits, lower-cased, accents removed. Texts are decomposed where they hold
+    marks only, so most pass through one translation and one pattern."""
+    low = F.lower(c)
+    bare = F.when(low.rlike(MARKS), F.regexp_replace(low, MARKS, "")).otherwise(low)
+    return F.regexp_extract_all(F.translate(bare, ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}\p{Co}]+"), 0)
 
 
 def let(value: Column, body) -> Column:
@@ -124,7 +143,7 @@ def text_to_html(c: Column) -> Column:
     out = F.coalesce(c, F.lit(""))
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(raw), F.lit(entity))
-    parts = F.filter(F.transform(F.split(out, r"\n\s*\n"), js_trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(out, rf"\n{_BLANK}*\n"), js_trim), lambda p: p != "")
     return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))), "")
 
 
@@ -200,7 +219,7 @@ def enforce_citations(answer: Column, names: Column) -> Column:
     lines = F.array_join(F.transform(names, lambda n, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), n)), "\n")
     section = F.concat(F.lit(CITATION_TITLE + "\n"), lines)
     parts = F.split(F.concat(F.lit("\n"), answer), "\n## ")
-    title = lambda p: js_trim(F.regexp_replace(F.substring_index(p, "\n", 1), r"[:：]\s*$", ""))
+    title = lambda p: js_trim(F.regexp_replace(F.substring_index(p, "\n", 1), rf"[:：]{_BLANK}*\z", ""))
     is_it = F.transform(parts, lambda p, i: (i > 0) & (title(p) == CITATION_TITLE))
     at = F.array_position(is_it, F.lit(True))
     put = F.substring(F.array_join(F.transform(parts, lambda p, i: F.when(i + 1 == at, F.concat(section, F.lit("\n"))).otherwise(p)), "\n## "), 2, 2_000_000_000)

@@ -6,17 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators.numbering import numbered
 
 NULL_WHEN_EMPTY = ["author", "abstract", "content", "file_path", "file_type"]
 NULL_WHEN_FALSY = ["year", "last_viewed"]
 
 
 def page(docs: DataFrame, offset: int, limit: int, where: Column | None = None) -> DataFrame:
-    """One page, newest first. Deep pages should rather filter on (updated_at, id)."""
+    """One page, newest first; many or deep pages are read from a ``page_directory``."""
     rows = docs if where is None else docs.where(where)
     return rows.orderBy(F.desc("updated_at"), "id").offset(offset).limit(limit)
 
 
+def page_directory(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``number``, each one's place newest first, from 0. Numbers come from a range sort and counts per task, so rows
+    of a page lie together in one or two tasks' files once it is written, for any page to be read without sorting again."""
+    return numbered(docs, F.desc("updated_at"), "id")
+
+
+def page_of(directory: DataFrame, page: int, size: int = 15) -> DataFrame:
+    """A page of a ``page_directory``, however deep: a range of numbers, which files' statistics answer."""
+    return directory.where((F.col("number") >= page * size) & (F.col("number") < (page + 1) * size)).orderBy("number")
+
+
 def outside_path(docs: DataFrame, base: str) -> DataFrame:
     """Documents with a path not below ``base``, whose own separator counts; an empty base selects none."""
     separator = "\\" if "\\" in base and "/" not in base else "/"
@@ -64,9 +76,11 @@ def with_all(docs: DataFrame, bridge: DataFrame, values: list[str]) -> DataFrame
 
 
 def add_to_dictionary(known: DataFrame, values: DataFrame) -> DataFrame:
-    """(id, value) with the unknown non-blank values added; ids are hashes, so no global counter is needed."""
-    new = values.select(T.js_trim(F.col("value")).alias("value")).where("value <> ''").distinct().join(known, "value", "left_anti")
-    return known.unionByName(new.select(F.xxhash64("value").alias("id"), "value"))
+    """(id, value) with the unknown non-blank values added, in their order, numbered on from the greatest id without gaps.
+    Numbers come from counts per task, not from one task; known ids stay, so a second upsert changes nothing."""
+    new = values.select(T.js_trim(F.col("value")).alias("value")).where("value <> ''").distinct().join(known.select("value"), "value", "left_anti")
+    last = known.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
+    return known.unionByName(numbered(new, "value").select((F.col("number") + last + 1).alias("id"), "value"))
 
 
 def add_to_bridge(bridge: DataFrame, new: DataFrame) -> DataFrame:
@@ -123,29 +137,34 @@ def upload_admission(uploads: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def sync_diff(listing: DataFrame, docs: DataFrame, check_modified: bool = True) -> DataFrame:
-    """(file_path, status, back_fill) of a full outer join on the path: new, modified, existing or deleted."""
-    a = listing.select(F.col("file_path").alias("l_path"), F.col("file_mtime").alias("l_mtime"), F.col("file_size").alias("l_size"))
-    b = docs.select(F.col("file_path").alias("d_path"), F.col("file_mtime").alias("d_mtime"), F.col("file_size").alias("d_size"))
-    changed = F.col("l_mtime").isNotNull() & F.col("d_mtime").isNotNull() & ((F.col("l_mtime") != F.col("d_mtime")) | ~F.col("l_size").eqNullSafe(F.col("d_size"))) & F.lit(check_modified)
+    """(file_path, status, back_fill) of a full outer join on the path, a row per path: new, modified, existing or deleted. Documents
+    without a path have no file and take no part. Of several documents of one path the one with the greatest id counts, of several
+    listed rows the newest."""
+    a = listing.where("file_path is not null").groupBy(F.col("file_path").alias("l_path")).agg(F.max(F.struct("file_mtime", "file_size")).alias("l"))
+    b = docs.where("file_path is not null").groupBy(F.col("file_path").alias("d_path")).agg(F.max_by(F.struct("file_mtime", "file_size"), "id").alias("d"))
+    changed = F.col("l.file_mtime").isNotNull() & F.col("d.file_mtime").isNotNull() & ((F.col("l.file_mtime") != F.col("d.file_mtime")) | ~F.col("l.file_size").eqNullSafe(F.col("d.file_size"))) & F.lit(check_modified)
     status = F.when(F.col("d_path").isNull(), "new").when(F.col("l_path").isNull(), "deleted").when(changed, "modified").otherwise("existing")
-    out = a.join(b, F.col("l_path") == F.col("d_path"), "full").select(F.coalesce("l_path", "d_path").alias("file_path"), status.alias("status"), F.col("d_mtime").isNull().alias("no_mtime"))
+    out = a.join(b, F.col("l_path") == F.col("d_path"), "full").select(F.coalesce("l_path", "d_path").alias("file_path"), status.alias("status"), F.col("d.file_mtime").isNull().alias("no_mtime"))
     return out.select("file_path", "status", ((F.col("status") == "existing") & F.col("no_mtime")).alias("back_fill"))
 
 
 def apply_sync(docs: DataFrame, diff: DataFrame, read: DataFrame, now: Column) -> DataFrame:
     """The library after a sync: rows of deleted files go, those of modified ones take what was ``read``
     (file_path, title, content, file_type, file_mtime, file_size) and keep the rest, existing ones without sync
-    metadata take mtime and size alone, new files become rows. Ids of new rows are hashes of their path.
+    metadata take mtime and size alone, new files become rows, and documents without a path stay as they are. Ids of new rows are
+    hashes of their path; of several rows of ``read`` for one path the greatest counts.
     A file that could not be read has no row in ``read``: a modified one stays as it was, a new one is left out."""
     taken = ["title", "content", "file_type", "file_mtime", "file_size"]
+    read = read.where("file_path is not null").groupBy("file_path").agg(F.max(F.struct(*taken)).alias("r")).select("file_path", "r.*")
     got = read.select(F.col("file_path").alias("r_path"), *[F.col(c).alias(f"r_{c}") for c in taken])
-    kept = docs.join(diff.where("status <> 'new'").select("file_path", "status", "back_fill"), "file_path").where("status <> 'deleted'")
+    kept = docs.join(diff.where("status <> 'new'").select("file_path", "status", "back_fill"), "file_path", "left")
+    kept = kept.where("file_path is null or status <> 'deleted'")
     kept = kept.join(got, F.col("file_path") == F.col("r_path"), "left")
     whole = (F.col("status") == "modified") & F.col("r_path").isNotNull()
     meta = whole | (F.col("back_fill") & F.col("r_path").isNotNull())
     for c in taken:
         value = F.nullif(F.col(f"r_{c}"), F.lit("")) if c in NULL_WHEN_EMPTY else F.col(f"r_{c}")
-        kept = kept.withColumn(c, F.when(meta if c.startswith("file_m") or c == "file_size" else whole, value).otherwise(F.col(c)))
+        kept = kept.withColumn(c, F.when(F.coalesce(meta, F.lit(False)) if c.startswith("file_m") or c == "file_size" else F.coalesce(whole, F.lit(False)), value).otherwise(F.col(c)))
     kept = kept.withColumn("updated_at", F.when(meta, now).otherwise(F.col("updated_at"))).select(*docs.columns)
     new = diff.where("status = 'new'").select("file_path").join(read, "file_path")
     fresh = {"id": F.xxhash64("file_path"), "updated_at": now, "favorite": F.lit(0), **{c: F.nullif(F.col(c), F.lit("")) if c in NULL_WHEN_EMPTY else F.col(c) for c in ("file_path", *taken)}}

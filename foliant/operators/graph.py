@@ -54,14 +54,24 @@ def graph_keywords(candidates: DataFrame, top_n: int = 12) -> DataFrame:
     return lists.select("id", F.posexplode(chosen).alias("place", "k")).select("id", (F.col("place") + 1).alias("place"), "k.word", "k.freq")
 
 
+WORD_BITS = 62
+
+
 def cooccurrence(docs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(id, source, target, weight): sentences of a document that hold both keywords. Pairs form inside a
-    sentence's row, from at most a graph's keywords."""
-    words = keywords.groupBy("id").agg(F.array_sort(F.collect_list("word")).alias("ws"))
-    held = docs.select("id", F.explode(T.sentences(F.col("text"))).alias("sentence")).join(words, "id")
-    found = held.select("id", F.explode(F.array(F.filter("ws", lambda w: F.col("sentence").contains(w)))).alias("ws")).where(F.size("ws") > 1)
-    pairs = F.flatten(F.transform("ws", lambda a, i: F.transform(F.slice("ws", i + 2, 100), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    return found.select("id", F.explode(pairs).alias("p")).groupBy("id", "p.source", "p.target").agg(F.count("*").alias("weight"))
+    """(id, source, target, weight): sentences of a document that hold both keywords.
+
+    Keywords come to their document's row, where each gets a bitmap of the sentences that hold it, in longs of ``WORD_BITS``
+    sentences; a pair's weight is the number of common bits. Texts make one row each, and no sentence is a row."""
+    words = keywords.groupBy("id").agg(F.array_sort(F.collect_list("word")).alias("ws")).where(F.size("ws") > 1)
+    held = docs.select("id", "text").join(words, "id").select("id", "ws", F.explode(F.array(T.sentences(F.col("text")))).alias("ss"))
+    starts = F.when(F.size("ss") > 0, F.sequence(F.lit(1), F.size("ss"), F.lit(WORD_BITS))).otherwise(F.array().cast("array<int>"))
+    bit = lambda s, k: F.when(F.contains(s, k), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    bits = lambda w: F.transform(starts, lambda a: F.aggregate(F.slice("ss", a, WORD_BITS), F.lit(0).cast("long"), lambda acc, s: acc * 2 + bit(s, w)))
+    maps = held.select("id", F.explode(F.array(F.transform("ws", lambda w: F.struct(w.alias("w"), bits(w).alias("b"))))).alias("ms"))
+    maps = maps.select("id", F.explode(F.array(F.filter("ms", lambda m: F.exists(m["b"], lambda x: x != 0)))).alias("ms"))
+    both = lambda a, b: F.aggregate(F.zip_with(a["b"], b["b"], lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    pairs = F.flatten(F.transform("ms", lambda a, i: F.transform(F.slice("ms", i + 2, F.size("ms")), lambda b: F.struct(a["w"].alias("source"), b["w"].alias("target"), both(a, b).cast("long").alias("weight")))))
+    return maps.select("id", F.explode(pairs).alias("p")).where("p.weight > 0").select("id", "p.source", "p.target", "p.weight")
 
 
 def nodes(keywords: DataFrame, docs: DataFrame) -> DataFrame:

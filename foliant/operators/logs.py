@@ -65,12 +65,12 @@ def rewrite_retained(log: DataFrame, path: str, as_of: str, days: int = 30) -> N
     log.where(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days)).write.mode("overwrite").partitionBy("date").json(path)
 
 
-def batch_outcome(outcomes: DataFrame) -> DataFrame:
-    """One row over (content, answer, error): total, processed, success and failed; documents without
-    content fail without being processed."""
+def batch_outcome(outcomes: DataFrame, skip_blank: bool = False) -> DataFrame:
+    """One row over (content, answer, error): total, processed, success and failed. Documents without content fail without
+    being processed, or with ``skip_blank``, as when summaries are made, count in the total alone."""
     blank = T.is_blank(F.col("content"))
     good = ~blank & F.col("error").isNull() & F.col("answer").isNotNull()
-    return outcomes.agg(F.count("*").alias("total"), F.count_if(~blank).alias("processed"), F.count_if(good).alias("success"), F.count_if(~good).alias("failed"))
+    return outcomes.agg(F.count("*").alias("total"), F.count_if(~blank).alias("processed"), F.count_if(good).alias("success"), F.count_if(~good & ~blank if skip_blank else ~good).alias("failed"))
 
 
 def newest_answers(history: DataFrame, most: int = 50) -> DataFrame:

@@ -71,7 +71,7 @@ def asked_parts(questions: DataFrame, mode: str = "hits") -> DataFrame:
     return rows.withColumn("part", T.ascii_fold(F.col("raw")))
 
 
-def _grams(text: F.Column) -> F.Column:
+def grams_of(text: F.Column) -> F.Column:
     """Distinct pairs of neighbouring characters and single characters of a text; what is left of characters beyond the
     basic plane may add some that the text does not hold."""
     pairs = F.array_distinct(F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit("(?s)(?=(..))"), 1))
@@ -86,7 +86,7 @@ def candidates(docs: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, part): documents that hold a part's rarest 2-gram in any field; parts with a gram that no document holds have none."""
     grams = settle(parts.select("part").distinct().select("part", F.explode(_own_grams(F.col("part"))).alias("gram")), "asked-grams")
     whole = F.concat_ws("\n", *[T.ascii_fold(F.coalesce(f, F.lit(""))) for f in FIELDS])
-    held = docs.select(F.col("id").cast("long").alias("id"), F.explode(_grams(whole)).alias("gram")).join(grams.select("gram").distinct(), "gram")
+    held = docs.select(F.col("id").cast("long").alias("id"), F.explode(grams_of(whole)).alias("gram")).join(grams.select("gram").distinct(), "gram")
     held = settle(held, "held-grams")
     df = held.groupBy("gram").agg(F.count("*").alias("df"))
     rarest = grams.join(df, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count_if(F.col("df").isNull()).alias("unheld")).where("unheld = 0")

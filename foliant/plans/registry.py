@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import annotate, catalog, context, graph, logs, search
+from foliant.operators.numbering import numbered
 from foliant.sources import library as L
 from foliant.sources.scratch import settle, shared_dir
 from foliant.streaming import sync
@@ -77,6 +78,19 @@ def page_all(spark, sf):
     return catalog.page(_docs(spark, sf), 30, 15).select("id", "title")
 
 
+@query(f"WITH {LIB}, n AS (SELECT id, title, row_number() OVER (ORDER BY updated_at DESC, id) - 1 AS number FROM lib) SELECT number // 15 AS page, number, id, title FROM n")
+def page_directory(spark, sf):
+    directory = settle(catalog.page_directory(_docs(spark, sf).select("id", "title", "updated_at")), "directory")
+    return directory.select(F.expr("number div 15").alias("page"), "number", "id", "title")
+
+
+@query(f"WITH {LIB} SELECT id, title FROM lib ORDER BY updated_at DESC, id LIMIT 15 OFFSET (SELECT (count(*) // 30) * 15 FROM lib)")
+def page_deep(spark, sf):
+    """The page in the middle of the library, read from its directory."""
+    directory = settle(catalog.page_directory(_docs(spark, sf).select("id", "title", "updated_at")), "directory")
+    return catalog.page_of(directory, directory.count() // 30).select("id", "title")
+
+
 @query(f"WITH {LIB} SELECT count(*) AS total, count(*) FILTER (WHERE content <> '') AS with_content, count(*) FILTER (WHERE abstract <> '') AS with_abstract, count(*) FILTER (WHERE regexp_matches(lower(concat_ws(' ', title, content)), '[\\p{{L}}\\p{{N}}]')) AS indexed, (SELECT count(DISTINCT source) FROM documents) AS n_tags FROM lib")
 def library_health(spark, sf):
     return catalog.health(_docs(spark, sf), _docs(spark, sf).select(F.col("author").alias("value")))
@@ -238,16 +252,25 @@ def corpus_keyword_graph(spark, sf):
     return annotate.corpus_graph(_bridge(spark, sf))
 
 
+@query(f"""WITH {BRIDGE}, parts AS (SELECT doc_id AS document_id, unnest(ps) AS part, unnest(range(len(ps))) AS paragraph FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS ps FROM documents)),
+  held AS (SELECT document_id, paragraph, value FROM parts JOIN bridge USING (document_id) WHERE contains(part, lower(value)))
+  SELECT a.value AS k1, b.value AS k2, count(*) AS weight FROM held a JOIN held b ON a.document_id = b.document_id AND a.paragraph = b.paragraph AND a.value < b.value GROUP BY ALL""")
+def paragraph_keyword_graph(spark, sf):
+    return annotate.paragraph_graph(_given(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), _bridge(spark, sf), "\n")
+
+
 @query(f"WITH {BRIDGE} SELECT value, count(*) AS n_docs FROM bridge GROUP BY value")
 def keyword_list(spark, sf):
     return _bridge(spark, sf).groupBy("value").agg(F.count("*").alias("n_docs")).orderBy("value")
 
 
-@query(f"WITH {BRIDGE} SELECT DISTINCT value FROM bridge")
+@query(f"""WITH {BRIDGE}, even AS (SELECT DISTINCT value FROM bridge WHERE document_id % 2 = 0), known AS (SELECT value, row_number() OVER (ORDER BY value) * 3 AS id FROM even),
+  fresh AS (SELECT DISTINCT value FROM bridge WHERE value NOT IN (FROM even)) SELECT id, value FROM known UNION ALL SELECT 3 * (SELECT count(*) FROM even) + row_number() OVER (ORDER BY value), value FROM fresh""")
 def dictionary_upsert(spark, sf):
     bridge = _bridge(spark, sf)
-    known = bridge.where("document_id % 2 = 0").select(F.xxhash64("value").alias("id"), "value").distinct()
-    return catalog.add_to_dictionary(known, bridge.select("value")).select("value")
+    known = numbered(bridge.where("document_id % 2 = 0").select("value").distinct(), "value").select((F.col("number") * 3 + 3).alias("id"), "value")
+    once = settle(catalog.add_to_dictionary(known, bridge.select("value")), "dictionary")
+    return catalog.add_to_dictionary(once, bridge.select("value"))
 
 
 _NEW = "SELECT document_id, upper(value) AS value FROM bridge WHERE document_id % 5 = 0"
@@ -300,12 +323,12 @@ def _read_files(spark, sf):
     texts = docs.select("file_path", F.concat("content", F.lit("!")).alias("content"), (F.col("id") % 4).alias("pages"))
     pages = _given(spark, sf, "pages").select(F.concat(F.lit("/lib/new/page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.col("html").alias("content"), F.lit(1).alias("pages"))
     rows = listing.join(texts.unionByName(pages), "file_path")
-    refused = (T.extension(F.col("file_path")) == "pdf") & (T.pdf_gate(F.substring_index("content", " ", 12), F.col("pages")) != "ok")
-    gate = F.when(refused, T.pdf_gate(F.substring_index("content", " ", 12), F.col("pages")))
+    refused = (T.extension(F.col("file_path")) == "pdf") & (T.pdf_gate(F.col("content"), F.col("pages")) != "ok")
+    gate = F.when(refused, T.pdf_gate(F.col("content"), F.col("pages")))
     return rows.select("file_path", T.title_of(F.col("file_path")).alias("title"), "content", T.file_type(F.col("file_path")).alias("file_type"), "file_mtime", "file_size", gate.alias("error"))
 
 
-_HEAD = "trim(array_to_string(list_slice(string_split(content, ' '), 1, 12), ' '), ' ' || chr(10))"
+_HEAD = "trim(content, ' ' || chr(10))"
 READ = f"""texts AS (SELECT file_path, content || '!' AS content, id % 4 AS pages FROM lib UNION ALL SELECT '/lib/new/page_' || page_id || '.html', html, 1 FROM pages),
   readable AS (SELECT file_path, regexp_extract(file_path, '([^/]+)\\.[^.]*$', 1) AS title, content, file_mtime, file_size,
     CASE WHEN file_path LIKE '%.pdf' THEN CASE WHEN length({_HEAD}) = 0 THEN 'image' WHEN length({_HEAD}) < 100 AND (coalesce(nullif(pages, 0), 1) > 1 OR length({_HEAD}) < 20) THEN 'encrypted' END END AS error
@@ -349,15 +372,22 @@ def scan_report(spark, sf):
     return catalog.scan_report(diff, failures, *cleaned)
 
 
-@query(f"WITH {LIB}, {LISTED} SELECT file_path, max(file_mtime) AS file_mtime FROM (SELECT file_path, file_mtime FROM listing UNION ALL SELECT file_path, file_mtime FROM lib WHERE file_mtime IS NOT NULL) GROUP BY file_path")
+@query(f"""WITH {LIB}, {LISTED}, every AS (SELECT file_path, file_mtime, file_size, false AS gone FROM listing UNION ALL SELECT file_path, file_mtime, file_size, false FROM lib WHERE file_mtime IS NOT NULL
+  UNION ALL SELECT file_path, file_mtime + 2, file_size, true FROM lib WHERE id % 17 = 0 AND file_mtime IS NOT NULL UNION ALL SELECT file_path, file_mtime + id % 5, file_size, false FROM lib WHERE id % 34 = 0 AND file_mtime IS NOT NULL)
+  SELECT file_path, file_mtime, file_size FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY file_mtime DESC, file_size DESC, gone DESC) AS r FROM every) WHERE r = 1 AND NOT gone""")
 def listing_stream(spark, sf):
+    """Stored and listed rows, deletions and rows that come late or bring a file back, in several batches and a restart between."""
     where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    known = _docs(spark, sf).where("file_mtime is not null").select("file_path", "file_mtime", "file_size")
-    for name, rows in (("a", known), ("b", L.library_listing(spark, sf))):
-        rows.write.parquet(f"{where}/in/part={name}")
-    stream = spark.readStream.schema(sync.SCHEMA + ", part string").option("maxFilesPerTrigger", 4).parquet(f"{where}/in")
-    sync.start(stream.drop("part"), f"{where}/table", f"{where}/checkpoint").awaitTermination()
-    return sync.current(spark, f"{where}/table").select("file_path", "file_mtime")
+    docs = _docs(spark, sf).where("file_mtime is not null")
+    known = docs.select("file_path", "file_mtime", "file_size", F.lit(False).alias("gone"))
+    deleted = docs.where("id % 17 = 0").select("file_path", (F.col("file_mtime") + 2).alias("file_mtime"), "file_size", F.lit(True).alias("gone"))
+    again = docs.where("id % 34 = 0").select("file_path", (F.col("file_mtime") + F.col("id") % 5).alias("file_mtime"), "file_size", F.lit(False).alias("gone"))
+    for steps in ([("a", deleted), ("b", L.library_listing(spark, sf).withColumn("gone", F.lit(False)))], [("c", known), ("d", again)]):
+        for name, rows in steps:
+            rows.write.parquet(f"{where}/in/part={name}")
+        stream = spark.readStream.schema(sync.SCHEMA + ", part string").option("maxFilesPerTrigger", 3).parquet(f"{where}/in")
+        sync.start(stream.drop("part"), f"{where}/table", f"{where}/checkpoint", shards=8).awaitTermination()
+    return sync.current(spark, f"{where}/table")
 
 
 @query(f"""WITH {LIB} SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE abstract END AS abstract, CASE WHEN id % 3 = 0 THEN title || '!' ELSE title END AS title,
@@ -416,7 +446,7 @@ def fts_query_text(spark, sf):
     return L.questions(spark, sf).select("question_id", T.fts_query(F.col("question")).alias("fts"))
 
 
-_TOKENS = r"regexp_extract_all(translate(lower({}), '" + T.ACCENTED + "', '" + T.PLAIN + r"'), '[\p{{L}}\p{{N}}]+')"
+_TOKENS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
 BM = f"""{LIB}, {KW}, asked AS (SELECT question_id, token, count(*) AS times FROM (SELECT question_id, {_TOKENS.format('kw')}[1] AS token FROM qk) WHERE token IS NOT NULL GROUP BY question_id, token),
   tk AS (SELECT id, {_TOKENS.format('title')} AS tt, {_TOKENS.format('content')} AS tc FROM lib),
   st AS (SELECT count(*) AS n, avg(len(tt) + len(tc)) AS mean FROM tk),
@@ -499,11 +529,20 @@ def task_prompts(spark, sf):
 @query(f"WITH {LIB} SELECT count(*) AS total, count(*) FILTER (WHERE trim(c) <> '') AS processed, count(*) FILTER (WHERE trim(c) <> '' AND id % 9 <> 0) AS success, count(*) FILTER (WHERE trim(c) = '' OR id % 9 = 0) AS failed FROM (SELECT id, CASE WHEN id % 10 = 3 THEN '' ELSE content END AS c FROM lib)")
 def batch_outcome(spark, sf):
     docs = _docs(spark, sf).select("id", F.when(F.col("id") % 10 != 3, F.col("content")).otherwise("").alias("content"))
-    asked = docs.select("id", "content", F.concat(F.col("id").cast("string"), F.lit(" "), F.substring("content", 1, 20)).alias("prompt"))
+    asked = docs.select("id", "content", F.concat(F.col("id").cast("string"), F.lit(" "), "content").alias("prompt"))
     answered = context.map_prompts(asked, lambda ps: [None if int(p.split(" ", 1)[0]) % 9 == 0 else p[::-1] for p in ps])
     return logs.batch_outcome(answered.withColumn("error", F.when(F.col("answer").isNull(), "refused")))
 
 
+@query(f"WITH {LIB} SELECT count(*) AS total, count(*) FILTER (WHERE trim(c) <> '') AS processed, count(*) FILTER (WHERE trim(c) <> '' AND id % 9 <> 0) AS success, count(*) FILTER (WHERE trim(c) <> '' AND id % 9 = 0) AS failed FROM (SELECT id, CASE WHEN id % 10 = 3 THEN '' ELSE content END AS c FROM lib)")
+def summary_outcome(spark, sf):
+    """Summaries asked for documents with content alone: the others are skipped."""
+    docs = _docs(spark, sf).select("id", F.when(F.col("id") % 10 != 3, F.col("content")).otherwise("").alias("content"))
+    asked = docs.select("id", "content", context.task_prompt("summarize", F.col("content")).alias("prompt"), (F.col("id") % 9 == 0).alias("refused"))
+    answered = context.map_prompts(asked.where(~T.is_blank(F.col("content"))), lambda ps: [p[-10:] for p in ps]).unionByName(asked.where(T.is_blank(F.col("content"))).withColumn("answer", F.lit(None).cast("string")))
+    return logs.batch_outcome(answered.withColumn("error", F.when(F.col("refused"), "refused")), skip_blank=True)
+
+
 @query(f"""WITH {RETRIEVED} SELECT question_id, '参考资料：' || chr(10) || string_agg('[文档' || place || ']' || chr(10) || '标题：' || title || chr(10) || '内容：' || CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END || chr(10), chr(10) ORDER BY place)
     || chr(10) || chr(10) || '问题：' || any_value(question) AS prompt, string_agg('[' || place || '] ' || title, chr(10) ORDER BY place) AS doc_list FROM hits JOIN lib USING (id) JOIN questions USING (question_id) GROUP BY question_id""")
 def qa_prompts(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.sources.scratch import settle
 
 SUPPORTED = [".pdf", ".md", ".doc", ".docx", ".txt", ".html"]
 CALL_LOG = (
@@ -15,17 +16,78 @@ CALL_LOG = (
 )
 
 
+ENTRIES = "path string, folder boolean, file_mtime long, file_size long"
+
+
+def _open(folder: str) -> tuple[str, str]:
+    """(what a path in the store is put behind to name it again, the folder's path in its store)."""
+    from pyarrow import fs
+
+    path = fs.FileSystem.from_uri(folder)[1] if "://" in folder or folder.startswith("file:") else folder.rstrip("/") or "/"
+    return ("" if "://" not in folder or folder.startswith("file:") else folder[: folder.index(path)]), path
+
+
+def _store(root: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root + "/")[0] if root else fs.LocalFileSystem()
+
+
+def walk(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, folder, file_mtime, file_size) of everything below a folder, hidden names too. Folders are listed in tasks, a round for
+    each level of depth, and each round's entries are written; folders that can't be read are skipped."""
+    root, top = _open(folder)
+
+    def expand(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store = _store(root)
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                try:
+                    found = store.get_file_info(fs.FileSelector(at))
+                except OSError:
+                    continue
+                own = [f for f in found if f.type in (fs.FileType.File, fs.FileType.Directory)]
+                columns = [pa.array([f.path for f in own], pa.string()), pa.array([f.type == fs.FileType.Directory for f in own], pa.bool_()), pa.array([f.mtime_ns // 1_000_000 if f.mtime_ns is not None else None for f in own], pa.int64()), pa.array([f.size for f in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENTRIES.split(", ")])
+
+    found, frontier = spark.createDataFrame([], ENTRIES), spark.createDataFrame([(top,)], "path string")
+    while not frontier.isEmpty():
+        level = settle(frontier.repartition("path").mapInArrow(expand, ENTRIES), "entries")
+        found, frontier = found.unionByName(level), level.where("folder").select("path")
+    return found.withColumn("path", F.concat(F.lit(root), "path"))
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_path, file_mtime, file_size) of supported files below a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    """(file_path, file_mtime, file_size) of supported files below a folder, in any case of their names; contents are not read."""
+    files = walk(spark, folder).where(~F.col("folder"))
     kept = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(SUPPORTED))
-    return kept.select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.unix_millis("modificationTime").alias("file_mtime"), F.col("length").alias("file_size"))
+    return kept.select(F.col("path").alias("file_path"), "file_mtime", "file_size")
 
 
 def contents(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_path, content) of text files, broken UTF-8 replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt,html,MD,TXT,HTML}").load(folder)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    """(file_path, content) of text files, broken UTF-8 replaced; a file that can't be read has no row. Only so many bytes are
+    in a task's memory as its longest file has."""
+    root, _ = _open(folder)
+
+    def read(batches):
+        import pyarrow as pa
+
+        store = _store(root)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                try:
+                    with store.open_input_stream(path[len(root) :]) as f:
+                        held = f.read()
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([held], pa.binary())], ["file_path", "raw"])
+
+    texts = listing(spark, folder).where(F.lower(F.regexp_extract("file_path", r"(\.[^./]+)$", 1)).isin(".md", ".txt", ".html"))
+    read_ = texts.select("file_path").repartition("file_path").mapInArrow(read, "file_path string, raw binary")
+    return read_.select("file_path", F.make_valid_utf8(F.col("raw").cast("string")).alias("content"))
 
 
 def call_log(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import annotate, catalog, context, fulltext, graph, logs, search
 from foliant.plans import registry
-from foliant.sources import library
+from foliant.sources import library, snapshots
 from foliant.streaming import sync
 
 SF = "/root/testdata/sf0.001"
@@ -250,19 +250,129 @@ def test_model_calls(spark):
 
 
 def test_streaming_sync(spark, tmp_path):
-    schema = "file_path string, file_mtime long, file_size long"
-    source, table = str(tmp_path / "in"), str(tmp_path / "table")
-    for rows in [[("a", 1, 1), ("b", 1, 1), ("a", 3, 2)], [("a", 2, 9), ("c", 1, 1)]]:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        sync.start(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "check")).awaitTermination()
-    want = [("a", 3, 2), ("b", 1, 1), ("c", 1, 1)]
-    assert sorted(map(tuple, sync.current(spark, table).collect())) == want
-    # a stream that lost its checkpoint goes on in an epoch of its own
-    late = str(tmp_path / "late")
-    spark.createDataFrame([("d", 5, 5)], schema).write.parquet(late)
-    sync.start(spark.readStream.schema(schema).parquet(late), table, str(tmp_path / "check2"), epoch=1).awaitTermination()
-    sync.compact(spark, table, str(tmp_path / "small"))
-    assert sorted(map(tuple, sync.current(spark, str(tmp_path / "small")).collect())) == [*want, ("d", 5, 5)]
+    source, table, check = (str(tmp_path / n) for n in ("in", "table", "check"))
+
+    def run(rows, checkpoint=check, **options):
+        if rows:
+            spark.createDataFrame(rows, sync.SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        sync.start(spark.readStream.schema(sync.SCHEMA).parquet(source), table, checkpoint, shards=16, **options).awaitTermination()
+        return sorted(map(tuple, sync.current(spark, table).collect()))
+
+    assert run([("a", 1, 1, False), ("b", 1, 1, None), ("a", 3, 2, False), (None, 1, 1, False)]) == [("a", 3, 2), ("b", 1, 1)]
+    first = snapshots.manifest(spark, table)
+    assert run([("a", 2, 9, False), ("c", 1, 1, False), ("b", 1, 1, True)]) == [("a", 3, 2), ("c", 1, 1)]  # late, new, deleted
+    assert run([("b", 0, 5, False), ("c", 4, 4, True), ("c", 5, 5, False)]) == [("a", 3, 2), ("c", 5, 5)]  # behind its tombstone, brought back
+    # shards without changes keep their files
+    parts = lambda m: m.tables[sync.TABLE]["parts"]
+    now, names = parts(snapshots.manifest(spark, table)), {r[0]: str(r[1]) for r in spark.createDataFrame([("a",), ("b",), ("c",)], "p string").select("p", snapshots.shard("p", 16)).collect()}
+    assert names["a"] not in (names["b"], names["c"]) and now[names["a"]] == parts(first)[names["a"]]
+    # a lost checkpoint is refused, or repaired: rows that are read again change nothing
+    with pytest.raises(sync.LostCheckpoint):
+        run([], str(tmp_path / "other"))
+    assert ("a", 3, 2) in run([("d", 1, 1, False)], str(tmp_path / "other"), repair=True) and ("c", 5, 5) in run([], str(tmp_path / "other"))
+
+
+def test_snapshots_switch_at_once(spark, tmp_path):
+    folder = str(tmp_path / "library")
+    docs = spark.range(20).select("id", F.concat(F.lit("t"), "id").alias("title"))
+    words = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, value string")
+    commit = snapshots.Commit(spark, folder)
+    commit.put("documents", docs, "id", 4)
+    commit.put("document_keywords", words, "document_id", 4)
+    assert snapshots.manifest(spark, folder).version == 0 and commit.done() == 1
+    before = snapshots.manifest(spark, folder)
+    # a run that dies between its tables leaves the snapshot before
+    dead = snapshots.Commit(spark, folder)
+    dead.put("documents", docs.limit(0), "id", 4)
+    assert snapshots.read(spark, folder, "documents").count() == 20
+    assert snapshots.upsert(spark, folder, "documents", spark.createDataFrame([(3, "new"), (77, "more")], "id long, title string"), "id") == 2
+    with pytest.raises(RuntimeError):
+        dead.done()
+    got = {r["id"]: r["title"] for r in snapshots.read(spark, folder, "documents").collect()}
+    assert got == {k: f"t{k}" for k in range(20)} | {3: "new", 77: "more"} and snapshots.read(spark, folder, "document_keywords").count() == 2
+    after, touched = snapshots.manifest(spark, folder), {r[0] for r in spark.createDataFrame([(3,), (77,)], "id long").select(snapshots.shard("id", 4)).collect()}
+    same = {k for k in before.tables["documents"]["parts"] if after.tables["documents"]["parts"][k] == before.tables["documents"]["parts"][k]}
+    assert same == {k for k in before.tables["documents"]["parts"] if int(k) not in touched}
+    assert snapshots.read(spark, folder, "documents", before).where("id = 3").first()["title"] == "t3"
+
+
+def test_hidden_and_mixed_case_files_are_listed_and_read(spark, tmp_path):
+    names = ["_n.md", ".h.md", "_sub/e.md", ".git2/f.md", "c.Md", "g.hTml", "deep/er/x.TXT", "p.PDF", "no.exe", "_SUCCESS", "plain"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    (tmp_path / "shut").mkdir()
+    (tmp_path / "shut/y.md").write_text("y")
+    (tmp_path / "shut").chmod(0)
+    try:
+        listed = {r["file_path"]: r["file_size"] for r in library.listing(spark, str(tmp_path)).collect()}
+        read = {r["file_path"]: r["content"] for r in library.contents(spark, f"file://{tmp_path}").collect()}
+    finally:
+        (tmp_path / "shut").chmod(0o755)
+    want = {str(tmp_path / n): len(n) for n in names[:8]}
+    assert {p: n for p, n in listed.items() if "/shut/" not in p} == want
+    assert {p: c for p, c in read.items() if "/shut/" not in p} == {str(tmp_path / n): n for n in names[:7]}
+    assert library.listing(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_sync_leaves_documents_without_path_alone(spark):
+    docs = library.documents(spark, SF).where("id < 6").withColumn("file_path", F.when(F.col("id") == 0, None).when(F.col("id").isin(1, 2), "/lib/same.md").otherwise(F.col("file_path")))
+    listing = spark.createDataFrame([("/lib/same.md", 99, 9), ("/lib/same.md", 98, 9), (None, 1, 1)], "file_path string, file_mtime long, file_size long")
+    diff = {r["file_path"]: r["status"] for r in catalog.sync_diff(listing, docs).collect()}
+    assert len(diff) == 4 and None not in diff and diff["/lib/same.md"] == "modified" and sorted(diff.values()) == ["deleted"] * 3 + ["modified"]
+    read = listing.select("file_path", F.lit("T").alias("title"), F.lit("c").alias("content"), F.lit("text").alias("file_type"), "file_mtime", "file_size")
+    got = sorted((r["id"], r["title"]) for r in catalog.apply_sync(docs, catalog.sync_diff(listing, docs), read, F.current_timestamp()).collect())
+    assert [r[0] for r in got] == [0, 1, 2] and got[1][1] == got[2][1] == "T" and got[0][1] != "T"
+
+
+def test_no_pair_is_left_out(spark):
+    words = sorted(f"w{letters(k)}x" for k in range(150))
+    docs = spark.createDataFrame([(1, " ".join(words))], "id long, text string")
+    keys = spark.createDataFrame([(1, w) for w in words], "id long, word string")
+    pairs = graph.cooccurrence(docs, keys)
+    want = {(a, b): 1 for i, a in enumerate(words) for b in words[i + 1 :]}
+    assert {(r["source"], r["target"]): r["weight"] for r in pairs.collect()} == want and len(want) == 11_175
+    many = spark.range(1505).select(F.lit(1).alias("document_id"), F.format_string("k%05d", "id").alias("value"))
+    assert annotate.corpus_graph(many).count() == 1505 * 1504 // 2
+    long = spark.createDataFrame([(1, ". ".join(f"the {'cat' if k % 2 else 'dog'} {'sun' if k % 3 else 'moon'}" for k in range(200)))], "id long, text string")
+    got = {(r["source"], r["target"]): r["weight"] for r in graph.cooccurrence(long, spark.createDataFrame([(1, w) for w in ("cat", "dog", "sun", "moon")], "id long, word string")).collect()}
+    assert got == {("cat", "sun"): 67, ("dog", "sun"): 66, ("cat", "moon"): 33, ("dog", "moon"): 34}
+
+
+def test_large_lexicons_are_joined(spark, monkeypatch):
+    docs = library.documents(spark, SF).select("id", F.col("content").alias("text")).withColumn("lang", F.when(F.col("id") % 2 == 0, "x").otherwise("y"))
+    lexicon = annotate.corpus_lexicon(docs)
+    columns = ["id", "lexicon_keywords", "lexicon_tags", "category", "secondary", "confidence"]
+    small = sorted(map(str, annotate.annotate(docs, *lexicon).select(*columns).collect()))
+    monkeypatch.setattr(annotate, "MAX_ENTRIES", 10)
+    assert sorted(map(str, annotate.annotate(docs, *lexicon).select(*columns).collect())) == small
+
+
+def test_accents_and_blanks_beyond_latin1(spark):
+    fold = lambda s: value(spark, T.fold_tokens(F.lit(s)))
+    assert fold("Łódź Šimon ŐÚ e\u0301clair éclair Œuvre") == ["łodz", "simon", "ou", "eclair", "eclair", "œuvre"]
+    assert fold("ế Ελλάδα") == ["ế", "ελλάδα"]
+    assert value(spark, T.text_to_html(F.lit("a\n\u3000\nb"))) == "<p>a</p><p>b</p>"
+    assert value(spark, T.enforce_citations(F.lit("a\n## 引用来源：\u3000\nold"), F.array(F.lit("x")))) == "a\n## 引用来源\n[1] x\n"
+
+
+def test_paragraphs(spark):
+    docs = spark.createDataFrame([(1, "A sun, a Moon\n\u3000\nsun\n\nmoon stars SUN"), (2, None)], "id long, text string")
+    bridge = spark.createDataFrame([(1, w) for w in ("Sun", "moon", "stars")] + [(2, "sun")], "document_id long, value string")
+    assert {(r["k1"], r["k2"]): r["weight"] for r in annotate.paragraph_graph(docs, bridge).collect()} == {("Sun", "moon"): 2, ("Sun", "stars"): 1, ("moon", "stars"): 1}
+
+
+def test_audit_events_are_whole(spark):
+    docs = library.documents(spark, SF).where("id < 3")
+    asked = spark.createDataFrame([(1, "q one", 5, 7, "boom"), (2, "q two", None, None, None), (3, " ", 1, 1, None)], "question_id long, question string, start_fts long, ms_fts long, error_fts string")
+    hits = spark.createDataFrame([(2, 2, 1, "primary", "FTS5"), (2, 0, 2, "primary", "FTS5"), (1, 1, 1, "fallback", "LIKE")], "question_id long, id long, place int, strategy string, algorithm string")
+    got = {}
+    for r in context.search_audit(asked, hits, docs).orderBy("question_id", "step").collect():
+        got.setdefault(r["question_id"], []).append(r)
+    assert [r["step"] for r in got[1]] == [1, 2, 3, 4, 5, 6] and [r["step"] for r in got[2]] == [1, 2, 5, 6] and 3 not in got
+    assert got[1][0]["startTime"] == 5 and got[1][1]["error"] == "boom" and got[1][1]["resultIds"] == [] and got[1][1]["durationMs"] == 7 and got[1][3]["resultIds"] == [1]
+    assert (got[1][4]["usedAlgorithm"], got[1][4]["fallbackReason"]) == ("LIKE", "FTS5返回空结果") and got[2][2]["fallbackReason"] == "FTS5返回有效结果"
+    assert [(d["index"], d["id"]) for d in got[2][3]["documentInfo"]] == [(1, 2), (2, 0)] and got[2][3]["documentInfo"][0]["filePath"] and got[2][3]["finalCount"] == 2
 
 
 def test_paths_outside_a_base(spark):
