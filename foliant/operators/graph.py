@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import string
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +59,75 @@ def graph_keywords(candidates: DataFrame, top_n: int = 12) -> DataFrame:
     return lists.select("id", F.posexplode(chosen).alias("place", "k")).select("id", (F.col("place") + 1).alias("place"), "k.word", "k.freq")
 
 
+CHOSEN = "array<struct<word: string, freq: bigint>>"
+_RUN, _WORD = re.compile("[\u4e00-\u9fa5]{2,}"), re.compile("[a-z]{3,}")
+_EDGE = re.compile(rf"[\u3000-\u303f\uff00-\uffef\s\w{re.escape(string.punctuation)}·…—“”‘’]", re.ASCII)
+
+
+def choose(text: str, stop: frozenset[str], top_n: int) -> list[tuple[str, int]]:
+    """The (word, freq) that ``graph_keywords`` of ``candidate_terms`` chooses of one text, in order."""
+    freq: dict[str, int] = {}
+    first: dict[str, tuple] = {}
+    edged = set()
+    for s, run in enumerate(_RUN.finditer(text)):
+        segment, end = run.group(), run.end()
+        sides = [run.start() == 0 or _EDGE.match(text[run.start() - 1]), end == len(text) or _EDGE.match(text[end])]
+        for n in range(2, min(4, len(segment)) + 1):
+            for p in range(len(segment) - n + 1):
+                word = segment[p : p + n]
+                freq[word] = freq.get(word, 0) + 1
+                if word not in first:
+                    first[word] = (0, s, n, p)
+                    if n == 4 or (p == 0 and sides[0]) or (p + n == len(segment) and sides[1]):
+                        edged.add(word)
+    freq = {w: n for w, n in freq.items() if w in edged}
+    for p, word in enumerate(_WORD.findall(text.lower())):
+        freq[word] = freq.get(word, 0) + 1
+        first.setdefault(word, (1, 0, 0, p))
+    weight = lambda w: 1.0 if first[w][0] else {3: 1.2, 4: 1.5}.get(len(w), 1.0)
+    ranked = sorted((-n * weight(w), first[w], w) for w, n in freq.items() if w not in stop and (n >= 2 or len(w) >= 3))
+    chosen: list[str] = []
+    for _, _, word in ranked:
+        if len(chosen) == top_n:
+            break
+        for a in chosen:
+            t = -(-6 * min(len(a), len(word)) // 10)
+            if (len(a) > len(word) and word in a) or a[:t] == word[:t] or a[-t:] == word[-t:]:
+                break
+        else:
+            chosen.append(word)
+    return [(w, freq[w]) for w in chosen]
+
+
+def with_keywords(docs: DataFrame, stop_words: list[str] | None = None, top_n: int = 12) -> DataFrame:
+    """``docs`` (id, text, ...) with ``ks``, the keywords of each text's graph. All is done in a document's row: neither texts
+    nor their words are shuffled. The choice goes word by word, which row functions can't do without copying the list at each."""
+    stop = frozenset(stop_words or [])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("word", pa.string()), ("freq", pa.int64())]))
+        for b in batches:
+            found = [[{"word": w, "freq": n} for w, n in choose(t or "", stop, top_n)] for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], [*b.schema.names, "ks"])
+
+    return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, ks {CHOSEN}")
+
+
+def keyword_rows(chosen: DataFrame) -> DataFrame:
+    """(id, place, word, freq) of ``with_keywords``."""
+    return chosen.select("id", F.posexplode("ks").alias("place", "k")).select("id", (F.col("place") + 1).alias("place"), "k.word", "k.freq")
+
+
 WORD_BITS = 62
 
 
-def cooccurrence(docs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(id, source, target, weight): sentences of a document that hold both keywords.
+def row_pairs(held: DataFrame) -> DataFrame:
+    """(id, source, target, weight) of rows (id, text, ws), ws the sorted words to pair: sentences of a text that hold both.
 
-    Keywords come to their document's row, where each gets a bitmap of the sentences that hold it, in longs of ``WORD_BITS``
-    sentences; a pair's weight is the number of common bits. Texts make one row each, and no sentence is a row."""
-    words = keywords.groupBy("id").agg(F.array_sort(F.collect_list("word")).alias("ws")).where(F.size("ws") > 1)
-    held = docs.select("id", "text").join(words, "id").select("id", "ws", F.explode(F.array(T.sentences(F.col("text")))).alias("ss"))
+    Each word gets a bitmap of the sentences that hold it, in longs of ``WORD_BITS`` sentences; a pair's weight is the number of common
+    bits. No sentence is a row, and nothing is shuffled."""
+    held = held.where(F.size("ws") > 1).select("id", "ws", F.explode(F.array(T.sentences(F.col("text")))).alias("ss"))
     starts = F.when(F.size("ss") > 0, F.sequence(F.lit(1), F.size("ss"), F.lit(WORD_BITS))).otherwise(F.array().cast("array<int>"))
     bit = lambda s, k: F.when(F.contains(s, k), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
     bits = lambda w: F.transform(starts, lambda a: F.aggregate(F.slice("ss", a, WORD_BITS), F.lit(0).cast("long"), lambda acc, s: acc * 2 + bit(s, w)))
@@ -74,6 +138,13 @@ def cooccurrence(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     return maps.select("id", F.explode(pairs).alias("p")).where("p.weight > 0").select("id", "p.source", "p.target", "p.weight")
 
 
+def cooccurrence(docs: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``row_pairs`` of texts whose keywords (id, word) lie in a table of their own; both are dealt by id."""
+    # few bytes of text stand for much work, so partitions are the session's and not merged by size
+    texts, keywords = (x.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id") for x in (docs.select("id", "text"), keywords))
+    return row_pairs(texts.join(keywords.groupBy("id").agg(F.array_sort(F.collect_list("word")).alias("ws")), "id"))
+
+
 def nodes(keywords: DataFrame, docs: DataFrame) -> DataFrame:
     """Keyword nodes with weights scaled to 0.3..1, and a centre node for a document with a title."""
     most = F.max("freq").over(Window.partitionBy("id"))

@@ -658,12 +658,22 @@ GK = f"""{CAND}, lists AS (SELECT id, list({{'word': word, 'freq': freq}} ORDER
 
 
 def _graph(spark, sf):
-    docs = _graph_text(spark, sf)
-    return docs, settle(graph.graph_keywords(graph.candidate_terms(docs)), "graph-keywords")
+    """The texts with their keywords, and the keywords' rows."""
+    chosen = graph.with_keywords(_graph_text(spark, sf))
+    return chosen, graph.keyword_rows(chosen)
+
+
+def _pairs(chosen):
+    return graph.row_pairs(chosen.select("id", "text", F.array_sort(F.transform("ks", lambda k: k["word"])).alias("ws")))
 
 
 @query(f"WITH {GK} SELECT id, place, word, freq FROM gk")
 def graph_keywords(spark, sf):
+    return graph.graph_keywords(graph.candidate_terms(_graph_text(spark, sf)))
+
+
+@query(f"WITH {GK} SELECT id, place, word, freq FROM gk")
+def graph_row_keywords(spark, sf):
     return _graph(spark, sf)[1]
 
 
@@ -672,15 +682,14 @@ LINKS = f"{GK}, {SENT}, u AS (SELECT id, unnest(ss) AS x FROM s), links AS (SELE
 
 @query(f"WITH {LINKS} SELECT * FROM links")
 def graph_links(spark, sf):
-    docs, words = _graph(spark, sf)
-    return graph.cooccurrence(docs, words)
+    return _pairs(_graph(spark, sf)[0])
 
 
 @query(f"""WITH {LINKS}, {LIB} SELECT id, source, target, weight, 'cooccurrence' AS type FROM links
   UNION ALL SELECT id, '__doc_center__', word, freq, 'keyword-link' FROM gk JOIN lib USING (id) WHERE trim(title) <> ''""")
 def graph_all_links(spark, sf):
     docs, words = _graph(spark, sf)
-    return graph.links(words, docs, graph.cooccurrence(docs, words))
+    return graph.links(words, docs.drop("ks"), _pairs(docs))
 
 
 @query(f"""WITH {GK}, {LIB}, m AS (SELECT id, max(freq) AS most FROM gk GROUP BY id)
@@ -688,7 +697,7 @@ def graph_all_links(spark, sf):
   UNION ALL SELECT id, '__doc_center__', CASE WHEN length(title) > 12 THEN left(title, 12) || '...' ELSE title END, 'document', most + 2, 1.0::DOUBLE FROM m JOIN lib USING (id) WHERE trim(title) <> ''""")
 def graph_nodes(spark, sf):
     docs, words = _graph(spark, sf)
-    return graph.nodes(words, docs)
+    return graph.nodes(words, docs.drop("ks"))
 
 
 @query(f"""WITH {LINKS}, {LIB}, k AS (SELECT id, count(*) AS n FROM gk GROUP BY id), e AS (SELECT id, count(*) AS m FROM links GROUP BY id)
@@ -696,7 +705,7 @@ def graph_nodes(spark, sf):
   FROM lib JOIN s USING (id) LEFT JOIN k USING (id) LEFT JOIN e USING (id)""")
 def graph_stats(spark, sf):
     docs, words = _graph(spark, sf)
-    return graph.stats(docs, words, graph.cooccurrence(docs, words))
+    return graph.stats(docs.drop("ks"), words, _pairs(docs))
 
 
 # --- logs and texts -----------------------------------------------------------------------------

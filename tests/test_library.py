@@ -430,3 +430,13 @@ def test_han_words_at_the_ends_of_runs(spark):
     docs = spark.createDataFrame([(1, "中国"), (2, "é中国人é中国"), (3, "中国人民，民主"), (4, "a中国")], "id long, text string")
     got = {(r["id"], r["word"]): r["freq"] for r in graph.candidate_terms(docs).collect()}
     assert got[(1, "中国")] == 1 and (2, "中国") not in got and got[(3, "中国")] == 1 and (3, "国人") not in got and got[(3, "人民")] == 1 and got[(3, "民主")] == 1 and got[(4, "中国")] == 1
+
+
+def test_keywords_chosen_in_the_row_are_those_of_the_tables(spark):
+    rng = np.random.default_rng(5)
+    parts = ["智慧城市", "城市建设", "，", "。", " ", "abc", "abcd", "Smart", "é", "a", "1", "中国人民", "\n", "人", "İx"]
+    docs = spark.createDataFrame([(k, "".join(rng.choice(parts, int(rng.integers(0, 30))))) for k in range(120)] + [(500, None), (501, "")], "id long, text string")
+    for stop in ([], ["城市", "abc"]):
+        want = sorted(map(tuple, graph.graph_keywords(graph.candidate_terms(docs, stop), 7).collect()))
+        chosen = graph.with_keywords(docs, stop, 7)
+        assert sorted(map(tuple, graph.keyword_rows(chosen).collect())) == want
