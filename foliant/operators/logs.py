@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from datetime import date, timedelta
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -59,10 +62,19 @@ def retained(calls: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return calls.where(F.to_date(F.timestamp_millis("request_ms")) >= F.date_sub(F.lit(as_of).cast("date"), days))
 
 
-def rewrite_retained(log: DataFrame, path: str, as_of: str, days: int = 30) -> None:
-    """Write the rows of a call log (with ``date``) whose day is kept to ``path``, a folder a day. Another folder than the
-    log's own, so that a run that fails half-way loses nothing."""
-    log.where(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days)).write.mode("overwrite").partitionBy("date").json(path)
+def drop_old_days(spark: SparkSession, path: str, as_of: str, days: int = 30) -> list[str]:
+    """Remove the day folders (``date=...``) of a log that are older than ``days`` before ``as_of``; returns their names. Kept days
+    are neither read nor written, and folders whose name is no date stay."""
+    first = date.fromisoformat(as_of) - timedelta(days=days)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store, gone = at.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for status in store.listStatus(at):  # a folder a day
+        name = status.getPath().getName()
+        day = re.fullmatch(r"date=(\d{4}-\d\d-\d\d)", name)
+        if day and date.fromisoformat(day[1]) < first:
+            store.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
 
 
 def batch_outcome(outcomes: DataFrame, skip_blank: bool = False) -> DataFrame:

@@ -101,6 +101,12 @@ def append_call_log(entries: DataFrame, path: str) -> None:
     entries.withColumn("date", day).write.mode("append").partitionBy("date").json(path)
 
 
+def replace_days(entries: DataFrame, path: str) -> None:
+    """Write the days that ``entries`` hold anew, each as one; other days keep their files."""
+    day = F.to_date(F.timestamp_millis(F.col("timestamp.request")))
+    entries.withColumn("date", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").json(path)
+
+
 def search_log(spark: SparkSession, path: str) -> DataFrame:
     """(ts, event) of lines ``[time] {json}``."""
     event = (

@@ -440,3 +440,17 @@ def test_keywords_chosen_in_the_row_are_those_of_the_tables(spark):
         want = sorted(map(tuple, graph.graph_keywords(graph.candidate_terms(docs, stop), 7).collect()))
         chosen = graph.with_keywords(docs, stop, 7)
         assert sorted(map(tuple, graph.keyword_rows(chosen).collect())) == want
+
+
+def test_kept_days_keep_their_files(spark, tmp_path):
+    path = str(tmp_path / "log")
+    entry = "named_struct('request', cast(19723 + id as bigint) * 86400000, 'response', null, 'duration', null) as timestamp"
+    library.append_call_log(spark.range(5).selectExpr("cast(id as string) as requestId", entry), path)  # from 2024-01-01
+    files = lambda: {str(p.relative_to(path)) for p in (tmp_path / "log").rglob("*.json")}
+    before = files()
+    assert logs.drop_old_days(spark, path, "2024-01-05", 2) == ["date=2024-01-01", "date=2024-01-02"]
+    kept = files()
+    assert kept == {f for f in before if f[:15] > "date=2024-01-02"} and library.call_log(spark, path).count() == 3
+    library.replace_days(spark.range(3, 4).selectExpr("'new' as requestId", entry), path)
+    assert {f for f in files() if "date=2024-01-04" not in f} == {f for f in kept if "date=2024-01-04" not in f}
+    assert sorted(r["requestId"] for r in library.call_log(spark, path).collect()) == ["2", "4", "new"]
