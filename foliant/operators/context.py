@@ -61,6 +61,13 @@ def snippet(content: Column, keywords: Column) -> Column:
     return F.pandas_udf(_snippets, "string")(content, keywords)
 
 
+def with_snippets(refs: DataFrame) -> DataFrame:
+    """``refs`` with ``snippet``, the best ones of each text for its question."""
+    # the explode keeps the keywords a column of their own, as an argument of the Python function has to be
+    words = refs.withColumn("_words", F.explode(F.array(T.question_keywords(F.col("question")))))
+    return words.withColumn("snippet", snippet(F.col("text"), F.col("_words"))).drop("_words")
+
+
 def references(hits: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, i, id, title, name, text): the non-blank documents of each question, numbered again."""
     body = F.coalesce(F.nullif(F.col("content"), F.lit("")), F.nullif(F.col("abstract"), F.lit("")), F.lit(""))
@@ -127,9 +134,8 @@ def local_prompt(question: Column, references: Column, doc_list: Column, templat
 
 def local_prompts(refs: DataFrame, **options: str) -> DataFrame:
     """(question_id, prompt) from ``references``, with the best snippets of each document as its text."""
-    words = T.question_keywords(F.col("question"))
-    block = F.concat(F.lit("[文档"), F.col("i").cast("string"), F.lit("]\n标题："), "title", F.lit("\n内容："), snippet(F.col("text"), words), F.lit("\n"))
-    own = refs.select("question_id", "question", F.struct("i", block.alias("block"), F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] "), "title").alias("line")).alias("r"))
+    block = F.concat(F.lit("[文档"), F.col("i").cast("string"), F.lit("]\n标题："), "title", F.lit("\n内容："), "snippet", F.lit("\n"))
+    own = with_snippets(refs).select("question_id", "question", F.struct("i", block.alias("block"), F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] "), "title").alias("line")).alias("r"))
     lists = own.groupBy("question_id", "question").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     joined = lambda f: F.array_join(F.transform("rs", lambda r: r[f]), "\n")
     return lists.select("question_id", local_prompt(F.col("question"), joined("block"), joined("line"), **options).alias("prompt"))

@@ -508,7 +508,7 @@ def retrieve_scored(spark, sf):
 def snippets(spark, sf):
     docs, asked = _docs(spark, sf), L.questions(spark, sf)
     refs = context.references(search.retrieve(docs, asked), docs, asked)
-    return refs.select("question_id", "i", "id", context.snippet(F.col("text"), T.question_keywords(F.col("question"))).alias("snippet"))
+    return context.with_snippets(refs).select("question_id", "i", "id", "snippet")
 
 
 @query(f"WITH {LIB} SELECT id, CASE WHEN length(content) > 4000 THEN left(content, 4000) || chr(10) || chr(10) || '[注：已使用文档前 4000 字，共 ' || length(content) || ' 字]' ELSE content END AS prompt FROM lib")

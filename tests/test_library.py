@@ -454,3 +454,15 @@ def test_kept_days_keep_their_files(spark, tmp_path):
     library.replace_days(spark.range(3, 4).selectExpr("'new' as requestId", entry), path)
     assert {f for f in files() if "date=2024-01-04" not in f} == {f for f in kept if "date=2024-01-04" not in f}
     assert sorted(r["requestId"] for r in library.call_log(spark, path).collect()) == ["2", "4", "new"]
+
+
+@pytest.mark.parametrize("name", ["snippets", "local_prompts"])
+def test_queries_without_sql(spark, name):
+    rows = registry.QUERIES[name](spark, SF).collect()
+    docs = {r["id"]: r["content"] for r in library.documents(spark, SF).collect()}
+    asked = {r["question_id"]: r["w"] for r in library.questions(spark, SF).select("question_id", T.question_keywords(F.col("question")).alias("w")).collect()}
+    assert len(rows) > 50
+    for r in rows[:20] if name == "snippets" else []:
+        best, body = brute_snippet(docs[r["id"]], [w.lower() for w in asked[r["question_id"]]]), docs[r["id"]]
+        first = best[0][1] if best else 400
+        assert body[max(first - 400, 0) : first + 400] in r["snippet"]
