@@ -456,6 +456,16 @@ def test_kept_days_keep_their_files(spark, tmp_path):
     assert sorted(r["requestId"] for r in library.call_log(spark, path).collect()) == ["2", "4", "new"]
 
 
+def test_call_log_gives_back_every_call(spark, tmp_path):
+    ts = "case event_id % 4 when 0 then ts when 1 then ts - interval 20 days when 2 then ts - interval 130 years end"
+    duckdb.sql(f"copy (select * replace ({ts} as ts) from '{SF}/events.parquet') to '{tmp_path}/events.parquet'")
+    given = sorted(str(x) for (x,) in duckdb.sql(f"select event_id from '{SF}/events.parquet'").fetchall())
+    assert sorted(r["request_id"] for r in registry.QUERIES["call_log"](spark, str(tmp_path)).collect()) == given
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    assert sorted(r[0] for r in c.sql(f"select request_id from ({registry.ORACLE['call_log']})").fetchall()) == given
+
+
 @pytest.mark.parametrize("name", ["snippets", "local_prompts"])
 def test_queries_without_sql(spark, name):
     rows = registry.QUERIES[name](spark, SF).collect()
