@@ -466,6 +466,15 @@ def test_call_log_gives_back_every_call(spark, tmp_path):
     assert sorted(r[0] for r in c.sql(f"select request_id from ({registry.ORACLE['call_log']})").fetchall()) == given
 
 
+def test_compressed_files_join_a_plain_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    entry = "named_struct('request', cast(19723 + id % 3 as bigint) * 86400000, 'response', null, 'duration', null) as timestamp"
+    library.append_call_log(spark.range(6).selectExpr("cast(id as string) as requestId", entry), path)
+    library.append_call_log(spark.range(6, 12).selectExpr("cast(id as string) as requestId", entry), path, "gzip")
+    assert len(list((tmp_path / "log/date=2024-01-01").glob("*.json"))) and len(list((tmp_path / "log/date=2024-01-01").glob("*.json.gz")))
+    assert sorted(int(r["requestId"]) for r in library.call_log(spark, path).collect()) == list(range(12))
+
+
 @pytest.mark.parametrize("name", ["snippets", "local_prompts"])
 def test_queries_without_sql(spark, name):
     rows = registry.QUERIES[name](spark, SF).collect()
