@@ -1,6 +1,7 @@
 """Registered queries against their SQL, and literal cases for text the given tables do not hold."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -151,6 +152,29 @@ def test_bounds_spare_most_documents_a_score(spark):
     assert (fulltext.surviving(found, least, seen).count() + seen.count()) * 20 < 0.1 * len(docs) * len(asked)
 
 
+def test_blocks_are_scored_where_they_lie(spark):
+    docs, asked = library.documents(spark, SF), library.questions(spark, SF)
+    index = fulltext.build(docs, 20)
+    assert len(index.files) > 9 and not list((Path(index.folder)).glob("*.parquet"))
+    found = fulltext.weigh(index, fulltext.asked_terms(asked))
+    chunk = next(found.chunks())
+    scored = fulltext.score(index, index.files, spark.sparkContext.broadcast(chunk), np.zeros(len(chunk.ids)), found.mean, 5)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()  # neither blocks nor questions are shuffled
+    index.discard()
+    assert not Path(index.folder).exists()
+
+
+def test_questions_in_chunks_find_the_same(spark, monkeypatch):
+    docs, asked = library.documents(spark, SF), library.questions(spark, SF)
+    index = fulltext.build(docs, 15)
+    rows = lambda: sorted(map(tuple, fulltext.search(index, asked).collect()))
+    whole = rows()
+    monkeypatch.setattr(fulltext, "CHUNK_TERMS", 300)
+    monkeypatch.setattr(fulltext, "GROWTH", 2)
+    monkeypatch.setattr(fulltext, "MOST_DENSE", 3)
+    assert rows() == whole and len(whole) > 50
+
+
 def letters(n):
     return "".join(chr(97 + int(d)) for d in str(n))
 
