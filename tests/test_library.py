@@ -164,6 +164,15 @@ def test_blocks_are_scored_where_they_lie(spark):
     assert not Path(index.folder).exists()
 
 
+def test_fallback_questions_need_no_scores(spark, con, monkeypatch):
+    def refuse(*args):
+        raise AssertionError("scored")
+
+    monkeypatch.setattr(fulltext, "search", refuse)
+    got = registry.QUERIES["fallback_questions"](spark, SF).collect()
+    assert plain(got) == plain(con.sql(registry.ORACLE["fallback_questions"]).fetchall()) and got
+
+
 def test_questions_in_chunks_find_the_same(spark, monkeypatch):
     docs, asked = library.documents(spark, SF), library.questions(spark, SF)
     index = fulltext.build(docs, 15)
