@@ -164,6 +164,23 @@ def test_blocks_are_scored_where_they_lie(spark):
     assert not Path(index.folder).exists()
 
 
+@pytest.mark.parametrize("shape", [context.with_snippets, context.with_cuts])
+def test_whole_texts_are_not_sent_to_questions(spark, shape):
+    docs = library.documents(spark, SF)
+    asked = library.questions(spark, SF).limit(30)
+    hits = asked.select("question_id", (F.abs(F.hash("question")) % 5).cast("long").alias("id"), F.lit(1).alias("place"))
+    made = "snippet" if shape is context.with_snippets else "cut"
+    refs = context.references(hits, docs, asked, shape)
+    assert "text" not in refs.columns
+    want = shape(context.references(hits, docs, asked)).select("question_id", "i", "id", "title", "name", made)
+    assert plain(refs.select(*want.columns).collect()) == plain(want.collect())
+    node = refs._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Window":
+        node = node.children().apply(0)
+    sent = node.children().apply(0).output().mkString(" ")  # what is dealt out by question
+    assert made in sent and "text#" not in sent
+
+
 def test_fallback_questions_need_no_scores(spark, con, monkeypatch):
     def refuse(*args):
         raise AssertionError("scored")
