@@ -50,6 +50,12 @@ def _latest(tombstone_ms: int):
     return step
 
 
+def put(rows: DataFrame, folder: str) -> None:
+    """Write listing rows for a stream to read, in files by size: one for each task that read some of a large source would make
+    small batches, and a batch costs much besides its rows."""
+    rows.hint("rebalance").write.parquet(folder)
+
+
 class LostCheckpoint(RuntimeError):
     """The snapshot holds batches of a stream whose checkpoint is gone."""
 

@@ -322,6 +322,12 @@ def test_streaming_sync(spark, tmp_path):
     assert ("a", 3, 2) in run([("d", 1, 1, False)], str(tmp_path / "other"), repair=True) and ("c", 5, 5) in run([], str(tmp_path / "other"))
 
 
+def test_listing_rows_lie_in_few_files(spark, tmp_path):
+    rows = spark.range(400, numPartitions=40).select(F.concat(F.lit("p"), "id").alias("file_path"), F.col("id").alias("file_mtime"), F.lit(1).cast("long").alias("file_size"), F.lit(False).alias("gone"))
+    sync.put(rows, str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").glob("part-*"))) < 10 and spark.read.parquet(str(tmp_path / "in")).count() == 400
+
+
 def test_snapshots_switch_at_once(spark, tmp_path):
     folder = str(tmp_path / "library")
     docs = spark.range(20).select("id", F.concat(F.lit("t"), "id").alias("title"))
